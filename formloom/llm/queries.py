@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .katz import op4_katz_backoff
+from .minhash import op8_bbit_minhash
+from .mixing import op9_flow_mixing
 from .packing import op3_cost_packing
+from .reply_trees import op5_reply_trees
+from .suffix_dedup import op10_lpf_dedup
 from .token_files import op6_bitpacked_ids
+from .topk_search import OP2_SQL, op2_nra_topk
 
-QUERIES = {f.__name__: f for f in (op3_cost_packing, op6_bitpacked_ids)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_nra_topk, op3_cost_packing, op4_katz_backoff, op5_reply_trees, op6_bitpacked_ids, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_nra_topk": OP2_SQL}
