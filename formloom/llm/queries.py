@@ -5,7 +5,7 @@ from __future__ import annotations
 from .cotrain import op7_cotraining_quality
 from .divergence import op1_divergence_rules
 from .katz import op4_katz_backoff
-from .minhash import op7_cotraining_quality, op8_bbit_minhash
+from .minhash import op8_bbit_minhash
 from .mixing import op9_flow_mixing
 from .packing import op3_cost_packing
 from .reply_trees import op5_reply_trees
@@ -13,5 +13,11 @@ from .suffix_dedup import op10_lpf_dedup
 from .token_files import op6_bitpacked_ids
 from .topk_search import OP2_SQL, op2_nra_topk
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_nra_topk, op3_cost_packing, op4_katz_backoff, op5_reply_trees, op6_bitpacked_ids, op7_cotraining_quality, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_divergence_rules, op2_nra_topk, op3_cost_packing, op4_katz_backoff, op5_reply_trees, op6_bitpacked_ids,
+        op7_cotraining_quality, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op2_nra_topk": OP2_SQL}

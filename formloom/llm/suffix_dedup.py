@@ -13,7 +13,7 @@ suffix array of all texts does not fit one machine, so the texts are cut into pl
    factor is that long).
 4. All spans of a document meet its text and are cut out.
 
-Buckets number a multiple of spark.sql.shuffle.partitions, which thus bounds a task's memory.
+The number of buckets is spark.sql.shuffle.partitions, which thus bounds a task's memory.
 """
 
 from __future__ import annotations
@@ -246,7 +246,7 @@ def find_repeats(docs: DataFrame, buckets: int, min_bytes: int) -> DataFrame:
                 k[order[x:y]] = place[int(doc[order[x]]), int(th[order[x]])]
             lo = np.maximum(0, pos.astype(np.int64) - side)
             size = np.minimum(lens[k], pos.astype(np.int64) + min_bytes) - lo
-            home = a % np.uint32(buckets)
+            home = a % np.uint32(3 * buckets)  # more and smaller buckets: suffix sorting needs most memory
             for b in np.unique(home):
                 m = np.flatnonzero(home == b)
                 out.append((int(b), planes(doc[m]), planes(th[m]), planes(lo[m].astype(np.uint32)), planes(size[m].astype(np.uint16)), flat[ranges(starts[k[m]] + lo[m], size[m])].tobytes()))
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     Null text is empty and comes back empty. Rows with a null doc_id neither match nor lose bytes. Rows of equal
     doc_id do not match each other. Other columns, clashing names but for lpf_* included, pass through.
     """
-    buckets = 2 * shuffle_width(docs.sparkSession)
+    buckets = shuffle_width(docs.sparkSession)
     keyed = docs.withColumns({"lpf_th": F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")})
     keyed = keyed.withColumn("lpf_db", F.pmod(F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(buckets).cast("long")), F.lit(0)) + F.col("lpf_th"), F.lit(buckets)).cast("int"))
     spans = find_repeats(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "lpf_th", "text", "lpf_db"), buckets, min_bytes)
