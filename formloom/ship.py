@@ -20,9 +20,8 @@ def ship(spark: SparkSession) -> None:
     paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     if ROOT in paths or Path.cwd().resolve() == ROOT or context.applicationId in _DONE:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/formloom", "zip", ROOT, "formloom")
-        context.addPyFile(archive)
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/formloom", "zip", ROOT, "formloom")  # the driver serves this file for the session
+    context.addPyFile(archive)
     if str(ROOT) not in sys.path:
         sys.path.insert(0, str(ROOT))
     _DONE.add(context.applicationId)
