@@ -224,7 +224,7 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
                 held = [sets[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(held, pa.binary())], names=["doc_id", "label", "pair", "shingles"])
 
-    members = rows.filter("doc_id is not null").join(dealt.select(F.col("node").alias("doc_id"), "label", "blocks", "block"), "doc_id")
+    members = rows.filter("doc_id is not null").join(dealt.select(F.col("node").alias("doc_id"), "label", "blocks", "block").hint("shuffle_hash"), "doc_id")
     shingled = members.select("doc_id", "label", F.struct("blocks", "block").alias("pair"), "text").mapInArrow(full_sets, "doc_id long, label long, pair struct<blocks:int,block:int>, shingles binary")
     # a group of several blocks is compared as pairs of blocks, the pair (i, i) within (i, i + 1)
     block, blocks = F.col("pair.block"), F.col("pair.blocks")
