@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm import cotrain, minhash, mixing, packing, suffix_dedup
-from formloom.llm.common import materialise, table, word_count
+from formloom.llm.common import materialise, release, table, word_count
 
 ORACLE_SQL = None
 
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        release(spark)
     return docs

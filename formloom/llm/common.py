@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished jobs, which it keeps until their handles are collected."""
+    """Let Spark delete shuffle files of finished jobs, which it keeps until their handles are collected.
+
+    Call it once nothing refers to the shuffled frames any more, that is after materialise() has returned."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -40,8 +42,6 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._formloom_path = path
-    del df
-    release(spark)
     return out
 
 

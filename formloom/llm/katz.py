@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialise, shuffle_width, table
+from .common import flat_bytes, materialise, release, shuffle_width, table
 from .minhash import word_hashes
 from .suffix_dedup import planes, runs, unplanes
 
@@ -167,6 +167,8 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
 
     words = materialise(blocks.select("block", "vocab", "counts").mapInArrow(ask, _schema(2)).groupBy("bucket").applyInArrow(number, _schema(3)), "katz-words", "zstd")
 
+    release(spark)
+
     def sums(t: DataFrame) -> list[int]:
         """Sums over the buckets' statistics, KATZ + 3 numbers a bucket, one row per bucket."""
         got = [np.frombuffer(r.p3, np.int64) for r in t.filter("kind = 2").select("p3").collect()]
@@ -208,6 +210,7 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
 
     grams = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(bigrams, _schema(3))
     grams = materialise(grams.groupBy("bucket").applyInArrow(count, _schema(4)), "katz-bigrams", "zstd")
+    release(spark)
     d = discounts(sums(grams)[2:])
 
     def requests(b: pa.Table, a: pa.Table) -> pa.Table:

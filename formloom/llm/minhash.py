@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, flat_bytes, materialise, mix64, shuffle_width, table
+from .common import discard, flat_bytes, materialise, mix64, release, shuffle_width, table
 from .graph import components
 
 PERMS, BANDS, B = 80, 20, 4
@@ -254,6 +254,7 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
 
     bucket = F.pmod(F.xxhash64("label", "low", "high"), F.lit(2 * width))
     links = materialise(paired.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(confirm, "a long, b long"), "links")
+    release(docs.sparkSession)
     found = components(links)
     discard(maybe)
     reps = classes.select("n", "k1", "k2", F.col("doc_id").alias("rep"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, flat_bytes, materialise, mix64, ranges, shuffle_width, table
+from .common import byte_rows, flat_bytes, materialise, mix64, ranges, release, shuffle_width, table
 
 K = 20  #: bytes of an anchor's k-gram
 CHUNK_BYTES, FLUSH_ANCHORS = 3_000_000, 1_500_000
@@ -270,9 +270,13 @@ def find_repeats(docs: DataFrame, buckets: int, min_bytes: int) -> DataFrame:
     usable = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= min_bytes))
     marked = usable.select("doc_id", "lpf_th", "text", F.octet_length("text").alias("n")).mapInArrow(mark, "bucket int, doc binary, th binary, seg binary, x binary, y binary, settled boolean")
     found = materialise(marked.groupBy("bucket").applyInArrow(meet, _FOUND), "lpf-found")
+    del marked
+    release(docs.sparkSession)
     cut = usable.select("doc_id", "lpf_th", "text", "lpf_db").groupBy("lpf_db").cogroup(found.filter("lpf_kind = 1").groupBy("lpf_db"))
     segments = cut.applyInArrow(fetch, "bucket int, doc binary, th binary, lo binary, size binary, bytes binary")
     edges = materialise(segments.groupBy("bucket").applyInArrow(sort_suffixes, _FOUND), "lpf-edges")
+    del segments, cut
+    release(docs.sparkSession)
     return found.filter("lpf_kind = 0").unionByName(edges)
 
 
