@@ -350,7 +350,7 @@ g2 AS (SELECT *, sum(CASE WHEN g > 3 * u THEN 1 ELSE 0 END) OVER (PARTITION BY d
   regexp_matches(trim(text), {_q('^' + P.BOX_TOKEN + '$')}) AS box FROM g1),
 g3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, "row", seg ORDER BY pos) AS k, lead(x) OVER (PARTITION BY doc_id, "row" ORDER BY pos) AS nx FROM g2),
 g4 AS (SELECT doc_id, page, "row", seg, any_value(u) AS u, min(CASE WHEN colon THEN k END) AS kc, bool_or(blank) AND NOT bool_and(blank) AS ub, bool_or(box) AND NOT bool_and(box) AS ux, bool_or(box) AS ab, count(*) AS n,
-  max(CASE WHEN k > 1 THEN g END) AS wide, arg_max(k, CASE WHEN k > 1 THEN g END) AS kw, max_by(nx, k) AS nx, bool_or(blank) AS anyb FROM g3 GROUP BY 1, 2, 3, 4),
+  max(CASE WHEN k > 1 THEN g END) AS wide, arg_max(k, CASE WHEN k > 1 THEN g END) AS kw, nullif(max_by(coalesce(nx, 1e18), k), 1e18) AS nx, bool_or(blank) AS anyb FROM g3 GROUP BY 1, 2, 3, 4),
 g5 AS (SELECT g3.*, CASE WHEN kc IS NOT NULL THEN k <= kc WHEN ub THEN NOT blank WHEN ux AND n > 1 THEN NOT box WHEN n > 1 AND NOT anyb AND NOT ab AND wide > 2.5 * g4.u THEN k < kw ELSE true END AS is_label,
   CASE WHEN kc IS NOT NULL THEN 'colon' WHEN ub THEN 'blank' WHEN ux AND n > 1 THEN 'box' ELSE '' END AS sep, ab, g4.nx AS next_x FROM g3 JOIN g4 USING (doc_id, page, "row", seg)),
 g6 AS (SELECT doc_id, page, "row", seg, any_value(u) AS u, string_agg(CASE WHEN is_label THEN text END, ' ' ORDER BY pos) AS label, coalesce(string_agg(CASE WHEN NOT is_label AND NOT blank THEN text END, ' ' ORDER BY pos), '') AS value,
