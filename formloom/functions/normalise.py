@@ -145,6 +145,9 @@ def title_case(label: Column) -> Column:
 def normalise_fields(fields, compose: bool = True):
     """Fields (label, original_label, question, type, value, options) normalised: raw_value kept, unread dates marked."""
     f = fields.withColumn("raw_value", F.col("value"))
+    if compose:
+        f = f.withColumns({c: composed(F.col(c)) for c in ("label", "original_label", "question", "value")})
+        compose = False
     keep = lambda c: F.coalesce(F.when(show_label(F.col(c), compose) != "", show_label(F.col(c), compose)), F.col(c))
     f = f.withColumns({"label": title_case(keep("label")), "original_label": keep("original_label"), "question": clean_text(F.col("question"), compose)})
     f = f.withColumn("options", F.filter(F.transform("options", lambda o: clean_text(o, False)), lambda o: o != ""))

@@ -42,12 +42,13 @@ def shelf_pack(fields: DataFrame, columns: int = COLUMNS) -> DataFrame:
     A fold over each layout's ordered list; a layout is one user's form, so the list is short."""
     item = F.struct("at", "field_id", F.greatest(F.lit(1), F.least("w", F.lit(columns))).alias("w"))
     lists = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<struct<field_id:string,w:int,x:int,y:int>>")
+    kind = "array<struct<field_id:string,w:int,x:int,y:int>>"
+    empty = F.array().cast(kind)
 
     def place(a: Column, i: Column) -> Column:
         wrap = a["x"] + i["w"] > columns
         x, y = F.when(wrap, F.lit(0)).otherwise(a["x"]), F.when(wrap, a["y"] + 1).otherwise(a["y"])
-        return F.struct((x + i["w"]).alias("x"), y.alias("y"), F.concat(a["out"], F.array(F.struct(i["field_id"], i["w"].cast("int"), x.alias("x"), y.alias("y")))).alias("out"))
+        return F.struct((x + i["w"]).alias("x"), y.alias("y"), F.concat(a["out"], F.array(F.struct(i["field_id"], i["w"].cast("int").alias("w"), x.alias("x"), y.alias("y"))).cast(kind)).alias("out"))
 
     folded = F.aggregate("items", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), empty.alias("out")), place, lambda a: a["out"])
     return lists.select("doc_id", F.inline(folded))
