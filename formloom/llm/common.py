@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -31,8 +32,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs, which it keeps until their handles are collected.
 
     Call it once nothing refers to the shuffled frames any more, that is after materialise() has returned."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round drops Python's handles in the JVM, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

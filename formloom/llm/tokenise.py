@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
 from .common import ranges
 
 #: Pieces kept per worker before the cache starts anew (about 200 bytes each).
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 
 _ODD_SPACE = re.compile(
-    rb"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+    rb"[ \n][ \n]|[\x01\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
+#: Punctuation after a Latin letter, up to a piece's end: both tokenisers cut there.
+_TAIL = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?#*$%&|)\]]+)\Z")
 _WORKER: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
@@ -43,25 +46,44 @@ class PieceEncoder:
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def store(self, pieces: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        first = len(self.codes)
+        while first + len(pieces) > len(self.starts):
+            self.starts, self.lens = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[first : first + len(pieces)] = self.used + np.concatenate(([0], np.cumsum(lens)[:-1]))
+        self.lens[first : first + len(pieces)] = lens
+        self.used += len(flat)
+        self.codes.update(zip(pieces, range(first, first + len(pieces))))
+
     def learn(self, pieces: list[bytes]) -> None:
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
+        """Put new pieces into the cache; one with punctuation at its end is made of its two parts."""
+        fresh: dict[bytes, None] = {}
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        mark = b"\x01" if self.spaced else b""
+        for p in pieces:
+            m = _TAIL.search(p)
+            if m is None:
+                fresh[p] = None
+            else:
+                core, tail = p[: m.start()], mark + p[m.start() :]
+                joined.append((p, core, tail))
+                fresh[core] = fresh[tail] = None
+        new = [p for p in fresh if p not in self.codes]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
             texts = [p.decode("utf-8", "replace") for p in part]
             if self.spaced:
-                texts = [t if t[:1] == "\n" else " " + t for t in texts]
+                texts = [t[1:] if t[:1] == "\x01" else t if t[:1] == "\n" else " " + t for t in texts]
             got = self.raw(texts)
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            first = len(self.codes)
-            while first + len(part) > len(self.starts):
-                self.starts, self.lens = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.starts[first : first + len(part)] = self.used + np.concatenate(([0], np.cumsum(lens)[:-1]))
-            self.lens[first : first + len(part)] = lens
-            self.used += len(flat)
-            self.codes.update(zip(part, range(first, first + len(part))))
+            self.store(part, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+        if joined:
+            halves = np.array([(self.codes[c], self.codes[t]) for _, c, t in joined], np.int64)
+            lens = self.lens[halves]
+            self.store([p for p, _, _ in joined], self.ids[ranges(self.starts[halves].ravel(), lens.ravel())], lens.sum(axis=1))
 
     def encode(self, rows: list[bytes]) -> list[np.ndarray]:
         """The ids of each text as a uint32 array."""
@@ -79,16 +101,17 @@ class PieceEncoder:
                 if _ODD_SPACE.search(row):
                     out[k] = np.array(self.raw([row[1:].decode("utf-8", "replace")])[0], np.uint32)
                     continue
-                got = row[0:].replace(b"\n", b" \n")[1:].split(b" ")
+                got = row.replace(b"\n", b" \n")[1:].split(b" ")
             else:
                 got = row.split()
             pieces += got
             counts.append(len(got))
             plain.append(k)
-        missing = [p for p in set(pieces) if p not in self.codes]
-        if missing:
-            self.learn(missing)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        codes = np.fromiter(map(self.codes.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            self.learn(list({pieces[k]: None for k in unknown}))
+            codes[unknown] = [self.codes[pieces[k]] for k in unknown]
         lens = self.lens[codes]
         flat = self.ids[ranges(self.starts[codes], lens)]
         ends = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))] if counts else []
