@@ -191,8 +191,10 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_wit
     """docs with q_text, q_meta, q_score (probabilities of good) and q_kept (q_score >= keep_at).
 
     Null text is empty; null source or language is a value of its own. Without labels of both classes every score is
-    0.5 and all are kept. All columns and rows pass through; an empty table gives no rows.
+    0.5 and all are kept. All rows and columns pass through (columns named q_* as here are replaced); an empty table
+    gives no rows.
     """
+    docs = docs.drop("q_text", "q_meta", "q_score", "q_kept")
     model = fit(docs, labels, **fit_with)
     names = docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + _SCORES

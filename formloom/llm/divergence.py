@@ -115,4 +115,4 @@ def judge(docs: DataFrame, languages: dict[str, list[str]] = COMMON_WORDS, max_c
 
 
 def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("char_distance", "word_distance")

@@ -7,11 +7,12 @@ from .divergence import op1_divergence_rules
 from .katz import op4_katz_backoff
 from .minhash import op8_bbit_minhash
 from .mixing import op9_flow_mixing
+from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import op3_cost_packing
 from .reply_trees import op5_reply_trees
 from .suffix_dedup import op10_lpf_dedup
 from .token_files import op6_bitpacked_ids
-from .topk_search import OP2_SQL, op2_nra_topk
+from .topk_search import op2_nra_topk
 
 QUERIES = {
     f.__name__: f
@@ -20,4 +21,3 @@ QUERIES = {
         op7_cotraining_quality, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_nra_topk": OP2_SQL}

@@ -285,9 +285,11 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
 
     The counts and the hash are of exact bytes; the returned text also drops the remains of a character cut in two.
     Null text is empty and comes back empty. Rows with a null doc_id neither match nor lose bytes. Rows of equal
-    doc_id do not match each other. Other columns, clashing names but for lpf_* included, pass through.
+    doc_id do not match each other. Other columns pass through, whatever their names; columns named as the new ones are
+    replaced.
     """
     buckets = shuffle_width(docs.sparkSession)
+    docs = docs.drop("lpf_th", "lpf_db", "lpf_bytes", "lpf_removed", "lpf_spans", "lpf_sha256")
     keyed = docs.withColumns({"lpf_th": F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")})
     keyed = keyed.withColumn("lpf_db", F.pmod(F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(buckets).cast("long")), F.lit(0)) + F.col("lpf_th"), F.lit(buckets)).cast("int"))
     spans = find_repeats(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "lpf_th", "text", "lpf_db"), buckets, min_bytes)
