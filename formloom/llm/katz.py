@@ -22,15 +22,30 @@ from pyspark.sql import functions as F
 
 from .common import flat_bytes, materialise, release, shuffle_width, table
 from .minhash import word_hashes
-from .suffix_dedup import planes, runs, unplanes
+from . import suffix_dedup
+from .suffix_dedup import runs
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 1_500_000
+#: The look-up of all tokens goes in this many rounds over the buckets, which divides what is exchanged at once.
+ROUNDS = 2
 KATZ = 5  #: counts above this are not discounted
 BOS = 0xFFFFFFFF
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes, after their size."""
+    raw = suffix_dedup.planes(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unplanes(column: pa.ChunkedArray | list, kind: str) -> np.ndarray:
+    """The integers of all cells of a column (or list) of planes()."""
+    cells = column if isinstance(column, list) else column.to_pylist()
+    return suffix_dedup.unplanes([pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd").to_pybytes() for b in cells if b], kind)
+
+
 def discounts(n: list[int]) -> list[float]:
     """d(1) .. d(KATZ) from the numbers of types seen 1 .. KATZ + 1 times.
 
@@ -123,7 +138,7 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
         for batch in batches:
             at, total = 0, np.cumsum(np.asarray(batch.column(2).fill_null(0), np.int64))
             while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 3_000_000)))
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK_BYTES)))
                 piece = batch.slice(at, end - at)
                 flat, starts, lens = flat_bytes(piece.column(1), 0)
                 flat = np.insert(flat, np.cumsum(lens), 10)
@@ -213,12 +228,16 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
     release(spark)
     d = discounts(sums(grams)[2:])
 
-    def requests(b: pa.Table, a: pa.Table) -> pa.Table:
+    def requests(b: pa.Table, a: pa.Table, turn: int) -> pa.Table:
         ids, flags, lens, w, c, h, doc = tokens(b, a)
         block = b["block"][0].as_py()
-        base = np.bincount(doc, weights=np.log10((c.astype(np.float64) + 1) / (total + types + 1)), minlength=len(lens))
-        known = np.bincount(doc, weights=c > 0, minlength=len(lens)).astype(np.int64)
-        out = [(block % buckets, block, 2, planes(ids), planes(flags), planes(lens.astype(np.int64)), planes(known), base.tobytes())]
+        out = []
+        if turn == 0:
+            base = np.bincount(doc, weights=np.log10((c.astype(np.float64) + 1) / (total + types + 1)), minlength=len(lens))
+            known = np.bincount(doc, weights=c > 0, minlength=len(lens)).astype(np.int64)
+            out.append((block % buckets, block, 2, planes(ids), planes(flags), planes(lens.astype(np.int64)), planes(known), base.tobytes()))
+        mine = h % np.uint32(buckets) % np.uint32(ROUNDS) == turn
+        w, c, h, doc = w[mine], c[mine], h[mine], doc[mine]
         order = np.argsort((h.astype(np.uint64) << _U(32)) | w)
         w, c, h, doc = w[order], c[order], h[order], doc[order].astype(np.uint32)
         home, out_of = h % np.uint32(buckets), (flags & 1)[doc]
@@ -226,11 +245,18 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
         first = runs((home * 2 + out_of)[by])
         for x, y in zip(first.tolist(), np.append(first[1:], len(by)).tolist()):
             m = by[x:y]
-            apart = h[m].copy()
-            apart[1:] -= h[m][:-1]  # histories are sorted; their steps compress
-            out.append((int(home[m[0]]), block, int(out_of[m[0]]), planes(apart), planes(w[m]), planes(doc[m]), planes(c[m]) if out_of[m[0]] else None, None))
+            steps = [x[m].copy() for x in (h, w)]  # both are sorted, the words within a history; their steps compress
+            for x in steps:
+                x[1:] = x[1:] - x[:-1]
+            out.append((int(home[m[0]]), block, int(out_of[m[0]]), planes(steps[0]), planes(steps[1]), planes(doc[m]), planes(c[m]) if out_of[m[0]] else None, None))
         return _rows(out, 5)
 
+    def request_turn(turn: int):
+        def run(b: pa.Table, a: pa.Table) -> pa.Table:
+            return requests(b, a, turn)
+
+        return run
+
     def look_up(q: pa.Table, t: pa.Table) -> pa.Table:
         key, c, cw = (unplanes(t[x], "<u8") for x in ("p1", "p2", "p4"))
         prob, history, alpha, _ = histories(key >> _U(32), c, uni.p(cw), d)
@@ -241,7 +267,8 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
                 out.append((0, block, 2, *p))
                 continue
             h = np.cumsum(unplanes(p[:1], "<u4"), dtype=np.uint32).astype(np.uint64)
-            want, doc = (h << _U(32)) | unplanes(p[1:2], "<u4"), unplanes(p[2:3], "<u4")
+            w = np.cumsum(unplanes(p[1:2], "<u4"), dtype=np.uint32)
+            want, doc = (h << _U(32)) | w, unplanes(p[2:3], "<u4")
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             seen = key[at] == want if len(key) else np.zeros(len(want), bool)
             got = np.zeros(len(want))
@@ -266,8 +293,13 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
                 got[unplanes([r[1]], "<u4")] += np.frombuffer(r[2])
         return pa.table({"doc_id": pa.array(ids, mask=flags >= 2), "held_out": (flags & 1) == 1, "n_tokens": lens, "n_known": known, "base_score": np.frombuffer(base), "score": got})
 
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(requests, _schema(5))
-    looked = asked.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(look_up, _schema(5))
+    looked = None
+    for turn in range(ROUNDS):
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(request_turn(turn), _schema(5))
+        part = materialise(asked.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(look_up, _schema(5)), "katz-parts", "zstd")
+        looked = part if looked is None else looked.unionByName(part)
+        del asked
+        release(spark)
     out = looked.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(total)).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
