@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -29,9 +29,10 @@ def value_like(text: Column) -> Column:
     return F.trim(text).rlike(P.VALUE_LIKE) & text.rlike(r"\p{Nd}")
 
 
-def median_height(h: Column) -> Column:
-    """Aggregate: the median of positive heights, 12 where there is none."""
-    return F.coalesce(F.median(F.when(h > 0, h.cast("double"))), F.lit(12.0))
+def median_height(h: Column, over: WindowSpec | None = None) -> Column:
+    """Aggregate (or over a window): the median of positive heights, 12 where there is none."""
+    median = F.median(F.when(h > 0, h.cast("double")))
+    return F.coalesce(median if over is None else median.over(over), F.lit(12.0))
 
 
 def union_box(x: Column, y: Column, w: Column, h: Column) -> list[Column]:

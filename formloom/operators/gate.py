@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -15,21 +16,24 @@ WEIGHTS = {
 ACCEPT, REJECT, MIDDLE = 0.55, 0.32, 0.45
 
 
-def signals(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, page_width: float = 600.0, page_area: float = 600.0 * 850.0) -> DataFrame:
+def signals(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, page_width: float = 600.0, page_area: float = 600.0 * 850.0, unit: float | None = None) -> DataFrame:
     """Per document the eight signals and token_count; tokens carry gap_after. pages (doc_id, page, width, height)
     and ruled lines (doc_id, page, ...) are optional: pages default to one of page_width and page_area.
 
-    Two aggregations on the same leading key: rows first, then documents; both combine before the shuffle."""
+    unit is the text height where all tokens share one, as in reflowed text: rows then combine before any shuffle.
+    Without it tokens are dealt by document once, and the page's median and both aggregations follow on that."""
     t = tokens.select("doc_id", "page", "row", "text", "x", "w", "h", "gap_after")
     if pages is not None:
         t = t.join(pages.select("doc_id", "page", F.col("width").cast("double")), ["doc_id", "page"])
     else:
         t = t.withColumn("width", F.lit(page_width))
-    # every page's unit is the median height of its tokens
-    mh = t.groupBy("doc_id", "page").agg(G.median_height(F.col("h")).alias("mh"))
+    if unit is None:
+        t = t.repartition("doc_id").withColumn("mh", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
+    else:
+        t = t.withColumn("mh", F.lit(float(unit)))
     text = F.col("text")
     one = lambda c: F.count_if(c)
-    rows = t.join(mh, ["doc_id", "page"]).groupBy("doc_id", "page", "row").agg(
+    rows = t.groupBy("doc_id", "page", "row").agg(
         F.count("*").alias("n"), one(G.colon_ended(text)).alias("sep"), one(G.blank_line(text)).alias("blank"), one(G.has_box(text)).alias("box"),
         one(F.col("gap_after") > 4 * F.col("mh")).alias("gaps"), (F.first("width") - F.max_by(F.col("x") + F.col("w"), "x")).alias("rest"), F.first("width").alias("width"),
     )

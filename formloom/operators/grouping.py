@@ -322,13 +322,15 @@ def row_clusters(tokens: DataFrame) -> DataFrame:
 
 def baseline(tokens: DataFrame, width: float = 600.0) -> DataFrame:
     """The deterministic grouping of left-to-right rows without ruled lines: doc_id, page, row, seg, label, value,
-    separator, has_box, grouping_score. Tokens carry row and gap_after."""
-    unit = tokens.groupBy("doc_id", "page").agg(G.median_height(F.col("h")).alias("u"))
+    separator, has_box, grouping_score, and y and h of the label. Tokens carry row and gap_after.
+
+    Tokens are dealt by document once; the windows and the aggregation all follow on that."""
     order = W.partitionBy("doc_id", "page", "row").orderBy("x", "pos")
-    t = tokens.join(unit, ["doc_id", "page"]).withColumns({"cut": (F.lag("gap_after").over(order) > 3 * F.col("u")).cast("int"), "gap_before": F.lag("gap_after").over(order)})
+    t = tokens.repartition("doc_id").withColumn("u", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
+    t = t.withColumns({"cut": (F.lag("gap_after").over(order) > 3 * F.col("u")).cast("int"), "gap_before": F.lag("gap_after").over(order)})
     t = t.withColumn("seg", F.sum(F.coalesce("cut", F.lit(0))).over(order))
     text = F.col("text")
-    tok = F.struct("x", "pos", "text", (F.col("x") + F.col("w")).alias("r"), F.col("gap_before").alias("g"), G.colon_ended(text).alias("colon"), G.blank_line(text).alias("blank"), G.box_glyph(text).alias("box"), G.has_box(text).alias("some_box"))
+    tok = F.struct("x", "pos", "text", (F.col("x") + F.col("w")).alias("r"), F.col("gap_before").alias("g"), G.colon_ended(text).alias("colon"), G.blank_line(text).alias("blank"), G.box_glyph(text).alias("box"), G.has_box(text).alias("some_box"), "y", "h")
     s = t.groupBy("doc_id", "page", "row", "seg").agg(F.array_sort(F.collect_list(tok)).alias("t"), F.first("u").alias("u"))
     n = F.size("t")
     inner = F.transform(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda x: x["g"])
@@ -352,7 +354,7 @@ def baseline(tokens: DataFrame, width: float = 600.0) -> DataFrame:
     inner_label = F.array_max(F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda x: x["g"]))
     bonus = lambda c, v: F.when(c, v).otherwise(F.lit(0.0))
     score = 0.55 + bonus(~no_sep, 0.25) + bonus(F.col("has_box"), 0.1) + bonus(no_value & (F.col("room") >= 3 * F.col("u")), 0.1) - bonus(no_value & no_sep & (F.col("room") < 3 * F.col("u")) & ~F.col("has_box"), 0.35) - bonus(F.coalesce(inner_label, F.lit(0.0)) > 3 * F.col("u"), 0.2) - bonus(F.size("l") > MAX_LABEL, 0.15)
-    return s.select("doc_id", "page", "row", F.col("seg").cast("int").alias("seg"), joined("l").alias("label"), joined(F.filter("v", lambda x: ~x["blank"])).alias("value"), "separator", "has_box", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("grouping_score"))
+    return s.select("doc_id", "page", "row", F.col("seg").cast("int").alias("seg"), joined("l").alias("label"), joined(F.filter("v", lambda x: ~x["blank"])).alias("value"), "separator", "has_box", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("grouping_score"), F.array_min(F.transform("l", lambda x: x["y"])).alias("y"), F.array_max(F.transform("l", lambda x: x["h"])).alias("label_h"))
 
 
 def label_columns(starts: Column, unit: float = 12.0) -> Column:

@@ -138,9 +138,12 @@ _SIGNALS = list(gate.WEIGHTS)
 
 
 def _all_signals(spark, d):
-    t = tokens.reflow(_t(spark, d, "documents"))
     f = all_tokens(spark, d).withColumn("doc_id", F.col("doc_id") + 20_000_000_000)
-    return gate.signals(t.unionByName(f))
+    return _doc_signals(spark, d).unionByName(gate.signals(f))
+
+
+def _doc_signals(spark, d):
+    return gate.signals(tokens.reflow(_t(spark, d, "documents")), unit=12.0)  # reflowed text is 12 high throughout
 
 
 @query(f"WITH {_ALL_SQL}, {_signals_sql('every')} SELECT doc_id, {', '.join(f'round({k}::DOUBLE, 6) AS {k}' for k in _SIGNALS)}, token_count FROM sg")
@@ -159,7 +162,7 @@ def q13_gate_decision(spark, d):
 
 
 def _doc_gate(spark, d):
-    return gate.decide(gate.signals(tokens.reflow(_t(spark, d, "documents"))).withColumn("score", gate.score()))
+    return gate.decide(_doc_signals(spark, d).withColumn("score", gate.score()))
 
 
 @query(f"WITH {TOK_SQL}, {_signals_sql('tok')} SELECT lang, count(*) AS n, count(*) FILTER (is_form) AS forms, round(avg(score)::DOUBLE, 6) AS mean_score FROM gt JOIN documents USING (doc_id) GROUP BY 1")
@@ -363,7 +366,7 @@ bs AS (SELECT *, round(greatest(0.0, least(1.0, 0.55 + CASE WHEN separator <> ''
 
 @query(f'WITH {FORM_SQL}, {_BASE_SQL} SELECT doc_id, page, "row", seg, label, value, separator, has_box, grouping_score FROM bs')
 def q28_grouping_baseline(spark, d):
-    return grouping.baseline(all_tokens(spark, d))
+    return grouping.baseline(all_tokens(spark, d)).drop("y", "label_h")
 
 
 def _ordered_tokens(spark, d, kind="customer"):
@@ -377,11 +380,9 @@ def q29_grouping_search(spark, d):
 
 def _candidates(spark, d):
     """Baseline candidates of all forms with their exact template, as the pruning features need them."""
-    t = all_tokens(spark, d)
-    b = grouping.baseline(t)
-    rows = t.groupBy("doc_id", "row").agg(F.min("y").alias("y"), F.max("h").alias("label_h"))
+    b = grouping.baseline(all_tokens(spark, d))
     index = templates.alias_index(templates.catalogue(spark)).select("alias", F.col("key").alias("template_key"))
-    c = b.join(rows, ["doc_id", "row"]).withColumn("alias", N.match_label(F.col("label"), False)).join(index, "alias", "left")
+    c = b.withColumn("alias", N.match_label(F.col("label"), False)).join(index, "alias", "left")
     return c.select(
         "doc_id", "page", F.format_string("p%d_c%02d%02d", "page", "row", "seg").alias("candidate_id"), "row", "seg", "label", "value", "y", F.lit(850.0).alias("page_height"), F.when(F.col("template_key").isNull(), 0.0).otherwise(1.0).alias("strength"),
         "template_key", (F.col("separator") != "").alias("has_separator"), "has_box", "separator", "grouping_score", F.lit(0.0).alias("region_w"), F.lit(False).alias("prose_row"), "label_h", F.lit(1.0).alias("label_confidence"), F.lit(12.0).alias("mh"),
