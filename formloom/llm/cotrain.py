@@ -158,7 +158,7 @@ class CoTrained:
 _SCORES = "q_text double, q_meta double, q_score double"
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_pool: int = 6000, seed: int = 11) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 4000, seed: int = 11) -> CoTrained | None:
     """Train on labels(doc_id, good boolean) of docs(doc_id, text, source, lang). Repeated labels: the least counts."""
     draw = F.xxhash64("doc_id", F.lit(seed))
     marked = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y"))
@@ -179,12 +179,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_pool
 
     # at most max_labelled + max_pool ids, so the broadcast is bounded
     rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
-    got = materialise(rows.mapInArrow(extract, "doc_id long, y int, shape array<double>, layout array<double>, words array<int>, source string, lang string"), "sample-features").toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    if not len(got):
+    got = materialise(rows.mapInArrow(extract, "doc_id long, y int, shape array<double>, layout array<double>, words array<int>, source string, lang string"), "sample-features").toArrow()
+    order = np.unique(np.asarray(got["doc_id"], np.int64), return_index=True)[1]  # ascending, each document once
+    if not len(order):
         return None
-    lens = np.array([len(w) for w in got.words])
-    return CoTrained.fit(np.stack(list(got["shape"])), np.stack(list(got.layout)), np.repeat(np.arange(len(got)), lens), np.concatenate(list(got.words)).astype(np.int64), meta_columns(got.source.tolist(), got.lang.tolist()), got.y.to_numpy())
+    got = got.take(order).combine_chunks()
+    flat = lambda c, kind: np.asarray(got[c].combine_chunks().flatten(), kind)
+    lens = np.asarray(got["words"].combine_chunks().value_lengths(), np.int64)
+    shape, layout = flat("shape", np.float64).reshape(len(order), -1), flat("layout", np.float64).reshape(len(order), -1)
+    meta = meta_columns(got["source"].to_pylist(), got["lang"].to_pylist())
+    return CoTrained.fit(shape, layout, np.repeat(np.arange(len(order)), lens), flat("words", np.int64), meta, np.asarray(got["y"], np.int64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_with) -> DataFrame:
