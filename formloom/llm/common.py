@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,19 @@ def flat_bytes(column: pa.Array, gap: int = 0) -> tuple[np.ndarray, np.ndarray,
     return flat, starts.astype(np.int64), lens
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
+    """Parts of a batch whose texts in a column have about `limit` bytes at most (one row at least)."""
+    texts = batch.column(column)
+    if not batch.num_rows:
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i]+lens[i]-1 of every i, one after the other."""
     lens = lens.astype(np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialise, table
+from .common import flat_bytes, materialise, slices, table
 from .minhash import word_hashes
 
 WORD_BITS, WORDS = 20, 300
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool:
     chosen = materialise(known.select("doc_id", "y").union(pool).dropDuplicates(["doc_id"]), "sample")
 
     def extract(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             shape, layout, word_doc, words = shape_features(batch.column(2))
             cut = np.searchsorted(word_doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
@@ -206,8 +206,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_wit
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, text_at):
                 if model is None:
                     scores = [np.full(batch.num_rows, 0.5)] * 3
                 else:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import byte_rows, flat_bytes, materialise, mix64, ranges, release, shuffle_width, table
 
 K = 20  #: bytes of an anchor's k-gram
-CHUNK_BYTES, FLUSH_ANCHORS = 3_000_000, 1_500_000
+CHUNK_BYTES, FLUSH_ANCHORS = 2_000_000, 800_000
 _FOUND = "lpf_db int, lpf_kind int, lpf_doc binary, lpf_th binary, lpf_x binary, lpf_y binary"
 _U = np.uint64
 
