@@ -79,7 +79,10 @@ class Logistic:
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 3.0, steps: int = 12) -> "Logistic":
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
-        z = np.column_stack(((x - self.mean) / self.scale, np.ones(len(x))))
+        z = np.empty((len(x), x.shape[1] + 1))
+        np.subtract(x, self.mean, out=z[:, :-1])
+        z[:, :-1] /= self.scale
+        z[:, -1] = 1
         weight = np.ones(len(x)) if weight is None else weight
         self.w = np.zeros(z.shape[1])
         reg = np.full(z.shape[1], ridge)
@@ -144,7 +147,7 @@ class CoTrained:
         out = np.zeros((len(shape), len(self.words)), np.float32)
         col = self.at[words]
         out[word_doc[col >= 0], col[col >= 0]] = 1
-        return np.column_stack((shape, shape**2, out))
+        return np.column_stack((shape, shape**2, out)).astype(np.float32)
 
     def views(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.column_stack((self.cal_a.logit(self.a.logit(a)[:, None]), self.cal_b.logit(self.b.logit(b)[:, None])))
@@ -158,7 +161,7 @@ class CoTrained:
 _SCORES = "q_text double, q_meta double, q_score double"
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 4000, seed: int = 11) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, max_pool: int = 1500, seed: int = 11) -> CoTrained | None:
     """Train on labels(doc_id, good boolean) of docs(doc_id, text, source, lang). Repeated labels: the least counts."""
     draw = F.xxhash64("doc_id", F.lit(seed))
     marked = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y"))
