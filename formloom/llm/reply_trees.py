@@ -46,11 +46,10 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     rounds, most = 0, max(1, paths.count()).bit_length() + 1
     while rounds < most and not paths.filter("top is not null").isEmpty():
         up = paths.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("top").alias("up_top"), F.col("path").alias("up_path"), F.col("score").alias("up_score"))
-        joined = paths.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")), "left")
-        paths = materialise(
-            joined.select("tree", "node", F.col("up_top").alias("top"), F.when(F.col("n").isNull(), F.col("path")).otherwise(F.concat("up_path", "path")).alias("path"), (F.col("score") + F.coalesce("up_score", F.lit(0.0))).alias("score")),
-            "paths",
-        )
+        # nodes that have reached their root stay as they are; only the others meet their ancestors
+        joined = paths.filter("top is not null").join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")))
+        longer = joined.select("tree", "node", F.col("up_top").alias("top"), F.concat("up_path", "path").alias("path"), (F.col("score") + F.col("up_score")).alias("score"))
+        paths = materialise(paths.filter("top is null").unionByName(longer), "paths")
         rounds += 1
     return paths.filter("top is null").join(leaves, F.col("tree").eqNullSafe(F.col("lt")) & (F.col("node") == F.col("leaf")), "left_semi").select("tree", F.col("node").alias("leaf"), "path", F.col("score").alias("path_score"))
 
