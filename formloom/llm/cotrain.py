@@ -5,8 +5,10 @@ the source, language, length and line layout. Each view's logistic regression la
 sure of for the other view, over rounds; both are then calibrated (Platt scaling) and combined on labelled
 documents that neither was trained on.
 
-Fitting takes a bounded, seeded sample: at most max_labelled labelled and max_pool unlabelled documents, by hash order
-of doc_id. Everything else (features, scores) covers every document and runs where the documents are.
+The regressions are fitted on a bounded, seeded sample of labelled documents: at most max_labelled, by hash order of
+doc_id. The words of the text view are counted over all labelled documents, and each round scores all unlabelled
+documents and takes the surest of them; only those and the sample are gathered. Features and scores run where the
+documents are.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialise, slices, table
+from .common import discard, flat_bytes, materialise, slices, table
 from .minhash import word_hashes
 
 WORD_BITS, WORDS = 20, 300
 SHAPE = ["symbols", "capitals", "digits", "spaces", "beyond_ascii", "word_length", "distinct_words", "same_as_last", "repeated_lines", "punctuation"]
 LAYOUT = ["log_chars", "log_lines", "line_length", "short_lines"]
 META_BITS = 6
+#: Word numbers are stored as their low 16 bits in ascending order, and how many have each value of the high bits.
+HIGH = 1 << (WORD_BITS - 16)
 
 
 def shape_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,17 +67,43 @@ def shape_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.minimum(text, 10), layout, pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1)
 
 
-def meta_columns(source: list, lang: list) -> np.ndarray:
-    """Hashed one-hot columns of source and language (null is a value of its own)."""
+def meta_codes(source: list, lang: list) -> np.ndarray:
+    """Hashes of source and language (null is a value of its own)."""
     import zlib
 
-    out = np.zeros((len(source), 2 << META_BITS))
-    for k, (s, g) in enumerate(zip(source, lang)):
-        out[k, zlib.crc32(repr(s).encode()) % (1 << META_BITS)] = 1
-        out[k, (1 << META_BITS) + zlib.crc32(repr(g).encode()) % (1 << META_BITS)] = 1
+    return np.array([[zlib.crc32(repr(v).encode()) % (1 << META_BITS) for v in pair] for pair in zip(source, lang)], np.int64).reshape(-1, 2)
+
+
+def meta_columns(codes: np.ndarray) -> np.ndarray:
+    """One-hot columns of meta_codes."""
+    out = np.zeros((len(codes), 2 << META_BITS), np.float32)
+    out[np.arange(len(codes)), codes[:, 0]] = 1
+    out[np.arange(len(codes)), (1 << META_BITS) + codes[:, 1]] = 1
     return out
 
 
+def binaries(data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Binary values of lens bytes each, one after the other in data."""
+    ends = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def joined_bytes(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def packed_words(word_doc: np.ndarray, words: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """The (document, word number) pairs of shape_features as columns low and high."""
+    high = np.bincount(word_doc * HIGH + (words >> 16), minlength=n * HIGH).astype(np.uint32)
+    return binaries((words & 0xFFFF).astype(np.uint16), 2 * np.bincount(word_doc, minlength=n)), binaries(high, np.full(n, 4 * HIGH))
+
+
+def unpacked_words(low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    counts = joined_bytes(high, np.uint32).astype(np.int64)
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at // HIGH, (at % HIGH << 16) | joined_bytes(low, np.uint16)
+
+
 class Logistic:
     """L2-regularised logistic regression on standardised columns, by Newton steps."""
 
@@ -101,59 +131,58 @@ class Logistic:
         return np.clip(((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1], -30, 30)
 
 
+def text_columns(shape: np.ndarray, presence: np.ndarray) -> np.ndarray:
+    return np.column_stack((shape, shape**2, presence)).astype(np.float32)
+
+
 class CoTrained:
     """Both views' models, their calibration and the words the text view looks at."""
 
-    @staticmethod
-    def fit(shape, layout, word_doc, words, meta, y, rounds: int = 3, sure: float = 0.97) -> "CoTrained | None":
-        """y: 1, 0, or -1 for pool rows. None where a class is missing."""
-        known = np.flatnonzero(y >= 0)
-        held = known[np.arange(len(known)) % 4 == 0]
-        train = np.setdiff1d(known, held)
-        if len(np.unique(y[train])) < 2 or len(np.unique(y[held])) < 2:
-            return None
-        self = CoTrained()
-        role = np.full(len(y), -1)
-        role[train] = y[train]
-        n1, n0 = (role == 1).sum(), (role == 0).sum()
-        df1 = np.bincount(words[role[word_doc] == 1], minlength=1 << WORD_BITS)
-        df0 = np.bincount(words[role[word_doc] == 0], minlength=1 << WORD_BITS)
-        p = (df1 + df0) / (n1 + n0)
-        gain = np.where(df1 + df0 >= 8, (df1 / n1 - df0 / n0) ** 2 / np.maximum(p * (1 - p), 1e-9), 0)
-        self.words = np.sort(np.argsort(-gain, kind="stable")[:WORDS])
+    def __init__(self, words: np.ndarray):
+        self.words = np.sort(words)
         self.at = np.full(1 << WORD_BITS, -1, np.int16)
         self.at[self.words] = np.arange(len(self.words))
-        a, b = self.text_columns(shape, word_doc, words), np.column_stack((layout, meta))
-        pool, rows = np.flatnonzero(y < 0), {"a": [train], "b": [train]}
-        labels = {"a": [y[train]], "b": [y[train]]}
+
+    def fit(self, a, b, y, held, surest, rounds: int = 3) -> "CoTrained | None":
+        """Views a and b of labelled rows, y 1 or 0, held for calibration. None where a class is missing.
+
+        surest(model, n, gone) gives (doc_id, a, b, label of view a) of the unlabelled documents view a is surest of,
+        n at most, and the same by view b without those; none of either in gone."""
+        train = ~held
+        if len(np.unique(y[train])) < 2 or len(np.unique(y[held])) < 2:
+            return None
+        each, self.picked = max(1, int(train.sum()) // 10), []
+        xa, ya, xb, yb = [a[train]], [y[train]], [b[train]], [y[train]]
         for turn in range(rounds + 1):
-            self.a = Logistic().fit(a[np.concatenate(rows["a"])], np.concatenate(labels["a"]))
-            self.b = Logistic().fit(b[np.concatenate(rows["b"])], np.concatenate(labels["b"]))
-            if turn == rounds or not len(pool):
+            self.a = Logistic().fit(np.concatenate(xa), np.concatenate(ya))
+            self.b = Logistic().fit(np.concatenate(xb), np.concatenate(yb))
+            if turn == rounds:
+                break
+            gone = np.array([k for ids in self.picked for k in ids], np.int64)
+            by_a, by_b = surest(self, each, gone)
+            self.picked += [by_a[0].tolist(), by_b[0].tolist()]
+            xb.append(by_a[2])
+            yb.append(by_a[3])
+            xa.append(by_b[1])
+            ya.append(by_b[3])
+            if not len(by_a[0]) + len(by_b[0]):
                 break
-            for mine, x, other in ((self.a, a, "b"), (self.b, b, "a")):
-                prob = 1 / (1 + np.exp(-mine.logit(x[pool])))
-                pick = np.flatnonzero((prob >= sure) | (prob <= 1 - sure))
-                pick = pick[np.argsort(-np.abs(prob[pick] - 0.5), kind="stable")[: max(1, len(train) // 10)]]
-                rows[other].append(pool[pick])
-                labels[other].append((prob[pick] > 0.5).astype(y.dtype))
-                pool = np.delete(pool, pick)
         self.cal_a = Logistic().fit(self.a.logit(a[held])[:, None], y[held], ridge=0.1)
         self.cal_b = Logistic().fit(self.b.logit(b[held])[:, None], y[held], ridge=0.1)
         self.both = Logistic().fit(self.views(a[held], b[held]), y[held], ridge=0.1)
         return self
 
-    def text_columns(self, shape, word_doc, words) -> np.ndarray:
-        out = np.zeros((len(shape), len(self.words)), np.float32)
+    def presence(self, word_doc, words, n: int) -> np.ndarray:
+        out = np.zeros((n, len(self.words)), np.uint8)
         col = self.at[words]
         out[word_doc[col >= 0], col[col >= 0]] = 1
-        return np.column_stack((shape, shape**2, out)).astype(np.float32)
+        return out
 
     def views(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.column_stack((self.cal_a.logit(self.a.logit(a)[:, None]), self.cal_b.logit(self.b.logit(b)[:, None])))
 
     def score(self, shape, layout, word_doc, words, meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = self.views(self.text_columns(shape, word_doc, words), np.column_stack((layout, meta)))
+        v = self.views(text_columns(shape, self.presence(word_doc, words, len(shape))), np.column_stack((layout, meta)))
         p = lambda z: 1 / (1 + np.exp(-z))
         return p(v[:, 0]), p(v[:, 1]), p(self.both.logit(v))
 
@@ -161,37 +190,119 @@ class CoTrained:
 _SCORES = "q_text double, q_meta double, q_score double"
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, max_pool: int = 1500, seed: int = 11) -> CoTrained | None:
-    """Train on labels(doc_id, good boolean) of docs(doc_id, text, source, lang). Repeated labels: the least counts."""
-    draw = F.xxhash64("doc_id", F.lit(seed))
-    marked = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y"))
-    ids = docs.filter("doc_id is not null").select("doc_id")
-    known = ids.join(marked, "doc_id").orderBy(draw, "doc_id").limit(max_labelled)
-    pool = ids.join(marked, "doc_id", "left_anti").orderBy(draw, "doc_id").limit(max_pool).select("doc_id", F.lit(-1).alias("y"))
-    chosen = materialise(known.select("doc_id", "y").union(pool).dropDuplicates(["doc_id"]), "sample")
+_FEATURES = "doc_id long, shape binary, layout binary, meta binary, low binary, high binary"
+_ROWS = "doc_id long, y int, held boolean, draw long, shape binary, layout binary, meta binary, bits binary"
+_SURE = _ROWS + ", view string, label int, sure double"
+
+
+def matrices(rows: pa.Table | pa.RecordBatch, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of both views of _ROWS."""
+    part = lambda c, kind, width: joined_bytes(rows.column(c), kind).reshape(rows.num_rows, width)
+    presence = np.unpackbits(part("bits", np.uint8, (n_words + 7) // 8), axis=1, count=n_words)
+    meta = meta_columns(part("meta", np.uint8, 2).astype(np.int64))
+    return text_columns(part("shape", np.float32, len(SHAPE)), presence), np.column_stack((part("layout", np.float32, len(LAYOUT)), meta))
+
+
+def once(rows: pa.Table) -> pa.Table:
+    """Rows by ascending doc_id, each document once."""
+    return rows.take(np.unique(np.asarray(rows["doc_id"], np.int64), return_index=True)[1]).combine_chunks()
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """_FEATURES of every document with an id: what both views can look at, in few bytes."""
 
     def extract(batches):
-        for batch in (part for whole in batches for part in slices(whole, 2)):
-            shape, layout, word_doc, words = shape_features(batch.column(2))
-            cut = np.searchsorted(word_doc, np.arange(batch.num_rows + 1))
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            shape, layout, word_doc, words = shape_features(batch.column(1))
+            n = batch.num_rows
+            fixed = lambda x: binaries(x, np.full(n, x.shape[1] * x.itemsize))
+            codes = meta_codes(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(shape), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())),
-                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(words, pa.int32())), batch.column(3), batch.column(4)],
-                names=["doc_id", "y", "shape", "layout", "words", "source", "lang"],
+                [batch.column(0), fixed(shape.astype(np.float32)), fixed(layout.astype(np.float32)), fixed(codes.astype(np.uint8)), *packed_words(word_doc, words, n)],
+                names=["doc_id", "shape", "layout", "meta", "low", "high"],
             )
 
-    # at most max_labelled + max_pool ids, so the broadcast is bounded
-    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
-    got = materialise(rows.mapInArrow(extract, "doc_id long, y int, shape array<double>, layout array<double>, words array<int>, source string, lang string"), "sample-features").toArrow()
-    order = np.unique(np.asarray(got["doc_id"], np.int64), return_index=True)[1]  # ascending, each document once
-    if not len(order):
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
+    return rows.mapInArrow(extract, _FEATURES)
+
+
+def telling_words(rows: DataFrame, n0: int, n1: int) -> np.ndarray:
+    """The words whose share of documents differs most between the classes, over all labelled rows given."""
+
+    def count(batches):
+        seen = np.zeros((2, 1 << WORD_BITS), np.int32)
+        for batch in batches:
+            doc, words = unpacked_words(batch.column(1), batch.column(2))
+            y = np.asarray(batch.column(0))[doc]
+            for k in (0, 1):
+                seen[k] += np.bincount(words[y == k], minlength=1 << WORD_BITS).astype(np.int32)
+        word = np.flatnonzero(seen.any(axis=0))
+        for k in range(0, len(word), 10_000):
+            w = word[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(seen[0, w].astype(np.int64)), pa.array(seen[1, w].astype(np.int64))], names=["word", "df0", "df1"])
+
+    by_word = rows.select("y", "low", "high").mapInArrow(count, "word int, df0 long, df1 long").groupBy("word").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).filter("df0 + df1 >= 8")
+    p = (F.col("df0") + F.col("df1")) / F.lit(float(n0 + n1))
+    gap = F.col("df1") / F.lit(float(n1)) - F.col("df0") / F.lit(float(n0))
+    best = by_word.select("word", (gap * gap / F.greatest(p * (1 - p), F.lit(1e-9))).alias("gain")).orderBy(F.desc("gain"), "word").limit(WORDS)
+    return np.array([r.word for r in best.collect()], np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, seed: int = 11, rounds: int = 3, sure: float = 0.97) -> CoTrained | None:
+    """Train on labels(doc_id, good boolean) of docs(doc_id, text, source, lang). Repeated labels: the least counts."""
+    marked = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y"))
+    # merge: labels grow with the documents, so the plan is the same at every size
+    every = features(docs).join(marked.hint("merge"), "doc_id", "left")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0
+    every = materialise(every.withColumns({"held": held, "draw": F.xxhash64("doc_id", F.lit(seed))}), "features")
+    sizes = {(r.y, r.held): r.n for r in every.filter("y is not null").groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 4:  # a class is missing in either part
+        discard(every)
         return None
-    got = got.take(order).combine_chunks()
-    flat = lambda c, kind: np.asarray(got[c].combine_chunks().flatten(), kind)
-    lens = np.asarray(got["words"].combine_chunks().value_lengths(), np.int64)
-    shape, layout = flat("shape", np.float64).reshape(len(order), -1), flat("layout", np.float64).reshape(len(order), -1)
-    meta = meta_columns(got["source"].to_pylist(), got["lang"].to_pylist())
-    return CoTrained.fit(shape, layout, np.repeat(np.arange(len(order)), lens), flat("words", np.int64), meta, np.asarray(got["y"], np.int64))
+    model = CoTrained(telling_words(every.filter("y is not null and not held"), sizes[0, False], sizes[1, False]))
+
+    def narrow(batches):
+        for batch in batches:
+            bits = np.packbits(model.presence(*unpacked_words(batch.column(7), batch.column(8)), batch.num_rows), axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], binaries(bits, np.full(batch.num_rows, bits.shape[1]))], names=[*(x.split()[0] for x in _ROWS.split(", "))])
+
+    fixed = ["doc_id", "y", "held", "draw", "shape", "layout", "meta"]
+    rows = materialise(every.select(*fixed, "low", "high").mapInArrow(narrow, _ROWS), "views")
+    discard(every)
+    known, n = rows.filter("y is not null"), sum(sizes.values())
+    if n > 2 * max_labelled:  # draws are even: a part of their range that surely has enough, so that one task does not sort all
+        known = known.filter(F.col("draw") < int(-(2**63) + 2**64 * (1.2 * max_labelled + 100) / n))
+    got = once(known.orderBy("draw", "doc_id").limit(max_labelled).toArrow())
+    a, b = matrices(got, len(model.words))
+    pool = rows.filter("y is null")
+
+    def surest(at: CoTrained, each: int, gone: np.ndarray):
+        def score(batches):
+            best: dict[str, pa.RecordBatch] = {}
+            for batch in batches:
+                batch = batch.filter(pa.array(~np.isin(np.asarray(batch.column(0), np.int64), gone)))
+                if not batch.num_rows:
+                    continue
+                xa, xb = matrices(batch, len(at.words))
+                for view, take, z in (("a", each, at.a.logit(xa)), ("b", 2 * each, at.b.logit(xb))):
+                    mine = pa.RecordBatch.from_arrays([*batch.columns, pa.array([view] * len(z)), pa.array((z > 0).astype(np.int32)), pa.array(np.round(np.abs(z), 6))], names=[*batch.schema.names, "view", "label", "sure"])
+                    mine = mine.filter(pa.array(1 / (1 + np.exp(-np.abs(z))) >= sure))
+                    both = pa.Table.from_batches([x for x in (best.get(view), mine) if x is not None])
+                    order = np.lexsort((np.asarray(both["doc_id"]), np.asarray(both["draw"]), -np.asarray(both["sure"])))[:take]
+                    best[view] = (both.take(order).combine_chunks().to_batches() or [mine])[0]
+            yield from best.values()
+
+        found = materialise(pool.mapInArrow(score, _SURE), "surest")
+        top = lambda view, n: found.filter(F.col("view") == view).orderBy(F.desc("sure"), "draw", "doc_id").limit(n).toArrow()
+        by_a = once(top("a", each))
+        by_b = top("b", 2 * each)
+        by_b = once(by_b.filter(pa.array(~np.isin(np.asarray(by_b["doc_id"], np.int64), np.asarray(by_a["doc_id"], np.int64)))).slice(0, each))
+        discard(found)
+        return [(np.asarray(t["doc_id"], np.int64), *matrices(t, len(at.words)), np.asarray(t["label"], np.int64)) for t in (by_a, by_b)]
+
+    out = model.fit(a, b, np.asarray(got["y"], np.int64), np.asarray(got["held"]).astype(bool), surest, rounds)
+    discard(rows)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_with) -> DataFrame:
@@ -214,7 +325,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_wit
                     scores = [np.full(batch.num_rows, 0.5)] * 3
                 else:
                     text = batch.column(text_at).fill_null("")
-                    scores = model.score(*shape_features(text), meta_columns(*([None if v is None else str(v) for v in batch.column(c).to_pylist()] for c in (source_at, lang_at))))
+                    scores = model.score(*shape_features(text), meta_columns(meta_codes(*([None if v is None else str(v) for v in batch.column(c).to_pylist()] for c in (source_at, lang_at)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=[*names, "q_text", "q_meta", "q_score"])
 
     out = docs.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,39 @@ def test_cotraining_without_labels(docs, labels):
     assert cotrain.classify(docs.limit(0), cotrain.good_labels(labels)).count() == 0
 
 
+def test_cotraining_takes_pseudo_labels_from_all_unlabelled(spark, monkeypatch):
+    """2,400 unlabelled documents: each round's choice is the surest of all of them, and words count all labelled ones."""
+    data = [(i, *rows()[i % 160][1:]) for i in range(2600)]
+    docs = spark.createDataFrame([r[:5] for r in data], SCHEMA).repartition(5)
+    labels = spark.createDataFrame([(r[0], r[5] == 1) for r in data[:200]], "doc_id long, good boolean")
+    asked, counted, count = [], [], cotrain.telling_words
+    monkeypatch.setattr(cotrain, "telling_words", lambda known, n0, n1: counted.append((known.count(), n0 + n1)) or count(known, n0, n1))
+    fitted = cotrain.CoTrained.fit
+
+    def fit(self, a, b, y, held, surest, rounds=3):
+        def spied(at, each, gone):
+            got = surest(at, each, gone)
+            asked.append((at.a, at.b, each, set(gone.tolist()), got))
+            return got
+
+        return fitted(self, a, b, y, held, spied, rounds)
+
+    monkeypatch.setattr(cotrain.CoTrained, "fit", fit)
+    model = cotrain.fit(docs, labels, max_labelled=150)
+    assert counted and counted[0][0] == counted[0][1] > 112  # three quarters of 200, not of the 150 sampled
+    text = [r[1] or "" for r in data[200:]]
+    shape, layout, doc, words = cotrain.shape_features(cotrain.pa.array(text))
+    a = cotrain.text_columns(shape.astype(np.float32), model.presence(doc, words, len(text)))
+    b = np.column_stack((layout.astype(np.float32), cotrain.meta_columns(cotrain.meta_codes([r[3] for r in data[200:]], [r[2] for r in data[200:]]))))
+    for view_a, view_b, each, gone, (by_a, by_b) in asked:
+        for view, x, (ids, _, _, label), taken in ((view_a, a, by_a, gone), (view_b, b, by_b, gone | set(by_a[0].tolist()))):
+            z = {200 + k: v for k, v in enumerate(view.logit(x)) if 200 + k not in taken}
+            sure = sorted((abs(v) for v in z.values() if abs(v) >= math.log(0.97 / 0.03)), reverse=True)[:each]
+            assert sorted((abs(z[k]) for k in ids.tolist()), reverse=True) == pytest.approx(sure, abs=1e-4)
+            assert [int(z[k] > 0) for k in ids.tolist()] == label.tolist()
+    assert len(asked[0][4][0][0])
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     data, rng = rows(), random.Random(2)
