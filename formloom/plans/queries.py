@@ -13,7 +13,7 @@ from ..functions.script import detect_script
 from ..operators import boundary as B
 from ..operators import evaluation as E
 from ..operators import gate, grouping, layout, pruning, store, templates, tokens
-from .forms import CUSTOMER_SQL, FORM_SQL, ORDER_SQL, TOK_SQL, all_tokens, form_tokens
+from .forms import CUSTOMER_SQL, FORM_SQL, ORDER_BASE, ORDER_SQL, TOK_SQL, all_tokens, form_tokens
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -439,7 +439,7 @@ def q33_pruning_baseline(spark, d):
 
 @query()
 def q33b_pruning_search(spark, d):
-    c = pruning.evidence(_candidates(spark, d)).filter(F.col("doc_id") < 10_000_000_000)
+    c = pruning.evidence(_candidates(spark, d))
     return pruning.prune_search(c, pruning.overlaps(c))
 
 
@@ -482,7 +482,13 @@ def q35_select_for_ai(spark, d):
 @query(f"""WITH {CUSTOMER_SQL}, form AS (SELECT * FROM cform), {_BASE_SQL}, {_evidence_sql()}, f AS (SELECT *, printf('f_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY y, "row", seg)) AS fid FROM ev)
 SELECT doc_id, string_agg(fid || '|' || label || '|' || coalesce(key, '?') || '|' || value, chr(10) ORDER BY fid) AS prompt FROM f GROUP BY 1""")
 def q36_prompt(spark, d):
-    return B.prompts(_fields(spark, d).filter(F.col("doc_id") < 10_000_000_000))
+    """Customer forms only, as its SQL has them; q36b_prompt_all_forms has all."""
+    return q36b_prompt_all_forms(spark, d).filter(F.col("doc_id") < ORDER_BASE)
+
+
+@query()
+def q36b_prompt_all_forms(spark, d):
+    return B.prompts(_fields(spark, d))
 
 
 @query(r"""WITH t AS (SELECT doc_id AS id, 'document' AS kind, text FROM documents UNION ALL SELECT page_id, 'page', html FROM pages), m AS (SELECT id, kind, text, length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS o FROM t)
@@ -627,13 +633,13 @@ def q50_quality_report(spark, d):
 
 @query()
 def q51_questions(spark, d):
-    c = _candidates(spark, d).filter(F.col("doc_id") < 10_000_000_000).select("doc_id", "candidate_id", "label", "value", "has_box")
+    c = _candidates(spark, d).select("doc_id", "candidate_id", "label", "value", "has_box")
     return pruning.add_options(templates.questions(c, templates.catalogue(spark)))
 
 
 @query()
 def q52_normalised_fields(spark, d):
-    c = _candidates(spark, d).filter(F.col("doc_id") < 10_000_000_000).select("doc_id", "candidate_id", "label", "value", "has_box")
+    c = _candidates(spark, d).select("doc_id", "candidate_id", "label", "value", "has_box")
     asked = templates.questions(c, templates.catalogue(spark)).withColumns({"original_label": F.col("label"), "needs_review": F.lit(False)})
     return N.normalise_fields(asked)
 

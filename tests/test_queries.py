@@ -35,3 +35,26 @@ def test_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.fixture(scope="module")
+def forms(spark, tmp_path_factory):
+    """A folder of three customers and four orders, and the ids of their seven forms."""
+    folder = f"file://{tmp_path_factory.mktemp('forms')}"
+    c, o = (spark.read.parquet(f"{DIR}/{t}.parquet").orderBy(k).limit(n) for t, k, n in (("customer", "c_custkey", 3), ("orders", "o_orderkey", 4)))
+    c.coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    o.coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return folder, {r[0] for r in c.select("c_custkey").collect()} | {10_000_000_000 + r[0] for r in o.select("o_orderkey").collect()}, {10_000_000_000 + r.o_orderkey: r for r in o.collect()}
+
+
+def test_all_forms_are_pruned_asked_and_normalised(spark, forms):
+    folder, ids, orders = forms
+    got = {n: entry.queries()[n](spark, folder).collect() for n in ("q33b_pruning_search", "q36b_prompt_all_forms", "q51_questions", "q52_normalised_fields")}
+    for n, rows in got.items():
+        assert {r.doc_id for r in rows} == ids, n
+    boxes = [r for r in got["q51_questions"] if r.doc_id in orders and r.label.startswith("Priority")]
+    assert len(boxes) == len(orders) and {r.type for r in boxes} == {"checkbox"}
+    # the forms' wide gaps part a date from its label, so it is a candidate of its own
+    assert all(any(r.label == f"{o.o_orderdate:%d/%m/%Y}" for r in got["q52_normalised_fields"] if r.doc_id == k) for k, o in orders.items())
+    lines = {r.doc_id: r.prompt.split("\n") for r in got["q36b_prompt_all_forms"]}
+    assert all(any(f"|{r.o_orderdate:%d/%m/%Y}|" in x for x in lines[k]) for k, r in orders.items())
