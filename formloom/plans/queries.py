@@ -338,12 +338,18 @@ def q26_script_of_text(spark, d):
 
 
 def _jittered(spark, d):
-    t = form_tokens(spark, d)
+    t = all_tokens(spark, d)
     return t.withColumns({"y": F.col("y") + (F.col("doc_id") * 7 + F.col("pos") * 3) % 5, "pos": F.row_number().over(W.partitionBy("doc_id").orderBy("row", "pos")) - 1})
 
 
 @query(f"""WITH {CUSTOMER_SQL} SELECT doc_id, 1 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY "row", pos) - 1)::INTEGER AS pos, "row" AS row_no, pos AS place FROM cform""")
 def q27_row_clustering(spark, d):
+    """Customer forms only, as its SQL has them; q27b_row_clustering_all_forms has all."""
+    return grouping.row_clusters(_jittered(spark, d).filter(F.col("doc_id") < ORDER_BASE))
+
+
+@query()
+def q27b_row_clustering_all_forms(spark, d):
     return grouping.row_clusters(_jittered(spark, d))
 
 
@@ -369,8 +375,8 @@ def q28_grouping_baseline(spark, d):
     return grouping.baseline(all_tokens(spark, d)).drop("y", "label_h")
 
 
-def _ordered_tokens(spark, d, kind="customer"):
-    return form_tokens(spark, d, kind).withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("row", "pos")) - 1)
+def _ordered_tokens(spark, d):
+    return all_tokens(spark, d).withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("row", "pos")) - 1)
 
 
 @query()

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from formloom.plans import forms as spark_forms
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,3 +59,15 @@ def test_all_forms_are_pruned_asked_and_normalised(spark, forms):
     assert all(any(r.label == f"{o.o_orderdate:%d/%m/%Y}" for r in got["q52_normalised_fields"] if r.doc_id == k) for k, o in orders.items())
     lines = {r.doc_id: r.prompt.split("\n") for r in got["q36b_prompt_all_forms"]}
     assert all(any(f"|{r.o_orderdate:%d/%m/%Y}|" in x for x in lines[k]) for k, r in orders.items())
+
+
+def test_all_forms_are_grouped_and_reported(spark, forms):
+    folder, ids, orders = forms
+    got = {n: entry.queries()[n](spark, folder).collect() for n in ("q27b_row_clustering_all_forms", "q29_grouping_search", "q50_quality_report")}
+    for n, rows in got.items():
+        assert {r.doc_id for r in rows} == ids, n
+    tokens = spark_forms.all_tokens(spark, folder).collect()
+    places = {i: iter(sorted((r.row, r.pos) for r in tokens if r.doc_id == i)) for i in ids}
+    want = sorted((i, k, row, pos) for i in ids for k, (row, pos) in enumerate(places[i]))
+    assert sorted((r.doc_id, r.pos, r.row_no, r.place) for r in got["q27b_row_clustering_all_forms"]) == want
+    assert all(any(r.has_box for r in got["q29_grouping_search"] if r.doc_id == i) for i in orders)
