@@ -452,14 +452,15 @@ def q33b_pruning_search(spark, d):
 # --- around the model
 
 
-def _conversation_fields(spark, d):
+def _conversation_fields(spark, d, label, value):
+    """Turns of users as fields and the assistants' as replies, with these columns as their label and value."""
     c = _t(spark, d, "conversations")
     fields = c.filter("role = 'user'").select(
-        F.col("conv_id").alias("doc_id"), F.format_string("f_%03d", "turn").alias("field_id"), F.substring("text", 1, 20).alias("label"), F.lit("").alias("value"), F.lit("text").alias("type"), F.lit("").alias("question"),
+        F.col("conv_id").alias("doc_id"), F.format_string("f_%03d", "turn").alias("field_id"), label.alias("label"), F.lit("").alias("value"), F.lit("text").alias("type"), F.lit("").alias("question"),
         F.lit(None).cast("string").alias("template_key"), F.lit(0.0).alias("strength"), F.lit(0.55).alias("grouping_score"), F.array().cast("array<string>").alias("options"),
     )
     replies = c.filter("role = 'assistant'").select(
-        F.col("conv_id").alias("doc_id"), F.format_string("f_%03d", F.col("turn") - 1).alias("field_id"), F.col("turn").alias("at"), F.lit(None).cast("string").alias("label"), F.lit("essay").alias("type"), F.substring("text", 1, 30).alias("value"),
+        F.col("conv_id").alias("doc_id"), F.format_string("f_%03d", F.col("turn") - 1).alias("field_id"), F.col("turn").alias("at"), F.lit(None).cast("string").alias("label"), F.lit("essay").alias("type"), value.alias("value"),
         (F.col("turn") % 4 == 1).alias("review"), F.array().cast("array<string>").alias("options"),
     )
     return fields, replies
@@ -470,7 +471,17 @@ a AS (SELECT conv_id AS doc_id, printf('f_%03d', turn - 1) AS field_id, substr(t
 SELECT u.doc_id, u.field_id, u.label, coalesce(a.value, '') AS value, CASE WHEN a.field_id IS NULL THEN true ELSE review AND trim(a.value) <> '' END AS needs_review, CASE WHEN a.field_id IS NULL THEN 0.56::DOUBLE ELSE 0.9::DOUBLE END AS confidence
 FROM u LEFT JOIN a ON u.doc_id = a.doc_id AND u.field_id = a.field_id AND k = 1""")
 def q34_merge_replies(spark, d):
-    return B.merge(*_conversation_fields(spark, d)).select("doc_id", "field_id", "label", "value", "needs_review", "confidence")
+    """Prefixes of the texts, as its SQL has them; q34b_merge_whole_replies has the whole texts."""
+    return _merged(spark, d, F.substring("text", 1, 20), F.substring("text", 1, 30))
+
+
+@query()
+def q34b_merge_whole_replies(spark, d):
+    return _merged(spark, d, F.col("text"), F.col("text"))
+
+
+def _merged(spark, d, label, value):
+    return B.merge(*_conversation_fields(spark, d, label, value)).select("doc_id", "field_id", "label", "value", "needs_review", "confidence")
 
 
 def _fields(spark, d):

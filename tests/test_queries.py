@@ -71,3 +71,12 @@ def test_all_forms_are_grouped_and_reported(spark, forms):
     want = sorted((i, k, row, pos) for i in ids for k, (row, pos) in enumerate(places[i]))
     assert sorted((r.doc_id, r.pos, r.row_no, r.place) for r in got["q27b_row_clustering_all_forms"]) == want
     assert all(any(r.has_box for r in got["q29_grouping_search"] if r.doc_id == i) for i in orders)
+
+
+def test_replies_are_merged_whole(spark, tmp_path):
+    long = "the same first thirty characters of every text, "
+    said = [(c, k, "user" if k % 2 else "assistant", f"{long * 30}{c} {k}") for c in (1, 2) for k in range(1, 6)]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = {(c, k): s for c, k, _, s in said}
+    got = {(r.doc_id, r.field_id): r for r in entry.queries()["q34b_merge_whole_replies"](spark, f"file://{tmp_path}").collect()}
+    assert {k: (r.label, r.value) for k, r in got.items()} == {(c, f"f_{k:03d}"): (text[c, k], text.get((c, k + 1), "")) for c in (1, 2) for k in (1, 3, 5)}
