@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -18,17 +19,42 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset and all runs on
+    this machine (tests). Elsewhere a folder of one machine would lose files, so that raises."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jdir = context._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="formloom-")
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the machine: Arrow's pool and the C allocator keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def lean(step):
+    """A mapInArrow function that gives freed memory back when its task ends, as workers live on for the next stages."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs, which it keeps until their handles are collected.
 

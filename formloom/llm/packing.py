@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_rows, table
+from .common import byte_rows, lean, table
 from .tokenise import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
@@ -65,12 +65,12 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
 def pack_tokens(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, window_tokens: int = 4_000_000, linear: float = 1.0, quadratic: float = 1 / 4096, with_ids: bool = False) -> DataFrame:
     """Tokenise docs(doc_id, text) and pack them; one row per piece, with its ids where with_ids is set.
 
-    Null text is an empty document (its end id only). Null and repeated doc_id pass through, each row packed on its
+    Special tokens' strings in a text are ordinary text (see tokenise). Null text is an empty document (its end id only). Null and repeated doc_id pass through, each row packed on its
     own. An empty table gives no rows; further columns are ignored.
     """
 
     def run(batches):
-        enc = encoder(tokenizer, False)
+        enc = encoder(tokenizer)
         seq = TaskContext.get().partitionId() << 32
         ids_of, docs_of, held = [], [], 0
 
@@ -106,7 +106,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
             yield flush()
 
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formloom.llm import graph, katz, minhash, mixing, packing, reply_trees, suffix_dedup, token_files, topk_search
+from formloom.llm import tokenise
 from formloom.llm.tokenise import encoder
 
 P = pytest.importorskip("public_tokenizers")
@@ -54,22 +55,38 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_tokens_equal_whole_texts():
+def test_tokens_equal_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     texts = [t or "" for _, t, _ in corpus()] + ["a  b", "a \n b", " a", "a ", "\n", "x\n\n\ny", "it's I'LL", "a b  c", "<|endoftext|> x", "x\n y", "x \ny", "é é"]
-    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+    rng = random.Random(8)
+    texts += ["".join(rng.choice([*"ab éß'sΣς.,!# 12\n ", "<|endoftext|>", "\x01", "\u2003", "\t", " The"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.json"):
         whole = Tokenizer.from_file(P.path(name))
-        whole.encode_special_tokens = True
-        got = encoder(P.path(name), spaced).encode([t.encode() for t in texts])
+        whole.encode_special_tokens = True  # <|endoftext|> in a text is ordinary text
+        got = encoder(P.path(name)).encode([t.encode() for t in texts])
         for t, ids in zip(texts, got):
             assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        monkeypatch.setattr(tokenise, "CACHE_BYTES", 2_000)  # from now on the cache keeps shrinking
+
+
+def test_unknown_tokenizer_rules_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.load(open(P.path("byte_bpe_50k.json")))
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    enc = encoder(str(tmp_path / "t.json"))
+    whole = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert enc.rule == "other" and enc.encode([b"a bc", b"", b"x"])[0].tolist() == whole.encode("a bc").ids
 
 
 def test_packing_covers_each_id_once(docs, none):
     path = P.path("word_bpe_49k.json")
     rows = packing.pack_tokens(docs, path, capacity=64, window_tokens=1500, with_ids=True).collect()
-    enc = encoder(path, False)
+    enc = encoder(path)
     want = {d: enc.encode([(t or "").encode()])[0].tolist() + [2] for d, t, _ in corpus()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -96,25 +113,45 @@ def test_packing_balances_cost():
     assert full.max() / full.min() < 3.2
 
 
-@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17])
-def test_bit_packing_round_trip(bits):
+@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
+def test_bit_packing_round_trip(bits, tmp_path):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype(np.uint32)
-    assert (token_files.unpack_bits(token_files.pack_bits(ids, bits), 1001, bits) == ids).all()
-    content = token_files.image([4, None, 9], [ids[:500], ids[:0], ids[500:]], bits, block_ids=77)
-    docs, lens, back = token_files.read_image(content)
-    assert docs == [4, None, 9] and lens.tolist() == [500, 0, 501] and (back == ids).all()
-    assert [token_files.id_at(content, k) for k in (0, 76, 77, 1000)] == ids[[0, 76, 77, 1000]].tolist()
-
-
-def test_token_files(docs, none):
+    packed = token_files.pack_bits(ids, bits)
+    assert len(packed) == (1001 * bits + 7) // 8 and int.from_bytes(packed, "big") >> (-1001 * bits % 8) == int("".join(f"{x:0{bits}b}" for x in ids.tolist()), 2)
+    assert (token_files.unpack_bits(packed, 1001, bits) == ids).all()
+    least = -(2**63)
+    (tmp_path / "f").write_bytes(b"".join(token_files.image([least, None, 9], [ids[:500], ids[:0], ids[500:]], bits, block_ids=77)))
+    path = f"file://{tmp_path}/f"
+    for most in (10, 100, 4_000_000):
+        with token_files.opened(path) as f:
+            got = [(d, x.tolist()) for docs, lens, flat in token_files.documents_of(f, most) for d, x in zip(docs, np.split(flat, np.cumsum(lens)[:-1]))]
+        assert got == [(least, ids[:500].tolist()), (None, []), (9, ids[500:].tolist())]
+    assert [token_files.id_at(path, k) for k in (0, 76, 77, 1000)] == ids[[0, 76, 77, 1000]].tolist()
+    with pytest.raises(IndexError):
+        token_files.id_at(path, 1001)
+
+
+def test_range_numbers(spark):
+    for bounds in ([], [3], [3, 5, 9], list(range(0, 200, 2))):
+        got = spark.range(-1, 210).select("id", token_files.range_number(F.col("id"), bounds).alias("k")).collect()
+        assert all(r.k == sum(b <= r.id for b in bounds) for r in got)
+
+
+def test_token_files(spark, docs, none):
     path = P.path("byte_bpe_50k.json")
-    got = {r.doc_id: r for r in token_files.read_ids(token_files.write_ids(docs, path, file_ids=300)).collect()}
-    at, enc = 0, encoder(path, True)
+    manifest = token_files.write_ids(docs.withColumns({"range_no": F.lit("x"), "path": F.lit(1)}), path, file_ids=300)
+    got = {r.doc_id: r for r in token_files.read_ids(manifest).collect()}
+    at, enc = 0, encoder(path)
     for d, t, _ in sorted(corpus()):
         ids = enc.encode([(t or "").encode()])[0].tolist() + [0]
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    first = manifest.orderBy("range_no", "file_no").first()
+    assert manifest.count() > 3 and token_files.id_at(first.path, 0) == (enc.encode([(sorted(corpus())[0][1] or "").encode()])[0].tolist() + [0])[0]
     assert token_files.read_ids(token_files.write_ids(none, path)).count() == 0
+    odd = spark.createDataFrame([(None, "b"), (None, "a"), (2, None), (2, "long " * 3000), (-(2**63), "x"), (1, "")], "doc_id long, text string")
+    rows = sorted(((r.start, r.doc_id, r.n_tokens) for r in token_files.read_ids(token_files.write_ids(odd, path, file_ids=2)).collect()))
+    assert [r[1] for r in rows] == [None, None, -(2**63), 1, 2, 2] and [r[0] for r in rows] == np.cumsum([0, *(r[2] for r in rows[:-1])]).tolist()
 
 
 def jaccard_groups(rows, percent, size=5):
