@@ -315,6 +315,27 @@ def test_topk(spark, k, monkeypatch):
     assert topk_search.search(v.limit(0), v.limit(0), k).count() == 0
 
 
+def test_topk_reads_less_of_skewed_lists():
+    rng = np.random.default_rng(2)
+    rows = (rng.pareto(1.5, (2000, 24)) * 20).astype(np.int64)
+    queries, ids = rows[:40], np.arange(2000)
+    got = topk_search.nra(queries, ids[:40], rows, ids, 5)
+    for k, (mine, score, depth) in enumerate(got):
+        s = rows @ queries[k]
+        best = sorted((i for i in range(2000) if i != k), key=lambda i: (-s[i], i))[:5]
+        assert mine.tolist() == best and score.tolist() == s[best].tolist()
+    assert np.mean([x[2] for x in got]) < 1000  # of 2,000 entries a list
+    huge = rows * 2**24
+    assert [x[0].tolist() for x in topk_search.nra(huge[:5], ids[:5], huge, ids, 5)] == [x[0].tolist() for x in got[:5]]
+
+
+def test_topk_repeated_ids_and_uneven_lengths(spark):
+    rows = [(0, [1, 2]), (0, [3]), (1, [1, 1, 9]), (1, [1, 1, 9]), (2, [0, 0]), (3, [])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk_search.search(v.filter("vec_id = 0"), v, 9).orderBy("rank").collect()]
+    assert got == [(1, 1, 3), (2, 1, 3), (3, 2, 0), (4, 3, 0)]  # the least vector of id 0 asks, repeated rows are listed
+
+
 def test_reply_trees(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a#<", 1.0), (1, 3, 1, "assistant", "b", 1.0), (1, 4, 3, "user", "t", 5.0), (1, 5, 4, None, None, None),
             (2, 1, 9, "sys:x", "\\### Assistant: </turn>\n", 0.0), (3, 1, 2, "user", "loop", 0.0), (3, 2, 1, "user", "loop", 0.0)]
