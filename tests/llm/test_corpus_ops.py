@@ -325,8 +325,11 @@ def test_topk_reads_less_of_skewed_lists():
         best = sorted((i for i in range(2000) if i != k), key=lambda i: (-s[i], i))[:5]
         assert mine.tolist() == best and score.tolist() == s[best].tolist()
     assert np.mean([x[2] for x in got]) < 1000  # of 2,000 entries a list
-    huge = rows * 2**24
-    assert [x[0].tolist() for x in topk_search.nra(huge[:5], ids[:5], huge, ids, 5)] == [x[0].tolist() for x in got[:5]]
+    huge = np.minimum(rows, 2000) * 2**14  # sums beyond 2**53
+    for k, (mine, score, _) in enumerate(topk_search.nra(huge[:5], ids[:5], huge, ids, 5)):
+        s = huge @ huge[k]
+        best = sorted((i for i in range(2000) if i != k), key=lambda i: (-s[i], i))[:5]
+        assert mine.tolist() == best and score.tolist() == s[best].tolist()
 
 
 def test_topk_repeated_ids_and_uneven_lengths(spark):
