@@ -222,6 +222,8 @@ def removed_bytes(rows, n=50):
 
 @pytest.mark.parametrize("chunk", [150, 3_000_000])
 def test_repeated_passages(spark, docs, none, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_ANCHORS", chunk // 3)  # many small flushes: copies meet across them
     got = {r.doc_id: (r.lpf_bytes, r.lpf_removed, r.lpf_spans, r.lpf_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
     want = removed_bytes(corpus())
     assert got == want and sum(x[2] for x in want.values()) > 20
@@ -233,6 +235,37 @@ def test_repeated_passages(spark, docs, none, chunk, monkeypatch):
         assert [rows[k].lpf_removed for k in range(1, 6)] == [0, 0, 0, 0, 90] and rows[5].text == "é"
 
 
+def test_claims_of_equal_hashes_are_compared_by_bytes(spark, docs, monkeypatch):
+    """All segments of an anchor hash alike: what is removed must still be right, less what only the claims would find."""
+    monkeypatch.setattr(suffix_dedup, "mix64", lambda x: x * np.uint64(0))
+    got = {r.doc_id: r.lpf_removed for r in suffix_dedup.remove_repeats(docs.coalesce(1)).collect()}
+    want = removed_bytes(corpus())
+    assert all(got[d] <= want[d][1] for d in want) and sum(got.values()) > 0
+
+
+def test_longest_previous_factors_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 300):
+        owner, lcp = rng.integers(0, 12, n), rng.integers(0, 9, n)
+        lcp[:1] = 0
+        want = []
+        for i in range(n):
+            best, low = 0, 99
+            for j in range(i - 1, -1, -1):
+                low = min(low, lcp[j + 1])
+                if owner[j] < owner[i]:
+                    best = max(best, low)
+                    break
+            low = 99
+            for j in range(i + 1, n):
+                low = min(low, lcp[j])
+                if owner[j] < owner[i]:
+                    best = max(best, low)
+                    break
+            want.append(best if best >= 3 else 0)
+        assert suffix_dedup.factor_lengths(owner, lcp, 3).tolist() == want
+
+
 def test_repeated_windows_in_suffix_order():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 900).astype(np.uint8)
