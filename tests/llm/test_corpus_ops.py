@@ -392,21 +392,87 @@ def test_fill_and_route():
     assert sum(sum(f.values()) for f in mixing.route([((0,), 10)], [100], 3)) == 30
 
 
-def test_mixing(docs, none):
+def flows_by_trial(patterns, quotas, most):
+    """(largest flow, its least cost) over all integer flows."""
+    edges = [(k, s) for k, (sources, _) in enumerate(patterns) for s in sources]
+    best = (0, 0)
+
+    def go(i, given, got):
+        nonlocal best
+        if i == len(edges):
+            cost = sum(n * min(size, max(0, given[k] - (n - 1) * size)) for k, (_, size) in enumerate(patterns) for n in range(1, most + 1))
+            best = max(best, (sum(given), -cost))
+            return
+        k, s = edges[i]
+        for f in range(min(most * patterns[k][1] - given[k], quotas[s] - got[s]) + 1):
+            given[k] += f
+            got[s] += f
+            go(i + 1, given, got)
+            given[k] -= f
+            got[s] -= f
+
+    go(0, [0] * len(patterns), [0] * len(quotas))
+    return best[0], -best[1]
+
+
+def test_route_equals_all_flows_tried():
+    rng = random.Random(6)
+    for _ in range(120):
+        n_s = rng.randrange(1, 4)
+        patterns = [(tuple(sorted(rng.sample(range(n_s), rng.randrange(1, n_s + 1)))), rng.randrange(0, 3)) for _ in range(rng.randrange(1, 4))]
+        quotas, most = [rng.randrange(0, 6) for _ in range(n_s)], rng.randrange(1, 4)
+        flows = mixing.route(patterns, quotas, most)
+        assert all(set(f) <= set(p[0]) and sum(f.values()) <= most * p[1] for f, p in zip(flows, patterns))
+        assert all(sum(f.get(s, 0) for f in flows) <= q for s, q in enumerate(quotas))
+        cost = sum(n * min(size, max(0, sum(f.values()) - (n - 1) * size)) for f, (_, size) in zip(flows, patterns) for n in range(1, most + 1))
+        assert (sum(sum(f.values()) for f in flows), cost) == flows_by_trial(patterns, quotas, most), (patterns, quotas, most)
+    many = [(tuple(sorted(rng.sample(range(40), rng.randrange(1, 5)))), rng.randrange(1, 1000)) for _ in range(20_000)]
+    quotas = [sum(n for _, n in many) // 40] * 40
+    assert sum(sum(f.values()) for f in mixing.route(many, quotas, 3)) == sum(quotas)
+
+
+def fair_targets(sizes, weights, most):
+    """Targets found by stepping a common level up until all tokens are dealt: independent of fill()."""
+    low, high, total = 0.0, 1e12, sum(sizes)
+    for _ in range(300):
+        level = (low + high) / 2
+        if sum(min(level * w, most * n) for n, w in zip(sizes, weights)) < total:
+            low = level
+        else:
+            high = level
+    return [min(high * w, most * n) for n, w in zip(sizes, weights)]
+
+
+def test_mixing(spark, docs, none):
     size = mixing.word_count(F.col("text"))
-    run = lambda: {r.doc_id: r for r in mixing.mix(docs, F.array("source"), size, F.col("doc_id")).collect()}
-    got = run()
-    assert got == run() and len(got) == len(corpus())
+    run = lambda d: {r.doc_id: r for r in mixing.mix(d, F.array("source"), size, F.col("doc_id")).collect()}
+    got = run(docs)
+    assert got == run(docs.repartition(5)) and len(got) == len(corpus())
     by = defaultdict(list)
     for d, t, s in corpus():
         assert got[d].mix_size == len(WORD.findall(t or "")) and got[d].mix_taken <= 3 * got[d].mix_size
         by[s].append(got[d])
     names = sorted(by, key=lambda s: (s is None, s or ""))
-    want = mixing.fill([k % 3 + 1 for k in range(len(names))], [sum(r.mix_size for r in by[s]) for s in names], 3)
+    want = fair_targets([sum(r.mix_size for r in by[s]) for s in names], [k % 3 + 1 for k in range(len(names))], 3)
     for s, t in zip(names, want):
-        assert {r.mix_target for r in by[s]} == {float(t)}
+        assert len({r.mix_target for r in by[s]}) == 1 and by[s][0].mix_target == pytest.approx(t, rel=1e-9)
         assert abs(sum(r.mix_taken for r in by[s]) - t) <= max(r.mix_size for r in by[s]) + 1
-    assert mixing.mix(none, F.array("source"), size, F.col("doc_id")).count() == 0
+    assert run(none) == {}
+    clash = docs.withColumns({c: F.lit(-5) for c in ("mix_rest", "mix_cut", "mix_target", "mix_key", "mix_at", "m", "row", "n")})
+    assert {d: r.mix_taken for d, r in run(clash).items()} == {d: r.mix_taken for d, r in got.items()}
+    odd = spark.createDataFrame([(None, "a b", None), (1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s")], SCHEMA)
+    assert sorted((r.mix_size, r.mix_taken % max(1, r.mix_size)) for r in mixing.mix(odd, F.array("source"), size, F.col("doc_id")).collect()) == [(0, 0), (2, 0), (3, 0), (3, 0)]
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Equal texts of two sources are claimed by both: the flow gives them to the source that is short."""
+    rows = [(i, ["a"], 10) for i in range(60)] + [(100 + i, ["b"], 10) for i in range(10)] + [(200 + i, ["a", "b"], 10) for i in range(30)] + [(300, [], 10), (301, None, 10)]
+    d = spark.createDataFrame(rows, "doc_id long, claims array<string>, n long")
+    got = mixing.mix(d, F.col("claims"), F.col("n"), F.col("doc_id"), weight_of=lambda k: 1).collect()
+    taken = lambda lo, hi: sum(r.mix_taken for r in got if lo <= r.doc_id < hi)
+    # 1,000 tokens, half each: a has 600 of its own and needs 500; b takes its own, all shared ones and 100 tokens again
+    assert (taken(0, 100), taken(100, 300), taken(300, 400)) == (500, 500, 0)
+    assert max(r.mix_taken for r in got) == 20 and taken(100, 200) >= 100 and taken(200, 300) >= 300
 
 
 def test_components(spark):
