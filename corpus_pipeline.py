@@ -16,34 +16,48 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
-    out = cotrain.classify(docs, cotrain.good_labels(table(spark, sf_dir, "labels")))
-    return out.filter("q_kept").select(docs.columns)
+    """Documents that the co-trained classifier keeps.
+
+    Null text is empty; null source or language is a value of its own; without labels of both classes all are kept. Ties
+    and repeated rows are judged alike; all columns pass through, those named q_* as the classifier's too."""
+    own = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("doc"))
+    return cotrain.classify(own, cotrain.good_labels(table(spark, sf_dir, "labels"))).filter("q_kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle similarity 0.8 or more: that of the smallest doc_id."""
+    """One document of each group of five-word shingle similarity 0.8 or more: that of the smallest doc_id.
+
+    Texts without words (or null) and rows without doc_id link with nothing and stay; rows of one doc_id stay or go
+    together; an empty table gives no rows; all columns pass through."""
     gone = minhash.groups(docs.select("doc_id", "text"), percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat a document of smaller doc_id; emptied documents stay as rows."""
+    """Documents without the bytes that repeat a document of smaller doc_id, n_chars counted anew.
+
+    Emptied documents stay as rows; null text becomes empty; rows without doc_id keep their text, rows of one doc_id
+    don't match each other; an empty table gives no rows; all other columns pass through, whatever their names."""
     out = suffix_dedup.remove_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, up to three times."""
-    sized = materialise(docs.withColumn("mix_words", word_count(F.col("text"))).drop("text"), "mix-sizes")
-    taken = mixing.mix(sized.select("doc_id", "source", "mix_words"), F.array("source"), F.col("mix_words"), F.col("doc_id"))
-    times = taken.filter("mix_taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")).alias("mix_times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_times")).alias("mix_copy")).select(docs.columns)
+    """Each document as often as the mix of sources takes it, up to three times.
+
+    Null text and texts without words have size 0 and are not taken; null sources are one source; rows of one doc_id and
+    size are taken alike; all columns pass through, whatever their names; an empty table gives no rows."""
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix-sizes")
+    planned = mixing.plan(sized, F.array("source"), F.col("words"), F.col("doc_id"))
+    own = docs.select(F.struct(*docs.columns).alias("doc"))
+    taken = mixing.take(own, planned, F.array("doc.source"), word_count(F.col("doc.text")), F.col("doc.doc_id"))
+    times = F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")
+    return taken.filter("mix_taken > 0").select("doc", F.explode(F.sequence(F.lit(1), times))).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens; null text is an empty document of one end id, null and
+    repeated doc_ids are packed row by row, an empty table gives no rows, further columns are left out."""
     import public_tokenizers
 
     return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
