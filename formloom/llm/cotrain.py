@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, flat_bytes, materialise, slices, table
+from .common import discard, flat_bytes, lean, materialise, slices, table
 from .minhash import word_hashes
 
 WORD_BITS, WORDS = 20, 300
@@ -187,6 +187,7 @@ class CoTrained:
         return p(v[:, 0]), p(v[:, 1]), p(self.both.logit(v))
 
 
+NEW = ["q_text", "q_meta", "q_score", "q_kept"]
 _SCORES = "q_text double, q_meta double, q_score double"
 
 
@@ -223,7 +224,7 @@ def features(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
-    return rows.mapInArrow(extract, _FEATURES)
+    return rows.mapInArrow(lean(extract), _FEATURES)
 
 
 def telling_words(rows: DataFrame, n0: int, n1: int) -> np.ndarray:
@@ -241,7 +242,7 @@ def telling_words(rows: DataFrame, n0: int, n1: int) -> np.ndarray:
             w = word[k : k + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(seen[0, w].astype(np.int64)), pa.array(seen[1, w].astype(np.int64))], names=["word", "df0", "df1"])
 
-    by_word = rows.select("y", "low", "high").mapInArrow(count, "word int, df0 long, df1 long").groupBy("word").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).filter("df0 + df1 >= 8")
+    by_word = rows.select("y", "low", "high").mapInArrow(lean(count), "word int, df0 long, df1 long").groupBy("word").agg(F.sum("df0").alias("df0"), F.sum("df1").alias("df1")).filter("df0 + df1 >= 8")
     p = (F.col("df0") + F.col("df1")) / F.lit(float(n0 + n1))
     gap = F.col("df1") / F.lit(float(n1)) - F.col("df0") / F.lit(float(n0))
     best = by_word.select("word", (gap * gap / F.greatest(p * (1 - p), F.lit(1e-9))).alias("gain")).orderBy(F.desc("gain"), "word").limit(WORDS)
@@ -267,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, seed: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], binaries(bits, np.full(batch.num_rows, bits.shape[1]))], names=[*(x.split()[0] for x in _ROWS.split(", "))])
 
     fixed = ["doc_id", "y", "held", "draw", "shape", "layout", "meta"]
-    rows = materialise(every.select(*fixed, "low", "high").mapInArrow(narrow, _ROWS), "views")
+    rows = materialise(every.select(*fixed, "low", "high").mapInArrow(lean(narrow), _ROWS), "views")
     discard(every)
     known, n = rows.filter("y is not null"), sum(sizes.values())
     if n > 2 * max_labelled:  # draws are even: a part of their range that surely has enough, so that one task does not sort all
@@ -292,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, seed: in
                     best[view] = (both.take(order).combine_chunks().to_batches() or [mine])[0]
             yield from best.values()
 
-        found = materialise(pool.mapInArrow(score, _SURE), "surest")
+        found = materialise(pool.mapInArrow(lean(score), _SURE), "surest")
         top = lambda view, n: found.filter(F.col("view") == view).orderBy(F.desc("sure"), "draw", "doc_id").limit(n).toArrow()
         by_a = once(top("a", each))
         by_b = top("b", 2 * each)
@@ -312,7 +313,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_wit
     0.5 and all are kept. All rows and columns pass through (columns named q_* as here are replaced); an empty table
     gives no rows.
     """
-    docs = docs.drop("q_text", "q_meta", "q_score", "q_kept")
+    docs = docs.drop(*NEW)
     model = fit(docs, labels, **fit_with)
     names = docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + _SCORES
@@ -328,7 +329,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_wit
                     scores = model.score(*shape_features(text), meta_columns(meta_codes(*([None if v is None else str(v) for v in batch.column(c).to_pylist()] for c in (source_at, lang_at)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=[*names, "q_text", "q_meta", "q_score"])
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(lean(run), schema)
     return out.withColumn("q_kept", F.col("q_score") >= keep_at)
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialise, release, shuffle_width, table
+from .common import flat_bytes, lean, materialise, release, shuffle_width, table
 from .minhash import word_hashes
 from . import suffix_dedup
 from .suffix_dedup import runs
@@ -154,7 +154,7 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
         if held:
             yield flush()
 
-    blocks = materialise(rows.mapInArrow(encode, "block long, ids binary, flags binary, lens binary, vocab binary, counts binary, codes binary"), "katz-blocks", "zstd")
+    blocks = materialise(rows.mapInArrow(lean(encode), "block long, ids binary, flags binary, lens binary, vocab binary, counts binary, codes binary"), "katz-blocks", "zstd")
 
     def ask(batches):
         for batch in batches:
@@ -180,7 +180,7 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
             out.append((b, block, 1, planes((mine * buckets + b).astype(np.uint32)), planes(total[mine]), None))
         return _rows(out, 3)
 
-    words = materialise(blocks.select("block", "vocab", "counts").mapInArrow(ask, _schema(2)).groupBy("bucket").applyInArrow(number, _schema(3)), "katz-words", "zstd")
+    words = materialise(blocks.select("block", "vocab", "counts").mapInArrow(lean(ask), _schema(2)).groupBy("bucket").applyInArrow(number, _schema(3)), "katz-words", "zstd")
 
     release(spark)
 

@@ -5,10 +5,13 @@
    the class's least doc_id goes on, so copies never meet each other.
 2. In a band's run of equal keys, pairs whose collision-corrected similarity (equal B-bit values by bit counts) is
    above a low bar are joined; a run gives at most one edge per member.
-3. The edges' components are groups that can hold links. Their full shingle sets are compared exactly, all pairs of a
-   group in blocks of at most BLOCK documents, as products of incidence matrices; a block gives at most one edge
-   per member, pairs are never written out. Groups over BLOCK documents are dealt as pairs of blocks.
+3. The edges' components are groups that can hold links. Their full shingle sets are compared exactly, as products of
+   incidence matrices; a group gives at most one edge per member, pairs are never written out.
 4. The exact links' components are the result.
+
+Runs and groups of more than BLOCK members are hot. All their members first meet their least member, wherever they lie;
+who links with it is settled. Only the others then meet all members, dealt as pairs of blocks, so near copies of one text
+cost one comparison each and every pair is still covered.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, flat_bytes, materialise, mix64, release, shuffle_width, table
+from .common import discard, flat_bytes, give_back, lean, materialise, mix64, release, shuffle_width, slices, table
 from .graph import components
 
 PERMS, BANDS, B = 80, 20, 4
 #: A candidate pair's estimate must reach the threshold less this (5 standard deviations).
 SLACK = 0.22
-BLOCK, RUN = 1024, 1024
+BLOCK = 1024
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MULT = mix64(np.arange(1, PERMS + 1, dtype=np.uint64) * _U(_BASE)) | _U(1)
@@ -100,6 +103,20 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
+def estimate_column(x, y):
+    """estimate() of two columns array<long> of packed signatures."""
+    ones = sum(1 << (k * B) for k in range(64 // B))
+
+    def unequal(p, q):
+        d = p.bitwiseXOR(q)
+        for k in (1, 2) if B == 4 else range(1, B):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
+        return F.bit_count(d.bitwiseAND(F.lit(ones)))
+
+    same = 1 - F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda a, n: a + n) / PERMS
+    return (same - 1 / (1 << B)) / (1 - 1 / (1 << B))
+
+
 def spread_labels(link: np.ndarray) -> np.ndarray:
     """Least index in each index's component of a boolean link matrix."""
     label = np.arange(len(link))
@@ -126,7 +143,7 @@ def run_edges(keys: np.ndarray, docs: np.ndarray, sigs: np.ndarray, bar: float)
     a.append(docs[two[ok]]), b.append(docs[two[ok] + 1])
     for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
         d, s = docs[f : f + n], sigs[f : f + n]
-        label = np.zeros(n, np.int64) if n > RUN else spread_labels(estimate(s[:, None], s[None, :]) >= bar)
+        label = spread_labels(estimate(s[:, None], s[None, :]) >= bar)
         moved = np.flatnonzero(label != np.arange(n))
         a.append(d[label[moved]]), b.append(d[moved])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -154,16 +171,115 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     code, owner = dense[code[shared]], owner[shared]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.int64)
     width = 4096
     for c in range(0, int((freq > 1).sum()), width):
         x, y = np.searchsorted(code, (c, c + width))
         part = np.zeros((len(sets), width), np.float32)
         part[owner[x:y], code[x:y] - c] = 1
-        both += part @ part.T
+        both += (part @ part.T).astype(np.int64)  # at most `width` each, exact in single precision
     return spread_labels(100 * both >= percent * (n[:, None] + n[None, :] - both))
 
 
+def dealt(marked: DataFrame, key: str) -> DataFrame:
+    """Members of hot groups marked(key, members, near, ...) as pairs of blocks: each that isn't near its group's least
+    member (left is true) with all members. Groups without such members are done."""
+    others = marked.filter("not near").groupBy(key).agg(F.count("*").alias("others"))
+    m = marked.join(others, key).withColumns({"lb": F.ceil(F.col("others") / BLOCK).cast("int"), "ab": F.ceil(F.col("members") / BLOCK).cast("int"), "h": F.xxhash64("doc_id")})
+    rest = [c for c in marked.columns if c not in ("near", "members")]
+    of = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = m.select(*rest, every("lb").alias("l"), of("ab").alias("a"), F.lit(False).alias("left"))
+    return m.filter("not near").select(*rest, of("lb").alias("l"), every("ab").alias("a"), F.lit(True).alias("left")).unionByName(right)
+
+
+def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    give_back()
+    return pa.table({n: np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k, n in enumerate("ab")})
+
+
+def _signatures(column) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).view(np.uint64).reshape(len(column), -1)
+
+
+def candidate_edges(keyed: DataFrame, bar: float, width: int) -> DataFrame:
+    """(a, b) such that all documents whose signatures reach the bar under an equal key are connected."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        return _edges([run_edges(np.asarray(t["key"]), np.asarray(t["doc_id"]), _signatures(t["sig"]), bar)])
+
+    def meet_blocks(t: pa.Table) -> pa.Table:
+        doc, sig, left = np.asarray(t["doc_id"]), _signatures(t["sig"]), np.asarray(t["left"]).astype(bool)
+        link = np.zeros((len(doc), len(doc)), bool)
+        link[np.ix_(left, ~left)] = estimate(sig[left][:, None], sig[~left][None, :]) >= bar
+        label = spread_labels(link | link.T)
+        moved = np.flatnonzero(label != np.arange(len(doc)))
+        return _edges([(doc[label[moved]], doc[moved])])
+
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK), "hot-keys")
+    cold = keyed.join(hot, "key", "left_anti").withColumn("bucket", F.pmod("key", F.lit(2 * width)))
+    edges = cold.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    if hot.isEmpty():
+        return edges
+    warm = keyed.join(hot, "key")
+    least = warm.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("p"))
+    marked = materialise(warm.join(least, "key").select("key", "members", "doc_id", "sig", F.col("p.doc_id").alias("first"), (estimate_column("sig", F.col("p.sig")) >= bar).alias("near")), "hot-runs")
+    rest = dealt(marked.drop("first"), "key").groupBy("key", "l", "a").applyInArrow(meet_blocks, "a long, b long")
+    return edges.unionByName(marked.filter("near and doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).unionByName(rest)
+
+
+def exact_edges(members: DataFrame, percent: int, size: int, width: int) -> DataFrame:
+    """(a, b) such that all texts of members(doc_id, label, members, text) that link within a label are connected."""
+
+    def full_sets(batches):
+        for whole in batches:
+            for part in slices(whole, 3):
+                sets, counts = shingle_sets(part.column(3), size)
+                ends = np.cumsum(counts)
+                held = [sets[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(held, pa.binary())], names=["doc_id", "label", "members", "shingles"])
+
+    def confirm(t: pa.Table) -> pa.Table:
+        """Rows of whole groups; of a hot group one pair of blocks (a document can be in both)."""
+        label, doc = np.asarray(t["label"]), np.asarray(t["doc_id"])
+        order = np.lexsort((doc, label))
+        new = np.ones(len(order), bool)
+        new[1:] = (label[order][1:] != label[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        order = order[new]
+        first = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
+        found = []
+        for x, y in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
+            mine = order[x:y]
+            got = exact_labels([np.frombuffer(t["shingles"][k].as_py(), np.uint64) for k in mine.tolist()], percent)
+            moved = np.flatnonzero(got != np.arange(len(got)))
+            found.append((doc[mine[got[moved]]], doc[mine[moved]]))
+        return _edges(found)
+
+    def against_first(batches):
+        for batch in batches:
+            near = []
+            for own, first in zip(batch.column(3), batch.column(5)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (own, first))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.bool_())], names=[*batch.schema.names[:5], "near"])
+
+    shingled = members.select("doc_id", "label", "members", "text").mapInArrow(lean(full_sets), "doc_id long, label long, members long, shingles binary")
+    few = shingled.filter(F.col("members") <= BLOCK).withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(2 * width)))
+    edges = few.select("bucket", "doc_id", "label", "shingles").groupBy("bucket").applyInArrow(confirm, "a long, b long")
+    hot = shingled.filter(F.col("members") > BLOCK)
+    if members.filter(F.col("members") > BLOCK).select("label").isEmpty():
+        return edges
+    hot = materialise(hot, "hot-groups")
+    # a component's label is its least document
+    least = hot.filter("doc_id = label").groupBy("label").agg(F.first("shingles").alias("first_shingles"))
+    row = "doc_id long, label long, members long, shingles binary, first long"
+    marked = hot.join(least, "label").select("doc_id", "label", "members", "shingles", F.col("label").alias("first"), "first_shingles").mapInArrow(lean(against_first), row + ", near boolean")
+    marked = materialise(marked, "hot-marked")
+    rest = dealt(marked.drop("first"), "label").drop("left").groupBy("label", "l", "a").applyInArrow(confirm, "a long, b long")
+    return edges.unionByName(marked.filter("near and doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).unionByName(rest)
+
+
 def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, mh_key (of the text), n_shingles, component_id, kept.
 
@@ -193,70 +309,25 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
                 if len(first):
                     sums[0][full] = np.add.reduceat(mix64(sets), first)
                     sums[1][full] = np.add.reduceat(mix64(sets ^ _U(_BASE)), first)
-                bands, sigs = [None] * len(counts), [None] * len(counts)
-                for k, x, y in zip(np.flatnonzero(full).tolist(), mixed.view(np.int64), pack(low)):
-                    bands[k], sigs[k] = x.tolist(), y.tobytes()
+                lists = lambda x: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(full * x.shape[1]))).astype(np.int32), pa.array(x.view(np.int64).ravel()))  # noqa: E731  empty for a text without words
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    [part.column(0), pa.array(counts.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(mixed), lists(pack(low))],
                     names=["doc_id", "n", "k1", "k2", "bands", "sig"],
                 )
 
-    signed = materialise(rows.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary"), "signatures")
+    signed = materialise(rows.mapInArrow(lean(sign), "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>"), "signatures")
     classes = materialise(signed.filter("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("n", "k1", "k2", "r.*"), "classes")
 
-    def meet(t: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        a, b = run_edges(np.asarray(t["key"]), np.asarray(t["doc_id"]), sig, percent / 100 - SLACK)
-        return pa.table({"a": a, "b": b})
-
-    keyed = classes.select(F.explode("bands").alias("key"), "doc_id", "sig").withColumn("bucket", F.pmod("key", F.lit(2 * width)))
-    maybe = components(keyed.groupBy("bucket").applyInArrow(meet, "a long, b long"))
-    maybe = materialise(maybe, "maybe")
-    sizes = maybe.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = maybe.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-    def full_sets(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets, counts = shingle_sets(part.column(3), size)
-                ends = np.cumsum(counts)
-                held = [sets[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(held, pa.binary())], names=["doc_id", "label", "pair", "shingles"])
-
-    members = rows.filter("doc_id is not null").join(dealt.select(F.col("node").alias("doc_id"), "label", "blocks", "block").hint("shuffle_hash"), "doc_id")
-    shingled = members.select("doc_id", "label", F.struct("blocks", "block").alias("pair"), "text").mapInArrow(full_sets, "doc_id long, label long, pair struct<blocks:int,block:int>, shingles binary")
-    # a group of several blocks is compared as pairs of blocks, the pair (i, i) within (i, i + 1)
-    block, blocks = F.col("pair.block"), F.col("pair.blocks")
-    other = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != block))
-    paired = shingled.select("doc_id", "label", F.explode(other).alias("other"), block.alias("block"), "shingles").select(
-        "doc_id", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles"
-    )
-
-    def confirm(t: pa.Table) -> pa.Table:
-        label, low, high, doc = (np.asarray(t[n]) for n in ("label", "low", "high", "doc_id"))
-        order = np.lexsort((doc, high, low, label))
-        sets = t["shingles"]
-        new = np.ones(len(order), bool)
-        for k in (label, low, high):
-            new[1:] &= k[order][1:] == k[order][:-1]
-        new[1:], new[:1] = ~new[1:], True
-        first = np.flatnonzero(new)
-        a, b = [], []
-        for x, y in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
-            mine = order[x:y]
-            ids = doc[mine]
-            got = exact_labels([np.frombuffer(sets[k].as_py(), np.uint64) for k in mine.tolist()], percent)
-            moved = np.flatnonzero(got != np.arange(len(got)))
-            a.append(ids[got[moved]]), b.append(ids[moved])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": a, "b": b})
-
-    bucket = F.pmod(F.xxhash64("label", "low", "high"), F.lit(2 * width))
-    links = materialise(paired.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(confirm, "a long, b long"), "links")
+    keyed = classes.select(F.explode("bands").alias("key"), "doc_id", "sig")
+    maybe = materialise(components(candidate_edges(keyed, percent / 100 - SLACK, width)), "maybe")
+    sizes = maybe.groupBy("label").agg(F.count("*").alias("members"))
+    asked = materialise(maybe.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "members"), "asked")
+    members = rows.filter("doc_id is not null").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "label", "members", "text")
+    links = materialise(exact_edges(members, percent, size, width), "links")
     release(docs.sparkSession)
     found = components(links)
     discard(maybe)
+    discard(asked)
     reps = classes.select("n", "k1", "k2", F.col("doc_id").alias("rep"))
     ids = signed.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "rep", "doc_id"))

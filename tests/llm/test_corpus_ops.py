@@ -159,13 +159,14 @@ def jaccard_groups(rows, percent, size=5):
     for d, t, _ in rows:
         w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in WORD.findall(t or "")]
         sets[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-    label = {d: d for d in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(both := sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and both]
+    label, moved = {d: d for d in sets}, True
+    while moved:
+        moved = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
     return {d: (len(s), label[d], label[d] == d) for d, s in sets.items()}
 
 
@@ -181,6 +182,66 @@ def test_near_duplicates(spark, docs, none, percent, block, monkeypatch):
         assert sorted(map(str, (tuple(r) for r in minhash.groups(odd).collect()))) == sorted(map(str, [(None, 1, None, True)] * 2 + [(3, 1, 3, True)] * 2))
 
 
+def near_copies(rng, n, base=200, changed=12):
+    """n texts that differ from one text in up to `changed` words, so that many pairs are near the threshold."""
+    words = [f"w{k}" for k in range(base)]
+    out = []
+    for i in range(n):
+        w = list(words)
+        for _ in range(rng.randrange(changed)):
+            w[rng.randrange(base)] = f"x{rng.randrange(40)}"
+        out.append((i, " ".join(w), "s"))
+    return out
+
+
+def test_hot_groups_are_compared_whole(spark, monkeypatch):
+    rows = near_copies(random.Random(7), 90) + [(200 + i, f"a b c d e f g h i j k l m n o p q r s t {i}", "s") for i in range(30)]
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.groups(spark.createDataFrame(rows, SCHEMA), 85).collect()}
+    assert got == jaccard_groups(rows, 85) and len({c for _, c, _ in got.values()}) > 2
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.82, all of which must be found."""
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        w = [f"d{i}w{k}" for k in range(105)]
+        v = list(w)
+        v[rng.randrange(10, 90)] = "other"
+        v[0:6] = [f"y{k}" for k in range(6)]
+        rows += [(2 * i, " ".join(w), "s"), (2 * i + 1, " ".join(v), "s")]
+    want = sum(k % 2 == 1 and not kept for k, (_, _, kept) in jaccard_pairs(rows, 80).items())
+    got = minhash.groups(spark.createDataFrame(rows, SCHEMA), 80).filter("doc_id % 2 = 1 and not kept").count()
+    assert want == 300 and got == want
+
+
+def jaccard_pairs(rows, percent):
+    """As jaccard_groups, for rows that can only link in pairs (2i, 2i + 1)."""
+    out = {}
+    for a, b in zip(rows[::2], rows[1::2]):
+        got = jaccard_groups([a, b], percent)
+        out |= got
+    return out
+
+
+def test_estimate_columns_equal_arrays(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-(2**63), 2**63, (50, 2, 80 * minhash.B // 64))
+    x[:25, 1] ^= x[:25, 0] ^ (x[:25, 1] & 0xFFFF)
+    got = [r.e for r in spark.createDataFrame([(k, *v.tolist()) for k, v in enumerate(x)], "k long, x array<long>, y array<long>").orderBy("k").select(minhash.estimate_column("x", "y").alias("e")).collect()]
+    assert got == pytest.approx(minhash.estimate(x[:, 0].view(np.uint64), x[:, 1].view(np.uint64)).tolist())
+
+
+def test_exact_labels_of_very_long_sets():
+    """1,837,838 or 1,837,837 shared of two times 2,000,000: on either side of a threshold that single precision can't tell."""
+    a = np.arange(2_000_000, dtype=np.uint64)
+    many = [np.arange(10**9 + 100 * k, 10**9 + 100 * k + 50, dtype=np.uint64) for k in range(14)]
+    for shared, linked in ((1_837_838, True), (1_837_837, False)):
+        b = np.concatenate((a[:shared], np.arange(3 * 10**9, 3 * 10**9 + 2_000_000 - shared, dtype=np.uint64)))
+        assert (100 * shared >= 85 * (4_000_000 - shared)) == linked
+        assert (minhash.exact_labels([a, b, *many], 85)[1] == 0) == linked
+
+
 def test_exact_labels_agree_with_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 100).astype(np.uint64)
