@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text is empty; null source or language is a value of its own; without labels of both classes all are kept. Ties
     and repeated rows are judged alike; all columns pass through, those named q_* as the classifier's too."""
-    own = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("doc"))
-    return cotrain.classify(own, cotrain.good_labels(table(spark, sf_dir, "labels"))).filter("q_kept").select("doc.*")
+    own = {c: f"own_{c}" for c in docs.columns if c in cotrain.NEW}
+    out = cotrain.classify(docs.withColumnsRenamed(own), cotrain.good_labels(table(spark, sf_dir, "labels"))).filter("q_kept")
+    return out.drop(*cotrain.NEW).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
