@@ -53,33 +53,46 @@ def is_blank(value: Column) -> Column:
     return F.coalesce(value, F.lit("")).rlike(P.BLANK_VALUE)
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _iso(y: Column, m: Column, d: Column) -> Column:
     """yyyy-mm-dd by range checks alone (31 February passes), else null."""
     ok = m.between(1, 12) & d.between(1, 31) & y.between(1000, 2999)
-    return F.when(ok, F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
+    return F.when(ok, F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
+
+
+_YMD = r"^[0-9]{4}[./\-][0-9]{1,2}[./\-][0-9]{1,2}$"
+_DMY = r"^[0-9]{1,2}[./\-\s][0-9]{1,2}[./\-\s][0-9]{2,4}$"
+_DAY_NAME = r"(?i)^([0-9]{1,2})\s*(?:st|nd|rd|th)?[\s,.\-]+([^0-9\s,.]+)[\s,.\-]+([0-9]{4})$"
+_NAME_DAY = r"(?i)^([^0-9\s,.]+)[\s,.\-]+([0-9]{1,2})\s*(?:st|nd|rd|th)?[\s,.\-]+([0-9]{4})$"
 
 
 def normalise_date(value: Column, compose: bool = True) -> Column:
-    """ISO date of the known notations, day first; other text comes back cleaned."""
-    v = ascii_digits(clean_text(value, compose))
-    months = F.create_map(*[F.lit(x) for m, names in P.MONTHS.items() for name in names.split() for x in (name, m)])
-    part = lambda p, k: F.regexp_extract(v, p, k)
-    num = lambda p, k: F.when(part(p, k) != "", part(p, k)).cast("int")
-    ymd = r"^([0-9]{4})[./\-]([0-9]{1,2})[./\-]([0-9]{1,2})$"
-    dmy = r"^([0-9]{1,2})[./\-\s]([0-9]{1,2})[./\-\s]([0-9]{2,4})$"
-    d_name = r"(?i)^([0-9]{1,2})\s*(?:st|nd|rd|th)?[\s,.\-]+([^0-9\s,.]+)[\s,.\-]+([0-9]{4})$"
-    name_d = r"(?i)^([^0-9\s,.]+)[\s,.\-]+([0-9]{1,2})\s*(?:st|nd|rd|th)?[\s,.\-]+([0-9]{4})$"
-    a, b, y = num(dmy, 1), num(dmy, 2), num(dmy, 3)
-    y = F.when(y < 30, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    swap = (b > 12) & (a <= 12)
-    month_of = lambda p, k: F.try_element_at(months, F.lower(part(p, k)))
-    return F.coalesce(
-        _iso(num(ymd, 1), num(ymd, 2), num(ymd, 3)),
-        _iso(y, F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)),
-        _iso(num(d_name, 3), month_of(d_name, 2), num(d_name, 1)),
-        _iso(num(name_d, 3), month_of(name_d, 1), num(name_d, 2)),
-        v,
-    )
+    """ISO date of the known notations, day first; other text comes back cleaned. A notation is told by one test, and
+    only its own parts are cut out."""
+    months = F.create_map(*[F.lit(x) for pair in P.MONTHS.items() for x in pair])
+    whole = lambda p, k: F.get(p, F.lit(k)).cast("int")
+    month = lambda p, k: F.try_element_at(months, F.lower(F.get(p, F.lit(k))))
+
+    def day_first(p: Column) -> Column:
+        a, b, y = whole(p, 0), whole(p, 1), whole(p, 2)
+        y = F.when(y < 30, y + 2000).when(y < 100, y + 1900).otherwise(y)
+        swap = (b > 12) & (a <= 12)
+        return _iso(y, F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a))
+
+    def read(v: Column) -> Column:
+        found = (
+            F.when(v.rlike(_YMD), bind(F.split(v, r"[./\-]"), lambda p: _iso(whole(p, 0), whole(p, 1), whole(p, 2))))
+            .when(v.rlike(_DMY), bind(F.split(v, r"[./\-\s]"), day_first))
+            .when(v.rlike(_DAY_NAME), bind(F.split(F.regexp_replace(v, _DAY_NAME, "$1 $2 $3"), " "), lambda p: _iso(whole(p, 2), month(p, 1), whole(p, 0))))
+            .when(v.rlike(_NAME_DAY), bind(F.split(F.regexp_replace(v, _NAME_DAY, "$1 $2 $3"), " "), lambda p: _iso(whole(p, 2), month(p, 0), whole(p, 1))))
+        )
+        return F.coalesce(found, v)
+
+    return bind(ascii_digits(clean_text(value, compose)), read)
 
 
 def normalise_number(value: Column, label: Column, compose: bool = True) -> Column:

@@ -130,3 +130,13 @@ def vision_fields(replies: DataFrame) -> DataFrame:
 
 def ledger(calls: DataFrame) -> DataFrame:
     return calls.groupBy("doc_id", "purpose").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+def first_success(attempts: DataFrame, keys: list[str], order: str, overloaded: str, ok: str) -> DataFrame:
+    """Logged attempts of a call as a chain of fallbacks would make them: the next model is tried only while those before
+    it were overloaded. Per call: tried (attempts made), answered (the order of the one that ended the chain without
+    overload, null if none did) and worked (whether that one was ok). Combines before the shuffle."""
+    at = F.col(order)
+    ends = attempts.groupBy(*keys).agg(F.min(F.when(~F.col(overloaded), F.struct(at.alias("at"), F.col(ok).alias("ok")))).alias("e"))
+    j = attempts.select(*keys, order).join(ends, keys)
+    return j.groupBy(*keys).agg(F.count_if(F.col("e").isNull() | (at <= F.col("e.at"))).alias("tried"), F.max("e.at").alias("answered"), F.coalesce(F.bool_or("e.ok"), F.lit(False)).alias("worked"))

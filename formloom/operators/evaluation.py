@@ -41,3 +41,19 @@ def gate_accuracy(decided: DataFrame) -> DataFrame:
     """Accuracy, false accepts and false rejects of (is_form, truth)."""
     wrong = lambda yes: F.count_if((F.col("is_form") != F.col("truth")) & (F.col("is_form") == yes))
     return decided.agg(F.avg((F.col("is_form") == F.col("truth")).cast("int")).alias("accuracy"), wrong(True).alias("false_accepts"), wrong(False).alias("false_rejects"), F.count("*").alias("n"))
+
+
+def pruning_figures(truth: DataFrame, junk: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per document of kept fields (doc_id, field_id, norm, template_key): kept, junk_kept (they match a known junk label,
+    or lie inside one, and no truth) and template_rate."""
+    own = kept.select("doc_id", "field_id", F.col("norm").alias("f_norm"), "template_key")
+    good = own.join(truth.select("doc_id", "norm").distinct(), "doc_id").filter(labels_match(F.col("norm"), F.col("f_norm"))).select("doc_id", "field_id").distinct()
+    bad = own.join(junk.select("doc_id", "norm").distinct(), "doc_id").filter(labels_match(F.col("norm"), F.col("f_norm")) | F.contains("norm", "f_norm")).select("doc_id", "field_id").distinct()
+    bad = bad.join(good, ["doc_id", "field_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("junk_kept"))
+    out = own.groupBy("doc_id").agg(F.count("*").alias("kept"), (F.count("template_key") / F.count("*")).alias("template_rate"))
+    return out.join(bad, "doc_id", "left").na.fill(0, ["junk_kept"]).select("doc_id", "kept", "junk_kept", "template_rate")
+
+
+def averages(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The mean of each column over the documents that have it (null: none has)."""
+    return rows.agg(*[F.avg(c).alias(c) for c in columns])

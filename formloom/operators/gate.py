@@ -16,26 +16,24 @@ WEIGHTS = {
 ACCEPT, REJECT, MIDDLE = 0.55, 0.32, 0.45
 
 
-def signals(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, page_width: float = 600.0, page_area: float = 600.0 * 850.0, unit: float | None = None) -> DataFrame:
+def signals(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, page_width: float = 600.0, page_area: float = 600.0 * 850.0, docs: DataFrame | None = None) -> DataFrame:
     """Per document the eight signals and token_count; tokens carry gap_after. pages (doc_id, page, width, height)
-    and ruled lines (doc_id, page, ...) are optional: pages default to one of page_width and page_area.
+    and ruled lines (doc_id, page, ...) are optional: pages default to one of page_width and page_area. docs (doc_id)
+    lists the documents: those without tokens get a row of zeros.
 
-    unit is the text height where all tokens share one, as in reflowed text: rows then combine before any shuffle.
-    Without it tokens are dealt by document once, and the page's median and both aggregations follow on that."""
-    t = tokens.select("doc_id", "page", "row", "text", "x", "w", "h", "gap_after")
+    What a token's text says is told before the shuffle; tokens are dealt by document once, and the page's median height
+    and both aggregations follow on that."""
+    text = F.col("text")
+    t = tokens.select("doc_id", "page", "row", G.colon_ended(text).alias("sep"), G.blank_line(text).alias("blank"), G.has_box(text).alias("box"), "x", (F.col("x") + F.col("w")).alias("right"), "h", "gap_after")
     if pages is not None:
         t = t.join(pages.select("doc_id", "page", F.col("width").cast("double")), ["doc_id", "page"])
     else:
         t = t.withColumn("width", F.lit(page_width))
-    if unit is None:
-        t = t.repartition("doc_id").withColumn("mh", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
-    else:
-        t = t.withColumn("mh", F.lit(float(unit)))
-    text = F.col("text")
+    t = t.repartition("doc_id").withColumn("mh", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
     one = lambda c: F.count_if(c)
     rows = t.groupBy("doc_id", "page", "row").agg(
-        F.count("*").alias("n"), one(G.colon_ended(text)).alias("sep"), one(G.blank_line(text)).alias("blank"), one(G.has_box(text)).alias("box"),
-        one(F.col("gap_after") > 4 * F.col("mh")).alias("gaps"), (F.first("width") - F.max_by(F.col("x") + F.col("w"), "x")).alias("rest"), F.first("width").alias("width"),
+        F.count("*").alias("n"), one(F.col("sep")).alias("sep"), one(F.col("blank")).alias("blank"), one(F.col("box")).alias("box"),
+        one(F.col("gap_after") > 4 * F.col("mh")).alias("gaps"), (F.first("width") - F.max(F.struct("x", "right"))["right"]).alias("rest"), F.first("width").alias("width"),
     )
     spaced = (F.col("n") <= 5) & ((F.col("rest") > 0.35 * F.col("width")) | (F.col("gaps") > 0))
     d = rows.groupBy("doc_id").agg(
@@ -53,12 +51,15 @@ def signals(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame
     cap = lambda c: F.least(F.lit(1.0), c)
     prose = cap((F.col("mean") - 8) / 8 + 0.4)
     prose = F.when(F.col("mean") < 8, 0.0).when(F.col("spread") < 3, cap(prose + 0.2)).otherwise(prose)
-    return d.select(
+    out = d.select(
         "doc_id", cap(F.col("sep") / F.col("tokens") * 6).alias("separator_ratio"), cap(F.col("blank") / F.col("tokens") * 8).alias("blank_ratio"),
         cap(F.col("box") / F.col("tokens") * 10).alias("checkbox_ratio"), cap(ruled / F.greatest(F.lit(1.0), area / 1e6) / 15).alias("rule_line_density"),
         (F.col("short") / F.col("rows")).alias("short_row_ratio"), cap(F.col("gaps") / F.col("rows")).alias("gap_regularity"), (F.col("spaced") / F.col("rows")).alias("label_gap_ratio"),
         prose.alias("prose_penalty"), F.col("tokens").alias("token_count"),
     )
+    if docs is None:
+        return out
+    return docs.select("doc_id").join(out, "doc_id", "left").na.fill(0.0, list(WEIGHTS)).na.fill(0, ["token_count"])
 
 
 def score() -> Column:
@@ -67,6 +68,18 @@ def score() -> Column:
     return F.when(F.col("token_count") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / best * 1.6)))
 
 
+def second_opinion(decided: DataFrame, verdicts: DataFrame, least_tokens: int = 15) -> DataFrame:
+    """decide()d documents (with token_count) after a look at their page image: a verdict (doc_id, v_form, v_confidence)
+    replaces the decision where the document was rejected or has fewer than least_tokens tokens. A verdict that failed
+    (null v_form) or is missing changes nothing."""
+    j = decided.join(verdicts.select("doc_id", "v_form", "v_confidence"), "doc_id", "left")
+    used = F.col("v_form").isNotNull() & (~F.col("is_form") | (F.col("token_count") < least_tokens))
+    return j.withColumns({
+        "second": used, "is_form": F.when(used, F.col("v_form")).otherwise(F.col("is_form")),
+        "confidence": F.when(used, F.round(F.coalesce("v_confidence", F.lit(0.5)), 3)).otherwise(F.col("confidence")),
+    }).drop("v_form", "v_confidence")
+
+
 def decide(scored: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """is_form and confidence (of the verdict) from score. Between the thresholds a verdict (doc_id, v_form,
     v_confidence) of a classifier decides where there is one, a failed one (null v_form) counts one half."""

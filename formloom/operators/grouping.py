@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -257,6 +257,13 @@ class Page:
         return len(ks) >= 8 and all(g < 1.2 * self.unit for g in self.gaps[row]) and not marked
 
 
+def by_page(t: DataFrame) -> GroupedData:
+    """t grouped by page, dealt over all shuffle partitions: a search costs far more time than its few bytes tell, and
+    partitions of a given number are not merged by their bytes."""
+    width = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return t.repartition(width, "doc_id", "page").groupBy("doc_id", "page")
+
+
 def group_pages(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, search: bool = True, restarts: int = 6, most: int = 150, seed: int = 0, width: float = 600.0) -> DataFrame:
     """Candidates of every (doc_id, page) of tokens (pos, text, x, y, w, h, confidence, rtl optional).
 
@@ -299,7 +306,7 @@ def group_pages(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFr
                 })
         return pa.Table.from_pylist(out, schema=_ARROW)
 
-    return t.groupBy("doc_id", "page").applyInArrow(run, CANDIDATES)
+    return by_page(t).applyInArrow(run, CANDIDATES)
 
 
 _LISTS = {"label_tokens": pa.int32(), "value_tokens": pa.int32(), "region": pa.float64(), "bbox": pa.float64()}
@@ -317,7 +324,7 @@ def row_clusters(tokens: DataFrame) -> DataFrame:
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "page", "pos", "row_no", "place"), kinds))})
 
     t = tokens.select("doc_id", "page", "pos", "text", *[F.col(c).cast("double") for c in "xywh"])
-    return t.groupBy("doc_id", "page").applyInArrow(run, "doc_id long, page int, pos int, row_no int, place int")
+    return by_page(t).applyInArrow(run, "doc_id long, page int, pos int, row_no int, place int")
 
 
 def baseline(tokens: DataFrame, width: float = 600.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import patterns as P
 from . import climb
+from .grouping import by_page
 
 BANDS = 5
 
@@ -120,9 +121,18 @@ def prune_search(c: DataFrame, pairs: DataFrame, restarts: int = 6, most: int =
                 total += 0.02 * sum((n - mean) ** 2 for n in counts.values()) / len(counts)
             return total
 
+        linked_to: dict[int, list[int]] = {}
+        for x, y in near:
+            linked_to.setdefault(x, []).append(y)
+
         def moves(state: frozenset):
-            for k in range(len(rows)):
+            """Drop or add back each candidate; of two kept ones that overlap also drop the weaker (their merge)."""
+            for k, r in enumerate(rows):
                 yield state ^ {k}
+                if k in state:
+                    for o in linked_to.get(k, ()):
+                        if o in state:
+                            yield state - {k if r["genuine"] < rows[o]["genuine"] else o}
 
         def draw(rng):
             if rng.random() < 0.34:
@@ -136,4 +146,4 @@ def prune_search(c: DataFrame, pairs: DataFrame, restarts: int = 6, most: int =
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
 
     schema = "doc_id long, page int, candidate_id string, prune_cost double, prune_start_cost double, prune_iterations int, prune_evaluations int"
-    return t.groupBy("doc_id", "page").applyInArrow(run, schema)
+    return by_page(t).applyInArrow(run, schema)

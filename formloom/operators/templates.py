@@ -10,6 +10,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,19 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+_CJK = r"[\x{3000}-\x{9fff}\x{ac00}-\x{d7af}\x{ff00}-\x{ffef}]"
+
+
+def candidate_pairs(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """(norm, alias, place, key) of all pairs whose containment_score can be above zero: they share a word, as holding a
+    text and overlapping with it both need, or both have characters of scripts without spaces and one holds the other."""
+    words = lambda x: F.filter(F.array_union(F.split(x, r"[\s/]+"), F.split(x, r"[^\p{L}\p{N}_]+")), lambda w: w != "")
+    norms = labels.select("norm").distinct()
+    shared = norms.withColumn("word", F.explode(words(F.col("norm")))).join(index.withColumn("word", F.explode(words(F.col("alias")))), "word").drop("word")
+    held = norms.filter(F.col("norm").rlike(_CJK)).join(F.broadcast(index.filter(F.col("alias").rlike(_CJK))), F.contains("norm", "alias") | F.contains("alias", "norm"))
+    return shared.unionByName(held).distinct()
+
+
 def match(labels: DataFrame, templates: DataFrame, compose: bool = True) -> DataFrame:
     """labels(label) with template key (null below 0.45) and strength.
 
@@ -110,14 +124,17 @@ def match(labels: DataFrame, templates: DataFrame, compose: bool = True) -> Data
     u = u.withColumn("bare", F.trim(F.regexp_replace("norm", r"\(.*?\)", "")))
     exact = index.select(F.col("alias").alias("norm"), F.col("key").alias("k1"))
     hinted = index.select(F.col("alias").alias("bare"), F.col("key").alias("k2"))
-    u = u.join(exact, "norm", "left").join(hinted, "bare", "left")
+    u = u.join(exact, "norm", "left").join(hinted, "bare", "left").persist(StorageLevel.DISK_ONLY)  # five branches read it
     done = u.filter("norm = '' or k1 is not null or (bare <> '' and k2 is not null)").select("label", F.when(F.col("norm") == "", None).otherwise(F.coalesce("k1", "k2")).alias("key"), F.when(F.col("norm") == "", 0.0).when(F.col("k1").isNotNull(), 1.0).otherwise(0.95).alias("strength"))
     rest = u.filter("norm <> '' and k1 is null and (bare = '' or k2 is null)").select("label", "norm", F.when(F.col("bare") != "", F.col("bare")).otherwise(F.col("norm")).alias("bare"))
-    pairs = rest.join(index.filter("length(alias) >= 3"), F.length("alias") > 0, "left")
+    pairs = rest.join(candidate_pairs(rest, index.filter("length(alias) >= 3")), "norm", "left")
     best = F.max(F.struct(F.coalesce(containment_score(F.col("norm"), F.col("bare"), F.col("alias")), F.lit(0.0)).alias("s"), (-F.col("place")).alias("p"), "key")).alias("best")
     held = pairs.groupBy("label", "norm", "bare").agg(best)
-    close = (F.abs(F.length("alias") - F.length("bare")) <= 3) & (F.length("alias") >= 4) & F.length("bare").between(3, 30)
-    near = held.filter(F.col("best.s") < 0.75).join(index, close).withColumn("r", _ratio("alias", "bare")).filter("r >= 0.75")
+    # of two texts of ratio 0.75 or more the shorter differs by 3 at most, and 3/8 of all characters occur in the other
+    sized = index.filter("length(alias) >= 4").withColumn("size", F.length("alias"))
+    low = held.filter(F.col("best.s") < 0.75).filter(F.length("bare").between(3, 30)).withColumn("size", F.explode(F.sequence(F.length("bare") - 3, F.length("bare") + 3)))
+    common = F.col("size") - F.length(F.expr("translate(alias, bare, '')"))
+    near = low.join(sized, "size").filter(common >= 0.375 * (F.col("size") + F.length("bare"))).withColumn("r", _ratio("alias", "bare")).filter("r >= 0.75")
     near = near.groupBy("label").agg(F.max(F.struct(F.round(0.45 + 0.4 * (F.col("r") - 0.75) / 0.25, 3).alias("s"), (-F.col("place")).alias("p"), "key")).alias("near"))
     both = held.join(near, "label", "left").withColumn("b", F.when(F.coalesce(F.col("near.s"), F.lit(-1.0)) > F.col("best.s"), F.col("near")).otherwise(F.col("best")))
     found = both.select("label", F.when(F.col("b.s") >= 0.45, F.col("b.key")).alias("key"), F.when(F.col("b.s") >= 0.45, F.round("b.s", 3)).otherwise(F.col("b.s")).alias("strength"))

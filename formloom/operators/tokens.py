@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.geometry import overlap_area
 from ..functions.normalise import SPACES
+from ..functions.script import detect_script
 
 PAGE_WIDTH = 600.0
 
@@ -21,31 +22,45 @@ def words_in(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def chars_before(words: Column, k: Column) -> Column:
-    """Characters of the words before position k (from 0)."""
-    return F.length(F.array_join(F.slice(words, F.lit(1), k), ""))
+#: Words of a line are laid out in runs of this many, so that no step looks at a long line once per word.
+RUN = 32
+
+
+def place_words(lines: DataFrame, words: Column, keep: list[str]) -> DataFrame:
+    """One row per word of a line: the keep columns, pos, word, before (characters of the words before it) and n (words).
+
+    Characters are summed by run first, then within the run, so a line costs about its length; nothing is shuffled and no
+    row carries more than a run. Lines without words give no row."""
+    w = lines.select(*keep, words.alias("_words")).filter(F.size("_words") > 0)
+    run_of = lambda c: F.slice("_words", c * RUN + 1, F.lit(RUN))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / RUN).cast("int")), run_of)
+    w = w.select(*keep, F.size("_words").alias("n"), runs.alias("_runs"))
+    w = w.withColumn("_sizes", F.transform("_runs", lambda r: F.length(F.array_join(r, ""))))
+    start = lambda k: F.aggregate(F.slice("_sizes", F.lit(1), k), F.lit(0), lambda a, x: a + x)
+    w = w.select(*keep, "n", F.explode(F.transform("_runs", lambda r, k: F.struct(k.alias("k"), start(k).alias("start"), r.alias("words")))).alias("_run"))
+    w = w.select(*keep, "n", "_run", F.posexplode("_run.words").alias("_i", "word"))
+    inside = F.length(F.array_join(F.slice("_run.words", F.lit(1), F.col("_i")), ""))
+    return w.select(*keep, "n", (F.col("_run.k") * RUN + F.col("_i")).alias("pos"), "word", (F.col("_run.start") + inside).alias("before"))
 
 
 def reflow(docs: DataFrame) -> DataFrame:
     """Plain text laid out as tokens: line i at y = 40 + 18 i, words 6 pixels a character with gaps of 5. gap_after is
     the space to the next word of the line (null at its end)."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("row", "line"))
-    lines = lines.withColumn("words", words_in(F.col("line"))).filter(F.size("words") > 0)
-    words = lines.select("doc_id", "row", "words", F.posexplode("words").alias("pos", "text"))
-    x = 40.0 + 6.0 * chars_before(F.col("words"), F.col("pos")) + 5.0 * F.col("pos")
+    words = place_words(lines, words_in(F.col("line")), ["doc_id", "row"])
     return words.select(
-        "doc_id", F.lit(1).alias("page"), "row", "pos", "text", x.alias("x"), (40.0 + 18.0 * F.col("row")).alias("y"), (6.0 * F.length("text")).alias("w"),
-        F.lit(12.0).alias("h"), F.lit(1.0).alias("confidence"), F.when(F.col("pos") + 1 < F.size("words"), F.lit(5.0)).alias("gap_after"),
+        "doc_id", F.lit(1).alias("page"), "row", "pos", F.col("word").alias("text"), (40.0 + 6.0 * F.col("before") + 5.0 * F.col("pos")).alias("x"), (40.0 + 18.0 * F.col("row")).alias("y"),
+        (6.0 * F.length("word")).alias("w"), F.lit(12.0).alias("h"), F.lit(1.0).alias("confidence"), F.when(F.col("pos") + 1 < F.col("n"), F.lit(5.0)).alias("gap_after"),
     )
 
 
-def split_lines(lines: DataFrame) -> DataFrame:
+def split_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Line boxes (doc_id, line, text, x, y, w, h) as word boxes, widths in proportion to characters."""
-    t = lines.withColumn("words", words_in(F.col("text"))).filter(F.size("words") > 0)
-    total = F.length(F.array_join("words", "")) + F.size("words") - 1
-    t = t.withColumn("unit", F.col("w") / total).select("doc_id", "line", "x", "y", "h", "unit", "words", F.posexplode("words").alias("pos", "word"))
-    x = F.col("x") + F.col("unit") * (chars_before(F.col("words"), F.col("pos")) + F.col("pos"))
-    return t.select("doc_id", "line", "pos", F.col("word").alias("text"), x.alias("x"), "y", (F.col("unit") * F.length("word")).alias("w"), "h")
+    total = F.length(F.regexp_replace("text", SPACES, "")) + F.size(words_in(F.col("text"))) - 1
+    own = ["doc_id", *keep, "line"]
+    t = place_words(lines.withColumn("unit", F.col("w") / total), words_in(F.col("text")), [*own, "x", "y", "h", "unit"])
+    x = F.col("x") + F.col("unit") * (F.col("before") + F.col("pos"))
+    return t.select(*own, "pos", F.col("word").alias("text"), x.alias("x"), "y", (F.col("unit") * F.length("word")).alias("w"), "h")
 
 
 def split_glued(tokens: DataFrame) -> DataFrame:
@@ -69,7 +84,8 @@ def repair_boxes(tokens: DataFrame) -> DataFrame:
     t = tokens.withColumn("words", words).withColumn("unit", F.col("w") / (F.length(F.array_join("words", "")) + F.size("words") - 1))
     t = t.select(*rest, "x", "w", "unit", "words", F.posexplode("words").alias("piece", "word"))
     alone = F.size("words") == 1
-    x = F.when(alone, F.col("x")).otherwise(F.col("x") + F.col("unit") * (chars_before(F.col("words"), F.col("piece")) + F.col("piece")))
+    before = F.length(F.array_join(F.slice("words", F.lit(1), F.col("piece")), ""))  # a token's own pieces: few
+    x = F.when(alone, F.col("x")).otherwise(F.col("x") + F.col("unit") * (before + F.col("piece")))
     return t.select(*rest, "piece", F.col("word").alias("text"), x.alias("x"), F.when(alone, F.col("w")).otherwise(F.col("unit") * F.length("word")).alias("w"))
 
 
@@ -108,7 +124,7 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
     """Layout blocks (doc_id, block, kind, content, x, y, w, h) as tokens.
 
     Pictures go, tables lose their markup, content is cut at line ends; lines too flat for the page's usual single-line
-    height were wrapped by the reader and are joined."""
+    height were wrapped by the reader and are joined. A token is known by its document, block, line of the block and pos."""
     b = drop_contained(blocks.filter(~F.col("kind").isin("image", "chart", "seal", "figure")))
     content = F.when(F.col("kind") == "table", F.regexp_replace("content", "<[^>]+>", " ")).otherwise(F.col("content"))
     lines = F.filter(F.transform(F.split(content, r"\r?\n|<br\s*/?>"), lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("$"), F.lit("")), r"\s+", " "))), lambda s: s != "")
@@ -118,8 +134,8 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
     wrapped = (F.size("lines") > 1) & (F.col("line_h") > 0) & (F.col("h") / F.size("lines") < 0.65 * F.col("line_h"))
     b = b.withColumn("lines", F.when(wrapped, F.array(F.array_join("lines", " "))).otherwise(F.col("lines"))).withColumn("lh", F.col("h") / F.size("lines"))
     stacked = b.select("doc_id", "block", "x", "y", "w", "lh", F.posexplode("lines").alias("n", "text"))
-    rows = stacked.select("doc_id", (F.col("block") * 1000 + F.col("n")).alias("line"), "text", "x", (F.col("y") + F.col("n") * F.col("lh")).alias("y"), "w", F.col("lh").alias("h"))
-    return split_lines(rows).withColumn("confidence", F.lit(0.95))
+    rows = stacked.select("doc_id", "block", F.col("n").alias("line"), "text", "x", (F.col("y") + F.col("n") * F.col("lh")).alias("y"), "w", F.col("lh").alias("h"))
+    return split_lines(rows, keep=("block",)).withColumn("confidence", F.lit(0.95))
 
 
 def with_gaps(tokens: DataFrame) -> DataFrame:
@@ -127,6 +143,19 @@ def with_gaps(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("gap_after", F.lead("x").over(W.partitionBy("doc_id", "page", "row").orderBy("x", "pos")) - (F.col("x") + F.col("w")))
 
 
+RIGHT_TO_LEFT = ["arabic", "hebrew"]
+
+
+def with_direction(tokens: DataFrame) -> DataFrame:
+    """tokens with script (found where the column is absent or null) and rtl: most of the row's tokens of a known script
+    read from right to left."""
+    script = detect_script(F.col("text"))
+    t = tokens.withColumn("script", F.coalesce("script", script) if "script" in tokens.columns else script)
+    row = W.partitionBy("doc_id", "page", "row")
+    leads, known = F.count_if(F.col("script").isin(RIGHT_TO_LEFT)).over(row), F.count_if(F.col("script") != "unknown").over(row)
+    return t.withColumn("rtl", (known > 0) & (2 * leads > known))
+
+
 def text_of(tokens: DataFrame) -> DataFrame:
     """Each document's text: tokens of a row by spaces, rows by line ends."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))

@@ -13,6 +13,8 @@ from ..functions.script import detect_script
 from ..operators import boundary as B
 from ..operators import evaluation as E
 from ..operators import gate, grouping, layout, pruning, store, templates, tokens
+from ..operators import report as R
+from . import extract
 from .forms import CUSTOMER_SQL, FORM_SQL, ORDER_BASE, ORDER_SQL, TOK_SQL, all_tokens, form_tokens
 
 QUERIES: dict = {}
@@ -119,7 +121,8 @@ def q10_text_summary(spark, d):
 # --- the form gate
 
 
-def _signals_sql(src: str) -> str:
+def _signals_sql(src: str, ids: str = "documents") -> str:
+    """ids: the table of all documents; those without tokens have signals of zero."""
     return f"""mh AS (SELECT doc_id, page, coalesce(median(CASE WHEN h > 0 THEN h END), 12.0::DOUBLE) AS u FROM {src} GROUP BY 1, 2),
 rw AS (SELECT t.doc_id, t."row", count(*) AS n, count(*) FILTER (regexp_matches(text, {_q(P.COLON_END)})) AS sep, count(*) FILTER (regexp_matches(text, {_q(P.BLANK_LINE)})) AS blank,
   count(*) FILTER (regexp_matches(text, {_q(P.BOX_TOKEN)})) AS box, count(*) FILTER (gap_after > 4 * u) AS gaps, 600.0::DOUBLE - max_by(x + w, x) AS rest FROM {src} t JOIN mh USING (doc_id, page) GROUP BY 1, 2),
@@ -127,7 +130,8 @@ dc AS (SELECT doc_id, sum(n)::BIGINT AS tokens, sum(sep) AS sep, sum(blank) AS b
   count(*) FILTER (n <= 5 AND (rest > 210.0 OR gaps > 0)) AS spaced, avg(n) AS mean, stddev_pop(n) AS spread FROM rw GROUP BY 1),
 sg AS (SELECT doc_id, least(1.0, sep / tokens::DOUBLE * 6) AS separator_ratio, least(1.0, blank / tokens::DOUBLE * 8) AS blank_ratio, least(1.0, box / tokens::DOUBLE * 10) AS checkbox_ratio,
   0.0::DOUBLE AS rule_line_density, short / r::DOUBLE AS short_row_ratio, least(1.0, gaps / r::DOUBLE) AS gap_regularity, spaced / r::DOUBLE AS label_gap_ratio,
-  CASE WHEN mean < 8 THEN 0.0 WHEN spread < 3 THEN least(1.0, least(1.0, (mean - 8) / 8 + 0.4) + 0.2) ELSE least(1.0, (mean - 8) / 8 + 0.4) END AS prose_penalty, tokens AS token_count FROM dc),
+  CASE WHEN mean < 8 THEN 0.0 WHEN spread < 3 THEN least(1.0, least(1.0, (mean - 8) / 8 + 0.4) + 0.2) ELSE least(1.0, (mean - 8) / 8 + 0.4) END AS prose_penalty, tokens AS token_count FROM dc
+  UNION ALL SELECT doc_id, {', '.join(['0.0::DOUBLE'] * 8)}, 0 FROM {ids} WHERE doc_id NOT IN (SELECT doc_id FROM dc)),
 sc AS (SELECT *, greatest(0.0, least(1.0, (separator_ratio * 2.2 + blank_ratio * 2.0 + checkbox_ratio * 2.0 + rule_line_density * 1.2 + short_row_ratio * 1.3 + gap_regularity * 1.0 + label_gap_ratio * 1.6 + prose_penalty * -2.2) / 11.3 * 1.6)) AS score FROM sg),
 gt AS (SELECT *, CASE WHEN score >= 0.55 THEN true WHEN score <= 0.32 THEN false ELSE score >= 0.45 END AS is_form,
   CASE WHEN score >= 0.55 THEN score WHEN score <= 0.32 THEN 1 - score ELSE 0.5 + abs(score - 0.45) END AS sure FROM sc)"""
@@ -139,11 +143,14 @@ _SIGNALS = list(gate.WEIGHTS)
 
 def _all_signals(spark, d):
     f = all_tokens(spark, d).withColumn("doc_id", F.col("doc_id") + 20_000_000_000)
-    return _doc_signals(spark, d).unionByName(gate.signals(f))
+    every = tokens.reflow(_t(spark, d, "documents")).unionByName(f)
+    ids = _t(spark, d, "documents").select("doc_id").unionByName(f.select("doc_id").distinct())
+    return gate.signals(every, docs=ids)
 
 
 def _doc_signals(spark, d):
-    return gate.signals(tokens.reflow(_t(spark, d, "documents")), unit=12.0)  # reflowed text is 12 high throughout
+    docs = _t(spark, d, "documents")
+    return gate.signals(tokens.reflow(docs), docs=docs)
 
 
 @query(f"WITH {_ALL_SQL}, {_signals_sql('every')} SELECT doc_id, {', '.join(f'round({k}::DOUBLE, 6) AS {k}' for k in _SIGNALS)}, token_count FROM sg")
@@ -237,10 +244,10 @@ s AS (SELECT label, place, key, CASE WHEN inside THEN CASE WHEN n > 3 * m + 6 TH
   WHEN n >= 4 AND within THEN 0.5 + 0.3 * n / m WHEN len(list_intersect(wa, wb)) > 0 THEN 0.45 * len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) + 0.3 * len(list_intersect(wa, wb)) / len(wa) ELSE 0 END AS s FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s::DOUBLE, 9) DESC, place) AS k FROM s) SELECT label, key, round(s::DOUBLE, 4) AS strength FROM r WHERE k = 1 AND s > 0""")
 def q17_template_containment_top1(spark, d):
-    index = F.broadcast(templates.alias_index(templates.catalogue(spark)))  # the starter catalogue: a fixed size
+    index = templates.alias_index(templates.catalogue(spark))
     u = _labels_df(spark, d).withColumn("norm", N.match_label(F.col("label"), False)).withColumn("b", F.trim(F.regexp_replace("norm", r"\(.*?\)", "")))
     u = u.withColumn("bare", F.when(F.col("b") != "", F.col("b")).otherwise(F.col("norm")))
-    pairs = u.join(index.filter("length(alias) >= 3"), F.length("alias") > 0)
+    pairs = u.join(templates.candidate_pairs(u, index.filter("length(alias) >= 3")), "norm")
     s = F.coalesce(templates.containment_score(F.col("norm"), F.col("bare"), F.col("alias")), F.lit(0.0))
     best = pairs.groupBy("label").agg(F.max(F.struct(F.round(s, 9).alias("s"), (-F.col("place")).alias("p"), "key")).alias("b")).filter("b.s > 0")
     return best.select("label", F.col("b.key").alias("key"), F.round("b.s", 4).alias("strength"))
@@ -522,10 +529,13 @@ def q38_usage_ledger(spark, d):
     return B.ledger(calls)
 
 
-@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min_by(event_id, event_id) FILTER (event_type <> 'error') AS first_ok, count(*) FILTER (event_type = 'error') AS refused FROM events GROUP BY 1, 2")
+@query("""WITH a AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, event_type = 'error' AS refused, value > 50 AS ok FROM events),
+e AS (SELECT user_id, day, min(event_id) FILTER (NOT refused) AS answered, arg_min(ok, event_id) FILTER (NOT refused) AS worked FROM a GROUP BY 1, 2)
+SELECT a.user_id, a.day, count(*) FILTER (answered IS NULL OR event_id <= answered) AS tried, any_value(answered) AS answered, coalesce(bool_or(worked), false) AS worked FROM a JOIN e USING (user_id, day) GROUP BY 1, 2""")
 def q39_fallback_first_success(spark, d):
-    e = _t(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return e.groupBy("user_id", "day").agg(F.min(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("first_ok"), F.count_if(F.col("event_type") == "error").alias("refused"))
+    """A user's events of a day as the attempts of one call, errors as refusals for load."""
+    a = _t(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", (F.col("event_type") == "error").alias("refused"), (F.col("value") > 50).alias("ok"))
+    return B.first_success(a, ["user_id", "day"], "event_id", "refused", "ok")
 
 
 # --- store, cache, patches
@@ -572,7 +582,16 @@ def _layout(spark, d):
 _LAYOUT_SQL = "ly AS (SELECT p_partkey % 100 AS doc_id, printf('f_%05d', p_partkey) AS field_id, (p_partkey % 12)::INTEGER AS x, (p_size % 40)::INTEGER AS y, 6 AS w, 1 AS h, p_partkey AS k FROM part)"
 
 
-@query()
+@query(r"""WITH f AS (SELECT p_partkey % 100 AS doc_id, printf('f_%05d', p_partkey) AS id, p_name AS label, ['text', 'date', 'checkbox', 'number', 'multiple-choice', 'signature'][p_partkey % 6 + 1] AS t,
+  (p_partkey % 12)::INTEGER AS x, (p_size % 40)::INTEGER AS y, p_partkey % 4 = 0 AS req FROM part),
+j AS (SELECT *, '"' || id || '":{"type":"' || CASE t WHEN 'checkbox' THEN 'boolean' WHEN 'number' THEN 'number' ELSE 'string' END || '","title":"' || label || '"' || CASE t WHEN 'date' THEN ',"format":"date"'
+  WHEN 'multiple-choice' THEN ',"enum":["a","b"]' WHEN 'signature' THEN ',"contentEncoding":"base64","description":"Signature image"' ELSE '' END || '}' AS prop,
+  '<div class="field" style="grid-column: span 6">' || CASE t WHEN 'checkbox' THEN '<label><input type="checkbox" name="' || id || '"' || CASE WHEN req THEN ' required' ELSE '' END || '> ' || label || '</label>'
+    WHEN 'multiple-choice' THEN '<label>' || label || '<select name="' || id || '"' || CASE WHEN req THEN ' required' ELSE '' END || '><option>a</option><option>b</option></select></label>'
+    WHEN 'signature' THEN '<label>' || label || '<div class="sig" data-name="' || id || '">Sign here</div></label>'
+    ELSE '<label>' || label || '<input type="' || CASE WHEN t IN ('date', 'number') THEN t ELSE 'text' END || '" name="' || id || '" placeholder=""' || CASE WHEN req THEN ' required' ELSE '' END || '></label>' END || '</div>' AS cell FROM f)
+SELECT doc_id, '{"$schema":"https://json-schema.org/draft/2020-12/schema","title":"Form","type":"object","properties":{' || string_agg(prop, ',' ORDER BY y, x, id) || '},"required":[' || coalesce(string_agg(CASE WHEN req THEN '"' || id || '"' END, ',' ORDER BY y, x, id), '') || ']}' AS schema,
+  '<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Form</title><style>form{display:grid;grid-template-columns:repeat(12,1fr)}</style></head><body>' || chr(10) || '<form>' || chr(10) || string_agg(cell, chr(10) ORDER BY y, x, cell) || chr(10) || '</form></body></html>' AS html FROM j GROUP BY 1""")
 def q44_json_schema(spark, d):
     f = _layout(spark, d)
     return layout.json_schema(f).join(layout.html(f), "doc_id")
@@ -618,12 +637,24 @@ def q48_label_match_contains(spark, d):
     b = _t(spark, d, "benchmark").filter("text <> ''").withColumn("ws", tokens.words_in(F.col("text")))
     gram = lambda ws, k: F.array_join(F.slice(ws, k, F.lit(3)), " ")
     keyed = b.filter(F.size("ws") >= 5).select("item_id", F.col("text").alias("passage"), gram(F.col("ws"), F.lit(2)).alias("gram"))
-    docs = _t(spark, d, "documents").select("doc_id", "text").withColumn("ws", tokens.words_in(F.col("text")))
-    grams = docs.filter(F.size("ws") >= 3).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda k: gram(F.col("ws"), k)))).alias("gram"))
-    long_ones = grams.join(keyed, "gram").filter(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = b.filter(F.size("ws") < 5).select("item_id", F.col("text").alias("passage"))
-    few = docs.join(short, F.contains("text", "passage")).select("item_id", "doc_id")
-    return long_ones.unionByName(few)
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    ws = tokens.words_in(F.col("text"))
+    wide = docs.withColumn("ws", ws).filter(F.size("ws") >= 3)
+    grams = wide.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda k: gram(F.col("ws"), k)))).alias("gram"))
+    maybe = grams.join(keyed.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
+    # only then do the texts come in, once per candidate
+    long_ones = docs.join(maybe, "doc_id").join(keyed.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    # a shorter passage has no such words: its first three characters are the key
+    trio = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda k: F.substr(t, k, F.lit(3)))
+    short = b.filter(F.size("ws") < 5).select("item_id", F.col("text").alias("passage"), F.substring("text", 1, 3).alias("head"))
+    if short.isEmpty():
+        return long_ones
+    heads = short.filter(F.length("passage") >= 3)
+    near = docs.filter(F.length("text") >= 3).select("doc_id", F.explode(F.array_distinct(trio(F.col("text")))).alias("head")).join(heads.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
+    tiny = short.filter(F.length("passage") < 3).groupBy("passage").agg(F.collect_set("item_id").alias("items"))  # one row per passage of one or two characters
+    few = docs.join(near, "doc_id").join(heads.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    some = docs.join(tiny, F.contains("text", "passage")).select(F.explode("items").alias("item_id"), "doc_id")
+    return long_ones.unionByName(few).unionByName(some)
 
 
 _TRUTH = ["name", "account balance", "segment", "signature", "city", "country", "missing"]
@@ -640,12 +671,14 @@ def q49_recall_precision(spark, d):
 
 @query()
 def q50_quality_report(spark, d):
-    """Per form: candidates and fields with and without search, and the search's figures."""
+    """Per form: candidates and fields with and without search, junk removed, hit rate, and the search's figures."""
     t = _ordered_tokens(spark, d)
-    g = grouping.group_pages(t)
-    plain = grouping.group_pages(t, search=False).groupBy("doc_id").agg(F.count("*").alias("baseline_candidates"))
-    report = g.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.first("pass_cost").alias("cost"), F.first("pass_start_cost").alias("start_cost"), F.first("pass_iterations").alias("iterations"), F.first("pass_evaluations").alias("evaluations"))
-    return report.join(plain, "doc_id")
+    catalogue = templates.catalogue(spark)
+    out = extract.passes(t, catalogue)
+    plain = extract.passes(t, catalogue, search=False)
+    report = R.quality(out["candidates"], plain["candidates"], out["fields"], plain["fields"])
+    figures = out["candidates"].groupBy("doc_id", "page").agg(F.lit(6).alias("restarts"), F.first("pass_iterations").alias("iterations"), F.first("pass_evaluations").alias("evaluations"), F.first("pass_cost").alias("cost"), F.first("pass_start_cost").alias("start_cost"))
+    return report.join(R.pass_figures(figures), "doc_id")
 
 
 @query()
@@ -661,6 +694,9 @@ def q52_normalised_fields(spark, d):
     return N.normalise_fields(asked)
 
 
-@query("SELECT event_type AS stage, min(ts) AS first_at, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH m AS (SELECT user_id AS doc_id, event_type AS stage, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS lap FROM events)
+SELECT doc_id, stage, sum(coalesce(lap, 0))::BIGINT AS took FROM m GROUP BY 1, 2""")
 def q53_stage_totals(spark, d):
-    return _t(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.min("ts").alias("first_at"), F.count("*").alias("n"))
+    """A user's events as the stages of a run: the time each took, by stage."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return R.stage_laps(e)
