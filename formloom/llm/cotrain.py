@@ -1,7 +1,7 @@
 """Quality classification by co-training of two views.
 
-The text view has character and repetition rates and the presence of selected hashed words; the metadata view has
-the source, language, length and line layout. Each view's logistic regression labels the pool documents it is most
+The text view has character and repetition rates, line layout and the presence of selected hashed words; the metadata
+view has what is known without the text: source, language and the recorded number of characters. Each view's logistic regression labels the pool documents it is most
 sure of for the other view, over rounds; both are then calibrated (Platt scaling) and combined on labelled
 documents that neither was trained on.
 
@@ -22,15 +22,16 @@ from .common import discard, flat_bytes, lean, materialise, slices, table
 from .minhash import word_hashes
 
 WORD_BITS, WORDS = 20, 300
-SHAPE = ["symbols", "capitals", "digits", "spaces", "beyond_ascii", "word_length", "distinct_words", "same_as_last", "repeated_lines", "punctuation"]
-LAYOUT = ["log_chars", "log_lines", "line_length", "short_lines"]
+SHAPE = ["symbols", "capitals", "digits", "spaces", "beyond_ascii", "word_length", "distinct_words", "same_as_last", "repeated_lines", "punctuation",
+         "log_chars", "log_lines", "line_length", "short_lines"]
+LAYOUT = ["log_n_chars", "no_n_chars"]
 META_BITS = 6
 #: Word numbers are stored as their low 16 bits in ascending order, and how many have each value of the high bits.
 HIGH = 1 << (WORD_BITS - 16)
 
 
-def shape_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text rates (SHAPE), line layout (LAYOUT), and each distinct (document, word number) pair of the batch."""
+def shape_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text rates and line layout (SHAPE), and each distinct (document, word number) pair of the batch."""
     flat, starts, lens = flat_bytes(column, 0)
     n = len(lens)
     flat = np.insert(flat, np.cumsum(lens), 10)
@@ -64,7 +65,12 @@ def shape_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
         np.bincount(doc, weights=same, minlength=n) / np.maximum(words, 1), np.bincount(line_doc, weights=again, minlength=n) / lines, rate(punct[flat]),
     ], axis=1)
     layout = np.stack([np.log1p(lens), np.log1p(lines), lens / lines / 100, np.bincount(line_doc, weights=length < 20, minlength=n) / lines], axis=1)
-    return np.minimum(text, 10), layout, pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1)
+    return np.column_stack((np.minimum(text, 10), layout)), pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1)
+
+
+def size_columns(n_chars: list) -> np.ndarray:
+    """The recorded size (LAYOUT); null is a value of its own."""
+    return np.array([[0.0 if n is None else np.log1p(max(float(n), 0.0)), float(n is None)] for n in n_chars]).reshape(-1, len(LAYOUT))
 
 
 def meta_codes(source: list, lang: list) -> np.ndarray:
@@ -209,12 +215,17 @@ def once(rows: pa.Table) -> pa.Table:
     return rows.take(np.unique(np.asarray(rows["doc_id"], np.int64), return_index=True)[1]).combine_chunks()
 
 
+def n_chars_of(docs: DataFrame):
+    return (F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """_FEATURES of every document with an id: what both views can look at, in few bytes."""
 
     def extract(batches):
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            shape, layout, word_doc, words = shape_features(batch.column(1))
+            shape, word_doc, words = shape_features(batch.column(1))
+            layout = size_columns(batch.column(4).to_pylist())
             n = batch.num_rows
             fixed = lambda x: binaries(x, np.full(n, x.shape[1] * x.itemsize))
             codes = meta_codes(batch.column(2).to_pylist(), batch.column(3).to_pylist())
@@ -223,7 +234,7 @@ def features(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "shape", "layout", "meta", "low", "high"],
             )
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"), n_chars_of(docs))
     return rows.mapInArrow(lean(extract), _FEATURES)
 
 
@@ -307,15 +318,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, seed: in
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_with) -> DataFrame:
-    """docs with q_text, q_meta, q_score (probabilities of good) and q_kept (q_score >= keep_at).
+    """docs(doc_id, text, source, lang, n_chars where there is one) with q_text, q_meta, q_score (probabilities of good)
+    and q_kept (q_score >= keep_at).
 
-    Null text is empty; null source or language is a value of its own. Without labels of both classes every score is
+    Null text is empty; null source, language or size is a value of its own; repeated rows and ties are judged alike. Without labels of both classes every score is
     0.5 and all are kept. All rows and columns pass through (columns named q_* as here are replaced); an empty table
     gives no rows.
     """
     docs = docs.drop(*NEW)
     model = fit(docs, labels, **fit_with)
     names = docs.columns
+    size_at = names.index("n_chars") if "n_chars" in names else None
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + _SCORES
     text_at, source_at, lang_at = (names.index(n) for n in ("text", "source", "lang"))
 
@@ -326,7 +339,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, **fit_wit
                     scores = [np.full(batch.num_rows, 0.5)] * 3
                 else:
                     text = batch.column(text_at).fill_null("")
-                    scores = model.score(*shape_features(text), meta_columns(meta_codes(*([None if v is None else str(v) for v in batch.column(c).to_pylist()] for c in (source_at, lang_at)))))
+                    shape, word_doc, words = shape_features(text)
+                    layout = size_columns([None] * batch.num_rows if size_at is None else batch.column(size_at).to_pylist())
+                    scores = model.score(shape, layout, word_doc, words, meta_columns(meta_codes(*([None if v is None else str(v) for v in batch.column(c).to_pylist()] for c in (source_at, lang_at)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=[*names, "q_text", "q_meta", "q_score"])
 
     out = docs.mapInArrow(lean(run), schema)
@@ -339,5 +354,5 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), good_labels(table(spark, sf_dir, "labels")))
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"), good_labels(table(spark, sf_dir, "labels")))
     return out.select("doc_id", "q_text", "q_meta", "q_score", F.col("q_kept").alias("kept"))

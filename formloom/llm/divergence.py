@@ -23,7 +23,7 @@ COMMON_WORDS = {
 CLASSES = ["lower", "upper", "digit", "space", "punctuation", "symbol", "beyond_ascii", "other"]
 #: Guards (characters, words) and the largest distances that still count as the language. Short texts stray further
 #: by chance, so SHORT / sqrt(characters) is added to the distance of characters.
-MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, SHORT = 100, 50, 0.12, 0.4, 2.0
+MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, SHORT = 300, 60, 0.12, 0.4, 2.0
 
 _SPACES = " \t\n\x0b\f\r"
 
@@ -95,7 +95,9 @@ def distance(p: Column, q: list[float]) -> Column:
 def judge(docs: DataFrame, languages: dict[str, list[str]] = COMMON_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Per row of docs(doc_id, text, lang): the base counts, base_failed, char_distance, word_distance and kept.
 
-    Null text is empty (and fails the base). A text in an undeclared or unknown language is compared with every
+    The guards leave the words of texts under MIN_WORDS, and the characters of texts under MIN_CHARS, unjudged. Null text
+    is empty (and fails the base); repeated rows are judged alike, texts of any length whole; extra columns, whatever their
+    names, are left out; an empty table gives no rows. A text in an undeclared or unknown language is compared with every
     reference all the same; languages no document declares have none, and without any reference the verdict is the
     base's. The distances are those of the nearest language (least sum).
     """

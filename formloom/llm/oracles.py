@@ -47,6 +47,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(length(line))::BIGINT AS formatted_chars FROM e GROUP BY 1"""
 
+OP5B_SQL = rf"""WITH c AS (SELECT conv_id // 4 AS tree, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+e AS (SELECT *, min(conv_id) OVER (PARTITION BY tree) AS f0, length(text) % 7 AS s, length('### ' || replace({_ESC.format('role')}, ':', '\c') || ': ' || {_ESC.format('text')} || '</turn>' || chr(10)) AS n FROM c),
+r AS (SELECT tree, s, n, conv_id FROM e WHERE conv_id = f0 AND i = 1),
+b AS (SELECT e.tree, e.conv_id, e.conv_id * 1000000 + max(e.i) AS leaf, sum(e.s) + CASE WHEN e.conv_id = any_value(f0) THEN 0 ELSE any_value(r.s) END AS path_score, count(*) + (e.conv_id <> any_value(f0))::INTEGER AS n_turns, sum(e.n) + CASE WHEN e.conv_id = any_value(f0) THEN 0 ELSE any_value(r.n) END AS formatted_chars,
+  e.conv_id = any_value(f0) AND count(*) = 1 AS bare FROM e JOIN r USING (tree) GROUP BY e.tree, e.conv_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY path_score DESC, leaf) AS k FROM b WHERE NOT bare OR tree NOT IN (SELECT tree FROM e WHERE conv_id <> f0))
+SELECT tree, leaf, path_score::DOUBLE AS path_score, n_turns::BIGINT AS n_turns, formatted_chars::BIGINT AS formatted_chars FROM k WHERE k <= 2"""
+
 OP8_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
@@ -66,4 +74,4 @@ g AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER
 k AS (SELECT d.doc_id, h, sum(b - a + 1) AS removed, count(run) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)) || CASE WHEN final THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM d LEFT JOIN g USING (doc_id) GROUP BY 1, 2)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept END)) AS kept_sha256 FROM k"""
 
-ORACLE_SQL = {"op1_divergence_rules": _op1(), "op2_nra_topk": OP2_SQL, "op5_reply_trees": OP5_SQL, "op8_bbit_minhash": OP8_SQL, "op10_lpf_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_divergence_rules": _op1(), "op2_nra_topk": OP2_SQL, "op5_reply_trees": OP5_SQL, "op5b_ranked_branches": OP5B_SQL, "op8_bbit_minhash": OP8_SQL, "op10_lpf_dedup": OP10_SQL}

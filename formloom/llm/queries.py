@@ -9,7 +9,7 @@ from .minhash import op8_bbit_minhash
 from .mixing import op9_flow_mixing
 from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import op3_cost_packing
-from .reply_trees import op5_reply_trees
+from .reply_trees import op5_reply_trees, op5b_ranked_branches
 from .suffix_dedup import op10_lpf_dedup
 from .token_files import op6_bitpacked_ids
 from .topk_search import op2_nra_topk
@@ -19,5 +19,6 @@ QUERIES = {
     for f in (
         op1_divergence_rules, op2_nra_topk, op3_cost_packing, op4_katz_backoff, op5_reply_trees, op6_bitpacked_ids,
         op7_cotraining_quality, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup,
+        op5b_ranked_branches,
     )
 }

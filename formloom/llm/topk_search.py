@@ -83,11 +83,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     ids count once (their least vector); repeated rows are each listed. Vectors of unequal length count as padded
     with zeros. Empty inputs give no rows.
     """
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = queries.groupBy(F.col("vec_id").alias("q_id")).agg(F.min("v").alias("q_v")).select(F.col("q_id").alias("vec_id"), F.col("q_v").alias("v"))
     rb = max(1, -(-rows.count() // ROW_BLOCK))
     qb = max(1, -(-queries.count() // QUERY_BLOCK))
     left = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    right = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"), F.pmod(F.xxhash64("vec_id"), F.lit(qb)).cast("int").alias("qb"))
+    # names and attributes of their own on either side, also where both sides come from one table
+    right = queries.select((F.col("vec_id") + 0).alias("vec_id"), F.col("v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"), F.pmod(F.xxhash64("vec_id"), F.lit(qb)).cast("int").alias("qb"))
 
     def dense(t: pa.Table, dims: int) -> np.ndarray:
         column = t["v"].combine_chunks()

@@ -443,6 +443,33 @@ def test_reply_trees(spark):
     assert [tuple(t) for t in got[2].turns] == [("sys:x", "\\### Assistant: </turn>\n")]
     assert [got[1].formatted[s.start : s.start + s.length] for s in got[1].loss_mask] == ["a\\h\\l"]
     assert reply_trees.conversations_of(trees.limit(0)).count() == 0
+    # a null tree is a tree; repeated nodes count once; columns may be named as the operator's own
+    odd = [(None, 1, None, "user", "x", 1.0), (None, 2, 1, "assistant", "y", 1.0), (5, 1, None, "user", "p", 1.0), (5, 1, None, "user", "p", 1.0), (5, 2, 1, "assistant", "b", 2.0), (5, 2, 1, "assistant", "a", 9.0)]
+    odd = spark.createDataFrame(odd, trees.schema).withColumns({c: F.lit(0) for c in ("t", "n", "top", "leaf", "pos", "r", "path_score")})
+    got = reply_trees.conversations_of(odd).orderBy("tree").collect()
+    assert [(r.tree, r.leaf, r.path_score, r.formatted) for r in got] == [(None, 2, 2.0, "### user: x</turn>\n### assistant: y</turn>\n"), (5, 2, 10.0, "### user: p</turn>\n### assistant: a</turn>\n")]
+
+
+def test_random_reply_trees(spark):
+    rng, rows = random.Random(3), []
+    for tree in range(6):
+        rows += [(tree, n, rng.choice([None, *range(max(0, n - 4), n)]) if n else None, rng.choice(["user", "assistant"]), f"{tree}.{n}", float(rng.randrange(5))) for n in range(rng.choice([1, 2, 9, 70]))]
+    up = {(t, n): (p, s) for t, n, p, _, _, s in rows}
+    want = []
+    for tree in range(6):
+        inner = {p for (t, _), (p, _) in up.items() if t == tree}
+        paths = []
+        for (t, n), _ in up.items():
+            if t == tree and n not in inner:
+                path, at = [], n
+                while at is not None:
+                    path.append(at)
+                    at = up[t, at][0]
+                paths.append((-sum(up[t, x][1] for x in path), n, [f"{t}.{x}" for x in reversed(path)]))
+        want += [(tree, n, -s, texts) for s, n, texts in sorted(paths)[:3]]
+    got = reply_trees.conversations_of(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), per_tree=3)
+    got = got.select("tree", "leaf", "path_score", F.transform(reply_trees.parse(F.col("formatted")), lambda t: t["text"]).alias("texts")).collect()
+    assert sorted((r.tree, r.leaf, r.path_score, r.texts) for r in got) == sorted(want)
 
 
 def test_fill_and_route():

@@ -100,7 +100,7 @@ def test_divergence_rules(docs, spark):
     by_lang = defaultdict(list)
     for r in rows():
         assert (got[r[0]].n_words, got[r[0]].word_chars, got[r[0]].n_symbols, got[r[0]].n_dup_lines, got[r[0]].n_repeat_words, got[r[0]].base_failed) == base(r[1]), r[1]
-        if r[2] in divergence.COMMON_WORDS and not base(r[1])[5] and len(r[1]) >= divergence.MIN_CHARS:
+        if r[2] in divergence.COMMON_WORDS and not base(r[1])[5] and len(r[1]) >= divergence.MIN_CHARS and base(r[1])[0] >= divergence.MIN_WORDS:
             by_lang[r[2]].append(histograms(r[1]))
     mean = lambda hs, k: [sum(h[k][j] for h in hs) / len(hs) for j in range(len(hs[0][k]))]
     refs = [(mean(hs, 0), mean(hs, 1)) for hs in by_lang.values()]
@@ -110,8 +110,16 @@ def test_divergence_rules(docs, spark):
         assert got[r[0]].char_distance == pytest.approx(near[1], abs=1e-9)
         assert got[r[0]].word_distance == pytest.approx(near[2], abs=1e-9)
         n = len(r[1] or "")
-        kept = not base(r[1])[5] and (n < divergence.MIN_CHARS or near[1] <= divergence.MAX_CHAR_DISTANCE + divergence.SHORT / math.sqrt(n)) and near[2] <= divergence.MAX_WORD_DISTANCE
+        kept = not base(r[1])[5] and (n < divergence.MIN_CHARS or near[1] <= divergence.MAX_CHAR_DISTANCE + divergence.SHORT / math.sqrt(n)) and (base(r[1])[0] < divergence.MIN_WORDS or near[2] <= divergence.MAX_WORD_DISTANCE)
         assert got[r[0]].kept == kept
+    # on either side of both guards: foreign words are judged from MIN_WORDS on, foreign characters from MIN_CHARS on
+    words = [f"zu{a}{b}" for a in "bcdfghkl" for b in "mnprstvw"]
+    near_en = lambda n: " ".join(["y" if k % 2 else w.capitalize() + "." if k % 8 == 0 else w + "###" if k % 8 == 4 else w for k, w in enumerate(words[:n])]).ljust(divergence.MIN_CHARS + 9, "s")
+    odd = [(9001, near_en(divergence.MIN_WORDS - 1), "en"), (9002, near_en(divergence.MIN_WORDS), "en"),
+           (9003, " ".join("éè" + w[2:4] for w in words[:55]), "en"), (9004, " ".join("éèêëà" + w[2:4] for w in words[: divergence.MIN_WORDS + 3]), "en")]
+    more = {r.doc_id: r for r in divergence.judge(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))).filter("doc_id > 9000").collect()}
+    assert not any(r.base_failed for r in more.values()) and len(odd[2][1]) < divergence.MIN_CHARS <= len(odd[3][1])
+    assert (more[9001].kept, more[9002].kept, more[9003].kept, more[9004].kept) == (True, False, True, False)
     assert divergence.judge(docs.limit(0)).count() == 0
     clash = docs.withColumns({"r1": F.lit(1), "words": F.lit(2), "p": F.lit(3)})
     assert divergence.judge(clash).count() == len(rows())
@@ -158,7 +166,8 @@ def test_cotraining_takes_pseudo_labels_from_all_unlabelled(spark, monkeypatch):
     model = cotrain.fit(docs, labels, max_labelled=150)
     assert counted and counted[0][0] == counted[0][1] > 112  # three quarters of 200, not of the 150 sampled
     text = [r[1] or "" for r in data[200:]]
-    shape, layout, doc, words = cotrain.shape_features(cotrain.pa.array(text))
+    shape, doc, words = cotrain.shape_features(cotrain.pa.array(text))
+    layout = cotrain.size_columns([r[4] for r in data[200:]])
     a = cotrain.text_columns(shape.astype(np.float32), model.presence(doc, words, len(text)))
     b = np.column_stack((layout.astype(np.float32), cotrain.meta_columns(cotrain.meta_codes([r[3] for r in data[200:]], [r[2] for r in data[200:]]))))
     for view_a, view_b, each, gone, (by_a, by_b) in asked:
