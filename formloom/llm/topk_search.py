@@ -1,12 +1,14 @@
 """Exact top-k inner-product search by no-random-access aggregation of sorted lists.
 
 Rows and queries meet in pairs of bounded blocks, so no task grows with the data. In a row block every dimension is a
-list of (value, row) sorted by value. A query reads the lists step by step, each from the end where its component
-scores most, and never looks a row up: what the lists have shown of a row is its partial score. Its lower bound takes the
-worst value of each list that has not shown it yet, its upper bound the value at that list's head; a row that no list has
-shown has the sum of the heads as its upper bound. The query stops when at most a few rows can still reach the k-th lower
-bound; only those rows' final scores are then resolved from their vectors. Dense vectors of even components make such
-bounds tighten late (reads of three quarters of the lists are usual); skewed or sparse ones stop early.
+list of (value, row) sorted by value. The queries read the lists step by step, each from the end where its component
+scores most; a row is never looked up: its partial score is what the lists have shown of it so far. Its lower bound takes
+the worst value of each list that has not shown it yet, its upper bound the value at that list's head; a row that no list
+has shown has the sum of the heads as its upper bound. A query stops when at most a few rows can still reach its k-th lower
+bound; only those rows' final scores are then resolved from their vectors. All queries of a chunk read in step: what a step
+shows is the same for all that read a list from one end, so a step is a product of what it shows with the queries. Dense
+vectors of even components make such bounds tighten late (reads of three quarters of the lists are usual); skewed or
+sparse ones stop early.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROW_BLOCK, QUERY_BLOCK = 2048, 8192
-#: Lists are read in so many steps at most.
-STEPS = 16
+#: Lists are read in so many steps at most; so many queries read together.
+STEPS, CHUNK = 8, 512
 
 
 def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -29,40 +31,40 @@ def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: n
     how many entries of each list it has read."""
     n, dims = rows.shape
     reach = dims * int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0))
-    kind = np.float64 if reach < 2**53 else np.int64  # exact either way, up to 64-bit scores
-    order = np.argsort(rows, axis=0, kind="stable").T
-    lists = np.take_along_axis(rows.T, order, axis=1).astype(kind)
+    kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64  # exact each time, up to 64-bit scores
+    least = np.iinfo(np.int64).min // 2 if kind is np.int64 else -np.inf
+    order = np.argsort(rows, axis=0, kind="stable")
+    value = rows.T.astype(kind)
+    lists = np.take_along_axis(value, order.T, axis=1)
+    place = np.empty((dims, n), np.int64)
+    np.put_along_axis(place, order.T, np.arange(n)[None, :], axis=1)
+    far = np.concatenate((n - 1 - place, place))  # entries before a row in each list, from the top and from the bottom
+    shown = np.concatenate((value, value))
     step, few = max(1, -(-n // STEPS)), max(4 * k, n // 16)
-    out = []
-    for q, q_id in zip(queries, query_ids):
-        used = np.flatnonzero(q)
-        at, value = order[used], lists[used] * q[used].astype(kind)[:, None]
-        down = q[used] < 0
-        at[~down], value[~down] = at[~down][:, ::-1], value[~down][:, ::-1]  # every list from its best end
-        partial, hidden = np.zeros(n, kind), np.ones((n, len(used)), kind)
-        lists_of = np.arange(len(used))[:, None]
-        other = row_ids != q_id
-        can, depth = other, 0
-        while len(used) and depth < n:
-            shown, gain = at[:, depth : depth + step], value[:, depth : depth + step]
-            depth = min(n, depth + step)
-            if kind is np.float64:
-                partial += np.bincount(shown.ravel(), gain.ravel(), n)
-            else:
-                np.add.at(partial, shown, gain)
-            hidden[shown, lists_of] = 0
-            lower, upper = (partial + hidden @ value[:, c] for c in (-1, depth - 1))
-            known = lower[other]
-            if len(known) <= k:
-                break
-            bar = np.partition(known, len(known) - k)[len(known) - k]
-            can = (upper >= bar) & other
-            if np.count_nonzero(can) <= few:
-                break
-        mine = np.flatnonzero(can)
-        score = rows[mine] @ q
-        best = np.lexsort((row_ids[mine], -score))[:k]
-        out.append((mine[best], score[best], depth))
+    out: list[tuple[np.ndarray, np.ndarray, int]] = [None] * len(queries)  # type: ignore[list-item]
+    for first in range(0, len(queries), CHUNK):
+        open_q = np.arange(first, min(len(queries), first + CHUNK))
+        q = queries[open_q].astype(kind)
+        q = np.concatenate((np.maximum(q, 0), np.minimum(q, 0)), axis=1)  # what reads from the top, and from the bottom
+        partial = np.zeros((len(q), n), kind)
+        depth = 0
+        while len(open_q):
+            end = min(n, depth + step)
+            partial += q @ np.where((far >= depth) & (far < end), shown, 0).astype(kind)
+            hidden, depth = (far >= end).astype(kind), end
+            worst, head = (np.concatenate((lists[:, x], lists[:, y])) for x, y in ((0, -1), (n - depth, depth - 1)))
+            lower, upper = partial + (q * worst) @ hidden, partial + (q * head) @ hidden
+            own = row_ids[None, :] == query_ids[open_q][:, None]
+            lower[own] = least
+            at = n - min(k, n)
+            can = (upper >= np.partition(lower, at, axis=1)[:, at : at + 1]) & ~own
+            done = np.count_nonzero(can, axis=1) <= few if depth < n else np.ones(len(open_q), bool)
+            for j in np.flatnonzero(done):
+                mine = np.flatnonzero(can[j])
+                score = rows[mine] @ queries[open_q[j]]
+                best = np.lexsort((row_ids[mine], -score))[:k]
+                out[open_q[j]] = mine[best], score[best], depth
+            q, partial, open_q = q[~done], partial[~done], open_q[~done]
     return out
 
 
