@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from formloom.operators import boundary, climb, evaluation, gate, grouping, layout, pruning, store, tokens
+from formloom.operators import boundary, climb, evaluation, gate, grouping, layout, pruning, report, service, store, templates, tokens
+from formloom.plans import extract
 
 TOKEN = "doc_id long, page int, row int, pos int, text string, x double, y double, w double, h double, confidence double"
 
@@ -185,8 +186,8 @@ def test_blocks_become_tokens(spark):
     ], "doc_id long, block int, kind string, content string, x double, y double, w double, h double")
     got = tokens.block_tokens(b).collect()
     text = {}
-    for r in sorted(got, key=lambda r: (r.line, r.pos)):
-        text.setdefault(r.line, []).append(r.text)
+    for r in sorted(got, key=lambda r: (r.block, r.line, r.pos)):
+        text.setdefault((r.block, r.line), []).append(r.text)
     assert list(text.values()) == [["one", "line", "here"], ["two"], ["lines"], ["wrapped", "by", "reader"], ["a", "b"]]
 
 
@@ -218,3 +219,83 @@ def test_evaluation(spark):
     r = evaluation.recall_precision(truth, found).collect()[0]
     assert (r.recall, r.precision) == (pytest.approx(2 / 3), pytest.approx(3 / 4))
     assert evaluation.answer_accuracy(truth, found).collect()[0].accuracy == pytest.approx(2 / 3)
+
+
+def test_long_lines_are_laid_out_in_proportion(spark):
+    rng = random.Random(1)
+    words = ["w" * rng.randrange(1, 9) for _ in range(64_000)]
+    got = tokens.reflow(spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "doc_id long, text string")).select("doc_id", "pos", "x", "gap_after").orderBy("pos").collect()
+    at, want = 40.0, []
+    for k, w in enumerate(words):
+        want.append((1, k, at, 5.0 if k + 1 < len(words) else None))
+        at += 6.0 * len(w) + 5
+    assert [tuple(r) for r in got] == want
+
+
+def test_lines_of_long_blocks_keep_their_ids(spark):
+    b = spark.createDataFrame([(1, 0, "text", "\n".join(f"l{k}" for k in range(1002)), 0.0, 0.0, 90.0, 9000.0), (1, 1, "text", "\n".join(f"m{k}" for k in range(5)), 500.0, 0.0, 90.0, 90.0)], "doc_id long, block int, kind string, content string, x double, y double, w double, h double")
+    got = tokens.block_tokens(b)
+    assert got.count() == 1007 == got.select("doc_id", "block", "line", "pos").distinct().count()
+
+
+def test_documents_without_tokens_are_rejected(spark):
+    docs = spark.createDataFrame([(1, "Name: ____"), (2, None), (3, " \n ")], "doc_id long, text string")
+    got = {r.doc_id: r for r in gate.decide(gate.signals(tokens.reflow(docs), docs=docs).withColumn("score", gate.score())).collect()}
+    assert set(got) == {1, 2, 3} and all(not got[k].is_form and got[k].confidence == 1.0 and got[k].token_count == 0 for k in (2, 3)) and got[1].token_count == 2
+
+
+def test_second_opinions_and_messages(spark):
+    d = spark.createDataFrame([(1, False, 0.9, 40), (2, True, 0.8, 10), (3, True, 0.8, 40), (4, False, 0.9, 0)], "doc_id long, is_form boolean, confidence double, token_count int")
+    v = spark.createDataFrame([(1, True, 0.7), (2, None, None), (3, False, 0.9), (4, False, None)], "doc_id long, v_form boolean, v_confidence double")
+    got = {r.doc_id: r for r in gate.second_opinion(d, v).withColumn("m", service.rejection_message(F.col("token_count"), F.col("confidence"), F.col("second"))).collect()}
+    assert [(got[k].is_form, got[k].confidence, got[k].second) for k in (1, 2, 3, 4)] == [(True, 0.7, True), (True, 0.8, False), (True, 0.8, False), (False, 0.5, True)]
+    assert got[4].m == service.NO_TEXT and "(form likelihood 30%) (checked" in got[1].m.replace(" (checked", " (checked")
+
+
+def test_pruning_merges_overlapping_pairs(spark):
+    rows = [(1, 1, "c1", 0.1, 0.9, 10.0, 100.0), (1, 1, "c2", 0.1, 0.6, 12.0, 100.0), (1, 1, "c3", 0.9, 0.0, 90.0, 100.0)]
+    c = spark.createDataFrame(rows, "doc_id long, page int, candidate_id string, junk double, genuine double, y double, page_height double")
+    pairs = spark.createDataFrame([(1, 1, "c1", "c2")], "doc_id long, page int, a string, b string")
+    with_pair = pruning.prune_search(c, pairs).collect()
+    without = pruning.prune_search(c, pairs.limit(0)).collect()
+    assert {r.candidate_id for r in with_pair} == {"c1", "c2"} == {r.candidate_id for r in without}
+    assert with_pair[0].prune_evaluations > without[0].prune_evaluations  # the merge is a move of its own
+
+
+def test_whole_run(spark, both):
+    t, _ = both if isinstance(both, tuple) else (both, None)
+    toks = tokens.with_gaps(t.drop("gap_after"))
+    docs = toks.select("doc_id").distinct().unionByName(spark.createDataFrame([(99,)], "doc_id long"))
+    asked = []
+
+    def client(prompt):
+        return {"reply": '[{"id": "f_001", "label": "Full name", "type": "text", "value": "ann", "review": true}]', "input_tokens": 7, "output_tokens": 3}
+
+    out = extract.run(toks, docs, templates.catalogue(spark), client)
+    gate_of = {r.doc_id: r.is_form for r in out["gate"].collect()}
+    assert gate_of[1] and not gate_of[2] and not gate_of[99]
+    fields = out["fields"].collect()
+    assert {r.doc_id for r in fields} == {1} and len({r.field_id for r in fields}) == len(fields)
+    calls = out["calls"].collect()
+    if calls:
+        assert [r for r in fields if r.field_id == "f_001"][0].value == "ann"
+    account = out["tokens"].collect()
+    assert [r.doc_id for r in account] == [1] and account[0].saved_vs_unpruned >= 0 and account[0].prompt_raw_text > 0
+    assert not asked
+
+
+def test_reports(spark):
+    marks = spark.createDataFrame([(1, 1, "gate", 5), (1, 2, "group", 9), (1, 3, "gate", 10)], "doc_id long, seq int, stage string, at long")
+    assert {r.stage: r.took for r in report.stage_laps(marks).collect()} == {"gate": 1, "group": 4}
+    one = lambda *ids: spark.createDataFrame([(i, None) for i in ids], "doc_id long, template_key string")
+    got = {r.doc_id: r for r in report.quality(one(1, 1, 2), one(1), one(1), one(1)).collect()}
+    assert (got[1].candidates, got[1].fields, got[1].junk_removed, got[1].template_hit_rate, got[2].fields) == (2, 1, 1, 0.0, 0)
+
+
+def test_export_formats(spark):
+    f = layout.new_fields(spark.createDataFrame([(1, "a", "L<", "date", 99, -4, True, None, None, "T")], "doc_id long, field_id string, label string, type string, x int, y int, required boolean, options array<string>, value string, title string"))
+    r = f.first()
+    assert (r.x, r.y, r.w, r.h) == (8, 0, 4, 1)
+    assert '"format":"date"' in layout.export(f, "json").first().body and "L&lt;" in layout.export(f, "html").first().body and layout.export(f, "pdf").first().page_no == 0
+    with pytest.raises(ValueError):
+        layout.export(f, "doc")
