@@ -39,6 +39,14 @@ def _sql(text: str, dialect: str) -> str:
     return _DIALECTS[dialect][kind].format(column)
 
 
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder. spread: rows that become many are dealt over the shuffle partitions first where the table
+    lies in fewer files than those, as a single file of one row group is read by one task; in many files it stays as it is."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return t.repartition(width) if spread and len(t.inputFiles()) < min(width, spark.sparkContext.defaultParallelism) else t
+
+
 def form_tokens(spark: SparkSession, sf_dir: str, kind: str = "customer") -> DataFrame:
     """Tokens of the customer or order forms with gap_after; one narrow pass over the source table."""
     spec, table, key = (CUSTOMER, "customer", "c_custkey") if kind == "customer" else (ORDER, "orders", f"o_orderkey + {ORDER_BASE}")
@@ -48,7 +56,8 @@ def form_tokens(spark: SparkSession, sf_dir: str, kind: str = "customer") -> Dat
         after = next((b[3] for b in spec if b[0] == r and b[1] == p + 1), None)
         gap = f"{after}D - ({x}D + 6D * length({text}))" if after else "cast(null as double)"
         toks.append(f"named_struct('page', 1, 'row', {r}, 'pos', {p}, 'text', {text}, 'x', {x}D, 'y', {y}D, 'w', 6D * length({text}), 'h', {h}D, 'confidence', 1D, 'gap_after', {gap})")
-    src = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    used = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"] if kind == "customer" else ["o_orderkey", "o_orderdate", "o_totalprice"]
+    src = read(spark, sf_dir, table, spread=True).select(used)
     return src.selectExpr(f"cast({key} as bigint) doc_id", f"inline(array({', '.join(toks)}))")
 
 

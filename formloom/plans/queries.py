@@ -15,7 +15,7 @@ from ..operators import evaluation as E
 from ..operators import gate, grouping, layout, pruning, store, templates, tokens
 from ..operators import report as R
 from . import extract
-from .forms import CUSTOMER_SQL, FORM_SQL, ORDER_BASE, ORDER_SQL, TOK_SQL, all_tokens, form_tokens
+from .forms import CUSTOMER_SQL, FORM_SQL, ORDER_BASE, ORDER_SQL, TOK_SQL, all_tokens, form_tokens, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read(spark, d, name, spread=name in ("documents", "pages"))
 
 
 def _q(text: str) -> str:
