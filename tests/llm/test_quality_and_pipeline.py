@@ -218,3 +218,32 @@ def test_pipeline(spark, tmp_path):
     assert set(tokens) == set(times)
     one = pipeline.run(spark, folder)
     assert sorted(map(tuple, one.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in step[4])
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, columns named as the operators' own, and empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    text = prose(rng, EN, 90)
+    odd = [(None, text, "en", "s", 5), (None, None, None, None, None), (1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, "", "en", None, 0), (3, prose(rng, EN, 80), None, "s", None), (4, text.replace("the", "xx", 1), "en", "t", 7)]
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["q_text", "q_kept", "mix_rest", "mix_taken", "mix_key", "lpf_th", "n", "label", "component_id", "row", "doc", "col"]
+    docs = spark.createDataFrame(odd, SCHEMA).withColumns({c: F.lit("own") for c in names})
+    folder = f"file://{tmp_path}"
+    at = docs
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        out = stage(spark, at, folder)
+        out.write.parquet(f"{folder}/odd{k}")
+        at = spark.read.parquet(f"{folder}/odd{k}")
+        rows_ = at.collect()
+        if k < 4:
+            assert at.columns == docs.columns and all(r[c] == "own" for r in rows_ for c in names), name
+        if k == 0:
+            assert len(rows_) == len(odd)  # one class only: all are kept
+        if k in (1, 2):  # the rows of document 1 stay together, 4 goes as their near copy; rows without an id stay
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows_) == [(False, 1), (False, 1), (False, 2), (False, 3), (True, 0), (True, 0)], name
+        if k == 3:
+            assert all((r.text or "").strip() for r in rows_) and len({r.doc_id for r in rows_}) >= 2
+        if k == 4:
+            assert rows_ and all(r.length > 0 for r in rows_)
