@@ -39,7 +39,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Emptied documents stay as rows; null text becomes empty; rows without doc_id keep their text, rows of one doc_id
     don't match each other; an empty table gives no rows; all other columns pass through, whatever their names."""
-    out = suffix_dedup.remove_repeats(docs)
+    own = {c: f"own_{c}" for c in docs.columns if c.startswith("lpf_")}
+    out = suffix_dedup.remove_repeats(docs.withColumnsRenamed(own)).withColumnsRenamed({v: k for k, v in own.items()})
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
