@@ -1,18 +1,23 @@
-"""Katz back-off language model: bigrams with Good-Turing discounts, backing off to discounted unigrams.
+"""Katz back-off language model of any order: Good-Turing discounted n-grams, backing off to shorter ones.
 
-    P(w | h) = d(c) c(h, w) / c(h)   where c(h, w) > 0,   else alpha(h) P(w)
+    P(w | h) = d(c) c(h, w) / c(h)   where c(h, w) > 0,   else alpha(h) P(w | h without its first word)
     P(w)     = d(c) c(w) / N         where c(w) > 0,      else the mass the discounts leave (one unknown word)
-    alpha(h) = (1 - sum of the seen) / (1 - sum of P(w) over the words seen after h), or 1 for an unseen h
-
-so the words seen in training and the unknown word sum to 1 after every history. Words are 64-bit hashes. Texts are cut into blocks once;
-the rest is exchanged as packed integer columns by hash bucket: words to count and number them, training bigrams to
-make the n-gram table, then each token's bigram to look its probability up. Counts are combined within a block
-before each exchange, and tables are written to the shared folder, one row per bucket.
+    alpha(h) = (1 - sum of the seen) / (1 - sum of the lower order's P over the words seen after h), or 1 for an unseen h
+
+so the words seen in training and the unknown word sum to 1 after every history. Words are 64-bit hashes. Texts are cut
+into blocks once; the rest is exchanged as packed integer columns by hash bucket. First words are counted and numbered.
+Then, level by level, each block asks for its distinct n-grams; a bucket adds up their counts, writes its part of the
+n-gram table and answers with counts, and for n-grams that training lacks with what their history's back-off weight
+needs; the block evaluates its tokens from the level below. An n-gram is dealt by its history, and by history and word
+where the history holds more than a set share of a bucket, so no key is one task's work; the sums of such histories are
+added up over the buckets. All tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, lean, materialise, release, shuffle_width, table
+from .common import discard, flat_bytes, lean, materialise, mix64, release, shuffle_width, table
 from .minhash import word_hashes
 from . import suffix_dedup
 from .suffix_dedup import runs
 
 BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 1_500_000
-#: The look-up of all tokens goes in this many rounds over the buckets, which divides what is exchanged at once.
-ROUNDS = 2
+#: A level's n-grams go in this many rounds over the buckets, which divides what is exchanged at once.
+ROUNDS = 4
+SPLIT = 4  #: a history with more than this part of a bucket's fair share of all tokens is dealt by its words
 KATZ = 5  #: counts above this are not discounted
 BOS = 0xFFFFFFFF
 END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -78,23 +84,6 @@ class Unigrams:
         return np.where(c > 0, d * c / max(self.total, 1) * self.scale, self.rest)
 
 
-def histories(h: np.ndarray, c: np.ndarray, p: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From bigrams sorted by history (counts c, unigram probabilities p): the probability of each, and each history
-    with its back-off weight and its start. A history without counts to discount gives up 1 / (c(h) + 1)."""
-    first = runs(h)
-    c = c.astype(np.float64)
-    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-    total = np.add.reduceat(c, first) if len(first) else c
-    dd = np.array([1.0, *d])
-    kept = np.where(c <= KATZ, dd[np.minimum(c, KATZ).astype(np.int64)], 1.0) * c
-    none = (np.maximum.reduceat((c <= KATZ).astype(np.int8), first) == 0) if len(first) else np.zeros(0, bool)
-    prob = kept / total[of]
-    prob = np.where(none[of], c / (total[of] + 1), prob)
-    lost = np.where(none, 1 / (total + 1), np.add.reduceat(c - kept, first) / total) if len(first) else total
-    seen = np.add.reduceat(p, first) if len(first) else total
-    return prob, h[first], lost / (1 - seen), first
-
-
 def _rows(rows: list[tuple], n: int) -> pa.Table:
     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * n]
     names = ["bucket", "block", "kind", *(f"p{k}" for k in range(1, n + 1))]
@@ -105,12 +94,191 @@ def _schema(n: int) -> str:
     return "bucket int, block long, kind int" + "".join(f", p{k} binary" for k in range(1, n + 1))
 
 
-def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode()) % 7 == 2) -> DataFrame:
+@dataclass(frozen=True)
+class Model:
+    """What all tasks know: totals, and per level the discounts and the sums of the histories that are dealt by word."""
+
+    total: int
+    types: int
+    buckets: int
+    uni: Unigrams
+    d: dict[int, list[float]]
+    hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    split: float
+
+    def kept(self, level: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts."""
+        dd = np.array([1.0, *self.d[level]])
+        return np.where(c <= KATZ, dd[np.minimum(c, KATZ).astype(np.int64)], 1.0) * c
+
+    def alpha(self, level: int, total: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Back-off weights of histories from their totals, their numbers of words seen 1 .. KATZ times (a row each) and
+        the lower order's probability of all words seen after them. One without counts to discount gives up 1 / (c(h) + 1)."""
+        total = total.astype(np.float64)
+        lost = n @ (np.arange(1, KATZ + 1) * (1 - np.array(self.d[level])))
+        lost = np.where(n.any(1), lost / np.maximum(total, 1), 1 / (total + 1))
+        return np.where(total > 0, lost / np.where(total > 0, 1 - seen, 1), 1.0)
+
+    def sums(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n and seen, as alpha() takes them, of histories dealt by word."""
+        known, n, seen = self.hot[level]
+        at = np.searchsorted(known, keys)
+        return n[at], seen[at]
+
+
+class Block:
+    """The tokens of one block's documents as level `level` meets them.
+
+    key, total: each token's history and how often training has it; low, low_total: the count one level below (twice
+    the count and a bit for an undiscounted history from level 3 on) and its history's total; p: the probability there.
+    """
+
+    def __init__(self, b: pa.Table | pa.RecordBatch, row: int, level: int, m: Model):
+        def get(name: str, kind: str) -> np.ndarray:
+            return unplanes([b.column(name)[row].as_py()], kind)
+
+        self.m, self.level = m, level
+        self.ids, self.flags, self.lens = get("ids", "<i8"), get("flags", "u1"), get("lens", "<u4").astype(np.int64)
+        codes, number, count = get("codes", "<u4"), get("number", "<u4"), get("count", "<u8")
+        self.first = np.cumsum(self.lens) - self.lens
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.train = (self.flags & 1)[self.doc] == 0
+        self.w, self.c = number[codes].astype(np.uint64), count[codes]
+        ends = self.c[self.lens[0] - 1]  # training documents, as each has one end: what (start, start, ...) counts
+        back = self.before(self.w, _U(BOS))
+        self.key, self.total, self.low, self.low_total, self.p = back, self.before(self.c, ends), self.c, None, m.uni.p(self.c)
+        for k in range(2, level):
+            back = self.before(back, _U(BOS))
+            self.key = self.key << _U(32) | back if k == 2 else mix64(mix64(self.key) + back)
+            g = get(f"g{k}", "<u8")
+            self.advance(k, g, np.frombuffer(b.column(f"a{k}")[row].as_py()))
+            self.low, self.low_total, self.total = g, self.total, self.before(g >> _U(1), ends)
+        share = self.total.astype(np.float64) * m.split * m.buckets
+        self.hot = share > m.total
+        self.home = (mix64(self.key + np.where(self.hot, mix64(self.w + _U(1)), _U(0))) % _U(m.buckets)).astype(np.int64)
+
+    def before(self, x: np.ndarray, start: np.uint64) -> np.ndarray:
+        """Of each token, what x has for the one before it in the document."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
+
+    def advance(self, level: int, g: np.ndarray, a: np.ndarray) -> None:
+        """p one level up, from g (twice the count, and the bit) and the back-off weights of tokens without a count."""
+        c, none = g >> _U(1), g & _U(1)
+        p = self.m.kept(level, c) / np.maximum(self.total + none, _U(1))
+        unseen = c == 0
+        p[unseen] = a * self.p[unseen]
+        self.p = p
+
+    def grams(self, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens whose n-gram's home has this turn: their positions, one position per distinct n-gram (by home,
+        history, word) and each token's n-gram."""
+        mine = np.flatnonzero(self.home % ROUNDS == turn)
+        history = np.unique(self.key[mine], return_inverse=True)[1].astype(np.uint64)
+        _, first, of = np.unique(history << _U(32) | self.w[mine], return_index=True, return_inverse=True)
+        order = np.argsort(self.home[mine[first]], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return mine, mine[first[order]], place[of]
+
+    def requests(self, block: int, turn: int) -> list[tuple]:
+        """One row per home: its n-grams of this block with their training counts here and what lower orders know."""
+        mine, rep, of = self.grams(turn)
+        count = np.bincount(of, weights=self.train[mine], minlength=len(rep)).astype(np.uint64)
+        first, out = runs(self.home[rep]), []
+        for x, y in zip(first.tolist(), np.append(first[1:], len(rep)).tolist()):
+            m = rep[x:y]
+            h = runs(self.key[m])
+            low_total = planes(self.low_total[m[h]]) if self.level > 2 else None
+            out.append((int(self.home[m[0]]), block, 0, planes(steps(self.key[m[h]])), planes(np.diff(np.append(h, y - x)).astype(np.uint32)), planes(steps(self.w[m].astype(np.uint32))), planes(count[x:y]), planes(self.low[m]), low_total, planes(self.hot[m[h]].astype(np.uint8))))
+        return out
+
+    def answered(self, a: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """g of each token and the back-off weights of those without a count, from the homes' answers."""
+        told = {k: p for k, *p in zip(*(a[x].to_pylist() for x in ("bucket", "p1", "p2", "p3")))}
+        g_all, a_all = np.zeros(len(self.w), np.uint64), np.ones(len(self.w))
+        for turn in range(ROUNDS):
+            mine, rep, of = self.grams(turn)
+            g, n, seen = np.zeros(len(rep), np.uint64), np.zeros((len(rep), KATZ)), np.zeros(len(rep))
+            first = runs(self.home[rep])
+            for x, y in zip(first.tolist(), np.append(first[1:], len(rep)).tolist()):
+                p = told[int(self.home[rep[x]])]
+                g[x:y] = unplanes(p[:1], "<u8")
+                new = x + np.flatnonzero(g[x:y] == 0)
+                n[new], seen[new] = unplanes(p[1:2], "<u4").reshape(-1, KATZ), np.frombuffer(p[2])
+            hot = np.flatnonzero(self.hot[rep])
+            n[hot], seen[hot] = self.m.sums(self.level, self.key[rep[hot]])
+            g[hot] |= ((g[hot] > 0) & ~n[hot].any(1)).astype(np.uint64)
+            weight = self.m.alpha(self.level, self.total[rep], n, seen)
+            g_all[mine], a_all[mine] = g[of], weight[of]
+        return g_all, a_all[g_all == 0]
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences (wrapping) of neighbours, which compress where x is sorted; np.cumsum undoes it."""
+    out = x.copy()
+    out[1:] = x[1:] - x[:-1]
+    return out
+
+
+def tally(t: pa.Table, level: int, m: Model) -> pa.Table:
+    """All requests to one bucket: its table of n-grams seen in training, and an answer per block."""
+    asked = [(k, unplanes([h], "<u8"), unplanes([n], "<u4"), *rest) for k, h, n, *rest in zip(*(t[x].to_pylist() for x in ("block", *(f"p{k}" for k in range(1, 8)))))]
+    part = lambda k, kind: [unplanes([x[k]], kind) for x in asked]
+    keys, at, of = np.unique(np.concatenate([np.cumsum(x[1], dtype=np.uint64) for x in asked]), return_index=True, return_inverse=True)
+    hot = np.concatenate(part(7, "u1"))[at] > 0
+    history = np.repeat(of, np.concatenate([x[2] for x in asked])).astype(np.uint64)
+    w = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in part(3, "<u4")])
+    gram, first, at_gram = np.unique(history << _U(32) | w, return_index=True, return_inverse=True)
+    c = np.bincount(at_gram, weights=np.concatenate(part(4, "<u8")), minlength=len(gram)).astype(np.uint64)
+    low, of_gram = np.concatenate(part(5, "<u8"))[first], (gram >> _U(32)).astype(np.int64)
+    if level == 2:
+        p = m.uni.p(low)
+    else:
+        p = m.kept(level - 1, low >> _U(1)) / np.maximum(np.concatenate(part(6, "<u8"))[at][of_gram] + (low & _U(1)), _U(1))
+    n = np.stack([np.bincount(of_gram[c == r], minlength=len(keys)) for r in range(1, KATZ + 1)], 1).astype(np.uint32)
+    seen = np.bincount(of_gram, weights=np.where(c > 0, p, 0), minlength=len(keys))
+    g = c * _U(2) + ((c > 0) & ~hot[of_gram] & ~n.any(1)[of_gram]).astype(np.uint64)
+    bucket, rows, have = t["bucket"][0].as_py(), [], c > 0
+    types = np.bincount(np.minimum(c[have], KATZ + 2).astype(np.int64), minlength=KATZ + 3)[1 : KATZ + 2].astype(np.int64)
+    some = np.unique(of_gram[have])
+    rows.append((bucket, -1, 2, planes(steps(keys[some])), planes(np.bincount(of_gram[have], minlength=len(keys))[some].astype(np.uint32)), planes(steps(gram[have].astype(np.uint32))), planes(c[have]), types.tobytes(), keys[hot].tobytes(), n[hot].tobytes(), seen[hot].tobytes()))
+    a = 0
+    for x in asked:
+        mine = at_gram[a : a + int(x[2].sum())]
+        a += len(mine)
+        new = of_gram[mine[c[mine] == 0]]
+        rows.append((bucket, x[0], 1, planes(g[mine]), planes(n[new].ravel()), seen[new].tobytes(), *[None] * 5))
+    return _rows(rows, 8)
+
+
+def hot_sums(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (ascending), n and seen of the histories dealt by word: at most SPLIT x buckets, as each has more than that
+    share of all training tokens."""
+
+    def each(batches):
+        for batch in batches:
+            for keys, n, seen in zip(*(x.to_pylist() for x in batch.columns)):
+                n = np.frombuffer(n, np.uint32).reshape(-1, KATZ).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), *(pa.array(n[:, k]) for k in range(KATZ)), pa.array(np.frombuffer(seen))], names=["key", *(f"n{k}" for k in range(KATZ)), "seen"])
+
+    rows = table.filter("kind = 2").select("p6", "p7", "p8").mapInArrow(each, "key long, " + ", ".join(f"n{k} long" for k in range(KATZ)) + ", seen double")
+    got = rows.groupBy("key").agg(*(F.sum(x).alias(x) for x in rows.columns[1:])).collect()
+    keys = np.array([r[0] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r[1:-1] for r in got], np.float64).reshape(-1, KATZ)[order], np.array([r[-1] for r in got], np.float64)[order]
+
+
+def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode()) % 7 == 2, order: int = 3) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trains on the documents that held_out (a function of doc_id) leaves. Null text is empty (one end token); a null
-    doc_id trains; repeated rows count each. base_score is the add-one unigram model. With no training documents both
-    scores are 0. Words are told apart by 64-bit hashes; up to 2^32 - 2 distinct words.
+    order (2 or more): the longest n-grams. Trains on the documents that held_out (a function of doc_id) leaves. Null text
+    is empty (one end token); a null doc_id trains; repeated rows count each; other columns aren't read; an empty table
+    gives no rows. base_score is the add-one unigram model. With no training documents base_score is that of no counts
+    and score is 0. Words are told apart by 64-bit hashes, histories exactly up to order 3 and by 64-bit hashes beyond;
+    up to 2^32 - 2 distinct words.
     """
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
@@ -184,123 +352,80 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
 
     release(spark)
 
-    def sums(t: DataFrame) -> list[int]:
-        """Sums over the buckets' statistics, KATZ + 3 numbers a bucket, one row per bucket."""
-        got = [np.frombuffer(r.p3, np.int64) for r in t.filter("kind = 2").select("p3").collect()]
+    def sums(t: DataFrame, column: str) -> list[int]:
+        """Sums over the buckets' statistics, a few numbers in one row per bucket."""
+        got = [np.frombuffer(r[0], np.int64) for r in t.filter("kind = 2").select(column).collect()]
         return np.sum(got, axis=0).tolist() if got else [0] * (KATZ + 3)
 
-    total, types, *n = sums(words)
+    total, types, *n = sums(words, "p3")
     uni = Unigrams(total, types, n)
     answers = words.filter("kind = 1").select("block", "bucket", "p1", "p2")
 
-    def tokens(b: pa.Table, a: pa.Table):
-        """Of one block: document ids, flags, lengths; each token's number, count, history, document."""
-        ids, flags, lens, vocab, codes = (unplanes(b[x], k) for x, k in (("ids", "<i8"), ("flags", "u1"), ("lens", "<u4"), ("vocab", "<u8"), ("codes", "<u4")))
+    def numbered(b: pa.Table, a: pa.Table) -> pa.Table:
+        """A block's words with their numbers and training counts."""
+        vocab = unplanes(b["vocab"], "<u8")
         home = (vocab % _U(buckets)).astype(np.int64)
         number, count = np.zeros(len(vocab), np.uint32), np.zeros(len(vocab), np.uint64)
         for k, x, y in zip(a["bucket"].to_pylist(), a["p1"].to_pylist(), a["p2"].to_pylist()):
             m = home == k
             number[m], count[m] = unplanes([x], "<u4"), unplanes([y], "<u8")
-        w, c = number[codes], count[codes]
-        h = np.concatenate(([BOS], w[:-1])).astype(np.uint32)
-        h[np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)] = BOS
-        return ids, flags, lens, w, c, h, np.repeat(np.arange(len(lens)), lens)
-
-    def bigrams(b: pa.Table, a: pa.Table) -> pa.Table:
-        ids, flags, lens, w, c, h, doc = tokens(b, a)
-        train = (flags & 1)[doc] == 0
-        key, first, count = np.unique((h[train].astype(np.uint64) << _U(32)) | w[train], return_index=True, return_counts=True)
-        cw, history = c[train][first], (key >> _U(32)).astype(np.uint32)
-        home = history % np.uint32(buckets)
-        out = [(k, 0, 0, planes(key[m]), planes(count[m].astype(np.uint32)), planes(cw[m])) for k in np.unique(home).tolist() for m in [np.flatnonzero(home == k)]]
-        return _rows(out, 3)
+        return b.select(["block", "ids", "flags", "lens", "codes"]).append_column("number", pa.array([planes(number)])).append_column("count", pa.array([planes(count)]))
 
-    def count(t: pa.Table) -> pa.Table:
-        key, at = np.unique(unplanes(t["p1"], "<u8"), return_inverse=True)
-        c = np.bincount(at, weights=unplanes(t["p2"], "<u4"), minlength=len(key)).astype(np.uint64)
-        cw = np.zeros(len(key), np.uint64)
-        cw[at] = unplanes(t["p3"], "<u8")
-        stats = np.array([c.sum(), len(c), *np.bincount(np.minimum(c, KATZ + 2).astype(np.int64), minlength=KATZ + 3)[1 : KATZ + 2]], np.int64)
-        return _rows([(t["bucket"][0].as_py(), -1, 2, planes(key), planes(c), stats.tobytes(), planes(cw))], 4)
-
-    grams = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(bigrams, _schema(3))
-    grams = materialise(grams.groupBy("bucket").applyInArrow(count, _schema(4)), "katz-bigrams", "zstd")
+    columns = ["block long", *(f"{x} binary" for x in ("ids", "flags", "lens", "codes", "number", "count"))]
+    state = materialise(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(numbered, ", ".join(columns)), "katz-state", "zstd")
+    discard(blocks)
+    del blocks, answers
     release(spark)
-    d = discounts(sums(grams)[2:])
-
-    def requests(b: pa.Table, a: pa.Table, turn: int) -> pa.Table:
-        ids, flags, lens, w, c, h, doc = tokens(b, a)
-        block = b["block"][0].as_py()
-        out = []
-        if turn == 0:
-            base = np.bincount(doc, weights=np.log10((c.astype(np.float64) + 1) / (total + types + 1)), minlength=len(lens))
-            known = np.bincount(doc, weights=c > 0, minlength=len(lens)).astype(np.int64)
-            out.append((block % buckets, block, 2, planes(ids), planes(flags), planes(lens.astype(np.int64)), planes(known), base.tobytes()))
-        mine = h % np.uint32(buckets) % np.uint32(ROUNDS) == turn
-        w, c, h, doc = w[mine], c[mine], h[mine], doc[mine]
-        order = np.argsort((h.astype(np.uint64) << _U(32)) | w)
-        w, c, h, doc = w[order], c[order], h[order], doc[order].astype(np.uint32)
-        home, out_of = h % np.uint32(buckets), (flags & 1)[doc]
-        by = np.argsort(home * 2 + out_of, kind="stable")
-        first = runs((home * 2 + out_of)[by])
-        for x, y in zip(first.tolist(), np.append(first[1:], len(by)).tolist()):
-            m = by[x:y]
-            steps = [x[m].copy() for x in (h, w)]  # both are sorted, the words within a history; their steps compress
-            for x in steps:
-                x[1:] = x[1:] - x[:-1]
-            out.append((int(home[m[0]]), block, int(out_of[m[0]]), planes(steps[0]), planes(steps[1]), planes(doc[m]), planes(c[m]) if out_of[m[0]] else None, None))
-        return _rows(out, 5)
-
-    def request_turn(turn: int):
+    model = Model(total, types, buckets, uni, {}, {}, SPLIT)
+
+    def ask_level(level: int, turn: int, m: Model):
+        def run(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    yield from _rows(Block(batch, row, level, m).requests(batch.column(0)[row].as_py(), turn), 7).to_batches()
+
+        return lean(run)
+
+    def tally_level(level: int, m: Model):
+        return lambda t: tally(t, level, m)
+
+    def next_state(level: int, m: Model):
+        def run(b: pa.Table, a: pa.Table) -> pa.Table:
+            g, weights = Block(b, 0, level, m).answered(a)
+            return b.append_column(f"g{level}", pa.array([planes(g)])).append_column(f"a{level}", pa.array([weights.tobytes()]))
+
+        return run
+
+    def finish(m: Model):
         def run(b: pa.Table, a: pa.Table) -> pa.Table:
-            return requests(b, a, turn)
+            x = Block(b, 0, order, m)
+            x.advance(order, *x.answered(a))
+            per_doc = lambda v: np.bincount(x.doc, weights=v, minlength=len(x.lens))
+            base = per_doc(np.log10((x.c.astype(np.float64) + 1) / (total + types + 1)))
+            known = per_doc(x.c > 0).astype(np.int64)
+            return pa.table({"doc_id": pa.array(x.ids, mask=x.flags >= 2), "held_out": (x.flags & 1) == 1, "n_tokens": x.lens, "n_known": known, "base_score": base, "score": per_doc(np.log10(x.p))})
 
         return run
 
-    def look_up(q: pa.Table, t: pa.Table) -> pa.Table:
-        key, c, cw = (unplanes(t[x], "<u8") for x in ("p1", "p2", "p4"))
-        prob, history, alpha, _ = histories(key >> _U(32), c, uni.p(cw), d)
-        log_p, log_a = np.log10(prob), np.log10(alpha)
-        out = []
-        for block, kind, *p in zip(*(q[x].to_pylist() for x in ("block", "kind", "p1", "p2", "p3", "p4", "p5"))):
-            if kind == 2:
-                out.append((0, block, 2, *p))
-                continue
-            h = np.cumsum(unplanes(p[:1], "<u4"), dtype=np.uint32).astype(np.uint64)
-            w = np.cumsum(unplanes(p[1:2], "<u4"), dtype=np.uint32)
-            want, doc = (h << _U(32)) | w, unplanes(p[2:3], "<u4")
-            at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
-            seen = key[at] == want if len(key) else np.zeros(len(want), bool)
-            got = np.zeros(len(want))
-            got[seen] = log_p[at[seen]]
-            new = np.flatnonzero(~seen)
-            if len(new):
-                back = np.log10(uni.p(unplanes(p[3:4], "<u8")[new]))
-                a = np.minimum(np.searchsorted(history, h[new]), max(len(history) - 1, 0))
-                got[new] = back + (np.where(history[a] == h[new], log_a[a], 0.0) if len(history) else 0.0)
-            part = np.bincount(doc, weights=got)
-            mine = np.flatnonzero(np.bincount(doc))
-            out.append((0, block, 0, planes(mine.astype(np.uint32)), part[mine].tobytes(), None, None, None))
-        return _rows(out, 5)
-
-    def gather(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t[x].to_pylist() for x in ("kind", "p1", "p2", "p3", "p4", "p5"))))
-        ids, flags, lens, known, base = next(r[1:] for r in rows if r[0] == 2)
-        ids, flags, lens, known = unplanes([ids], "<i8"), unplanes([flags], "u1"), unplanes([lens], "<i8"), unplanes([known], "<i8")
-        got = np.zeros(len(ids))
-        for r in rows:
-            if r[0] == 0:
-                got[unplanes([r[1]], "<u4")] += np.frombuffer(r[2])
-        return pa.table({"doc_id": pa.array(ids, mask=flags >= 2), "held_out": (flags & 1) == 1, "n_tokens": lens, "n_known": known, "base_score": np.frombuffer(base), "score": got})
-
-    looked = None
-    for turn in range(ROUNDS):
-        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(request_turn(turn), _schema(5))
-        part = materialise(asked.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(look_up, _schema(5)), "katz-parts", "zstd")
-        looked = part if looked is None else looked.unionByName(part)
-        del asked
+    for level in range(2, order + 1):
+        rounds = []
+        for turn in range(ROUNDS):
+            asked = state.mapInArrow(ask_level(level, turn, model), _schema(7))
+            rounds.append(materialise(asked.groupBy("bucket").applyInArrow(tally_level(level, model), _schema(8)), f"katz-{level}-grams", "zstd"))
+            del asked
+            release(spark)
+        grams = reduce(DataFrame.unionByName, rounds)
+        model = replace(model, d=model.d | {level: discounts(sums(grams, "p5"))}, hot=model.hot | {level: hot_sums(grams)})
+        both = state.groupBy("block").cogroup(grams.filter("kind = 1").select("block", "bucket", "p1", "p2", "p3").groupBy("block"))
+        if level == order:
+            break
+        columns += [f"g{level} binary", f"a{level} binary"]
+        new = materialise(both.applyInArrow(next_state(level, model), ", ".join(columns)), "katz-state", "zstd")
+        discard(state)
+        state = new
+        del both
         release(spark)
-    out = looked.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = both.applyInArrow(finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(total)).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -339,57 +339,71 @@ def test_repeated_windows_in_suffix_order():
     assert got == {i for i in range(900) if left[i] >= 12 and least[text[i : i + 12].tobytes()] < owner[i]} and got
 
 
-def katz_scores(rows):
+def katz_scores(rows, order):
+    """Scores by dictionaries of tuples; every history's probabilities are held to sum to 1."""
+
     def toks(t):
         return [x.translate({k: k + 32 for k in range(65, 91)}) for x in WORD.findall(t or "")] + [None]
 
+    def grams(w, k):
+        padded = ["<s>"] * (k - 1) + w
+        return [tuple(padded[i : i + k]) for i in range(len(w))]
+
     out_of = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in rows}
-    c1, c2 = Counter(), Counter()
-    for d, t, _ in rows:
-        if not out_of[d]:
-            w = toks(t)
-            c1.update(w)
-            c2.update(zip(["<s>", *w[:-1]], w))
-    n, v = sum(c1.values()), len(c1)
-    hist = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.KATZ + 2)]
-    d1, d2 = katz.discounts(hist(c1)), katz.discounts(hist(c2))
-    disc = lambda d, c: d[c - 1] if c <= katz.KATZ else 1.0
-    rest = 1 - sum(disc(d1, c) * c / n for c in c1.values())
-    p1 = {w: disc(d1, c) * c / n for w, c in c1.items()}
-    after = defaultdict(dict)
-    for (h, w), c in c2.items():
-        after[h][w] = c
-    p2, alpha = {}, {}
-    for h, ws in after.items():
-        total = sum(ws.values())
-        if min(ws.values()) > katz.KATZ:
-            p = {w: c / (total + 1) for w, c in ws.items()}
-        else:
-            p = {w: disc(d2, c) * c / total for w, c in ws.items()}
-        alpha[h] = (1 - sum(p.values())) / (1 - sum(p1[w] for w in ws))
-        p2[h] = p
-        everything = sum(p.values()) + alpha[h] * (rest + sum(x for w, x in p1.items() if w not in ws))
-        assert abs(everything - 1) < 1e-9
+    counts = {k: Counter(g for d, t, _ in rows if not out_of[d] for g in grams(toks(t), k)) for k in range(1, order + 1)}
+    n, v = sum(counts[1].values()), len(counts[1])
+    d = {k: katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.KATZ + 2)]) for k, c in counts.items()}
+    kept = lambda k, c: c * (d[k][c - 1] if c <= katz.KATZ else 1.0)
+    rest = 1 - sum(kept(1, c) / n for c in counts[1].values())
+    p1 = {w: kept(1, c) / n for (w,), c in counts[1].items()}
+    seen, alpha = {}, {}
+
+    def p(h, w):
+        if not h:
+            return p1.get(w, rest)
+        return seen[h][w] if w in seen.get(h, {}) else alpha.get(h, 1.0) * p(h[1:], w)
+
+    for k in range(2, order + 1):
+        after = defaultdict(dict)
+        for g, c in counts[k].items():
+            after[g[:-1]][g[-1]] = c
+        for h, ws in after.items():
+            total = sum(ws.values())
+            whole = min(ws.values()) > katz.KATZ  # nothing to discount
+            mine = {w: c / (total + 1) if whole else kept(k, c) / total for w, c in ws.items()}
+            alpha[h] = (1 - sum(mine.values())) / (1 - sum(p(h[1:], w) for w in ws))
+            seen[h] = mine
+            assert abs(p(h, "never seen") + sum(p(h, w) for w in p1) - 1) < 1e-9
     out = {}
-    for d, t, _ in rows:
-        w, s, base = toks(t), 0.0, 0.0
-        for h, x in zip(["<s>", *w[:-1]], w):
-            base += math.log10((c1[x] + 1) / (n + v + 1))
-            s += math.log10(p2[h][x] if x in p2.get(h, {}) else alpha.get(h, 1.0) * p1.get(x, rest))
-        out[d] = (out_of[d], len(w), sum(c1[x] > 0 for x in w), n, base, s)
+    for i, t, _ in rows:
+        w = toks(t)
+        base = sum(math.log10((counts[1][(x,)] + 1) / (n + v + 1)) for x in w)
+        out[i] = (out_of[i], len(w), sum((x,) in counts[1] for x in w), n, base, sum(math.log10(p(g[:-1], g[-1])) for g in grams(w, order)))
     return out
 
 
-def test_katz(docs, none, spark):
-    want = katz_scores(corpus())
-    got = {r.doc_id: tuple(r)[1:] for r in katz.score(docs).collect()}
+@pytest.mark.parametrize("order, split", [(2, 4), (3, 1000), (4, 0)])
+def test_katz(docs, spark, order, split, monkeypatch):
+    monkeypatch.setattr(katz, "SPLIT", split)  # 0: by history alone; 1000: nearly all histories by their words
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(katz, "CHUNK_BYTES", 1500)
+    rows = [*corpus(), *((i, "so it ends " * 9, "x") for i in range(100, 112))]
+    want = katz_scores(rows, order)
+    data = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in rows[-12:]], "doc_id long, text string"))
+    got = {r.doc_id: tuple(r)[1:] for r in katz.score(data, order=order).collect()}
     assert got.keys() == want.keys()
     for d in want:
         assert got[d][:4] == want[d][:4]
         assert got[d][4:] == pytest.approx(want[d][4:], abs=1e-6), d
+
+
+def test_katz_odd_tables(none, spark):
     assert katz.score(none).count() == 0
     only_out = spark.createDataFrame([(d, "a b") for d in range(60) if zlib.crc32(str(d).encode()) % 7 == 2], "doc_id long, text string")
     assert all(r.score == 0 and r.n_known == 0 for r in katz.score(only_out).collect())
+    odd = spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b"), (8, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in katz.score(odd).collect())
+    assert got == [(0, 3, 10), (7, 3, 10), (7, 3, 10), (8, 1, 10)]
 
 
 @pytest.mark.parametrize("k", [1, 5, 300])
