@@ -31,8 +31,8 @@ from . import suffix_dedup
 from .suffix_dedup import runs
 
 BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 1_500_000
-#: A level's n-grams go in this many rounds over the buckets, which divides what is exchanged at once.
-ROUNDS = 4
+#: Above bigrams, a level's n-grams go in this many rounds over the buckets, which divides what is exchanged at once.
+ROUNDS = 2
 SPLIT = 4  #: a history with more than this part of a bucket's fair share of all tokens is dealt by its words
 KATZ = 5  #: counts above this are not discounted
 BOS = 0xFFFFFFFF
@@ -133,11 +133,11 @@ class Block:
     the count and a bit for an undiscounted history from level 3 on) and its history's total; p: the probability there.
     """
 
-    def __init__(self, b: pa.Table | pa.RecordBatch, row: int, level: int, m: Model):
+    def __init__(self, b: pa.Table | pa.RecordBatch, row: int, level: int, m: Model, with_p: bool):
         def get(name: str, kind: str) -> np.ndarray:
             return unplanes([b.column(name)[row].as_py()], kind)
 
-        self.m, self.level = m, level
+        self.m, self.level, self.rounds = m, level, rounds_of(level)
         self.ids, self.flags, self.lens = get("ids", "<i8"), get("flags", "u1"), get("lens", "<u4").astype(np.int64)
         codes, number, count = get("codes", "<u4"), get("number", "<u4"), get("count", "<u8")
         self.first = np.cumsum(self.lens) - self.lens
@@ -146,12 +146,13 @@ class Block:
         self.w, self.c = number[codes].astype(np.uint64), count[codes]
         ends = self.c[self.lens[0] - 1]  # training documents, as each has one end: what (start, start, ...) counts
         back = self.before(self.w, _U(BOS))
-        self.key, self.total, self.low, self.low_total, self.p = back, self.before(self.c, ends), self.c, None, m.uni.p(self.c)
+        self.key, self.total, self.low, self.low_total, self.p = back, self.before(self.c, ends), self.c, None, m.uni.p(self.c) if with_p else None
         for k in range(2, level):
             back = self.before(back, _U(BOS))
             self.key = self.key << _U(32) | back if k == 2 else mix64(mix64(self.key) + back)
             g = get(f"g{k}", "<u8")
-            self.advance(k, g, np.frombuffer(b.column(f"a{k}")[row].as_py()))
+            if with_p:
+                self.advance(k, g, np.frombuffer(b.column(f"a{k}")[row].as_py()))
             self.low, self.low_total, self.total = g, self.total, self.before(g >> _U(1), ends)
         share = self.total.astype(np.float64) * m.split * m.buckets
         self.hot = share > m.total
@@ -175,9 +176,9 @@ class Block:
     def grams(self, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the tokens whose n-gram's home has this turn: their positions, one position per distinct n-gram (by home,
         history, word) and each token's n-gram."""
-        mine = np.flatnonzero(self.home % ROUNDS == turn)
-        history = np.unique(self.key[mine], return_inverse=True)[1].astype(np.uint64)
-        _, first, of = np.unique(history << _U(32) | self.w[mine], return_index=True, return_inverse=True)
+        mine = np.flatnonzero(self.home % self.rounds == turn)
+        history = self.key[mine] if self.level == 2 else grouped(self.key[mine])[1].astype(np.uint64)
+        first, of = grouped(history << _U(32) | self.w[mine])
         order = np.argsort(self.home[mine[first]], kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -199,23 +200,35 @@ class Block:
         """g of each token and the back-off weights of those without a count, from the homes' answers."""
         told = {k: p for k, *p in zip(*(a[x].to_pylist() for x in ("bucket", "p1", "p2", "p3")))}
         g_all, a_all = np.zeros(len(self.w), np.uint64), np.ones(len(self.w))
-        for turn in range(ROUNDS):
+        for turn in range(self.rounds):
             mine, rep, of = self.grams(turn)
-            g, n, seen = np.zeros(len(rep), np.uint64), np.zeros((len(rep), KATZ)), np.zeros(len(rep))
-            first = runs(self.home[rep])
-            for x, y in zip(first.tolist(), np.append(first[1:], len(rep)).tolist()):
-                p = told[int(self.home[rep[x]])]
-                g[x:y] = unplanes(p[:1], "<u8")
-                new = x + np.flatnonzero(g[x:y] == 0)
-                n[new], seen[new] = unplanes(p[1:2], "<u4").reshape(-1, KATZ), np.frombuffer(p[2])
-            hot = np.flatnonzero(self.hot[rep])
-            n[hot], seen[hot] = self.m.sums(self.level, self.key[rep[hot]])
-            g[hot] |= ((g[hot] > 0) & ~n[hot].any(1)).astype(np.uint64)
-            weight = self.m.alpha(self.level, self.total[rep], n, seen)
+            homes = self.home[rep[runs(self.home[rep])]].tolist()
+            cells = [[told[h][k] for h in homes] for k in range(3)]
+            g, n = unplanes(cells[0], "<u8"), unplanes(cells[1], "<u4").reshape(-1, KATZ).astype(np.float64)
+            seen, weight = np.frombuffer(b"".join(cells[2])).copy(), np.ones(len(rep))
+            hot, new = self.hot[rep], np.flatnonzero(g == 0)
+            by_word = hot[new]
+            n[by_word], seen[by_word] = self.m.sums(self.level, self.key[rep[new[by_word]]])
+            weight[new] = self.m.alpha(self.level, self.total[rep[new]], n, seen)
+            known = np.flatnonzero(hot & (g > 0))
+            g[known] |= (~self.m.sums(self.level, self.key[rep[known]])[0].any(1)).astype(np.uint64)
             g_all[mine], a_all[mine] = g[of], weight[of]
         return g_all, a_all[g_all == 0]
 
 
+def rounds_of(level: int) -> int:
+    return 1 if level == 2 else ROUNDS
+
+
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A position of each distinct value of x, values ascending, and of each entry the rank of its value."""
+    order = np.argsort(x)
+    first = runs(x[order])
+    of = np.empty(len(x), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+    return order[first], of
+
+
 def steps(x: np.ndarray) -> np.ndarray:
     """Differences (wrapping) of neighbours, which compress where x is sorted; np.cumsum undoes it."""
     out = x.copy()
@@ -227,11 +240,15 @@ def tally(t: pa.Table, level: int, m: Model) -> pa.Table:
     """All requests to one bucket: its table of n-grams seen in training, and an answer per block."""
     asked = [(k, unplanes([h], "<u8"), unplanes([n], "<u4"), *rest) for k, h, n, *rest in zip(*(t[x].to_pylist() for x in ("block", *(f"p{k}" for k in range(1, 8)))))]
     part = lambda k, kind: [unplanes([x[k]], kind) for x in asked]
-    keys, at, of = np.unique(np.concatenate([np.cumsum(x[1], dtype=np.uint64) for x in asked]), return_index=True, return_inverse=True)
+    keys = np.concatenate([np.cumsum(x[1], dtype=np.uint64) for x in asked])
+    at, of = grouped(keys)
+    keys = keys[at]
     hot = np.concatenate(part(7, "u1"))[at] > 0
     history = np.repeat(of, np.concatenate([x[2] for x in asked])).astype(np.uint64)
     w = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in part(3, "<u4")])
-    gram, first, at_gram = np.unique(history << _U(32) | w, return_index=True, return_inverse=True)
+    gram = history << _U(32) | w
+    first, at_gram = grouped(gram)
+    gram = gram[first]
     c = np.bincount(at_gram, weights=np.concatenate(part(4, "<u8")), minlength=len(gram)).astype(np.uint64)
     low, of_gram = np.concatenate(part(5, "<u8"))[first], (gram >> _U(32)).astype(np.int64)
     if level == 2:
@@ -382,7 +399,7 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
         def run(batches):
             for batch in batches:
                 for row in range(batch.num_rows):
-                    yield from _rows(Block(batch, row, level, m).requests(batch.column(0)[row].as_py(), turn), 7).to_batches()
+                    yield from _rows(Block(batch, row, level, m, False).requests(batch.column(0)[row].as_py(), turn), 7).to_batches()
 
         return lean(run)
 
@@ -391,14 +408,14 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
 
     def next_state(level: int, m: Model):
         def run(b: pa.Table, a: pa.Table) -> pa.Table:
-            g, weights = Block(b, 0, level, m).answered(a)
+            g, weights = Block(b, 0, level, m, False).answered(a)
             return b.append_column(f"g{level}", pa.array([planes(g)])).append_column(f"a{level}", pa.array([weights.tobytes()]))
 
         return run
 
     def finish(m: Model):
         def run(b: pa.Table, a: pa.Table) -> pa.Table:
-            x = Block(b, 0, order, m)
+            x = Block(b, 0, order, m, True)
             x.advance(order, *x.answered(a))
             per_doc = lambda v: np.bincount(x.doc, weights=v, minlength=len(x.lens))
             base = per_doc(np.log10((x.c.astype(np.float64) + 1) / (total + types + 1)))
@@ -409,7 +426,7 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
 
     for level in range(2, order + 1):
         rounds = []
-        for turn in range(ROUNDS):
+        for turn in range(rounds_of(level)):
             asked = state.mapInArrow(ask_level(level, turn, model), _schema(7))
             rounds.append(materialise(asked.groupBy("bucket").applyInArrow(tally_level(level, model), _schema(8)), f"katz-{level}-grams", "zstd"))
             del asked
@@ -421,9 +438,10 @@ def score(docs: DataFrame, held_out=lambda doc_id: zlib.crc32(str(doc_id).encode
             break
         columns += [f"g{level} binary", f"a{level} binary"]
         new = materialise(both.applyInArrow(next_state(level, model), ", ".join(columns)), "katz-state", "zstd")
-        discard(state)
+        for x in (state, *rounds):  # the new state has what later levels need of them
+            discard(x)
         state = new
-        del both
+        del both, grams, rounds
         release(spark)
     out = both.applyInArrow(finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(total)).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
