@@ -122,6 +122,22 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
         at = end
 
 
+def translated(text: bytes, to: bytes, piece: int):
+    """bytes.translate(to) of a text in parts of about `piece` bytes that end before a space; only one long run of other
+    bytes makes a part longer."""
+    at = 0
+    while at < len(text):
+        end, last = at, -1
+        while last < 1 and end < len(text):
+            end += piece
+            part = text[at:end].translate(to)
+            last = part.rfind(b" ")
+        if end < len(text):
+            part, end = part[:last], at + last
+        yield part
+        at = end
+
+
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i]+lens[i]-1 of every i, one after the other."""
     lens = lens.astype(np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP12_SQL, op12_collocations
 from .cotrain import op7_cotraining_quality
 from .divergence import op1_divergence_rules
 from .katz import op4_katz_backoff
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         op1_divergence_rules, op2_nra_topk, op3_cost_packing, op4_katz_backoff, op5_reply_trees, op6_bitpacked_ids,
         op7_cotraining_quality, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup,
-        op11_source_audit, op5b_ranked_branches,
+        op11_source_audit, op12_collocations, op5b_ranked_branches,
     )
 }
-ORACLE_SQL = ORACLE_SQL | {"op11_source_audit": OP11_SQL}
+ORACLE_SQL = ORACLE_SQL | {"op11_source_audit": OP11_SQL, "op12_collocations": OP12_SQL}

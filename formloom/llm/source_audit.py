@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, shuffle_width, table
+from .common import lean, materialise, shuffle_width, table, translated
 
 #: A language keeps the terms in at least so many of its documents; a group reports so many terms.
 MIN_DOCS, TOP_TERMS, UNIT = 3, 200, 1_000_000_000
@@ -32,26 +32,6 @@ _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def term_lists(text: bytes, piece: int = PIECE):
-    """The terms of a text in lists, cut between terms so that no list is much longer than a piece."""
-    at = 0
-    while at < len(text):
-        end = at + piece
-        if end < len(text):
-            part = text[at:end].translate(_TERM_BYTES)
-            last = part.rfind(b" ")
-            while last < 0 and end < len(text):  # one term goes on and on
-                end += piece
-                part = text[at:end].translate(_TERM_BYTES)
-                last = part.rfind(b" ")
-            if end < len(text):
-                part, end = part[:last], at + last
-        else:
-            part = text[at:].translate(_TERM_BYTES)
-        yield part.split()
-        at = end
-
-
 @lean
 def _count(batches):
     """Rows (lang, source, term, n, docs) of a task's documents, combined as far as HELD keys go."""
@@ -71,7 +51,8 @@ def _count(batches):
         for lang, source, text in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary())))):
             n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
             before, seen = len(n), set()
-            for words in term_lists(text):
+            for part in translated(text or b"", _TERM_BYTES, PIECE):
+                words = part.split()
                 n.update(words)
                 seen.update(words)
             docs.update(seen)
