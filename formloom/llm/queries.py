@@ -10,6 +10,7 @@ from .minhash import op8_bbit_minhash
 from .mixing import op9_flow_mixing
 from .oracles import ORACLE_SQL
 from .packing import op3_cost_packing
+from .page_text import OP13_SQL, op13_page_text
 from .reply_trees import op5_reply_trees, op5b_ranked_branches
 from .source_audit import OP11_SQL, op11_source_audit
 from .suffix_dedup import op10_lpf_dedup
@@ -21,7 +22,7 @@ QUERIES = {
     for f in (
         op1_divergence_rules, op2_nra_topk, op3_cost_packing, op4_katz_backoff, op5_reply_trees, op6_bitpacked_ids,
         op7_cotraining_quality, op8_bbit_minhash, op9_flow_mixing, op10_lpf_dedup,
-        op11_source_audit, op12_collocations, op5b_ranked_branches,
+        op11_source_audit, op12_collocations, op13_page_text, op5b_ranked_branches,
     )
 }
-ORACLE_SQL = ORACLE_SQL | {"op11_source_audit": OP11_SQL, "op12_collocations": OP12_SQL}
+ORACLE_SQL = ORACLE_SQL | {"op11_source_audit": OP11_SQL, "op12_collocations": OP12_SQL, "op13_page_text": OP13_SQL}
