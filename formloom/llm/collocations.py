@@ -77,9 +77,9 @@ class Grams:
         self.n = n
 
     def orders(self):
-        """For k = 1 to LONGEST: (k, valid starts as a mask, hashes of all starts)."""
+        """For k = 1 to LONGEST: (k, places where an n-gram starts as a mask, those from n on among them, their hashes)."""
         valid = self.ids != 0
-        ok, h = valid & (np.arange(len(valid)) < self.n), self.word_hash
+        ok, h = valid, self.word_hash
         for k in range(1, LONGEST + 1):
             if k > 1:
                 ok, h = ok[:-1] & valid[k - 1 :], mix64(h[:-1] * _U(0x9E3779B97F4A7C15) + self.word_hash[k - 1 :])
@@ -109,7 +109,7 @@ def sketching(cells: int, cap: int, chunk: int):
         sketch = np.zeros((ROWS, cells), _cell_type(cap))
         for lang, words, n in chunks(batches, chunk):
             for _, ok, h in Grams(lang, words, n).orders():
-                h = h[ok]
+                h = h[:n][ok[:n]]
                 for r in range(ROWS):
                     at = np.sort(cells_of(h, r, cells))
                     first = np.flatnonzero(np.concatenate((at[:1] == at[:1], at[1:] != at[:-1])))
@@ -159,22 +159,17 @@ def survivors(held, cells: int, chunk: int):
             ids, passed, pair, total = grams.ids, None, None, 0
             for k, ok, h in grams.orders():
                 if k == 1:
-                    total = int(ok.sum())
-                    # the words after n start no n-gram here, but are inside some
-                    maybe = ids != 0
-                else:
-                    maybe = ok & passed[: len(ok)] & passed[1 : len(ok) + 1]
-                at = np.flatnonzero(maybe)
+                    total = int(ok[:n].sum())
+                at = np.flatnonzero(ok if k == 1 else ok & passed[: len(ok)] & passed[1 : len(ok) + 1])
                 for r in range(ROWS):
                     c = cells_of(h[at], r, cells)
                     at = at[(bits[r][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1]
                 passed = np.zeros(len(ok), bool)
                 passed[at] = True
-                at = at[ok[at]]
+                every, at = at, at[at < n]
                 # exact keys: word numbers, pairs of them, then numbers of pairs
                 key = ids[at] if k == 1 else ids[at] << 32 | ids[at + 1] if k == 2 else pair[at] << 32 | (ids[at + 2] if k == 3 else pair[at + 2])
                 if k == 2:  # pairs that start after n are parts of longer n-grams too
-                    every = np.flatnonzero(passed)
                     pair = np.zeros(len(ids), np.int64)
                     pair[every] = np.unique(ids[every] << 32 | ids[every + 1], return_inverse=True)[1]
                 _, first, times = np.unique(key, return_index=True, return_counts=True)

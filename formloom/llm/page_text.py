@@ -22,7 +22,7 @@ from .common import lean, table
 REST, MAIN, REPLY = 0, 1, 2
 PARTS = {"rest": REST, "main": MAIN, "reply": REPLY}
 #: Labelled pages for fitting, their seed, rounds, and the penalty of squared weights.
-PAGES, SEED, ROUNDS, PENALTY = 700, 5, 110, 0.3
+PAGES, SEED, ROUNDS, PENALTY = 1000, 5, 300, 0.1
 
 # HTML's block-level, void and never shown elements.
 BLOCK = frozenset(
@@ -47,6 +47,26 @@ _SAYS = {
 }
 
 
+# Class and id words by part, as sites commonly name them.
+_NAMES = {
+    "main": "content article post entry body story text main page-content article-body entry-content post-content story-body articleText blog-post news-detail prose single",
+    "nav": "nav menu navbar navigation main-menu breadcrumb breadcrumbs pagination pager toolbar nav-links tabs toc",
+    "head": "header site-header masthead top topbar page-header banner branding logo",
+    "foot": "footer site-footer page-footer copyright legal colophon bottom credits",
+    "side": "sidebar side aside widget related related-posts recommended trending popular most-read teaser rail archive tags secondary infobox links more",
+    "ad": "ad ads advert advertisement ad-slot sponsor sponsored promo promotion banner-ad commercial adsense adbox",
+    "note": "notice alert cookie cookie-banner consent gdpr popup modal overlay message disclaimer paywall announcement warning",
+    "form": "form newsletter subscribe signup search search-form login contact-form poll",
+    "share": "share social sharing social-links follow buttons tools print",
+    "reply": "comments comment comment-list replies reply discussion responses disqus thread user-comments feedback reviews guestbook",
+}
+_ROLES = {"nav": "navigation", "head": "banner", "foot": "contentinfo", "side": "complementary", "note": "alert", "form": "search"}
+_NAMES = {k: v.split() for k, v in _NAMES.items()}
+#: The part a word names; a word of several parts names none.
+_KINDS = {w: k for k, names in _NAMES.items() for name in names for w in re.findall("[a-z]+", name.lower().replace("s-", "-").rstrip("s"))}
+_KINDS = {w: k for w, k in _KINDS.items() if not any(w in re.findall("[a-z]+", " ".join(v).lower()) for j, v in _NAMES.items() if j != k)}
+
+
 class Leaf:
     __slots__ = ("text", "context", "tag", "linked", "part")
 
@@ -105,17 +125,21 @@ class LeafBlocks(HTMLParser):
         if tag in VOID:
             return
         _, context, part = self.stack[-1] if self.stack else ("", frozenset(), REST)
-        own = [f"tag {tag}"] if tag in BLOCK else []
+        own, near = [f"tag {tag}"] if tag in BLOCK else [], []
         for name, value in attrs:
             if not value:
                 if name == "hidden":
                     own.append("hidden")
             elif name in ("class", "id", "role", "itemprop"):
-                own += [f"name {w.lower().rstrip('s')}" for w in _NAMED.findall(value)]
+                words = [w.lower().rstrip("s") for w in _NAMED.findall(value)]
+                own += [f"name {w}" for w in words]
+                near += [f"near {w}" for w in words] + [f"kind {_KINDS[w]}" for w in words if w in _KINDS]
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
                 own.append("hidden")
             elif name == "data-part":
                 part = PARTS.get(value, part)
+        if near:  # the nearest named element counts once more
+            context = frozenset(f for f in context if f[:5] not in ("near ", "kind ")).union(near)
         held = tag in ("article", "main")
         if held and not context & {"tag article", "tag main"}:
             own.append("bare")  # until something named, or of another purpose, is opened inside
@@ -163,7 +187,7 @@ def features(page: list[Leaf]) -> list[set[str]]:
         context, text, own = leaf.context, leaf.text, {"any", f"leaf {leaf.tag}", f"size {sizes[k]}"}
         held = "tag article" in context or "tag main" in context
         own |= context
-        own |= {f"{x} {'inside' if held else 'outside'} article" for x in ("tag header", "tag footer", "tag section", "tag form", "tag ul", "tag h1", "tag p", "tag div") if x in context}
+        own |= {f"{x} {'inside' if held else 'outside'} article" for x in ("tag header", "tag footer", "tag aside", "tag nav", "tag section", "tag form", "tag ul", "tag h1", "tag p", "tag div") if x in context}
         own.add("no container" if len(context) <= 3 else "container")
         own.add(f"links {int(min(leaf.linked, 1) * 3.999)}")
         own.add("ends" if text[-1] in ".!?。।؟…\"”»" else "open end")
@@ -256,50 +280,39 @@ def fit(pages: list[str], rounds: int = ROUNDS, penalty: float = PENALTY) -> Crf
         for f in sorted(set().union(*page)):
             seen[f] = seen.get(f, 0) + 1
     names = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
-    n, t, s = len(chains), max(map(len, chains), default=1), len(PARTS)
-    gold, mask = np.zeros((n, t), np.int64), np.zeros((n, t), bool)
-    ids, cell = [], []
-    for p, (chain, page) in enumerate(zip(chains, named)):
-        gold[p, : len(chain)] = [leaf.part for leaf in chain]
-        mask[p, : len(chain)] = True
-        for k, own in enumerate(page):
-            mine = sorted(names[f] for f in own if f in names)
-            ids += mine
-            cell += [p * t + k] * len(mine)
-    ids, cell = np.array(ids, np.int64), np.array(cell, np.int64)
+    s, lengths = len(PARTS), np.array([len(c) for c in chains], np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    labels = np.array([leaf.part for c in chains for leaf in c], np.int64)
+    # chains of like length go together, so little is padded: (places of the blocks, which of them are blocks)
+    groups = []
+    for mine in np.array_split(np.argsort(lengths, kind="stable"), max(1, min(12, len(chains)))) if chains else []:
+        place = np.arange(lengths[mine].max())[None, :]
+        mask = place < lengths[mine][:, None]
+        groups.append((np.where(mask, starts[mine][:, None] + place, 0), mask))
+    known = [sorted(names[f] for f in own if f in names) for page in named for own in page]
+    ids = np.array([i for own in known for i in own], np.int64)
+    block = np.repeat(np.arange(starts[-1]), [len(own) for own in known])
     shapes = [(len(names), s), (s, s), (s,), (s,)]
     at = np.cumsum([0, *[int(np.prod(x)) for x in shapes]])
     split = lambda w: [w[a:b].reshape(x) for a, b, x in zip(at, at[1:], shapes)]
     w, m, v = np.zeros(at[-1]), np.zeros(at[-1]), np.zeros(at[-1])
-    for step in range(1, rounds + 1 if n else 1):
+    for step in range(1, rounds + 1 if groups else 1):
         emit, move, first, last = split(w)
-        scores = np.stack([np.bincount(cell, emit[ids, j], n * t) for j in range(s)], axis=1).reshape(n, t, s)
-        _, by_score, by_move, by_first, by_last = likelihood(scores, move, first, last, gold, mask)
-        flat = by_score.reshape(n * t, s)[cell]
-        by_emit = np.stack([np.bincount(ids, flat[:, j], len(names)) for j in range(s)], axis=1)
-        gradient = np.concatenate([x.ravel() for x in (by_emit, by_move, by_first, by_last)]) - penalty * w
+        scores = np.stack([np.bincount(block, emit[ids, j], starts[-1]) for j in range(s)], axis=1)
+        by_score, rest = np.zeros_like(scores), [np.zeros_like(x) for x in (move, first, last)]
+        for place, mask in groups:
+            _, mine, *others = likelihood(scores[place], move, first, last, labels[place], mask)
+            by_score[place[mask]] = mine[mask]
+            rest = [x + y for x, y in zip(rest, others)]
+        by_emit = np.stack([np.bincount(ids, by_score[block, j], len(names)) for j in range(s)], axis=1)
+        gradient = np.concatenate([x.ravel() for x in (by_emit, *rest)]) - penalty * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        w = w + 0.15 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w = w + 0.2 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Crf(names, *split(w))
 
 
 # --- labelled pages
 
-# Class and id words by part, as sites commonly name them.
-_NAMES = {
-    "main": "content article post entry body story text main page-content article-body entry-content post-content story-body articleText blog-post news-detail prose single",
-    "nav": "nav menu navbar navigation main-menu breadcrumb breadcrumbs pagination pager toolbar nav-links tabs toc",
-    "head": "header site-header masthead top topbar page-header banner branding logo",
-    "foot": "footer site-footer page-footer copyright legal colophon bottom credits",
-    "side": "sidebar side aside widget related related-posts recommended trending popular most-read teaser rail archive tags secondary infobox links more",
-    "ad": "ad ads advert advertisement ad-slot sponsor sponsored promo promotion banner-ad commercial adsense adbox",
-    "note": "notice alert cookie cookie-banner consent gdpr popup modal overlay message disclaimer paywall announcement warning",
-    "form": "form newsletter subscribe signup search search-form login contact-form poll",
-    "share": "share social sharing social-links follow buttons tools print",
-    "reply": "comments comment comment-list replies reply discussion responses disqus thread user-comments feedback reviews guestbook",
-}
-_ROLES = {"nav": "navigation", "head": "banner", "foot": "contentinfo", "side": "complementary", "note": "alert", "form": "search"}
-_NAMES = {k: v.split() for k, v in _NAMES.items()}
 _SOUNDS = [
     "the of and in ing er ation ly st re on for that with en be", "der und sch ein ich en keit ung für über ge zu auf", "le de la et que é eau tion oi les ou pas", "el que ción ar os ía ña para es del no",
     "по ст ре на ов ия пр ко не то", "का में है और सं र ने की ता", "に は の を が 東京 日本 文 書 新", "ال في من على ة ات ون ما",
@@ -410,7 +423,7 @@ class _Writer:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.words(1, 3)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>")
             else:
                 out.append(f"<pre>{self.words(3, 20)}</pre>")
-        for kind in r.choices(["ad", "side", "share", "form", "note", "nav"], k=r.choice([0, 0, 0, 1, 2])):
+        for kind in r.choices(["ad", "side", "share", "form", "note", "nav"], k=r.choice([0, 0, 1, 2, 3])):
             out.insert(r.randint(1, len(out)), self.rest(kind))
         if r.random() < 0.12:
             out.append(f"<footer data-part=rest>{r.choice([self.links(2, 4), self.words(2, 9)])}</footer>")
@@ -418,8 +431,8 @@ class _Writer:
 
     def page(self) -> str:
         r = self.rng
-        inner, late = self.inner(), self.replies() if r.random() < 0.35 else ""
-        if r.random() < 0.3:
+        inner, late = self.inner(), self.replies() if r.random() < 0.4 else ""
+        if r.random() < 0.4:
             inner, late = inner + late, ""
         own = lambda tag, attr="": f"<{tag}{attr} data-part=main>{inner}</{tag}>"
         name = f' {r.choice(["class", "id"])}="{r.choice(_NAMES["main"])}"'
