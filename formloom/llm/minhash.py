@@ -240,12 +240,21 @@ def exact_edges(members: DataFrame, percent: int, size: int, width: int) -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(held, pa.binary())], names=["doc_id", "label", "members", "shingles"])
 
     def confirm(t: pa.Table) -> pa.Table:
-        """Rows of whole groups; of a hot group one pair of blocks (a document can be in both)."""
+        """Rows of whole groups; of a hot group one pair of blocks (a document can be in both). A document of several
+        texts is there with each of them."""
         label, doc = np.asarray(t["label"]), np.asarray(t["doc_id"])
         order = np.lexsort((doc, label))
-        new = np.ones(len(order), bool)
-        new[1:] = (label[order][1:] != label[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-        order = order[new]
+        repeated = np.zeros(len(order), bool)
+        repeated[1:] = (label[order][1:] == label[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+        if repeated.any():
+            near = repeated | np.append(repeated[1:], False)
+            seen, keep = set(), []
+            for k, again in zip(order.tolist(), near.tolist()):
+                own = (label[k], doc[k], t["shingles"][k].as_py()) if again else None
+                if own is None or own not in seen:
+                    keep.append(k)
+                    seen.add(own)
+            order = np.array(keep)
         first = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
         found = []
         for x, y in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
@@ -272,7 +281,7 @@ def exact_edges(members: DataFrame, percent: int, size: int, width: int) -> Data
         return edges
     hot = materialise(hot, "hot-groups")
     # a component's label is its least document
-    least = hot.filter("doc_id = label").groupBy("label").agg(F.first("shingles").alias("first_shingles"))
+    least = hot.filter("doc_id = label").groupBy("label").agg(F.min("shingles").alias("first_shingles"))
     row = "doc_id long, label long, members long, shingles binary, first long"
     marked = hot.join(least, "label").select("doc_id", "label", "members", "shingles", F.col("label").alias("first"), "first_shingles").mapInArrow(lean(against_first), row + ", near boolean")
     marked = materialise(marked, "hot-marked")
@@ -285,7 +294,8 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
 
     Texts link when their shingle sets share at least percent of 100 of their union; a text of fewer words is one
     shingle, one without words (or null) links with nothing. component_id is the smallest doc_id reachable; a null
-    doc_id links with nothing and is kept. Rows of one doc_id count as one document, all kept or all not.
+    doc_id links with nothing and is kept. Rows of one doc_id count as one document that links by each of its texts; its
+    rows without words alone stay for themselves.
     """
     width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.octet_length("text").alias("n"))
@@ -323,12 +333,15 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     sizes = maybe.groupBy("label").agg(F.count("*").alias("members"))
     asked = materialise(maybe.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "members"), "asked")
     members = rows.filter("doc_id is not null").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "label", "members", "text")
-    links = materialise(exact_edges(members, percent, size, width), "links")
+    # a document of several texts joins the classes of all of them
+    reps = classes.select("n", "k1", "k2", F.col("doc_id").alias("rep"))
+    several = signed.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("n", "k1", "k2")).alias("x"), F.max(F.struct("n", "k1", "k2")).alias("y")).filter("x <> y").select("doc_id")
+    own = signed.filter("n > 0").join(several, "doc_id").join(reps, ["n", "k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    links = materialise(exact_edges(members, percent, size, width).unionByName(own), "links")
     release(docs.sparkSession)
     found = components(links)
     discard(maybe)
     discard(asked)
-    reps = classes.select("n", "k1", "k2", F.col("doc_id").alias("rep"))
     ids = signed.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "rep", "doc_id"))
     return ids.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

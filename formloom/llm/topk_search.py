@@ -30,7 +30,10 @@ def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: n
     """For each query the positions and int64 scores of its k best rows with another id (ties to the smaller id), and
     how many entries of each list it has read."""
     n, dims = rows.shape
-    reach = dims * int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0))
+    top = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (queries, rows)]
+    reach = dims * top[0] * top[1]
+    if reach >= 2**63:
+        raise OverflowError("scores of these vectors may not fit 64 bits: give smaller components or a smaller scale")
     kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64  # exact each time, up to 64-bit scores
     least = np.iinfo(np.int64).min // 2 if kind is np.int64 else -np.inf
     order = np.argsort(rows, axis=0, kind="stable")
@@ -83,7 +86,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     Both inputs are (vec_id, v). A query sees every row of another id; ties go to the smaller vec_id. Repeated query
     ids count once (their least vector); repeated rows are each listed. Vectors of unequal length count as padded
-    with zeros. Empty inputs give no rows.
+    with zeros. Empty inputs give no rows. Scores are 64-bit integers: where the largest components could give larger
+    ones (dimensions times the largest of the queries times that of the rows reaches 2^63) the search fails with an error.
     """
     queries = queries.groupBy(F.col("vec_id").alias("q_id")).agg(F.min("v").alias("q_v")).select(F.col("q_id").alias("vec_id"), F.col("q_v").alias("v"))
     rb = max(1, -(-rows.count() // ROW_BLOCK))

@@ -581,3 +581,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_minhash_links_by_every_text_of_a_document(spark, monkeypatch, block):
+    """A doc_id with rows of different texts links by each of them, in any order of rows."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    words = [f"w{k}" for k in range(120)]
+    a, b, c = " ".join(words[:40]), " ".join(words[40:80]), " ".join(words[80:])
+    rows = [(3, a, "x"), (3, b, "x"), (5, b + " more", "x"), (7, a + " more", "x"), (9, c, "x"), (8, c, "x"), (8, b + " other", "x"), (4, c + " end", "x"), (11, "alone here", "x")]
+    for given in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = {(r.doc_id, r.component_id) for r in minhash.groups(spark.createDataFrame(given, SCHEMA).coalesce(1), 80).collect()}
+        assert got == {(3, 3), (5, 3), (7, 3), (9, 3), (8, 3), (4, 3), (11, 11)}
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    """Never a wrapped score: components that could reach one are an error, those just below are ranked right."""
+    frame = lambda rows: topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.search(frame([(1, [256.0, 256.0])]), frame([(2, [1e30, 1.0]), (3, [1.0, 1.0])]), 1).collect()
+    big = 2.0**21  # 2 * (2^29)^2 is 2^59
+    got = topk_search.search(frame([(1, [big, big])]), frame([(2, [big, 1.0]), (3, [big, -big]), (4, [big, big])]), 3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(4, 2**59), (2, 2**58 + 2**37), (3, 0)]
