@@ -10,7 +10,6 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from ..functions.geometry import has_box
 from ..functions.normalise import match_label
+from ..shared import materialise
 
 MAX_ALIASES = 20_000
 
@@ -124,7 +124,7 @@ def match(labels: DataFrame, templates: DataFrame, compose: bool = True) -> Data
     u = u.withColumn("bare", F.trim(F.regexp_replace("norm", r"\(.*?\)", "")))
     exact = index.select(F.col("alias").alias("norm"), F.col("key").alias("k1"))
     hinted = index.select(F.col("alias").alias("bare"), F.col("key").alias("k2"))
-    u = u.join(exact, "norm", "left").join(hinted, "bare", "left").persist(StorageLevel.DISK_ONLY)  # five branches read it
+    u = materialise(u.join(exact, "norm", "left").join(hinted, "bare", "left"), "labels")  # five branches read it
     done = u.filter("norm = '' or k1 is not null or (bare <> '' and k2 is not null)").select("label", F.when(F.col("norm") == "", None).otherwise(F.coalesce("k1", "k2")).alias("key"), F.when(F.col("norm") == "", 0.0).when(F.col("k1").isNotNull(), 1.0).otherwise(0.95).alias("strength"))
     rest = u.filter("norm <> '' and k1 is null and (bare = '' or k2 is null)").select("label", "norm", F.when(F.col("bare") != "", F.col("bare")).otherwise(F.col("norm")).alias("bare"))
     pairs = rest.join(candidate_pairs(rest, index.filter("length(alias) >= 3")), "norm", "left")

@@ -4,7 +4,6 @@ Every step is set-oriented over all documents; a page is the unit of both search
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,40 +13,55 @@ from ..functions import normalise as N
 from ..operators import boundary as B
 from ..operators import gate, grouping, pruning, templates, tokens
 from ..operators import report as R
+from ..shared import materialise
 
-PAGE_HEIGHT = 850.0
+# The page of inputs that bring no sizes; a page is at least so high, and reaches 40 below its last token.
+PAGE_WIDTH, PAGE_HEIGHT, BELOW = 600.0, 850.0, 40.0
+
+
+def page_sizes(toks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, width, height, mh) of every page with tokens: its size as pages (doc_id, page, width, height) has
+    it, or measured from its tokens where that is absent or null, and its median text height."""
+    t = toks.groupBy("doc_id", "page").agg(G.median_height(F.col("h")).alias("mh"), F.max(F.col("y")).alias("_low"))
+    if pages is None:
+        t = t.withColumns({"width": F.lit(None).cast("double"), "height": F.lit(None).cast("double")})
+    else:
+        t = t.join(pages.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")).dropDuplicates(["doc_id", "page"]), ["doc_id", "page"], "left")
+    return t.select("doc_id", "page", F.coalesce("width", F.lit(PAGE_WIDTH)).alias("width"), F.coalesce("height", F.greatest(F.lit(PAGE_HEIGHT), F.col("_low") + BELOW)).alias("height"), "mh")
 
 
 def reading_order():
     return W.partitionBy("doc_id", "page").orderBy("row", "pos")
 
 
-def passes(toks: DataFrame, catalogue: DataFrame, search: bool = True, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+def passes(toks: DataFrame, catalogue: DataFrame, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None) -> dict[str, DataFrame]:
     """Both passes over tokens (doc_id, page, pos, text, x, y, w, h, confidence): candidates with their template, junk and
-    genuine, and fields, what pruning keeps of them, with options and field_id."""
-    found = grouping.group_pages(toks, lines=lines, search=search).persist(StorageLevel.DISK_ONLY)  # searched once, however many steps read it
-    mh = toks.groupBy("doc_id", "page").agg(G.median_height(F.col("h")).alias("mh"))
-    c = found.join(mh, ["doc_id", "page"]).withColumns({n: F.col("bbox")[k] for k, n in enumerate("xywh")})
-    c = c.withColumns({"region_w": F.col("region")[2], "page_height": F.lit(PAGE_HEIGHT)})
+    genuine, and fields, what pruning keeps of them, with options and field_id. pages: see page_sizes()."""
+    sizes = page_sizes(toks, pages)
+    found = materialise(grouping.group_pages(toks, sizes, lines, search), "candidates")  # searched once, however many steps read it
+    c = found.join(sizes.select("doc_id", "page", "mh", F.col("height").alias("page_height")), ["doc_id", "page"]).withColumns({n: F.col("bbox")[k] for k, n in enumerate("xywh")})
+    c = c.withColumn("region_w", F.col("region")[2])
     c = pruning.add_options(templates.questions(c, catalogue))
-    c = pruning.evidence(c).persist(StorageLevel.DISK_ONLY)
+    c = materialise(pruning.evidence(c), "evidence")
     if search:
         kept = pruning.prune_search(c, pruning.overlaps(c, F.col("mh")))
         fields = c.join(kept, ["doc_id", "page", "candidate_id"])
     else:
         fields = pruning.keep_plain(c)
-    return {"candidates": c, "fields": pruning.numbered(fields)}
+    return {"candidates": c, "fields": materialise(pruning.numbered(fields), "fields")}
 
 
-def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, search: bool = True, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None) -> dict[str, DataFrame]:
     """From tokens (with row and gap_after) of docs (doc_id) to normalised fields.
 
+    pages (doc_id, page, width, height) gives page sizes, measured from the tokens where they are absent.
     client answers one prompt (see boundary.call) with {"reply": JSON array of {id, label, type, value, review}}; without
     one all fields pass through. Returns gate (every document), candidates, fields (of forms), prompts, calls and tokens
     (what the prompts save)."""
-    decided = gate.decide(gate.signals(toks, lines=lines, docs=docs).withColumn("score", gate.score()))
+    sizes = page_sizes(toks, pages)
+    decided = gate.decide(gate.signals(toks, sizes, lines, docs=docs).withColumn("score", gate.score()))
     forms = toks.join(decided.filter("is_form").select("doc_id"), "doc_id", "left_semi")
-    got = passes(tokens.with_direction(forms), catalogue, search, lines)
+    got = passes(tokens.with_direction(forms), catalogue, search, lines, pages)
     fields = got["fields"]
     prompts = B.prompts(fields)
     if client is None:
@@ -64,8 +78,9 @@ def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, sea
     size = lambda c: B.estimate_tokens(F.coalesce(c, F.lit("")))
     whole = got["candidates"].groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "candidate_id", "label", F.lit("?"), "value"))), "\n").alias("all"))
     per_doc = prompts.join(whole, "doc_id", "full").join(tokens.text_of(forms), "doc_id", "full").join(fields.groupBy("doc_id").agg(F.count("*").alias("fields")), "doc_id", "left")
+    per_doc = per_doc.join(sizes.groupBy("doc_id").agg(F.sum(B.estimate_image_tokens(F.col("width"), F.col("height"))).alias("image")), "doc_id", "left")
     account = R.token_report(per_doc.select(
-        "doc_id", size(F.col("prompt")).alias("sent"), size(F.col("all")).alias("unpruned"), size(F.col("text")).alias("raw_text"), B.estimate_image_tokens(F.lit(600.0), F.lit(PAGE_HEIGHT)).alias("image"),
+        "doc_id", size(F.col("prompt")).alias("sent"), size(F.col("all")).alias("unpruned"), size(F.col("text")).alias("raw_text"), F.coalesce("image", F.lit(0)).alias("image"),
         F.lit(0).alias("system"), F.coalesce("fields", F.lit(0)).alias("fields"), F.lit(False).alias("scanned"), F.lit(client is not None).alias("ai_called"),
     ))
     return {"gate": decided, "candidates": got["candidates"], "fields": final, "prompts": prompts, "calls": calls, "tokens": account}
