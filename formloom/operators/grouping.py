@@ -1,7 +1,7 @@
 """Grouping a page's tokens into label and value candidates.
 
 group_pages() searches, one Arrow group per (doc_id, page): where to cut each text row into segments. baseline() is
-the search's deterministic start (cut at gaps over three text heights) as window and array functions only.
+the search's deterministic start (cut at gaps over three text heights) in array functions and joins only.
 """
 
 from __future__ import annotations
@@ -327,41 +327,121 @@ def row_clusters(tokens: DataFrame) -> DataFrame:
     return by_page(t).applyInArrow(run, "doc_id long, page int, pos int, row_no int, place int")
 
 
-def baseline(tokens: DataFrame, width: float = 600.0) -> DataFrame:
-    """The deterministic grouping of left-to-right rows without ruled lines: doc_id, page, row, seg, label, value,
-    separator, has_box, grouping_score, and y and h of the label. Tokens carry row and gap_after.
+STRIP = 100.0  #: height of the strips by which label regions and ruled lines meet
 
-    Tokens are dealt by document once; the windows and the aggregation all follow on that."""
-    order = W.partitionBy("doc_id", "page", "row").orderBy("x", "pos")
-    t = tokens.repartition("doc_id").withColumn("u", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
-    t = t.withColumns({"cut": (F.lag("gap_after").over(order) > 3 * F.col("u")).cast("int"), "gap_before": F.lag("gap_after").over(order)})
-    t = t.withColumn("seg", F.sum(F.coalesce("cut", F.lit(0))).over(order))
+
+def _hull(toks: Column) -> list[Column]:
+    """x, y, right, bottom of an array of tokens."""
+    side = lambda f: F.transform(toks, f)
+    return [F.array_min(side(lambda t: t["x"])), F.array_min(side(lambda t: t["y"])), F.array_max(side(lambda t: t["r"])), F.array_max(side(lambda t: t["y"] + t["h"]))]
+
+
+def _spaces(toks: Column) -> Column:
+    """The gaps between neighbours of an array of tokens, from left to right."""
+    return F.zip_with(F.slice(toks, F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0))), F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))), lambda a, b: b["x"] - a["r"])
+
+
+def page_rows(tokens: DataFrame, pages: DataFrame | None = None, width: float = 600.0) -> DataFrame:
+    """Rows of pages: doc_id, page, row, t (the row's tokens in reading order), back (it reads from right to left), u (the
+    page's median text height), width, and free (drawn blanks of the next row with no word beside them).
+
+    Tokens are gathered by row before they are shuffled, so what moves is one value a row; the page's height comes from
+    counts of heights, which combine in the same way."""
     text = F.col("text")
-    tok = F.struct("x", "pos", "text", (F.col("x") + F.col("w")).alias("r"), F.col("gap_before").alias("g"), G.colon_ended(text).alias("colon"), G.blank_line(text).alias("blank"), G.box_glyph(text).alias("box"), G.has_box(text).alias("some_box"), "y", "h")
-    s = t.groupBy("doc_id", "page", "row", "seg").agg(F.array_sort(F.collect_list(tok)).alias("t"), F.first("u").alias("u"))
+    rtl = F.coalesce(F.col("rtl"), F.lit(False)) if "rtl" in tokens.columns else F.lit(False)
+    box = [F.col(c).cast("double").alias(c) for c in "xywh"]
+    tok = F.struct(
+        box[0], "pos", "text", box[1], box[3], (F.col("x") + F.col("w")).cast("double").alias("r"), F.col("confidence").cast("double").alias("confidence") if "confidence" in tokens.columns else F.lit(1.0).alias("confidence"), rtl.alias("rtl"),
+        G.colon_ended(text).alias("colon"), G.blank_line(text).alias("blank"), G.box_glyph(text).alias("box"), G.has_box(text).alias("some_box"), text.rlike(r"\p{L}").alias("letters"),
+    )
+    rows = tokens.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(tok)).alias("t"))
+    heights = tokens.groupBy("doc_id", "page").agg(G.median_height(F.col("h")).alias("u"))
+    if pages is not None:
+        heights = heights.join(pages.select("doc_id", "page", F.col("width").cast("double").alias("width")).dropDuplicates(["doc_id", "page"]), ["doc_id", "page"], "left").withColumn("width", F.coalesce("width", F.lit(width)))
+    else:
+        heights = heights.withColumn("width", F.lit(width))
+    count = lambda f: F.size(F.filter("t", f))
+    rows = rows.join(heights, ["doc_id", "page"]).withColumn("back", 2 * count(lambda t: t["letters"] & t["rtl"]) > count(lambda t: t["letters"]))
+    rows = rows.withColumn("t", F.when(F.col("back"), F.reverse("t")).otherwise(F.col("t")))
+    beside = lambda t: F.exists("t", lambda o: ~o["blank"] & (F.least(F.abs(t["x"] - o["r"]), F.abs(o["x"] - t["r"])) < 3 * F.col("u")))
+    blanks = F.when(F.exists("t", lambda t: t["blank"]), F.filter("t", lambda t: t["blank"] & ~beside(t)))
+    blanks = F.transform(F.coalesce(blanks, F.slice("t", 1, 0)), lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), t["r"].alias("r"), t["h"].alias("h")))
+    return rows.withColumn("free", blanks).withColumn("free", F.lead("free").over(W.partitionBy("doc_id", "page").orderBy("row")))
+
+
+def baseline(tokens: DataFrame, width: float = 600.0, pages: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """The deterministic grouping (cut at gaps over three text heights) in column expressions: what group_pages() gives
+    without search, for tokens that carry their row (and rtl, where rows may read from right to left).
+
+    doc_id, page, row, seg, label, value, separator, has_separator, has_box, grouping_score, prose_row, label_h,
+    label_confidence, region and bbox (x, y, w, h), y (of the label) and mh. Ruled lines (doc_id, page, x, y, w, h) meet the
+    regions of labels without value or separator by strips of the page, so a page of many lines is no product."""
+    u = F.col("u")
+    s = page_rows(tokens, pages, width)
     n = F.size("t")
-    inner = F.transform(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda x: x["g"])
-    widest = F.array_max(inner)
-    first_colon = F.array_position(F.transform("t", lambda x: x["colon"]), True)
+    # spaces in reading order; a row that reads backwards has its next token to the left
+    ahead = F.zip_with(F.slice("t", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(F.col("back"), a["x"] - b["r"]).otherwise(b["x"] - a["r"]))
+    s = s.withColumn("gaps", ahead)
+    marked = F.exists("t", lambda t: t["colon"] | t["blank"] | t["box"])
+    s = s.withColumn("prose_row", (n >= 8) & F.forall("gaps", lambda g: g < 1.2 * u) & ~marked)
+    ends = F.concat(F.filter(F.transform("gaps", lambda g, k: F.when(g > 3 * u, k + 1).otherwise(0)), lambda k: k > 0), F.array(n))
+    s = s.withColumn("ends", ends).withColumn("parts", F.transform("ends", lambda e, k: F.struct(
+        k.alias("seg"), F.slice("t", F.when(k == 0, 1).otherwise(F.get("ends", k - 1) + 1), e - F.when(k == 0, 0).otherwise(F.get("ends", k - 1))).alias("t"), F.get("t", e).alias("next"),
+    )))
+    s = s.select("doc_id", "page", "row", "u", "width", "back", "free", "prose_row", F.explode("parts").alias("part")).select("*", "part.*").drop("part")
     some = lambda f: F.exists("t", lambda x: x[f])
-    use_blank = (first_colon == 0) & some("blank") & ~F.forall("t", lambda x: x["blank"])
-    use_box = (first_colon == 0) & ~use_blank & some("box") & (n > 1) & ~F.forall("t", lambda x: x["box"])
-    gap_at = F.when((first_colon == 0) & ~some("blank") & (n > 1) & ~(some("box")) & (widest > 2.5 * F.col("u")), F.array_position(inner, widest))
-    end = F.when(first_colon > 0, first_colon).when(gap_at.isNotNull(), gap_at).otherwise(n).cast("int")
-    label = F.when(use_blank, F.filter("t", lambda x: ~x["blank"])).when(use_box, F.filter("t", lambda x: ~x["box"])).otherwise(F.slice("t", F.lit(1), end))
-    value = F.when(use_blank, F.filter("t", lambda x: x["blank"])).when(use_box, F.filter("t", lambda x: x["box"])).otherwise(F.slice("t", end + 1, F.greatest(n - end, F.lit(0))))
-    sep = F.when(first_colon > 0, "colon").when(use_blank, "blank").when(use_box, "box").otherwise("")
-    s = s.withColumns({"l": label, "v": value, "separator": sep, "has_box": some("some_box")})
-    after = F.lead(F.col("t")[0]["x"]).over(W.partitionBy("doc_id", "page", "row").orderBy("seg"))
-    start = F.array_max(F.transform("l", lambda x: x["r"])) + 0.3 * F.col("u")
-    s = s.withColumn("room", F.greatest(F.lit(0.0), F.coalesce(after - 0.5 * F.col("u"), F.lit(width) - F.col("u")) - start))
-    joined = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), " ")
-    no_value = F.size("v") == 0
-    no_sep = F.col("separator") == ""
-    inner_label = F.array_max(F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda x: x["g"]))
+    every = lambda f: F.forall("t", lambda x: x[f])
+    stop = F.array_position(F.transform("t", lambda x: x["colon"]), True)
+    by_blank = (stop == 0) & some("blank") & ~every("blank")
+    boxed = (stop == 0) & ~by_blank & some("box") & (n > 1)
+    by_box = boxed & ~every("box")
+    s = s.withColumns({"stop": stop, "by_blank": by_blank, "boxed": boxed, "by_box": by_box, "inner": _spaces(F.col("t"))})
+    by_gap = (F.col("stop") == 0) & ~F.col("by_blank") & ~F.col("boxed") & (F.array_max("inner") > 2.5 * u)
+    s = s.withColumn("by_gap", F.coalesce(by_gap, F.lit(False)))
+    end = F.when(F.col("stop") > 0, F.col("stop")).when(F.col("by_gap"), F.array_position("inner", F.array_max("inner"))).otherwise(n).cast("int")
+    pick = lambda f, on: F.filter("t", lambda x: x[f] == on)
+    s = s.withColumns({
+        "l": F.when(F.col("by_blank"), pick("blank", False)).when(F.col("by_box"), pick("box", False)).otherwise(F.slice("t", F.lit(1), end)),
+        "v": F.when(F.col("by_blank"), pick("blank", True)).when(F.col("by_box"), pick("box", True)).otherwise(F.slice("t", end + 1, F.greatest(n - end, F.lit(0)))),
+        "sep": F.when(F.col("stop") > 0, "colon").when(F.col("by_blank"), "blank").when(F.col("by_box"), "box").otherwise(""), "has_box": some("some_box") | some("box"),
+    })
+    widest = F.when(F.size("l") > 1, F.array_max(_spaces(F.col("l")))).when(F.col("by_gap"), F.array_max("inner")).otherwise(0.0)
+    lab, val = _hull(F.col("l")), _hull(F.col("v"))
+    s = s.withColumns({"inner": widest, "empty": F.size("v") == 0, **{f"l{k}": c for k, c in enumerate(lab)}, **{f"v{k}": c for k, c in enumerate(val)}})
+    start = F.when(F.col("back"), F.when(F.col("next").isNull(), u).otherwise(F.col("next.r") + 0.5 * u)).otherwise(F.col("l2") + 0.3 * u)
+    stop_at = F.when(F.col("back"), F.col("l0") - 0.3 * u).otherwise(F.when(F.col("next").isNull(), F.col("width") - u).otherwise(F.col("next.x") - 0.5 * u))
+    s = s.withColumns({"rx": F.when(F.col("empty"), start).otherwise(F.col("v0")), "rw": F.when(F.col("empty"), F.greatest(F.lit(0.0), stop_at - start)).otherwise(F.col("v2") - F.col("v0"))})
+    s = s.withColumns({"ry": F.when(F.col("empty"), F.col("l1")).otherwise(F.col("v1")), "rh": F.when(F.col("empty"), F.col("l3") - F.col("l1")).otherwise(F.col("v3") - F.col("v1"))})
+    bare = F.col("empty") & (F.col("sep") == "")
+    room = F.col("rw") >= 2 * u
+    if lines is not None:
+        asked = s.filter(bare & room).select("doc_id", "page", "row", "seg", *[F.col(f"r{c}") for c in "xywh"], "u", "width")
+        strips = lambda low, high: F.explode(F.sequence(F.floor(low / STRIP), F.floor(high / STRIP)))
+        asked = asked.withColumn("strip", strips(F.col("ry") - 0.8 * u, F.col("ry") + F.col("rh") + 0.8 * u))
+        ruled = lines.select("doc_id", "page", *[F.col(c).cast("double").alias(f"line_{c}") for c in "xywh"])
+        ruled = ruled.withColumn("strip", strips(F.col("line_y"), F.col("line_y") + F.greatest("line_h", F.lit(0.0))))
+        near = G.line_near([F.col(f"r{c}") for c in "xywh"], [F.col(f"line_{c}") for c in "xywh"], 0.8 * u, 0.75 * F.col("width"))
+        hit = asked.join(ruled, ["doc_id", "page", "strip"]).filter(near).select("doc_id", "page", "row", "seg").distinct().withColumn("ruled", F.lit(True))
+        s = s.join(hit, ["doc_id", "page", "row", "seg"], "left")
+    else:
+        s = s.withColumn("ruled", F.lit(None).cast("boolean"))
+    under = F.filter("free", lambda t: (t["x"] < F.col("l2")) & (t["r"] > F.col("l0")) & (t["y"] - F.col("l3") >= 0) & (t["y"] - F.col("l3") < 2.5 * u))
+    s = s.withColumn("below", F.when(bare & ~room, F.get(under, F.lit(0))))
+    s = s.withColumn("sep", F.when(F.coalesce("ruled", F.lit(False)), "line").when(F.col("below").isNotNull(), "blank").otherwise(F.col("sep")))
+    place = lambda c, own: F.coalesce(own, F.col(c))
+    s = s.withColumns({"rx": place("rx", F.col("below.x")), "rw": place("rw", F.col("below.r") - F.col("below.x")), "ry": place("ry", F.col("below.y")), "rh": place("rh", F.col("below.h"))})
     bonus = lambda c, v: F.when(c, v).otherwise(F.lit(0.0))
-    score = 0.55 + bonus(~no_sep, 0.25) + bonus(F.col("has_box"), 0.1) + bonus(no_value & (F.col("room") >= 3 * F.col("u")), 0.1) - bonus(no_value & no_sep & (F.col("room") < 3 * F.col("u")) & ~F.col("has_box"), 0.35) - bonus(F.coalesce(inner_label, F.lit(0.0)) > 3 * F.col("u"), 0.2) - bonus(F.size("l") > MAX_LABEL, 0.15)
-    return s.select("doc_id", "page", "row", F.col("seg").cast("int").alias("seg"), joined("l").alias("label"), joined(F.filter("v", lambda x: ~x["blank"])).alias("value"), "separator", "has_box", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("grouping_score"), F.array_min(F.transform("l", lambda x: x["y"])).alias("y"), F.array_max(F.transform("l", lambda x: x["h"])).alias("label_h"))
+    no_sep, wide = F.col("sep") == "", F.col("rw") >= 3 * u
+    orphan = F.col("empty") & no_sep & ~wide & ~F.col("has_box")
+    score = 0.55 + bonus(~no_sep, 0.25) + bonus(F.col("has_box"), 0.1) + bonus(F.col("empty") & wide, 0.1) - bonus(orphan, 0.35) - bonus(F.col("inner") > 3 * u, 0.2) - bonus(F.size("l") > MAX_LABEL, 0.15)
+    joined = lambda a: F.trim(F.array_join(F.transform(a, lambda x: x["text"]), " "))
+    whole = _hull(F.col("t"))
+    bx, by = F.least(whole[0], F.col("rx")), F.least(whole[1], F.col("ry"))
+    return s.select(
+        "doc_id", "page", "row", F.col("seg").cast("int").alias("seg"), joined("l").alias("label"), joined(F.filter("v", lambda x: ~x["blank"])).alias("value"), F.col("sep").alias("separator"), (~no_sep).alias("has_separator"), "has_box",
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3).alias("grouping_score"), "prose_row", F.array_max(F.transform("l", lambda x: x["h"])).alias("label_h"), F.array_min(F.transform("l", lambda x: x["confidence"])).alias("label_confidence"),
+        F.array(*[F.col(f"r{c}") for c in "xywh"]).alias("region"), F.array(bx, by, F.greatest(whole[2], F.col("rx") + F.col("rw")) - bx, F.greatest(whole[3], F.col("ry") + F.col("rh")) - by).alias("bbox"), F.col("l1").alias("y"), u.alias("mh"),
+    )
 
 
 def label_columns(starts: Column, unit: float = 12.0) -> Column:

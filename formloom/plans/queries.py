@@ -379,7 +379,7 @@ bs AS (SELECT *, round(greatest(0.0, least(1.0, 0.55 + CASE WHEN separator <> ''
 
 @query(f'WITH {FORM_SQL}, {_BASE_SQL} SELECT doc_id, page, "row", seg, label, value, separator, has_box, grouping_score FROM bs')
 def q28_grouping_baseline(spark, d):
-    return grouping.baseline(all_tokens(spark, d)).drop("y", "label_h")
+    return grouping.baseline(all_tokens(spark, d)).select("doc_id", "page", "row", "seg", "label", "value", "separator", "has_box", "grouping_score")
 
 
 def _ordered_tokens(spark, d):
