@@ -1,11 +1,13 @@
 """Label and value normalisation as column expressions.
 
-Compatibility composition (NFKC) has no built-in; composed() does it for the rows that need it, ASCII rows pass by.
+Compatibility composition (NFKC) has no built-in; composed() hands texts beyond ASCII to an Arrow function, which gets a null
+for every other row.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +17,15 @@ from . import patterns as P
 SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKC")
+@F.arrow_udf(T.StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKC")
 
 
 def composed(text: Column) -> Column:
-    """NFKC form. Only texts beyond ASCII reach the Arrow function's result; others are themselves."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfkc(text))
+    """NFKC form. Every row visits the Arrow function, as Spark doesn't skip it by row, but texts of ASCII do so as nulls."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.coalesce(F.when(plain, text), _nfkc(F.when(~plain, text)))
 
 
 def ascii_digits(text: Column) -> Column:

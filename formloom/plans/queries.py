@@ -15,7 +15,7 @@ from ..operators import evaluation as E
 from ..operators import gate, grouping, layout, pruning, store, templates, tokens
 from ..operators import report as R
 from . import extract
-from .forms import CUSTOMER_SQL, FORM_SQL, ORDER_BASE, ORDER_SQL, TOK_SQL, all_tokens, form_tokens, read
+from .forms import FORM_SQL, ORDER_BASE, TOK_SQL, all_tokens, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,13 +92,14 @@ def q07_glued_split(spark, d):
     return tokens.split_glued(t).select("doc_id", "part", "text", F.round("x", 3).alias("x"), F.round("w", 3).alias("w"))
 
 
-@query(f"""WITH {CUSTOMER_SQL}, l AS (SELECT c_custkey AS doc_id, 150.0::DOUBLE AS x, 174.0::DOUBLE AS y, 40.0 + c_custkey % 300 AS w, 1.0::DOUBLE AS h FROM customer WHERE c_custkey % 2 = 0)
-SELECT doc_id, "row", pos, text FROM cform f WHERE EXISTS (SELECT 1 FROM l WHERE l.doc_id = f.doc_id AND l.w <= 200 AND abs(l.y - (f.y + f.h)) <= 9.6 AND l.x < f.x + f.w AND l.x + l.w > f.x)""")
+@query(f"""WITH {FORM_SQL}, k AS (SELECT DISTINCT doc_id FROM form), l AS (SELECT doc_id, 60.0::DOUBLE + doc_id % 7 * 40 AS x, 170.0::DOUBLE + doc_id % 5 * 4 AS y, 40.0 + doc_id % 300 AS w, 1.0::DOUBLE AS h FROM k)
+SELECT doc_id, "row", pos, text FROM form f WHERE EXISTS (SELECT 1 FROM l WHERE l.doc_id = f.doc_id AND l.w <= 200 AND abs(l.y - (f.y + f.h)) <= 9.6 AND l.x < f.x + f.w AND l.x + l.w > f.x)""")
 def q08_rule_line_semijoin(spark, d):
-    c = _t(spark, d, "customer").filter("c_custkey % 2 = 0")
-    lines = c.select(F.col("c_custkey").alias("doc_id"), F.lit(150.0).alias("lx"), F.lit(174.0).alias("ly"), (40.0 + F.col("c_custkey") % 300).alias("lw"), F.lit(1.0).alias("lh"))
-    f = form_tokens(spark, d)
-    near = G.line_near([f[k] for k in "xywh"], [lines[k] for k in ("lx", "ly", "lw", "lh")], F.lit(9.6), F.lit(200.0))
+    """A line on every form; its place and width tell which words it runs under, if any."""
+    f = all_tokens(spark, d)
+    k = F.col("doc_id")
+    lines = f.select("doc_id").distinct().select(k, (60.0 + k % 7 * 40).alias("lx"), (170.0 + k % 5 * 4).alias("ly"), (40.0 + k % 300).alias("lw"), F.lit(1.0).alias("lh"))
+    near = G.line_near([f[c] for c in "xywh"], [lines[c] for c in ("lx", "ly", "lw", "lh")], F.lit(9.6), F.lit(200.0))
     return f.join(lines, (f["doc_id"] == lines["doc_id"]) & near, "left_semi").select("doc_id", "row", "pos", "text")
 
 
@@ -196,7 +197,7 @@ def _show_label_sql(x: str) -> str:
 @query(f"WITH l AS (SELECT o_orderkey, (o_orderkey % 30) || ') ' || o_orderpriority || '  :__ ' AS label FROM orders) SELECT o_orderkey, {_match_label_sql('label')} AS matched, {_show_label_sql('label')} AS shown FROM l")
 def q15_label_normalise(spark, d):
     label = F.concat((F.col("o_orderkey") % 30).cast("string"), F.lit(") "), "o_orderpriority", F.lit("  :__ "))
-    return _t(spark, d, "orders").select("o_orderkey", N.match_label(label, False).alias("matched"), N.show_label(label, False).alias("shown"))
+    return _t(spark, d, "orders").select("o_orderkey", N.match_label(label).alias("matched"), N.show_label(label).alias("shown"))
 
 
 def _aliases_sql() -> str:
@@ -224,7 +225,7 @@ _LABELS_SQL = f"lb AS (SELECT DISTINCT unnest(['Contact phone of ' || n_name, 'I
 @query(f"WITH {_aliases_sql()}, {_LABELS_SQL}, n AS (SELECT label, {_match_label_sql('label')} AS norm FROM lb) SELECT label, key FROM n JOIN al ON norm = alias")
 def q16_template_exact(spark, d):
     index = templates.alias_index(templates.catalogue(spark))
-    labels = _labels_df(spark, d).withColumn("alias", N.match_label(F.col("label"), False))
+    labels = _labels_df(spark, d).withColumn("alias", N.match_label(F.col("label")))
     return labels.join(index, "alias").select("label", "key")
 
 
@@ -245,7 +246,7 @@ s AS (SELECT label, place, key, CASE WHEN inside THEN CASE WHEN n > 3 * m + 6 TH
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s::DOUBLE, 9) DESC, place) AS k FROM s) SELECT label, key, round(s::DOUBLE, 4) AS strength FROM r WHERE k = 1 AND s > 0""")
 def q17_template_containment_top1(spark, d):
     index = templates.alias_index(templates.catalogue(spark))
-    u = _labels_df(spark, d).withColumn("norm", N.match_label(F.col("label"), False)).withColumn("b", F.trim(F.regexp_replace("norm", r"\(.*?\)", "")))
+    u = _labels_df(spark, d).withColumn("norm", N.match_label(F.col("label"))).withColumn("b", F.trim(F.regexp_replace("norm", r"\(.*?\)", "")))
     u = u.withColumn("bare", F.when(F.col("b") != "", F.col("b")).otherwise(F.col("norm")))
     pairs = u.join(templates.candidate_pairs(u, index.filter("length(alias) >= 3")), "norm")
     s = F.coalesce(templates.containment_score(F.col("norm"), F.col("bare"), F.col("alias")), F.lit(0.0))
@@ -276,7 +277,7 @@ SELECT n_nationkey, label, value, {_kinds_sql('label', 'value')} AS kind FROM c"
 def q19_infer_type(spark, d):
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("value")) for a, b in _TYPED]))
     c = _t(spark, d, "nation").select("n_nationkey", "n_name", pairs.alias("t")).select("n_nationkey", F.concat_ws(" ", "n_name", "t.label").alias("label"), F.col("t.value").alias("value"))
-    return c.select("n_nationkey", "label", "value", templates.infer_type(F.col("label"), F.col("value"), F.lit(False), False).alias("kind"))
+    return c.select("n_nationkey", "label", "value", templates.infer_type(F.col("label"), F.col("value"), F.lit(False)).alias("kind"))
 
 
 # --- normalisation
@@ -288,7 +289,7 @@ _DATES = {"dmy": ("dd/MM/yyyy", "%d/%m/%Y"), "ymd": ("yyyy.MM.dd", "%Y.%m.%d"),
 def q20_normalise_date(spark, d):
     styles = F.explode(F.array(*[F.struct(F.lit(k).alias("style"), F.date_format("o_orderdate", a).alias("raw")) for k, (a, _) in _DATES.items()]))
     o = _t(spark, d, "orders").select("o_orderkey", styles.alias("s")).select("o_orderkey", "s.style", "s.raw")
-    return o.withColumn("iso", N.normalise_date(F.col("raw"), False))
+    return o.withColumn("iso", N.normalise_date(F.col("raw")))
 
 
 @query("""WITH c AS (SELECT c_custkey, format('{:,.2f}', c_acctbal) AS us, printf('%.2f', c_acctbal) AS plain FROM customer)
@@ -297,7 +298,7 @@ def q21_normalise_number(spark, d):
     us = F.format_number("c_acctbal", 2)
     styles = F.explode(F.array(*[F.struct(F.lit(k).alias("style"), v.alias("raw")) for k, v in (("us", us), ("eu", F.translate(us, ",.", ".,")), ("sign", F.concat(F.lit("₹ "), us)))]))
     c = _t(spark, d, "customer").select("c_custkey", styles.alias("s")).select("c_custkey", "s.style", "s.raw")
-    return c.select("c_custkey", "style", N.normalise_number(F.col("raw"), F.lit("Amount"), False).alias("number"))
+    return c.select("c_custkey", "style", N.normalise_number(F.col("raw"), F.lit("Amount")).alias("number"))
 
 
 @query("SELECT c_custkey, '022' || lpad(c_custkey::VARCHAR, 8, '0') AS local, '+91' || lpad(c_custkey::VARCHAR, 10, '9') AS abroad FROM customer")
@@ -306,7 +307,7 @@ def q22_normalise_phone(spark, d):
     eight, ten = F.lpad(k, 8, "0"), F.lpad(k, 10, "9")
     local = F.concat(F.lit("(022) "), F.substring(eight, 1, 4), F.lit(" "), F.substring(eight, 5, 4))
     abroad = F.concat(F.lit("+91 "), F.substring(ten, 1, 5), F.lit("-"), F.substring(ten, 6, 5))
-    return _t(spark, d, "customer").select("c_custkey", N.normalise_number(local, F.lit("Phone"), False).alias("local"), N.normalise_number(abroad, F.lit("Mobile No."), False).alias("abroad"))
+    return _t(spark, d, "customer").select("c_custkey", N.normalise_number(local, F.lit("Phone")).alias("local"), N.normalise_number(abroad, F.lit("Mobile No.")).alias("abroad"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'true' WHEN o_orderkey % 3 = 1 THEN 'false' ELSE lower(o_orderstatus || '?') END AS box, o_orderpriority AS choice FROM orders")
@@ -314,7 +315,7 @@ def q23_checkbox_choice(spark, d):
     raw = F.when(F.col("o_orderkey") % 3 == 0, "☑ yes").when(F.col("o_orderkey") % 3 == 1, " No ").otherwise(F.concat("o_orderstatus", F.lit("?")))
     options = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
     said = F.concat(F.lit("☑ "), F.lower(F.substr("o_orderpriority", F.lit(3))))
-    return _t(spark, d, "orders").select("o_orderkey", N.normalise_checkbox(raw, False).alias("box"), N.normalise_choice(said, options, False).alias("choice"))
+    return _t(spark, d, "orders").select("o_orderkey", N.normalise_checkbox(raw).alias("box"), N.normalise_choice(said, options, False).alias("choice"))
 
 
 @query(f"""WITH l AS (SELECT n_nationkey, lower(n_name) || ' of the ' || r_name || ' e-mail Of Birth' AS label FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -349,14 +350,8 @@ def _jittered(spark, d):
     return t.withColumns({"y": F.col("y") + (F.col("doc_id") * 7 + F.col("pos") * 3) % 5, "pos": F.row_number().over(W.partitionBy("doc_id").orderBy("row", "pos")) - 1})
 
 
-@query(f"""WITH {CUSTOMER_SQL} SELECT doc_id, 1 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY "row", pos) - 1)::INTEGER AS pos, "row" AS row_no, pos AS place FROM cform""")
+@query(f"""WITH {FORM_SQL} SELECT doc_id, 1 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY "row", pos) - 1)::INTEGER AS pos, "row" AS row_no, pos AS place FROM form""")
 def q27_row_clustering(spark, d):
-    """Customer forms only, as its SQL has them; q27b_row_clustering_all_forms has all."""
-    return grouping.row_clusters(_jittered(spark, d).filter(F.col("doc_id") < ORDER_BASE))
-
-
-@query()
-def q27b_row_clustering_all_forms(spark, d):
     return grouping.row_clusters(_jittered(spark, d))
 
 
@@ -369,10 +364,11 @@ g4 AS (SELECT doc_id, page, "row", seg, any_value(u) AS u, min(CASE WHEN colon T
   max(CASE WHEN k > 1 THEN g END) AS wide, arg_max(k, CASE WHEN k > 1 THEN g END) AS kw, nullif(max_by(coalesce(nx, 1e18), k), 1e18) AS nx, bool_or(blank) AS anyb FROM g3 GROUP BY 1, 2, 3, 4),
 g5 AS (SELECT g3.*, CASE WHEN kc IS NOT NULL THEN k <= kc WHEN ub THEN NOT blank WHEN ux AND n > 1 THEN NOT box WHEN n > 1 AND NOT anyb AND NOT ab AND wide > 2.5 * g4.u THEN k < kw ELSE true END AS is_label,
   CASE WHEN kc IS NOT NULL THEN 'colon' WHEN ub THEN 'blank' WHEN ux AND n > 1 THEN 'box' ELSE '' END AS sep, ab, g4.nx AS next_x FROM g3 JOIN g4 USING (doc_id, page, "row", seg)),
-g6 AS (SELECT doc_id, page, "row", seg, any_value(u) AS u, string_agg(CASE WHEN is_label THEN text END, ' ' ORDER BY pos) AS label, coalesce(string_agg(CASE WHEN NOT is_label AND NOT blank THEN text END, ' ' ORDER BY pos), '') AS value,
+g6 AS (SELECT doc_id, page, "row", seg, any_value(u) AS u, string_agg(CASE WHEN is_label THEN text END, ' ' ORDER BY pos) AS label, coalesce(string_agg(CASE WHEN NOT is_label AND NOT blank THEN text END, ' ' ORDER BY pos), '') AS value, max(CASE WHEN NOT is_label THEN x + w END) - min(CASE WHEN NOT is_label THEN x END) AS vw, max(x + w) AS x1, min(y) AS y0, max(y + h) AS y1,
   any_value(sep) AS separator, bool_or(ab) AS has_box, bool_and(is_label) AS no_value, max(CASE WHEN is_label THEN x + w END) AS lr, any_value(next_x) AS nx, count(*) FILTER (is_label) AS nl, max(CASE WHEN is_label AND k > 1 THEN g END) AS inner_gap,
   min(CASE WHEN is_label THEN y END) AS ly, max(CASE WHEN is_label THEN h END) AS lh, min(x) AS x0 FROM g5 GROUP BY 1, 2, 3, 4),
 g7 AS (SELECT *, greatest(0.0, coalesce(nx - 0.5 * u, 600.0 - u) - (lr + 0.3 * u)) AS room FROM g6),
+pr AS (SELECT doc_id, page, "row", count(*) >= 8 AND max(coalesce(gap_after, 0)) < 1.2 * any_value(u) AND NOT bool_or(colon OR blank OR box) AS prose FROM g2 GROUP BY 1, 2, 3), ph AS (SELECT doc_id, page, greatest(850.0::DOUBLE, max(y) + 40) AS high FROM form GROUP BY 1, 2),
 bs AS (SELECT *, round(greatest(0.0, least(1.0, 0.55 + CASE WHEN separator <> '' THEN 0.25 ELSE 0 END + CASE WHEN has_box THEN 0.1 ELSE 0 END + CASE WHEN no_value AND room >= 3 * u THEN 0.1 ELSE 0 END
   - CASE WHEN no_value AND separator = '' AND room < 3 * u AND NOT has_box THEN 0.35 ELSE 0 END - CASE WHEN coalesce(inner_gap, 0) > 3 * u THEN 0.2 ELSE 0 END - CASE WHEN nl > 7 THEN 0.15 ELSE 0 END))::DOUBLE, 3) AS grouping_score FROM g7)"""
 
@@ -393,13 +389,14 @@ def q29_grouping_search(spark, d):
 
 def _candidates(spark, d):
     """Baseline candidates of all forms with their exact template, as the pruning features need them."""
-    b = grouping.baseline(all_tokens(spark, d))
+    t = all_tokens(spark, d)
+    high = t.groupBy("doc_id", "page").agg(F.greatest(F.lit(extract.PAGE_HEIGHT), F.max("y") + extract.BELOW).alias("page_height"))
+    b = grouping.baseline(t).join(high, ["doc_id", "page"])
     index = templates.alias_index(templates.catalogue(spark)).select("alias", F.col("key").alias("template_key"))
-    c = b.withColumn("alias", N.match_label(F.col("label"), False)).join(index, "alias", "left")
+    c = b.withColumn("alias", N.match_label(F.col("label"))).join(index, "alias", "left")
     return c.select(
-        "doc_id", "page", F.format_string("p%d_c%02d%02d", "page", "row", "seg").alias("candidate_id"), "row", "seg", "label", "value", "y", F.lit(850.0).alias("page_height"), F.when(F.col("template_key").isNull(), 0.0).otherwise(1.0).alias("strength"),
-        "template_key", (F.col("separator") != "").alias("has_separator"), "has_box", "separator", "grouping_score", F.lit(0.0).alias("region_w"), F.lit(False).alias("prose_row"), "label_h", F.lit(1.0).alias("label_confidence"), F.lit(12.0).alias("mh"),
-        F.lit(40.0).alias("x"), F.lit(500.0).alias("w"), F.lit(12.0).alias("h"),
+        "doc_id", "page", F.format_string("p%d_c%02d%02d", "page", "row", "seg").alias("candidate_id"), "row", "seg", "label", "value", "page_height", F.when(F.col("template_key").isNull(), 0.0).otherwise(1.0).alias("strength"),
+        "template_key", "has_separator", "has_box", "separator", "grouping_score", F.col("region")[2].alias("region_w"), "prose_row", "label_h", "label_confidence", "mh", *[F.col("bbox")[k].alias(n) for k, n in enumerate("xywh")],
     )
 
 
@@ -408,16 +405,16 @@ def _evidence_sql() -> str:
     weak = "(separator = '')"
     cond = [
         (f"regexp_matches(norm, {_q(P.PAGE_NUMBER)}) AND {weak}", "0.9"), (f"regexp_matches(norm, {_q(P.NOISE)})", "0.8"), (f"nw = 1 AND length(norm) <= 2 AND {weak} AND NOT has_box", "0.5"),
-        (f"(y / 850.0 < 0.08 OR y / 850.0 > 0.93) AND {weak} AND NOT has_box AND strength < 0.9", "0.45"), (f"regexp_matches(norm || ' ' || value, {title}) AND {weak} AND strength < 0.9", "0.35"),
+        (f"(y / high < 0.08 OR y / high > 0.93) AND {weak} AND NOT has_box AND strength < 0.9", "0.45"), (f"regexp_matches(norm || ' ' || value, {title}) AND {weak} AND strength < 0.9", "0.35"),
         (f"regexp_matches(norm, {instr}) AND {weak} AND nw >= 4", "0.45"), (f"nw >= 9 AND {weak}", "0.4"), (f"regexp_matches(norm, '[.。।!?]$') AND (nw >= 5 OR length(norm) >= 18) AND {weak}", "0.5"),
         (f"nw >= 6 AND {weak} AND strength < 0.9", "0.3"), (f"regexp_matches(norm, {_q('^[\\s' + P.BOX + '\\[\\]()xX✓✔]+$')})", "0.9"), (f"norm = upper(norm) AND norm <> lower(norm) AND nw >= 3 AND {weak} AND strength < 0.9", "0.2"),
-        (f"lh2 > 26.4 AND {weak}", "0.35"), (f"lh2 <= 26.4 AND lh2 > 18 AND {weak} AND strength < 0.9", "0.2"), (f"regexp_matches(norm, {_q(P.BLANK_LINE)})", "0.7"), ("grouping_score < 0.35", "0.25"),
+        (f"lh > 2.2 * u AND {weak}", "0.35"), (f"lh <= 2.2 * u AND lh > 1.5 * u AND {weak} AND strength < 0.9", "0.2"), (f"regexp_matches(norm, {_q(P.BLANK_LINE)})", "0.7"), ("grouping_score < 0.35", "0.25"), (f"prose AND {weak}", "0.6"),
     ]
     junk = " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for c, v in cond)
-    good = "CASE WHEN separator <> '' THEN 0.45 ELSE 0 END + CASE WHEN has_box THEN 0.3 ELSE 0 END + CASE WHEN key IS NOT NULL THEN 0.5 * strength ELSE 0 END + CASE WHEN value <> '' AND separator = '' AND nw BETWEEN 1 AND 5 THEN 0.1 ELSE 0 END + 0.2 * grouping_score"
-    return f"""{_aliases_sql()}, ry AS (SELECT doc_id, "row", min(y) AS y, max(h) AS lh2 FROM form GROUP BY 1, 2),
-e1 AS (SELECT b.doc_id, b.page, b."row", b.seg, label, value, separator, has_box, grouping_score, ry.y, lh2, al.key, CASE WHEN al.key IS NULL THEN 0.0 ELSE 1.0 END AS strength, trim(label) AS norm, len(list_filter(regexp_split_to_array(trim(label), '\\s+'), lambda w: w <> '')) AS nw
-  FROM bs b JOIN ry USING (doc_id, "row") LEFT JOIN al ON alias = {_match_label_sql('label')}),
+    good = "CASE WHEN separator <> '' THEN 0.45 ELSE 0 END + CASE WHEN has_box THEN 0.3 ELSE 0 END + CASE WHEN key IS NOT NULL THEN 0.5 * strength ELSE 0 END + CASE WHEN coalesce(vw, room) >= 3 * u THEN 0.15 ELSE 0 END + CASE WHEN value <> '' AND separator = '' AND nw BETWEEN 1 AND 5 THEN 0.1 ELSE 0 END + 0.2 * grouping_score"
+    return f"""{_aliases_sql()},
+e1 AS (SELECT b.doc_id, b.page, b."row", b.seg, label, value, separator, has_box, grouping_score, y0 AS y, x0, lh, u, vw, room, prose, high, al.key, CASE WHEN al.key IS NULL THEN 0.0 ELSE 1.0 END AS strength, trim(label) AS norm, len(list_filter(regexp_split_to_array(trim(label), '\\s+'), lambda w: w <> '')) AS nw
+  FROM bs b JOIN pr USING (doc_id, page, "row") JOIN ph USING (doc_id, page) LEFT JOIN al ON alias = {_match_label_sql('label')}),
 ev AS (SELECT *, least(1.0, {junk}) AS junk, least(1.0, {good}) AS genuine FROM e1)"""
 
 
@@ -473,26 +470,28 @@ def _conversation_fields(spark, d, label, value):
     return fields, replies
 
 
-@query("""WITH u AS (SELECT conv_id AS doc_id, printf('f_%03d', turn) AS field_id, substr(text, 1, 20) AS label FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id AS doc_id, printf('f_%03d', turn - 1) AS field_id, substr(text, 1, 30) AS value, turn % 4 = 1 AS review, row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
+@query("""WITH u AS (SELECT conv_id AS doc_id, printf('f_%03d', turn) AS field_id, text AS label FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id AS doc_id, printf('f_%03d', turn - 1) AS field_id, text AS value, turn % 4 = 1 AS review, row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
 SELECT u.doc_id, u.field_id, u.label, coalesce(a.value, '') AS value, CASE WHEN a.field_id IS NULL THEN true ELSE review AND trim(a.value) <> '' END AS needs_review, CASE WHEN a.field_id IS NULL THEN 0.56::DOUBLE ELSE 0.9::DOUBLE END AS confidence
 FROM u LEFT JOIN a ON u.doc_id = a.doc_id AND u.field_id = a.field_id AND k = 1""")
 def q34_merge_replies(spark, d):
-    """Prefixes of the texts, as its SQL has them; q34b_merge_whole_replies has the whole texts."""
-    return _merged(spark, d, F.substring("text", 1, 20), F.substring("text", 1, 30))
+    """Whole texts of users as labels, of assistants as values."""
+    return B.merge(*_conversation_fields(spark, d, F.col("text"), F.col("text"))).select("doc_id", "field_id", "label", "value", "needs_review", "confidence")
 
 
-@query()
-def q34b_merge_whole_replies(spark, d):
-    return _merged(spark, d, F.col("text"), F.col("text"))
+def with_options(fields):
+    return fields.withColumn("options", F.when(F.col("has_box"), pruning.options_of(F.col("value"))).otherwise(F.array().cast("array<string>")))
 
 
-def _merged(spark, d, label, value):
-    return B.merge(*_conversation_fields(spark, d, label, value)).select("doc_id", "field_id", "label", "value", "needs_review", "confidence")
+def _fields(spark, d):
+    return with_options(pruning.numbered(_candidates(spark, d)))
 
 
-def _fields(spark, d):
-    return pruning.numbered(_candidates(spark, d)).withColumn("options", F.when(F.col("has_box"), pruning.options_of(F.col("value"))).otherwise(F.array().cast("array<string>")))
+def _prompt_sql(name: str, where: str) -> str:
+    """CTE of each document's prompt and its number of fields, over the evidence of those that qualify."""
+    return f"""{name}_f AS (SELECT *, printf('f_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY y, "row", seg)) AS fid,
+  CASE WHEN has_box THEN list_filter(list_transform(string_split(regexp_replace(value, {_q(P.BOX_TOKEN)}, chr(1), 'g'), chr(1)), lambda o: regexp_replace(o, '^[ :]+|[ :]+$', '', 'g')), lambda o: o <> '') ELSE [] END AS opts FROM ev WHERE {where}),
+{name} AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws('|', fid, label, coalesce(key, '?'), CASE WHEN len(opts) > 0 THEN 'opts:' || array_to_string(opts, '/') ELSE value END), chr(10) ORDER BY fid) AS prompt FROM {name}_f GROUP BY 1)"""
 
 
 @query(f"""WITH {FORM_SQL}, {_BASE_SQL}, {_evidence_sql()} SELECT doc_id, count(*) AS n, count(*) FILTER (key IS NULL OR (trim(value) <> '' AND NOT has_box) OR (has_box AND value = '') AND false OR grouping_score < 0.6) AS sent,
@@ -503,15 +502,8 @@ def q35_select_for_ai(spark, d):
     return sent.join(B.document_needs_model(f), "doc_id")
 
 
-@query(f"""WITH {CUSTOMER_SQL}, form AS (SELECT * FROM cform), {_BASE_SQL}, {_evidence_sql()}, f AS (SELECT *, printf('f_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY y, "row", seg)) AS fid FROM ev)
-SELECT doc_id, string_agg(fid || '|' || label || '|' || coalesce(key, '?') || '|' || value, chr(10) ORDER BY fid) AS prompt FROM f GROUP BY 1""")
+@query(f"WITH {FORM_SQL}, {_BASE_SQL}, {_evidence_sql()}, {_prompt_sql('pf', 'true')} SELECT doc_id, prompt FROM pf")
 def q36_prompt(spark, d):
-    """Customer forms only, as its SQL has them; q36b_prompt_all_forms has all."""
-    return q36b_prompt_all_forms(spark, d).filter(F.col("doc_id") < ORDER_BASE)
-
-
-@query()
-def q36b_prompt_all_forms(spark, d):
     return B.prompts(_fields(spark, d))
 
 
@@ -653,19 +645,25 @@ def q48_label_match_contains(spark, d):
     near = docs.filter(F.length("text") >= 3).select("doc_id", F.explode(F.array_distinct(trio(F.col("text")))).alias("head")).join(heads.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
     tiny = short.filter(F.length("passage") < 3).groupBy("passage").agg(F.collect_set("item_id").alias("items"))  # one row per passage of one or two characters
     few = docs.join(near, "doc_id").join(heads.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
-    some = docs.join(tiny, F.contains("text", "passage")).select(F.explode("items").alias("item_id"), "doc_id")
+    # one or two characters: the key is the passage itself, among the text's distinct characters and their pairs
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda k: F.substr("text", k, F.lit(n)))
+    some = docs.select("doc_id", F.explode(F.array_union(runs(1), runs(2))).alias("passage")).join(tiny, "passage").select(F.explode("items").alias("item_id"), "doc_id")
     return long_ones.unionByName(few).unionByName(some)
 
 
 _TRUTH = ["name", "account balance", "segment", "signature", "city", "country", "missing"]
+_ORDER_TRUTH = ["order no.", "date", "total", "priority", "signature", "page", "absent", "signature of buyer"]
 
 
-@query(f"""WITH {CUSTOMER_SQL}, form AS (SELECT * FROM cform), {_BASE_SQL}, f AS (SELECT DISTINCT doc_id, {_match_label_sql('label')} AS n FROM bs), t AS (SELECT c_custkey AS doc_id, unnest([{', '.join(map(_q, _TRUTH))}]) AS n FROM customer),
-p AS (SELECT t.doc_id, t.n AS tn, f.n AS fn FROM t JOIN f ON t.doc_id = f.doc_id AND f.n <> '' AND (contains(t.n, f.n) OR contains(f.n, t.n)))
-SELECT d.doc_id, (SELECT count(DISTINCT tn) FROM p WHERE p.doc_id = d.doc_id) / 7.0::DOUBLE AS recall, (SELECT count(DISTINCT fn) FROM p WHERE p.doc_id = d.doc_id) / (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id)::DOUBLE AS precision FROM (SELECT DISTINCT doc_id FROM t) d""")
+@query(f"""WITH {FORM_SQL}, {_BASE_SQL}, f AS (SELECT DISTINCT doc_id, {_match_label_sql('label')} AS n FROM bs),
+t AS (SELECT c_custkey AS doc_id, unnest([{', '.join(map(_q, _TRUTH))}]) AS n FROM customer UNION ALL SELECT o_orderkey + {ORDER_BASE}, unnest([{', '.join(map(_q, _ORDER_TRUTH))}]) FROM orders),
+p AS (SELECT t.doc_id, t.n AS tn, f.n AS fn FROM t JOIN f ON t.doc_id = f.doc_id AND f.n <> '' AND (contains(t.n, f.n) OR contains(f.n, t.n))),
+nt AS (SELECT doc_id, count(DISTINCT n) AS nt FROM t GROUP BY 1), nf AS (SELECT doc_id, count(*) AS nf FROM f GROUP BY 1), h AS (SELECT doc_id, count(DISTINCT tn) AS ht, count(DISTINCT fn) AS hf FROM p GROUP BY 1)
+SELECT doc_id, coalesce(ht, 0) / nt::DOUBLE AS recall, coalesce(hf, 0) / greatest(coalesce(nf, 0), 1)::DOUBLE AS precision FROM nt LEFT JOIN nf USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def q49_recall_precision(spark, d):
-    found = grouping.baseline(form_tokens(spark, d)).select("doc_id", N.match_label(F.col("label"), False).alias("norm"))
-    truth = _t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*[F.lit(x) for x in _TRUTH])).alias("norm"))
+    found = grouping.baseline(all_tokens(spark, d)).select("doc_id", N.match_label(F.col("label")).alias("norm"))
+    labels = lambda t, key, names: _t(spark, d, t).select(key.alias("doc_id"), F.explode(F.array(*[F.lit(x) for x in names])).alias("norm"))
+    truth = labels("customer", F.col("c_custkey"), _TRUTH).unionByName(labels("orders", F.col("o_orderkey") + ORDER_BASE, _ORDER_TRUTH))
     return E.recall_precision(truth, found)
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..operators import boundary as B
 from ..operators import evaluation as E
-from ..operators import gate, grouping, layout, service, templates, tokens
+from ..operators import gate, grouping, layout, pruning, service, templates, tokens
 from ..operators import report as R
 from . import extract
-from .forms import CUSTOMER_SQL, FORM_SQL, TOK_SQL, all_tokens
-from .queries import _BASE_SQL, _aliases_sql, _doc_gate, _layout, _match_label_sql, _ordered_tokens, _q, _signals_sql, _t, query
+from .forms import FORM_SQL, ORDER_BASE, TOK_SQL, all_tokens
+from .queries import _BASE_SQL, _aliases_sql, _candidates, _doc_gate, _evidence_sql, _layout, _match_label_sql, _ordered_tokens, _prompt_sql, _q, _signals_sql, _t, query, with_options
 
 _SECOND_SQL = f"""{TOK_SQL}, {_signals_sql('tok')}, so AS (SELECT gt.doc_id, token_count, v.quality IS NOT NULL AND (NOT is_form OR token_count < 15) AS second, is_form, round(sure::DOUBLE, 3) AS sure, v.quality = 0 AS v_form FROM gt LEFT JOIN labels v ON v.doc_id = gt.doc_id),
 se AS (SELECT doc_id, token_count, second, CASE WHEN second THEN v_form ELSE is_form END AS is_form, CASE WHEN second THEN 0.755::DOUBLE ELSE sure END AS confidence FROM so)"""
@@ -136,21 +136,27 @@ def q65_bar_percentages(spark, d):
 _EST = "coalesce(floor((length({0}) - length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g'))) / 4.0::DOUBLE + length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')) / 1.5::DOUBLE) + length({0}) - length(replace({0}, chr(10), '')), 0)::BIGINT"
 
 
-@query(f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda s: s <> '') AS ws FROM documents),
-e AS (SELECT doc_id, array_to_string(ws[1:120], ' ') AS a, array_to_string(ws[1:200], ' ') AS b, t FROM w),
-p AS (SELECT doc_id, {_EST.format('a')} + 50 AS s, {_EST.format('b')} + 50 AS u, {_EST.format('t')} + 50 AS r, (258 * ceil(600.0::DOUBLE / 768) * ceil(850.0::DOUBLE / 768))::BIGINT + 50 AS i, (doc_id % 9)::BIGINT AS n, doc_id % 3 = 0 AS sc, doc_id % 2 = 0 AS ai FROM e),
+@query(f"""WITH {FORM_SQL}, {_BASE_SQL}, {_evidence_sql()}, {_prompt_sql('pa', 'true')}, {_prompt_sql('pk', 'junk < 0.5')},
+tx AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY "row") AS t FROM (SELECT doc_id, "row", string_agg(text, ' ' ORDER BY pos) AS l FROM form GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT tx.doc_id, coalesce(pk.prompt, '') AS a, coalesce(pa.prompt, '') AS b, t, coalesce(pk.n, 0) AS n FROM tx LEFT JOIN pk USING (doc_id) LEFT JOIN pa USING (doc_id)),
+p AS (SELECT e.doc_id, {_EST.replace('{0}', 'a')} + 50 AS s, {_EST.replace('{0}', 'b')} + 50 AS u, {_EST.replace('{0}', 't')} + 50 AS r, (258 * ceil(600.0::DOUBLE / 768) * ceil(high / 768))::BIGINT + 50 AS i, n, false AS sc, e.doc_id % 2 = 0 AS ai FROM e JOIN ph USING (doc_id)),
 q AS (SELECT *, CASE WHEN sc THEN i ELSE r END AS base FROM p)
 SELECT doc_id, s AS prompt_sent, u AS prompt_unpruned, r AS prompt_raw_text, i AS prompt_image, greatest(0, u - s) AS saved_vs_unpruned, greatest(0, r - s) AS saved_vs_raw_text, greatest(0, i - s) AS saved_vs_image,
 round(100 * greatest(0, r - s) / greatest(r, 1)::DOUBLE, 1) AS saved_pct_vs_raw_text, CASE WHEN sc THEN 'image' ELSE 'raw_text' END AS baseline, greatest(0, base - s) AS tokens_saved, round(100 * greatest(0, base - s) / greatest(base, 1)::DOUBLE, 1) AS saved_pct, CASE WHEN ai THEN 0 ELSE s + 70 * n END AS estimated_if_called FROM q""")
 def q66_token_report(spark, d):
-    """First words of a document as the prompt, more of them as the unpruned one."""
-    text = F.coalesce("text", F.lit(""))
-    size = lambda c: B.estimate_tokens(c)
-    docs = _t(spark, d, "documents").select(
-        "doc_id", size(tokens.first_words(text)).alias("sent"), size(tokens.first_words(text, 200)).alias("unpruned"), size(text).alias("raw_text"), B.estimate_image_tokens(F.lit(600.0), F.lit(850.0)).alias("image"),
-        F.lit(50).cast("long").alias("system"), (F.col("doc_id") % 9).alias("fields"), (F.col("doc_id") % 3 == 0).alias("scanned"), (F.col("doc_id") % 2 == 0).alias("ai_called"),
-    )
-    return R.token_report(docs)
+    """What the prompts of all forms cost against those of all their candidates, their whole text and their page image."""
+    c = pruning.evidence(_candidates(spark, d))
+    named = lambda x: B.prompts(with_options(pruning.numbered(x)))
+    kept = with_options(pruning.numbered(pruning.keep_plain(c)))
+    sent, whole = B.prompts(kept), named(c).withColumnRenamed("prompt", "whole")
+    toks = all_tokens(spark, d)
+    size = lambda x: B.estimate_tokens(F.coalesce(x, F.lit("")))
+    image = extract.page_sizes(toks).groupBy("doc_id").agg(F.sum(B.estimate_image_tokens(F.col("width"), F.col("height"))).alias("image"))
+    docs = tokens.text_of(toks).join(image, "doc_id").join(sent, "doc_id", "left").join(whole, "doc_id", "left").join(kept.groupBy("doc_id").agg(F.count("*").alias("fields")), "doc_id", "left")
+    return R.token_report(docs.select(
+        "doc_id", size(F.col("prompt")).alias("sent"), size(F.col("whole")).alias("unpruned"), size(F.col("text")).alias("raw_text"), "image", F.lit(50).cast("long").alias("system"), F.coalesce("fields", F.lit(0)).alias("fields"),
+        F.lit(False).alias("scanned"), (F.col("doc_id") % 2 == 0).alias("ai_called"),
+    ))
 
 
 @query("""WITH g AS (SELECT l_orderkey AS doc_id, count(*) AS gf FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), v AS (SELECT l_orderkey AS doc_id, count(*) AS vf FROM lineitem WHERE l_quantity > 20 GROUP BY 1),
@@ -176,24 +182,29 @@ def q69_page_image_lines(spark, d):
     return service.page_lines(_t(spark, d, "documents").select("doc_id", F.lit(0).alias("line"), F.col("lang").alias("text"), box.alias("box"))).drop("line")
 
 
-_TRUE, _JUNK = ["name", "account balance", "segment", "signature"], ["page 1", "customer details form", "city"]
-_FIGURES_SQL = f"""{CUSTOMER_SQL}, form AS (SELECT * FROM cform), {_BASE_SQL}, {_aliases_sql()}, f AS (SELECT doc_id, "row", seg, {_match_label_sql('label')} AS n FROM bs), k AS (SELECT f.*, key FROM f LEFT JOIN al ON alias = n),
-c AS (SELECT *, n <> '' AND ({' OR '.join(f"contains(n, {_q(t)}) OR contains({_q(t)}, n)" for t in _TRUE)}) AS good, ({' OR '.join(f"(n <> '' AND contains(n, {_q(t)})) OR contains({_q(t)}, n)" for t in _JUNK)}) AS bad FROM k),
-pf AS (SELECT doc_id, count(*) AS kept, count(*) FILTER (bad AND NOT good) AS junk_kept, count(key) / count(*)::DOUBLE AS template_rate FROM c GROUP BY 1)"""
+_TRUE = {"customer": ["name", "account balance", "segment", "signature"], "orders": ["order no.", "date", "total", "priority", "signature"]}
+_JUNK = {"customer": ["page 1", "customer details form", "city"], "orders": ["page 1", "order form", "low"]}
+_KEYS = {"customer": "c_custkey", "orders": f"o_orderkey + {ORDER_BASE}"}
 
 
-def _figures(spark, d):
-    c = grouping.baseline(all_tokens(spark, d)).filter(F.col("doc_id") < 10_000_000_000)
-    index = templates.alias_index(templates.catalogue(spark)).select(F.col("alias").alias("norm"), F.col("key").alias("template_key"))
-    kept = c.select("doc_id", F.concat_ws("_", "row", "seg").alias("field_id"), N.match_label(F.col("label")).alias("norm")).join(index, "norm", "left")
-    labels = lambda names: _t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*[F.lit(x) for x in names])).alias("norm"))
-    return E.pruning_figures(labels(_TRUE), labels(_JUNK), kept)
+def _known_sql(name: str, labels: dict[str, list[str]]) -> str:
+    return f"{name} AS ({' UNION ALL '.join(f'SELECT {_KEYS[t]} AS doc_id, unnest([{chr(44).join(map(_q, ls))}]) AS t FROM {t}' for t, ls in labels.items())})"
+
 
+def _known(spark, d, labels: dict[str, list[str]]):
+    parts = [_t(spark, d, t).select(F.expr(_KEYS[t]).cast("long").alias("doc_id"), F.explode(F.array(*[F.lit(x) for x in ls])).alias("norm")) for t, ls in labels.items()]
+    return parts[0].unionByName(parts[1])
 
-@query(f"WITH {_FIGURES_SQL} SELECT * FROM pf")
+
+@query(f"""WITH {FORM_SQL}, {_BASE_SQL}, {_aliases_sql()}, f AS (SELECT doc_id, "row", seg, {_match_label_sql('label')} AS n FROM bs), k AS (SELECT f.*, key FROM f LEFT JOIN al ON alias = n), {_known_sql('tr', _TRUE)}, {_known_sql('jk', _JUNK)},
+c AS (SELECT *, n <> '' AND EXISTS (SELECT 1 FROM tr WHERE tr.doc_id = k.doc_id AND (contains(n, t) OR contains(t, n))) AS good, EXISTS (SELECT 1 FROM jk WHERE jk.doc_id = k.doc_id AND ((n <> '' AND contains(n, t)) OR contains(t, n))) AS bad FROM k)
+SELECT doc_id, count(*) AS kept, count(*) FILTER (bad AND NOT good) AS junk_kept, count(key) / count(*)::DOUBLE AS template_rate FROM c GROUP BY 1""")
 def q70_pruning_figures(spark, d):
-    """Customer forms, for which truth and junk labels are known."""
-    return _figures(spark, d)
+    """All forms, with the truth and junk labels of their kind."""
+    c = grouping.baseline(all_tokens(spark, d))
+    index = templates.alias_index(templates.catalogue(spark)).select(F.col("alias").alias("norm"), F.col("key").alias("template_key"))
+    kept = c.select("doc_id", F.concat_ws("_", "row", "seg").alias("field_id"), N.match_label(F.col("label")).alias("norm")).join(index, "norm", "left")
+    return E.pruning_figures(_known(spark, d, _TRUE), _known(spark, d, _JUNK), kept)
 
 
 @query("SELECT avg(value) FILTER (event_type <> 'error') AS answered, avg(CASE WHEN user_id % 2 = 0 THEN length(props) END)::DOUBLE AS size, NULL::DOUBLE AS none FROM events")
