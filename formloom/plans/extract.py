@@ -13,6 +13,7 @@ from ..functions import normalise as N
 from ..operators import boundary as B
 from ..operators import gate, grouping, pruning, templates, tokens
 from ..operators import report as R
+from ..operators.calls import ReplyLedger
 from ..shared import materialise
 
 # The page of inputs that bring no sizes; a page is at least so high, and reaches 40 below its last token.
@@ -51,12 +52,12 @@ def passes(toks: DataFrame, catalogue: DataFrame, search: bool = True, lines: Da
     return {"candidates": c, "fields": materialise(pruning.numbered(fields), "fields")}
 
 
-def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None, ledger: ReplyLedger | None = None) -> dict[str, DataFrame]:
     """From tokens (with row and gap_after) of docs (doc_id) to normalised fields.
 
     pages (doc_id, page, width, height) gives page sizes, measured from the tokens where they are absent.
     client answers one prompt (see boundary.call) with {"reply": JSON array of {id, label, type, value, review}}; without
-    one all fields pass through. Returns gate (every document), candidates, fields (of forms), prompts, calls and tokens
+    one all fields pass through; with a ledger no prompt is asked twice, also by later runs. Returns gate (every document), candidates, fields (of forms), prompts, calls and tokens
     (what the prompts save)."""
     sizes = page_sizes(toks, pages)
     decided = gate.decide(gate.signals(toks, sizes, lines, docs=docs).withColumn("score", gate.score()))
@@ -68,7 +69,8 @@ def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, sea
         merged, calls = B.pass_through(fields), None
     else:
         needing = B.document_needs_model(fields).filter("needs_model").select("doc_id")
-        calls = B.call(prompts.join(needing, "doc_id", "left_semi"), client)
+        asked = prompts.join(needing, "doc_id", "left_semi")
+        calls = ledger.ask(asked, client) if ledger else materialise(B.call(asked, client), "calls")
         said = F.from_json("reply", "array<struct<id:string,label:string,type:string,value:string,review:boolean>>")
         replies = calls.filter("error is null").select("doc_id", F.posexplode(said).alias("at", "r"))
         replies = replies.select("doc_id", F.col("r.id").alias("field_id"), "at", "r.label", "r.type", "r.value", "r.review", F.lit(None).cast("array<string>").alias("options"))
