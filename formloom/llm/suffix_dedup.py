@@ -14,7 +14,8 @@ suffix array of all texts does not fit one machine, so the texts are cut into pl
    longest previous factor; a window goes where that reaches min_bytes.
 4. All spans of a document meet its text and are cut out.
 
-Buckets are four times spark.sql.shuffle.partitions; the largest holds the texts or segments of one group at a time.
+Buckets are four times spark.sql.shuffle.partitions, fewer where BUCKET_BYTES of text don't fill one (a bucket sends a row to
+each other one, so more would only be more rows); the largest holds the texts or segments of one group at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import byte_rows, flat_bytes, give_back, lean, materialise, mix64, ranges, release, shuffle_width, table
 
 K = 20  #: bytes of an anchor's k-gram
-CHUNK_BYTES, FLUSH_ANCHORS = 2_000_000, 800_000
+CHUNK_BYTES, FLUSH_ANCHORS, BUCKET_BYTES = 2_000_000, 800_000, 1_000_000
 #: Packed rows of a document bucket. lpf_kind 0: spans to cut (doc, th, x, y). 1: segments to fetch (doc, th, x the
 #: anchor's place, y the anchor). 2: claims on a source (doc, th, x of the source, y of the claimant, c and d its doc and
 #: th; db is the source's). 3: claimed spans with the source's bytes in c.
@@ -374,7 +375,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     """
     if min_bytes < K + 8:
         raise ValueError(f"min_bytes must be at least {K + 8}")
-    buckets = 4 * shuffle_width(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, min(4 * shuffle_width(docs.sparkSession), -(-size // BUCKET_BYTES)))
     docs = docs.drop("lpf_th", "lpf_db", "lpf_bytes", "lpf_removed", "lpf_spans", "lpf_sha256")
     keyed = docs.withColumns({"lpf_th": F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")})
     keyed = keyed.withColumn("lpf_db", F.pmod(F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(buckets).cast("long")), F.lit(0)) + F.col("lpf_th"), F.lit(buckets)).cast("int"))
