@@ -3,16 +3,19 @@ the pages that are no forms."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
 from ..operators import drawing, gate, pruning, templates, tokens
 from ..operators import evaluation as E
-from ..shared import materialise
+from ..shared import materialise, shared_dir
+from ..sources.token_pages import payload_rows, read_pages
 from . import extract
-from .forms import read
-from .queries import _q, _t, query
+from .forms import FORM_SQL, read
+from .queries import _SIGNALS, _ordered_tokens, _q, _signals_sql, _t, query
 
 # One form per language: title, hint, footer, right to left; its rows of cells "label|kind|what", where what is a customer's
 # column (see VALUES) or the options.
@@ -150,6 +153,21 @@ def q75b_eval_lines(spark, d):
     return drawing.lines(cells(spark, d)).select("doc_id", "page", *[F.round(c, 3).alias(c) for c in "xyw"])
 
 
+_GATE_SQL = f"""{LAYOUT_SQL}, tk AS (SELECT doc_id, page, band AS "row", word AS text, k + 20 * piece + 200 * cell AS pos, CASE WHEN rtl THEN {_D.WIDTH} - wx - w ELSE wx END AS x, w, size * 1.2 AS h FROM wx),
+every AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, page, "row" ORDER BY x, pos) - (x + w) AS gap_after FROM tk),
+ln AS (SELECT doc_id, count(*) AS n FROM pl WHERE kind = 'colon' AND cw - tw - 20 > 0 GROUP BY 1), ar AS (SELECT doc_id, max(page) * {_D.WIDTH * _D.HEIGHT}::DOUBLE AS a FROM pl GROUP BY 1)"""
+_DENSITY = "least(1.0, coalesce((SELECT n FROM ln WHERE ln.doc_id = dc.doc_id), 0) / greatest(1.0, (SELECT a FROM ar WHERE ar.doc_id = dc.doc_id) / 1e6::DOUBLE) / 15)"
+
+
+@query(f"WITH {_GATE_SQL}, {_signals_sql('every', 'customer', _D.WIDTH, _DENSITY).replace('FROM customer WHERE doc_id', 'FROM (SELECT c_custkey AS doc_id FROM customer) WHERE doc_id')} SELECT doc_id, {', '.join(f'round({k}::DOUBLE, 6) AS {k}' for k in _SIGNALS)}, round(score::DOUBLE, 6) AS score, is_form FROM gt")
+def q75c_eval_gate(spark, d):
+    """The gate on drawn forms, with their ruled lines and page sizes."""
+    made, heads = cells(spark, d), titles(spark, d)
+    t = tokens.with_gaps(drawing.tokens(made, drawing.furniture(heads)))
+    g = gate.decide(gate.signals(t, drawing.pages(made), drawing.lines(made), docs=heads).withColumn("score", gate.score()))
+    return g.select("doc_id", *[F.round(k, 6).alias(k) for k in _SIGNALS], F.round("score", 6).alias("score"), "is_form")
+
+
 @query()
 def q76_eval_forms(spark, d):
     """Every customer's form through gate and both searches, against its truth."""
@@ -167,3 +185,11 @@ def q77_eval_summary(spark, d):
     both = per_form.select("is_form", F.lit(True).alias("truth"), *columns).unionByName(others.select("is_form", F.lit(False).alias("truth")), allowMissingColumns=True)
     whole = both.agg(F.count("*").alias("n"), F.avg((F.col("is_form") == F.col("truth")).cast("int")).alias("gate_accuracy"), *[F.avg(c).alias(c) for c in columns]).withColumn("lang", F.lit("all"))
     return by_lang.unionByName(whole)
+
+
+@query(f"""WITH {FORM_SQL} SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY "row", pos) - 1)::INTEGER AS pos, text, x, y, w, h, confidence FROM form""")
+def q78_token_pages(spark, d):
+    """The tokens of all forms written as payload files and read back through the token page source."""
+    path = f"{shared_dir(spark)}/formloom/payloads-{uuid.uuid4().hex}"
+    payload_rows(_ordered_tokens(spark, d)).write.text(path)
+    return read_pages(spark, path).select("doc_id", "page", "pos", "text", "x", "y", "w", "h", "confidence")

@@ -122,15 +122,15 @@ def q10_text_summary(spark, d):
 # --- the form gate
 
 
-def _signals_sql(src: str, ids: str = "documents") -> str:
-    """ids: the table of all documents; those without tokens have signals of zero."""
+def _signals_sql(src: str, ids: str = "documents", width: float = 600.0, density: str = "0.0::DOUBLE") -> str:
+    """ids: the table of all documents; those without tokens have signals of zero. density: of ruled lines, by dc.doc_id."""
     return f"""mh AS (SELECT doc_id, page, coalesce(median(CASE WHEN h > 0 THEN h END), 12.0::DOUBLE) AS u FROM {src} GROUP BY 1, 2),
-rw AS (SELECT t.doc_id, t."row", count(*) AS n, count(*) FILTER (regexp_matches(text, {_q(P.COLON_END)})) AS sep, count(*) FILTER (regexp_matches(text, {_q(P.BLANK_LINE)})) AS blank,
-  count(*) FILTER (regexp_matches(text, {_q(P.BOX_TOKEN)})) AS box, count(*) FILTER (gap_after > 4 * u) AS gaps, 600.0::DOUBLE - max_by(x + w, x) AS rest FROM {src} t JOIN mh USING (doc_id, page) GROUP BY 1, 2),
+rw AS (SELECT t.doc_id, page, t."row", count(*) AS n, count(*) FILTER (regexp_matches(text, {_q(P.COLON_END)})) AS sep, count(*) FILTER (regexp_matches(text, {_q(P.BLANK_LINE)})) AS blank,
+  count(*) FILTER (regexp_matches(text, {_q(P.BOX_TOKEN)})) AS box, count(*) FILTER (gap_after > 4 * u) AS gaps, {width}::DOUBLE - max_by(x + w, x) AS rest FROM {src} t JOIN mh USING (doc_id, page) GROUP BY 1, 2, 3),
 dc AS (SELECT doc_id, sum(n)::BIGINT AS tokens, sum(sep) AS sep, sum(blank) AS blank, sum(box) AS box, count(*) AS r, count(*) FILTER (n <= 4) AS short, sum(gaps) AS gaps,
-  count(*) FILTER (n <= 5 AND (rest > 210.0 OR gaps > 0)) AS spaced, avg(n) AS mean, stddev_pop(n) AS spread FROM rw GROUP BY 1),
+  count(*) FILTER (n <= 5 AND (rest > {0.35 * width} OR gaps > 0)) AS spaced, avg(n) AS mean, stddev_pop(n) AS spread FROM rw GROUP BY 1),
 sg AS (SELECT doc_id, least(1.0, sep / tokens::DOUBLE * 6) AS separator_ratio, least(1.0, blank / tokens::DOUBLE * 8) AS blank_ratio, least(1.0, box / tokens::DOUBLE * 10) AS checkbox_ratio,
-  0.0::DOUBLE AS rule_line_density, short / r::DOUBLE AS short_row_ratio, least(1.0, gaps / r::DOUBLE) AS gap_regularity, spaced / r::DOUBLE AS label_gap_ratio,
+  {density} AS rule_line_density, short / r::DOUBLE AS short_row_ratio, least(1.0, gaps / r::DOUBLE) AS gap_regularity, spaced / r::DOUBLE AS label_gap_ratio,
   CASE WHEN mean < 8 THEN 0.0 WHEN spread < 3 THEN least(1.0, least(1.0, (mean - 8) / 8 + 0.4) + 0.2) ELSE least(1.0, (mean - 8) / 8 + 0.4) END AS prose_penalty, tokens AS token_count FROM dc
   UNION ALL SELECT doc_id, {', '.join(['0.0::DOUBLE'] * 8)}, 0 FROM {ids} WHERE doc_id NOT IN (SELECT doc_id FROM dc)),
 sc AS (SELECT *, greatest(0.0, least(1.0, (separator_ratio * 2.2 + blank_ratio * 2.0 + checkbox_ratio * 2.0 + rule_line_density * 1.2 + short_row_ratio * 1.3 + gap_regularity * 1.0 + label_gap_ratio * 1.6 + prose_penalty * -2.2) / 11.3 * 1.6)) AS score FROM sg),
