@@ -6,11 +6,13 @@ the search's deterministic start (cut at gaps over three text heights) in array
 
 from __future__ import annotations
 
+import random
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,240 +30,301 @@ CANDIDATES = (
 )
 
 
-@dataclass(frozen=True)
-class Tok:
-    text: str
-    x: float
-    y: float
-    w: float
-    h: float
-    rtl: bool = False
+def text_height(heights: list[float]) -> float:
+    """The median of the positive heights, 12 without any."""
+    hs = sorted(h for h in heights if h > 0)
+    return (hs[(len(hs) - 1) // 2] + hs[len(hs) // 2]) / 2 if hs else 12.0
 
-    @property
-    def right(self) -> float:
-        return self.x + self.w
 
-    @property
-    def middle(self) -> float:
-        return self.y + self.h / 2
-
-
-def text_height(toks: list[Tok]) -> float:
-    hs = sorted(t.h for t in toks if t.h > 0)
-    if not hs:
-        return 12.0
-    return (hs[(len(hs) - 1) // 2] + hs[len(hs) // 2]) / 2
-
-
-def cluster_rows(toks: list[Tok], factor: float = 0.6) -> list[list[int]]:
-    """Token numbers by text row: a token joins one of the last three rows whose mean middle is near."""
-    reach = factor * text_height(toks)
+def cluster_rows(x: list[float], middle: list[float], reach: float) -> list[list[int]]:
+    """Token numbers by text row, each from left to right: a token, in order of height, joins the latest of the last
+    three rows whose mean middle is within reach."""
     rows: list[list[int]] = []
     means: list[float] = []
-    for k in sorted(range(len(toks)), key=lambda k: (toks[k].middle, toks[k].x)):
-        home = next((r for r in range(len(rows) - 1, max(-1, len(rows) - 4), -1) if abs(means[r] - toks[k].middle) <= reach), None)
+    for k in sorted(range(len(x)), key=lambda k: (middle[k], x[k])):
+        home = next((r for r in range(len(rows) - 1, max(-1, len(rows) - 4), -1) if abs(means[r] - middle[k]) <= reach), None)
         if home is None:
             rows.append([k])
-            means.append(toks[k].middle)
+            means.append(middle[k])
         else:
             rows[home].append(k)
-            means[home] += (toks[k].middle - means[home]) / len(rows[home])
-    rows = [sorted(r, key=lambda k: toks[k].x) for r in rows]
-    return sorted(rows, key=lambda r: toks[r[0]].middle)
-
+            means[home] += (middle[k] - means[home]) / len(rows[home])
+    rows = [sorted(r, key=x.__getitem__) for r in rows]
+    return sorted(rows, key=lambda r: middle[r[0]])
 
-def hull(boxes: list[tuple[float, float, float, float]]) -> tuple[float, float, float, float]:
-    if not boxes:
-        return (0.0, 0.0, 0.0, 0.0)
-    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
-    return (x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y)
 
+class Piece(NamedTuple):
+    """What a run of a row's tokens reads as, and what it costs."""
 
-@dataclass
-class Piece:
-    """A segment of a row: its tokens, split into label and value."""
-
-    at: int
-    toks: list[int]
     label: list[int]
     value: list[int]
     sep: str
     box: bool
-    inner: float = 0.0
-    region: tuple = (0.0, 0.0, 0.0, 0.0)
-    reach: float = 0.0
-    orphan: bool = False
+    region: tuple[float, float, float, float]
+    score: float
+    cost: float
+    start: float | None  # where its label begins, if that can be part of a column
 
 
 class Page:
-    """One page as a search problem; a state is the tuple of each row's cut positions (frozen sets)."""
-
-    def __init__(self, toks: list[Tok], width: float, lines: list[tuple]):
-        self.toks, self.width, self.lines = toks, width, lines
-        self.unit = text_height(toks)
-        self.rows = cluster_rows(toks)
-        self.back = []
-        for r in self.rows:
-            letters = [toks[k] for k in r if any(c.isalpha() for c in toks[k].text)]
-            self.back.append(bool(letters) and sum(t.rtl for t in letters) * 2 > len(letters))
-            if self.back[-1]:
+    """One page as a search problem. A state is a list of bit sets, one per row: bit k cuts after the row's k-th token.
+
+    What a token is (colon, drawn blank, box, ...) is looked up once. A run of tokens is read once, whatever states hold
+    it; a row's cost and column starts are kept by its bit set; so a move costs its own row's look-up and the few columns that
+    change."""
+
+    def __init__(self, text, x, y, w, h, rtl, width: float, lines: list[tuple]):
+        self.text, self.x, self.y, self.h, self.width = text, x, y, h, width
+        self.right, self.low = [a + b for a, b in zip(x, w)], [a + b for a, b in zip(y, h)]
+        self.unit = u = text_height(h)
+        bare = [t.strip() for t in text]
+        self.colon, self.blank = [bool(_COLON.search(t)) for t in text], [bool(_BLANK.match(t)) for t in text]
+        self.box = [bool(_BOX.match(t)) for t in bare]
+        self.boxed = [b or bool(_HAS.search(t)) for b, t in zip(self.box, text)]
+        self.alnum = [any(map(str.isalnum, t)) for t in text]
+        self.like = [bool(t and _VALUE.match(t)) and any(map(str.isdigit, t)) for t in bare]
+        self.rows = cluster_rows(x, [a + b / 2 for a, b in zip(y, h)], 0.6 * u)
+        letters = [any(map(str.isalpha, t)) for t in text]
+        self.back = [2 * sum(rtl[k] for k in r if letters[k]) > sum(letters[k] for k in r) for r in self.rows]
+        for r, back in zip(self.rows, self.back):
+            if back:
                 r.reverse()
-        self.gaps = [[self.space(*((b, a) if back else (a, b))) for a, b in zip(r, r[1:])] for r, back in zip(self.rows, self.back)]
-        self.memo: dict = {}
-
-    def space(self, a: int, b: int) -> float:
-        return self.toks[b].x - self.toks[a].right
-
-    def box_of(self, ks: list[int]) -> tuple:
-        return hull([(t.x, t.y, t.w, t.h) for t in (self.toks[k] for k in ks)])
-
-    def pieces(self, row: int, cuts: frozenset) -> list[Piece]:
-        ks, edges = self.rows[row], [-1, *sorted(cuts), len(self.rows[row]) - 1]
-        return [self.piece(row, a + 1, ks[a + 1 : b + 1], ks[b + 1] if b + 1 < len(ks) else None) for a, b in zip(edges, edges[1:]) if b > a]
-
-    def halves(self, ks: list[int]) -> tuple[list[int], list[int], str, float]:
-        """Label, value, kind of separator, largest inner gap. A colon counts first, then drawn blanks, then boxes,
-        then a wide gap."""
-        text = [self.toks[k].text for k in ks]
-        stop = next((n for n, t in enumerate(text) if _COLON.search(t)), None)
-        if stop is not None:
-            return ks[: stop + 1], ks[stop + 1 :], "colon", 0.0
-        blanks = [bool(_BLANK.match(t)) for t in text]
-        boxes = [bool(_BOX.match(t.strip())) for t in text]
-        for kind, marks, usable in (("blank", blanks, not all(blanks)), ("box", boxes, len(ks) > 1)):
-            if any(marks) and usable:
-                label = [k for k, m in zip(ks, marks) if not m]
-                return (label, [k for k, m in zip(ks, marks) if m], kind, 0.0) if label else (ks, [], "", 0.0)
-        spaces = [self.space(a, b) for a, b in zip(ks, ks[1:])]
-        if spaces and max(spaces) > 2.5 * self.unit:
-            n = spaces.index(max(spaces)) + 1
-            return ks[:n], ks[n:], "", max(spaces)
-        return ks, [], "", max(spaces, default=0.0)
-
-    def piece(self, row: int, at: int, ks: list[int], following: int | None) -> Piece:
-        label, value, sep, inner = self.halves(ks)
-        p = Piece(at, ks, label, value, sep, any(_BOX.match(self.toks[k].text.strip()) or _HAS.search(self.toks[k].text) for k in ks), inner)
+        self.gaps = [[x[a] - self.right[b] if back else x[b] - self.right[a] for a, b in zip(r, r[1:])] for r, back in zip(self.rows, self.back)]
+        self.level = [(a, b, c) for a, b, c, d in lines if c > d and c <= 0.75 * width]
+        self.upright = [(a, b, d) for a, b, c, d in lines if c <= d]
+        self.bucket = max(2.0, 0.8 * u)
+        self.read: list[dict[tuple[int, int], Piece]] = [{} for _ in self.rows]
+        self.views: list[dict[int, tuple[float, list[tuple[int, int]]]]] = [{} for _ in self.rows]
+        self.free: list[list[int] | None] = [None] * len(self.rows)
+
+    # --- reading a run of tokens
+
+    def hull(self, ks: list[int]) -> tuple[float, float, float, float]:
+        """x, y, right and lower end of tokens."""
+        return min(self.x[k] for k in ks), min(self.y[k] for k in ks), max(self.right[k] for k in ks), max(self.low[k] for k in ks)
+
+    def divide(self, ks: list[int]) -> tuple[list[int], list[int], str, float]:
+        """Label, value, kind of separator and the widest space that counts. The first mark that applies decides: a colon,
+        drawn blanks beside other words, boxes beside other tokens, at last a wide space."""
+        spaces = [self.x[b] - self.right[a] for a, b in zip(ks, ks[1:])]
+        colon = next((n for n, k in enumerate(ks, 1) if self.colon[k]), 0)
+        if colon:
+            return ks[:colon], ks[colon:], "colon", 0.0
+        for kind, marks, needed in (("blank", self.blank, 0), ("box", self.box, 2)):
+            of = [k for k in ks if marks[k]]
+            if of and (len(of) < len(ks) if kind == "blank" else len(ks) >= needed):
+                rest = [k for k in ks if not marks[k]]
+                return (rest, of, kind, 0.0) if rest else (ks, [], "", 0.0)
+        widest = max(spaces, default=0.0)
+        if widest > 2.5 * self.unit:
+            n = spaces.index(widest) + 1
+            return ks[:n], ks[n:], "", widest
+        return ks, [], "", widest
+
+    def piece(self, row: int, first: int, last: int) -> Piece:
+        known = self.read[row].get((first, last))
+        if known is not None:
+            return known
+        u, order = self.unit, self.rows[row]
+        ks = order[first : last + 1]
+        label, value, sep, inner = self.divide(ks)
         if len(label) > 1:
-            p.inner = max(self.space(a, b) for a, b in zip(label, label[1:]))
-        lx, ly, lw, lh = self.box_of(label)
+            inner = max(self.x[b] - self.right[a] for a, b in zip(label, label[1:]))
+        box = any(self.boxed[k] for k in ks)
+        lx, ly, lr, ll = self.hull(label)
+        reach = 0.0
         if value:
-            p.region = self.box_of(value)
-            p.reach = p.region[0] - (lx + lw)
+            vx, vy, vr, vl = self.hull(value)
+            region, reach = (vx, vy, vr - vx, vl - vy), vx - lr
         else:
+            after = order[last + 1] if last + 1 < len(order) else None
             if self.back[row]:
-                start = self.unit if following is None else self.toks[following].right + 0.5 * self.unit
-                end = lx - 0.3 * self.unit
+                start, end = u if after is None else self.right[after] + 0.5 * u, lx - 0.3 * u
             else:
-                start = lx + lw + 0.3 * self.unit
-                end = self.width - self.unit if following is None else self.toks[following].x - 0.5 * self.unit
-            p.region = (start, ly, max(0.0, end - start), lh)
-            room = p.region[2] >= 2 * self.unit
-            if not sep and room and self.ruled(p.region):
-                p.sep = "line"
-            elif not sep and not room:
-                below = self.blank_below(row, (lx, ly, lw, lh))
-                if below:
-                    p.region, p.reach, p.sep = below, below[1] - (ly + lh), "blank"
-        p.orphan = not value and not p.sep and p.region[2] < 3 * self.unit and not p.box
-        return p
-
-    def ruled(self, box: tuple) -> bool:
-        x, y, w, h = box
-        tol = 0.8 * self.unit
-        for a, b, c, d in self.lines:
-            if c > d and c <= 0.75 * self.width and abs(b - (y + h)) <= tol and a < x + w and a + c > x:
-                return True
-            if c <= d and abs(a - (x + w)) <= tol and b < y + h and b + d > y:
-                return True
-        return False
-
-    def blank_below(self, row: int, label: tuple) -> tuple | None:
-        """A drawn blank of the next row under the label, unless a word of its own row stands next to it."""
-        if row + 1 == len(self.rows):
-            return None
-        words = [self.toks[k] for k in self.rows[row + 1]]
-        for t in words:
-            if not _BLANK.match(t.text):
-                continue
-            beside = any(o is not t and not _BLANK.match(o.text) and min(abs(t.x - o.right), abs(o.x - t.right)) < 3 * self.unit for o in words)
-            under = t.x < label[0] + label[2] and t.right > label[0] and 0 <= t.y - (label[1] + label[3]) < 2.5 * self.unit
-            if under and not beside:
-                return (t.x, t.y, t.w, t.h)
-        return None
-
-    def value_like(self, p: Piece) -> bool:
-        texts = [self.toks[k].text.strip() for k in p.label]
-        return bool(texts) and all(t and _VALUE.match(t) and any(c.isdigit() for c in t) for t in texts)
-
-    def piece_cost(self, p: Piece) -> float:
-        u, room = self.unit, p.region[2]
-        like = self.value_like(p)
-        terms = [
-            (p.orphan, 1.5), (len(p.label) > MAX_LABEL, 0.4 * (len(p.label) - MAX_LABEL)), (not p.label, 1.0),
-            (bool(p.label) and not any(c.isalnum() for k in p.label for c in self.toks[k].text), 1.5),
-            (p.inner > 3 * u, 1.2 + min(3.0, p.inner / (6 * u))), (p.reach > 6 * u, 0.8),
-            (bool(p.sep), -0.5 if p.sep == "line" else -0.9), (bool(p.sep and p.value), -0.3), (bool(p.sep) and not p.value and room < 2 * u and not p.box, 0.6),
-            (p.box, -0.4), (like, 1.0), (p.at > 0 and bool(_BOX.match(self.toks[p.toks[0]].text.strip())), 2.0),
-            (not p.value and room >= 3 * u and not like, -0.5), (not p.value and not p.sep and room < 2 * u, 0.6), (len(p.value) > 12, 0.05 * (len(p.value) - 12)),
-        ]
-        return sum(v for on, v in terms if on)
-
-    def row_view(self, row: int, cuts: frozenset) -> tuple[float, list[Piece], list[float]]:
-        """A row's cost, pieces and label starts that can make a column."""
-        key = (row, cuts)
-        if key not in self.memo:
+                start, end = lr + 0.3 * u, self.width - u if after is None else self.x[after] - 0.5 * u
+            region = (start, ly, max(0.0, end - start), ll - ly)
+            if not sep and region[2] >= 2 * u:
+                sep = "line" if self.ruled(region) else ""
+            elif not sep:
+                under = next((k for k in self.loose_blanks(row + 1) if self.x[k] < lr and self.right[k] > lx and 0 <= self.y[k] - ll < 2.5 * u), None)
+                if under is not None:
+                    region = (self.x[under], self.y[under], self.right[under] - self.x[under], self.h[under])
+                    sep, reach = "blank", self.y[under] - ll
+        room = region[2]
+        orphan = not value and not sep and room < 3 * u and not box
+        like = all(self.like[k] for k in label)
+        cost = (
+            1.5 * orphan + 0.4 * max(0, len(label) - MAX_LABEL) + 1.5 * (not any(self.alnum[k] for k in label))
+            + (1.2 + min(3.0, inner / (6 * u)) if inner > 3 * u else 0.0) + 0.8 * (reach > 6 * u)
+            + ((-0.5 if sep == "line" else -0.9) - 0.3 * bool(value) + 0.6 * (not value and room < 2 * u and not box) if sep else 0.0)
+            - 0.4 * box + 1.0 * like + 2.0 * (first > 0 and self.box[ks[0]]) + 0.05 * max(0, len(value) - 12)
+            + (0.0 if value else -0.5 * (room >= 3 * u and not like) + 0.6 * (not sep and room < 2 * u))
+        )
+        sure = 0.55 + 0.25 * bool(sep) + 0.1 * box + 0.1 * (not value and room >= 3 * u) - 0.35 * orphan - 0.2 * (inner > 3 * u) - 0.15 * (len(label) > MAX_LABEL)
+        column = self.x[label[0]] if first == 0 or self.gaps[row][first - 1] > 2 * u else None
+        self.read[row][first, last] = out = Piece(label, value, sep, box, region, round(max(0.0, min(1.0, sure)), 3), cost, column)
+        return out
+
+    def ruled(self, region: tuple) -> bool:
+        """A ruled line runs under the region or stands at its right end."""
+        x, y, w, h = region
+        near = 0.8 * self.unit
+        return any(abs(b - (y + h)) <= near and a < x + w and a + c > x for a, b, c in self.level) or any(abs(a - (x + w)) <= near and b < y + h and b + d > y for a, b, d in self.upright)
+
+    def loose_blanks(self, row: int) -> list[int]:
+        """A row's drawn blanks that have no word of the row beside them."""
+        if row >= len(self.rows):
+            return []
+        if self.free[row] is None:
+            words = [k for k in self.rows[row] if not self.blank[k]]
+            beside = lambda k: any(min(abs(self.x[k] - self.right[o]), abs(self.x[o] - self.right[k])) < 3 * self.unit for o in words)
+            self.free[row] = [k for k in self.rows[row] if self.blank[k] and not beside(k)]
+        return self.free[row]
+
+    # --- states
+
+    def pieces(self, row: int, cuts: int) -> list[Piece]:
+        out, first = [], 0
+        for k in range(len(self.gaps[row])):
+            if cuts >> k & 1:
+                out.append(self.piece(row, first, k))
+                first = k + 1
+        out.append(self.piece(row, first, len(self.gaps[row])))
+        return out
+
+    def view(self, row: int, cuts: int) -> tuple[float, list[tuple[int, int]]]:
+        """A row's cost without columns, and its column starts as (bucket, how many)."""
+        known = self.views[row].get(cuts)
+        if known is None:
             ps = self.pieces(row, cuts)
-            cost = sum(map(self.piece_cost, ps)) + 0.25 * max(0, len(ps) - 1)
+            cost = sum(p.cost for p in ps) + 0.25 * (len(ps) - 1)
             for a, b in zip(ps, ps[1:]):
                 if a.box:
                     cost += 2.0 if b.box else 1.5 if not b.sep and not b.value and len(b.label) <= 2 else 0.0
-            starts = [self.toks[p.label[0]].x for p in ps if p.label and (p.at == 0 or self.gaps[row][p.at - 1] > 2 * self.unit)]
-            self.memo[key] = (cost, ps, starts)
-        return self.memo[key]
-
-    def cost(self, state: tuple) -> float:
-        views = [self.row_view(r, cuts) for r, cuts in enumerate(state)]
-        bucket = max(2.0, 0.8 * self.unit)
-        columns: dict[int, int] = {}
-        for _, _, starts in views:
-            for x in starts:
-                columns[int(x // bucket)] = columns.get(int(x // bucket), 0) + 1
-        return sum(v[0] for v in views) - 0.35 * sum(n for n in columns.values() if n > 1)
-
-    def moves(self, state: tuple):
+            starts: dict[int, int] = {}
+            for p in ps:
+                if p.start is not None:
+                    n = int(p.start // self.bucket)
+                    starts[n] = starts.get(n, 0) + 1
+            self.views[row][cuts] = known = (cost, list(starts.items()))
+        return known
+
+    def columns(self, state: list[int]) -> dict[int, int]:
+        out: dict[int, int] = {}
         for r, cuts in enumerate(state):
-            n = len(self.gaps[r])
-            for k in range(n):
-                changed = [cuts ^ {k}]
-                if k in cuts:
-                    changed += [(cuts - {k}) | {j} for j in (k - 1, k + 1) if 0 <= j < n and j not in cuts]
-                for c in changed:
-                    yield (*state[:r], c, *state[r + 1 :])
-
-    def plain(self) -> tuple:
-        return tuple(frozenset(k for k, g in enumerate(gs) if g > 3 * self.unit) for gs in self.gaps)
-
-    def draw(self, rng) -> tuple:
+            for n, m in self.view(r, cuts)[1]:
+                out[n] = out.get(n, 0) + m
+        return out
+
+    def cost(self, state: list[int]) -> float:
+        return sum(self.view(r, cuts)[0] for r, cuts in enumerate(state)) - 0.35 * sum(n for n in self.columns(state).values() if n > 1)
+
+    def plain(self) -> list[int]:
+        return [sum(1 << k for k, g in enumerate(gs) if g > 3 * self.unit) for gs in self.gaps]
+
+    def draw(self, rng: random.Random) -> list[int]:
         if rng.random() < 0.34:
             return self.plain()
         wide = rng.uniform(1.5, 5.0) * self.unit
-        return tuple(frozenset(k for k, g in enumerate(gs) if g > wide or rng.random() < 0.08) for gs in self.gaps)
-
-    def score(self, p: Piece) -> float:
-        s = 0.55 + 0.25 * bool(p.sep) + 0.1 * p.box + 0.1 * (not p.value and p.region[2] >= 3 * self.unit) - 0.35 * p.orphan - 0.2 * (p.inner > 3 * self.unit) - 0.15 * (len(p.label) > MAX_LABEL)
-        return round(max(0.0, min(1.0, s)), 3)
+        return [sum(1 << k for k, g in enumerate(gs) if g > wide or rng.random() < 0.08) for gs in self.gaps]
+
+    def best_move(self, state: list[int], bar: float) -> tuple[int, int, float, int]:
+        """Of all moves of one cut (set, lift, shift to a neighbour) the cheapest under the bar, the first of equals: row
+        (-1: none), its new cuts, the cost, and how many were looked at."""
+        views = [self.view(r, cuts) for r, cuts in enumerate(state)]
+        columns, total = self.columns(state), sum(v[0] for v in views)
+        counted = sum(n for n in columns.values() if n > 1)
+        best, tried = (-1, 0, bar), 0
+        for r, cuts in enumerate(state):
+            others = total - views[r][0]
+            own = dict(views[r][1])
+            shared = counted - sum((n if n > 1 else 0) - (n - m if n - m > 1 else 0) for n, m in ((columns[b], m) for b, m in own.items()))
+            known = self.views[r]
+            last = len(self.gaps[r])
+            for k in range(last):
+                bit = 1 << k
+                moves = [cuts ^ bit]
+                if cuts & bit:
+                    if k and not cuts & bit >> 1:
+                        moves.append(cuts ^ bit | bit >> 1)
+                    if k + 1 < last and not cuts & bit << 1:
+                        moves.append(cuts ^ bit | bit << 1)
+                for other in moves:
+                    tried += 1
+                    cost, starts = known.get(other) or self.view(r, other)
+                    n = shared
+                    for b, m in starts:
+                        before = columns.get(b, 0) - own.get(b, 0)
+                        after = before + m
+                        n += (after if after > 1 else 0) - (before if before > 1 else 0)
+                    cost = others + cost - 0.35 * n
+                    if cost < best[2] - climb.EPSILON:
+                        best = (r, other, cost)
+        return *best, tried
+
+    def search(self, restarts: int, most: int, seed: int) -> climb.Climb:
+        """The best of several descents from drawn states; one seeded generator draws all. Counts add up."""
+        rng, best, steps, tried = random.Random(seed), None, 0, 0
+        for _ in range(max(1, restarts)):
+            state = self.draw(rng)
+            start = cost = self.cost(state)
+            tried += 1
+            for _ in range(most):
+                steps += 1
+                row, cuts, _, n = self.best_move(state, cost)
+                tried += n
+                if row < 0:
+                    break
+                state = [*state[:row], cuts, *state[row + 1 :]]
+                cost = self.cost(state)  # afresh, so differences don't add up
+            if best is None or cost < best.cost - climb.EPSILON:
+                best = climb.Climb(state, cost, start)
+        return climb.Climb(best.state, best.cost, best.start_cost, steps, tried)
 
     def prose(self, row: int) -> bool:
         ks = self.rows[row]
-        marked = any(_COLON.search(t) or _BLANK.match(t) or _BOX.match(t.strip()) for t in (self.toks[k].text for k in ks))
-        return len(ks) >= 8 and all(g < 1.2 * self.unit for g in self.gaps[row]) and not marked
+        return len(ks) >= 8 and all(g < 1.2 * self.unit for g in self.gaps[row]) and not any(self.colon[k] or self.blank[k] or self.box[k] for k in ks)
+
 
+def map_pages(t: DataFrame, step: Callable[[dict[str, list]], list[tuple]], schema: str, order: str = "pos") -> DataFrame:
+    """step over each page of t (doc_id, page, ..., ordered by `order`): its columns as lists, the result's rows.
 
-def by_page(t: DataFrame) -> GroupedData:
-    """t grouped by page, dealt over all shuffle partitions: a search costs far more time than its few bytes tell, and
-    partitions of a given number are not merged by their bytes."""
+    Pages lie one after the other in sorted partitions, so many share an Arrow batch both ways; one that goes on in the next
+    batch is kept until it is whole. They are dealt over all shuffle partitions: a search costs far more time than its few
+    bytes tell, and partitions of a given number are not merged by their bytes."""
     width = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return t.repartition(width, "doc_id", "page").groupBy("doc_id", "page")
+    names = t.columns
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        open_: dict[str, list] = {n: [] for n in names}
+
+        def whole(final: bool):
+            """Result rows of the pages that are complete."""
+            docs, pages = open_["doc_id"], open_["page"]
+            edges = [0, *(k for k in range(1, len(docs)) if docs[k] != docs[k - 1] or pages[k] != pages[k - 1])]
+            ends = [*edges[1:], len(docs)] if final else edges[1:]
+            out = []
+            for a, b in zip(edges, ends):
+                if b > a:
+                    out += step({n: c[a:b] for n, c in open_.items()})
+            done = ends[-1] if ends else 0
+            for n in names:
+                open_[n] = open_[n][done:]
+            return out
+
+        for batch in batches:
+            for n, c in zip(names, batch.columns):
+                open_[n] += c.to_pylist()
+            yield from _batches(whole(False), arrow)
+        yield from _batches(whole(True), arrow)
+
+    return t.repartition(width, "doc_id", "page").sortWithinPartitions("doc_id", "page", order).mapInArrow(run, schema)
+
+
+def _batches(rows: list[tuple], arrow: pa.Schema):
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 def group_pages(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, search: bool = True, restarts: int = 6, most: int = 150, seed: int = 0, width: float = 600.0) -> DataFrame:
@@ -270,7 +333,7 @@ def group_pages(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFr
     The seed is used anew for each page, so results do not depend on the partitioning. Ruled lines and page widths are
     gathered per page and travel with its tokens; one shuffle by page serves all."""
     t = tokens.withColumn("rtl", F.col("rtl") if "rtl" in tokens.columns else F.lit(False))
-    t = t.select("doc_id", "page", "pos", "text", *[F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence")], "rtl")
+    t = t.select("doc_id", "page", "pos", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence")], "rtl")
     if pages is not None:
         t = t.join(pages.select("doc_id", "page", F.col("width").cast("double").alias("width")), ["doc_id", "page"])
     else:
@@ -281,50 +344,47 @@ def group_pages(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFr
     else:
         t = t.withColumn("ruled", F.lit(None).cast("array<array<double>>"))
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
-        toks = [Tok(r["text"], r["x"], r["y"], r["w"], r["h"], bool(r["rtl"])) for r in rows]
-        page = Page(toks, rows[0]["width"], [tuple(b) for b in rows[0]["ruled"] or []])
+    def run(p: dict[str, list]) -> list[tuple]:
+        page = Page(p["text"], p["x"], p["y"], p["w"], p["h"], [bool(v) for v in p["rtl"]], p["width"][0], [tuple(b) for b in p["ruled"][0] or []])
         if search:
-            got = climb.restarts(page.draw, page.cost, page.moves, restarts, most, seed)
+            got = page.search(restarts, most, seed)
         else:
             c = page.cost(page.plain())
             got = climb.Climb(page.plain(), c, c, 0, 1)
-        out = []
+        figures = (round(got.cost, 3), round(got.start_cost, 3), got.iterations, got.evaluations)
+        number, pos, sure, out = p["page"][0], p["pos"], p["confidence"], []
         for r, cuts in enumerate(got.state):
-            for p in page.row_view(r, cuts)[1]:
-                if not p.label:
-                    continue
-                whole = hull([page.box_of(p.toks), p.region])
-                out.append({
-                    "doc_id": rows[0]["doc_id"], "page": rows[0]["page"], "candidate_id": f"p{rows[0]['page']}_c{len(out) + 1:03d}",
-                    "label_tokens": [rows[k]["pos"] for k in p.label], "label": " ".join(toks[k].text for k in p.label).strip(),
-                    "value_tokens": [rows[k]["pos"] for k in p.value], "value": " ".join(toks[k].text for k in p.value if not _BLANK.match(toks[k].text)).strip(),
-                    "region": [round(v, 1) for v in p.region], "bbox": [round(v, 1) for v in whole], "grouping_score": page.score(p), "has_separator": bool(p.sep), "has_box": p.box,
-                    "separator": p.sep, "prose_row": page.prose(r), "label_h": max(toks[k].h for k in p.label), "label_confidence": min(rows[k]["confidence"] for k in p.label),
-                    "pass_cost": round(got.cost, 3), "pass_start_cost": round(got.start_cost, 3), "pass_iterations": got.iterations, "pass_evaluations": got.evaluations,
-                })
-        return pa.Table.from_pylist(out, schema=_ARROW)
+            prose = page.prose(r)
+            for q in page.pieces(r, cuts):
+                x, y, right, low = page.hull(q.label + q.value)
+                rx, ry, rw, rh = q.region
+                x, y, right, low = min(x, rx), min(y, ry), max(right, rx + rw), max(low, ry + rh)
+                out.append((
+                    p["doc_id"][0], number, f"p{number}_c{len(out) + 1:03d}", [pos[k] for k in q.label], " ".join(page.text[k] for k in q.label).strip(),
+                    [pos[k] for k in q.value], " ".join(page.text[k] for k in q.value if not page.blank[k]).strip(), [round(v, 1) for v in q.region], [round(v, 1) for v in (x, y, right - x, low - y)],
+                    q.score, bool(q.sep), q.box, q.sep, prose, max(page.h[k] for k in q.label), min(sure[k] for k in q.label), *figures,
+                ))
+        return out
+
+    return map_pages(t, run, CANDIDATES)
+
 
-    return by_page(t).applyInArrow(run, CANDIDATES)
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
 
 
-_LISTS = {"label_tokens": pa.int32(), "value_tokens": pa.int32(), "region": pa.float64(), "bbox": pa.float64()}
-_PLAIN = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
-_ARROW = pa.schema([(n, pa.list_(_LISTS[n]) if n in _LISTS else _PLAIN[t]) for n, t in (c.split(" ") for c in CANDIDATES.split(", "))])
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[t]) for n, t in (c.split(" ") for c in ddl.split(", "))])
 
 
 def row_clusters(tokens: DataFrame) -> DataFrame:
     """(doc_id, page, pos, row_no, place) of every token by row clustering."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
-        out = [(rows[k]["doc_id"], rows[k]["page"], rows[k]["pos"], n, at) for n, r in enumerate(cluster_rows([Tok(r["text"], r["x"], r["y"], r["w"], r["h"]) for r in rows])) for at, k in enumerate(r)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "page", "pos", "row_no", "place"), kinds))})
+    def run(p: dict[str, list]) -> list[tuple]:
+        rows = cluster_rows(p["x"], [y + h / 2 for y, h in zip(p["y"], p["h"])], 0.6 * text_height(p["h"]))
+        return [(p["doc_id"][k], p["page"][k], p["pos"][k], n, at) for n, r in enumerate(rows) for at, k in enumerate(r)]
 
-    t = tokens.select("doc_id", "page", "pos", "text", *[F.col(c).cast("double") for c in "xywh"])
-    return by_page(t).applyInArrow(run, "doc_id long, page int, pos int, row_no int, place int")
+    t = tokens.select("doc_id", "page", "pos", *[F.col(c).cast("double") for c in "xyh"])
+    return map_pages(t, run, "doc_id long, page int, pos int, row_no int, place int")
 
 
 STRIP = 100.0  #: height of the strips by which label regions and ruled lines meet

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import patterns as P
 from . import climb
-from .grouping import by_page
+from .grouping import map_pages
 
 BANDS = 5
 
@@ -97,53 +98,108 @@ def numbered(c: DataFrame) -> DataFrame:
     return c.withColumn("field_id", F.format_string("f_%03d", k))
 
 
+class Choice:
+    """Which of a page's candidates to keep, as a search problem; a state is a list of booleans.
+
+    Keeping costs junk and spares genuine, dropping the other way round; kept ones that overlap cost one a pair, an empty page
+    five, uneven bands of the page a little. A move changes one candidate, so it is priced by what that one changes."""
+
+    def __init__(self, junk: list[float], genuine: list[float], band: list[int], near: list[tuple[int, int]]):
+        self.junk, self.genuine, self.band = junk, genuine, band
+        self.keep = [1.6 * j - 0.9 * g for j, g in zip(junk, genuine)]
+        self.lose = [1.1 * g - 0.4 * j for j, g in zip(junk, genuine)]
+        self.both: list[list[int]] = [[] for _ in junk]
+        self.later: list[list[int]] = [[] for _ in junk]
+        for a, b in near:
+            self.both[a].append(b)
+            self.both[b].append(a)
+            self.later[a].append(b)
+
+    @staticmethod
+    def uneven(counts: list[int]) -> float:
+        used = [n for n in counts if n]
+        if len(used) < 2:
+            return 0.0
+        mean = sum(used) / len(used)
+        return 0.02 * sum((n - mean) ** 2 for n in used) / len(used)
+
+    def counts(self, state: list[bool]) -> list[int]:
+        out = [0] * BANDS
+        for b, kept in zip(self.band, state):
+            out[b] += kept
+        return out
+
+    def cost(self, state: list[bool]) -> float:
+        pairs = sum(state[o] for k, kept in enumerate(state) if kept for o in self.later[k])
+        return sum(a if kept else b for a, b, kept in zip(self.keep, self.lose, state)) + pairs + (0.0 if any(state) else 5.0) + self.uneven(self.counts(state))
+
+    def draw(self, rng: random.Random) -> list[bool]:
+        if rng.random() < 0.34:
+            return [True] * len(self.junk)
+        bar = rng.uniform(0.3, 0.9)
+        return [j < bar or rng.random() < 0.1 for j in self.junk]
+
+    def best_move(self, state: list[bool], bar: float) -> tuple[int, float, int]:
+        """Of all moves (drop or add back each candidate; of two kept ones that overlap drop the weaker, their merge) the
+        cheapest under the bar, the first of equals: which candidate changes (-1: none), the cost, how many were looked at."""
+        counts, size = self.counts(state), sum(state)
+        now = self.cost(state) - self.uneven(counts) - (0.0 if size else 5.0)
+        priced: dict[int, float] = {}
+
+        def price(k: int) -> float:
+            if k not in priced:
+                sign = -1 if state[k] else 1
+                counts[self.band[k]] += sign
+                moved = now + sign * (self.keep[k] - self.lose[k] + sum(state[o] for o in self.both[k])) + (0.0 if size + sign else 5.0) + self.uneven(counts)
+                counts[self.band[k]] -= sign
+                priced[k] = moved
+            return priced[k]
+
+        best, tried = (-1, bar), 0
+        for k, kept in enumerate(state):
+            asked = [k]
+            if kept:
+                asked += [k if self.genuine[k] < self.genuine[o] else o for o in self.later[k] if state[o]]
+            for other in asked:
+                tried += 1
+                cost = price(other)
+                if cost < best[1] - climb.EPSILON:
+                    best = (other, cost)
+        return *best, tried
+
+    def search(self, restarts: int, most: int, seed: int) -> climb.Climb:
+        """The best of several descents from drawn states; one seeded generator draws all. Counts add up."""
+        rng, best, steps, tried = random.Random(seed), None, 0, 0
+        for _ in range(max(1, restarts)):
+            state = self.draw(rng)
+            start = cost = self.cost(state)
+            tried += 1
+            for _ in range(most):
+                steps += 1
+                k, _, n = self.best_move(state, cost)
+                tried += n
+                if k < 0:
+                    break
+                state = [*state[:k], not state[k], *state[k + 1 :]]
+                cost = self.cost(state)
+            if best is None or cost < best.cost - climb.EPSILON:
+                best = climb.Climb(state, cost, start)
+        return climb.Climb(best.state, best.cost, best.start_cost, steps, tried)
+
+
 def prune_search(c: DataFrame, pairs: DataFrame, restarts: int = 6, most: int = 200, seed: int = 0) -> DataFrame:
     """Candidates (doc_id, page, candidate_id, junk, genuine, y, page_height) the search keeps, with its figures."""
     linked = pairs.groupBy("doc_id", "page", F.col("a").alias("candidate_id")).agg(F.collect_set("b").alias("others"))
     t = c.select("doc_id", "page", "candidate_id", "junk", "genuine", F.least(F.lit(BANDS - 1), F.floor(F.col("y") / F.greatest(F.col("page_height"), F.lit(1.0)) * BANDS).cast("int")).alias("band"))
     t = t.join(linked, ["doc_id", "page", "candidate_id"], "left")
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["candidate_id"])
-        place = {r["candidate_id"]: k for k, r in enumerate(rows)}
-        near = [(k, place[o]) for k, r in enumerate(rows) for o in sorted(r["others"] or []) if o in place]
-        keep = [1.6 * r["junk"] - 0.9 * r["genuine"] for r in rows]
-        lose = [1.1 * r["genuine"] - 0.4 * r["junk"] for r in rows]
-
-        def cost(state: frozenset) -> float:
-            total = sum(keep[k] if k in state else lose[k] for k in range(len(rows)))
-            total += sum(a in state and b in state for a, b in near) + (0.0 if state else 5.0)
-            counts: dict[int, int] = {}
-            for k in state:
-                counts[rows[k]["band"]] = counts.get(rows[k]["band"], 0) + 1
-            if len(counts) > 1:
-                mean = sum(counts.values()) / len(counts)
-                total += 0.02 * sum((n - mean) ** 2 for n in counts.values()) / len(counts)
-            return total
-
-        linked_to: dict[int, list[int]] = {}
-        for x, y in near:
-            linked_to.setdefault(x, []).append(y)
-
-        def moves(state: frozenset):
-            """Drop or add back each candidate; of two kept ones that overlap also drop the weaker (their merge)."""
-            for k, r in enumerate(rows):
-                yield state ^ {k}
-                if k in state:
-                    for o in linked_to.get(k, ()):
-                        if o in state:
-                            yield state - {k if r["genuine"] < rows[o]["genuine"] else o}
-
-        def draw(rng):
-            if rng.random() < 0.34:
-                return frozenset(range(len(rows)))
-            bar = rng.uniform(0.3, 0.9)
-            return frozenset(k for k, r in enumerate(rows) if r["junk"] < bar or rng.random() < 0.1)
-
-        got = climb.restarts(draw, cost, moves, restarts, most, seed)
-        out = [(r["doc_id"], r["page"], r["candidate_id"], round(got.cost, 3), round(got.start_cost, 3), got.iterations, got.evaluations) for k, r in enumerate(rows) if k in got.state]
-        names, kinds = ("doc_id", "page", "candidate_id", "prune_cost", "prune_start_cost", "prune_iterations", "prune_evaluations"), (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
+    def run(p: dict[str, list]) -> list[tuple]:
+        ids = p["candidate_id"]
+        place = {x: k for k, x in enumerate(ids)}
+        near = [(k, place[o]) for k, others in enumerate(p["others"]) for o in sorted(others or []) if o in place]
+        got = Choice(p["junk"], p["genuine"], p["band"], near).search(restarts, most, seed)
+        figures = (round(got.cost, 3), round(got.start_cost, 3), got.iterations, got.evaluations)
+        return [(p["doc_id"][0], p["page"][0], x, *figures) for x, kept in zip(ids, got.state) if kept]
 
     schema = "doc_id long, page int, candidate_id string, prune_cost double, prune_start_cost double, prune_iterations int, prune_evaluations int"
-    return by_page(t).applyInArrow(run, schema)
+    return map_pages(t, run, schema, "candidate_id")
