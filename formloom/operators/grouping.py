@@ -421,7 +421,8 @@ def page_rows(tokens: DataFrame, pages: DataFrame | None = None, width: float =
     else:
         heights = heights.withColumn("width", F.lit(width))
     count = lambda f: F.size(F.filter("t", f))
-    rows = rows.join(heights, ["doc_id", "page"]).withColumn("back", 2 * count(lambda t: t["letters"] & t["rtl"]) > count(lambda t: t["letters"]))
+    # dealt in a given number of partitions: what follows costs more time than its few bytes tell, and such are not merged
+    rows = rows.join(heights, ["doc_id", "page"]).repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "doc_id", "page").withColumn("back", 2 * count(lambda t: t["letters"] & t["rtl"]) > count(lambda t: t["letters"]))
     rows = rows.withColumn("t", F.when(F.col("back"), F.reverse("t")).otherwise(F.col("t")))
     beside = lambda t: F.exists("t", lambda o: ~o["blank"] & (F.least(F.abs(t["x"] - o["r"]), F.abs(o["x"] - t["r"])) < 3 * F.col("u")))
     blanks = F.when(F.exists("t", lambda t: t["blank"]), F.filter("t", lambda t: t["blank"] & ~beside(t)))
@@ -448,7 +449,8 @@ def baseline(tokens: DataFrame, width: float = 600.0, pages: DataFrame | None =
     s = s.withColumn("ends", ends).withColumn("parts", F.transform("ends", lambda e, k: F.struct(
         k.alias("seg"), F.slice("t", F.when(k == 0, 1).otherwise(F.get("ends", k - 1) + 1), e - F.when(k == 0, 0).otherwise(F.get("ends", k - 1))).alias("t"), F.get("t", e).alias("next"),
     )))
-    s = s.select("doc_id", "page", "row", "u", "width", "back", "free", "prose_row", F.explode("parts").alias("part")).select("*", "part.*").drop("part")
+    # a row has a part at least; explode() would add a filter on that, which repeats all of the above
+    s = s.select("doc_id", "page", "row", "u", "width", "back", "free", "prose_row", F.explode_outer("parts").alias("part")).select("*", "part.*").drop("part")
     some = lambda f: F.exists("t", lambda x: x[f])
     every = lambda f: F.forall("t", lambda x: x[f])
     stop = F.array_position(F.transform("t", lambda x: x["colon"]), True)

@@ -393,7 +393,7 @@ def _candidates(spark, d):
     high = t.groupBy("doc_id", "page").agg(F.greatest(F.lit(extract.PAGE_HEIGHT), F.max("y") + extract.BELOW).alias("page_height"))
     b = grouping.baseline(t).join(high, ["doc_id", "page"])
     index = templates.alias_index(templates.catalogue(spark)).select("alias", F.col("key").alias("template_key"))
-    c = b.withColumn("alias", N.match_label(F.col("label"))).join(index, "alias", "left")
+    c = b.withColumn("alias", N.match_label(F.col("label"))).join(F.broadcast(index), "alias", "left")  # the starter catalogue's aliases, a constant
     return c.select(
         "doc_id", "page", F.format_string("p%d_c%02d%02d", "page", "row", "seg").alias("candidate_id"), "row", "seg", "label", "value", "page_height", F.when(F.col("template_key").isNull(), 0.0).otherwise(1.0).alias("strength"),
         "template_key", "has_separator", "has_box", "separator", "grouping_score", F.col("region")[2].alias("region_w"), "prose_row", "label_h", "label_confidence", "mh", *[F.col("bbox")[k].alias(n) for k, n in enumerate("xywh")],
