@@ -414,15 +414,17 @@ def page_rows(tokens: DataFrame, pages: DataFrame | None = None, width: float =
         box[0], "pos", "text", box[1], box[3], (F.col("x") + F.col("w")).cast("double").alias("r"), F.col("confidence").cast("double").alias("confidence") if "confidence" in tokens.columns else F.lit(1.0).alias("confidence"), rtl.alias("rtl"),
         G.colon_ended(text).alias("colon"), G.blank_line(text).alias("blank"), G.box_glyph(text).alias("box"), G.has_box(text).alias("some_box"), text.rlike(r"\p{L}").alias("letters"),
     )
+    # dealt by page in a given number of partitions, which are not merged by their few bytes: what follows costs more time
+    # than those tell. The join and the window follow on that.
     rows = tokens.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(tok)).alias("t"))
+    rows = rows.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "doc_id", "page")
     heights = tokens.groupBy("doc_id", "page").agg(G.median_height(F.col("h")).alias("u"))
     if pages is not None:
         heights = heights.join(pages.select("doc_id", "page", F.col("width").cast("double").alias("width")).dropDuplicates(["doc_id", "page"]), ["doc_id", "page"], "left").withColumn("width", F.coalesce("width", F.lit(width)))
     else:
         heights = heights.withColumn("width", F.lit(width))
     count = lambda f: F.size(F.filter("t", f))
-    # dealt in a given number of partitions: what follows costs more time than its few bytes tell, and such are not merged
-    rows = rows.join(heights, ["doc_id", "page"]).repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "doc_id", "page").withColumn("back", 2 * count(lambda t: t["letters"] & t["rtl"]) > count(lambda t: t["letters"]))
+    rows = rows.join(heights, ["doc_id", "page"]).withColumn("back", 2 * count(lambda t: t["letters"] & t["rtl"]) > count(lambda t: t["letters"]))
     rows = rows.withColumn("t", F.when(F.col("back"), F.reverse("t")).otherwise(F.col("t")))
     beside = lambda t: F.exists("t", lambda o: ~o["blank"] & (F.least(F.abs(t["x"] - o["r"]), F.abs(o["x"] - t["r"])) < 3 * F.col("u")))
     blanks = F.when(F.exists("t", lambda t: t["blank"]), F.filter("t", lambda t: t["blank"] & ~beside(t)))
