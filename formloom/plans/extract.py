@@ -14,7 +14,7 @@ from ..operators import boundary as B
 from ..operators import gate, grouping, pruning, templates, tokens
 from ..operators import report as R
 from ..operators.calls import ReplyLedger
-from ..shared import materialise
+from ..operators.measure import Stages
 
 # The page of inputs that bring no sizes; a page is at least so high, and reaches 40 below its last token.
 PAGE_WIDTH, PAGE_HEIGHT, BELOW = 600.0, 850.0, 40.0
@@ -35,21 +35,22 @@ def reading_order():
     return W.partitionBy("doc_id", "page").orderBy("row", "pos")
 
 
-def passes(toks: DataFrame, catalogue: DataFrame, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None) -> dict[str, DataFrame]:
+def passes(toks: DataFrame, catalogue: DataFrame, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None, stages: Stages | None = None) -> dict[str, DataFrame]:
     """Both passes over tokens (doc_id, page, pos, text, x, y, w, h, confidence): candidates with their template, junk and
     genuine, and fields, what pruning keeps of them, with options and field_id. pages: see page_sizes()."""
+    stages = stages or Stages()
     sizes = page_sizes(toks, pages)
-    found = materialise(grouping.group_pages(toks, sizes, lines, search), "candidates")  # searched once, however many steps read it
+    found = stages.write(grouping.group_pages(toks, sizes, lines, search), "candidates")  # searched once, however many steps read it
     c = found.join(sizes.select("doc_id", "page", "mh", F.col("height").alias("page_height")), ["doc_id", "page"]).withColumns({n: F.col("bbox")[k] for k, n in enumerate("xywh")})
     c = c.withColumn("region_w", F.col("region")[2])
     c = pruning.add_options(templates.questions(c, catalogue))
-    c = materialise(pruning.evidence(c), "evidence")
+    c = stages.write(pruning.evidence(c), "evidence")
     if search:
         kept = pruning.prune_search(c, pruning.overlaps(c, F.col("mh")))
         fields = c.join(kept, ["doc_id", "page", "candidate_id"])
     else:
         fields = pruning.keep_plain(c)
-    return {"candidates": c, "fields": materialise(pruning.numbered(fields), "fields")}
+    return {"candidates": c, "fields": stages.write(pruning.numbered(fields), "fields")}
 
 
 def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, search: bool = True, lines: DataFrame | None = None, pages: DataFrame | None = None, ledger: ReplyLedger | None = None) -> dict[str, DataFrame]:
@@ -57,12 +58,12 @@ def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, sea
 
     pages (doc_id, page, width, height) gives page sizes, measured from the tokens where they are absent.
     client answers one prompt (see boundary.call) with {"reply": JSON array of {id, label, type, value, review}}; without
-    one all fields pass through; with a ledger no prompt is asked twice, also by later runs. Returns gate (every document), candidates, fields (of forms), prompts, calls and tokens
-    (what the prompts save)."""
-    sizes = page_sizes(toks, pages)
-    decided = gate.decide(gate.signals(toks, sizes, lines, docs=docs).withColumn("score", gate.score()))
-    forms = toks.join(decided.filter("is_form").select("doc_id"), "doc_id", "left_semi")
-    got = passes(tokens.with_direction(forms), catalogue, search, lines, pages)
+    one all fields pass through; with a ledger no prompt is asked twice, also by later runs. Returns gate (every document), candidates, fields (of forms), prompts, calls, tokens
+    (what the prompts save) and stages (rows, documents and time of each stage, observed as it ran)."""
+    sizes, stages = page_sizes(toks, pages), Stages()
+    decided = stages.write(gate.decide(gate.signals(toks, sizes, lines, docs=docs).withColumn("score", gate.score())), "gate")
+    forms = stages.write(toks.join(decided.filter("is_form").select("doc_id"), "doc_id", "left_semi"), "forms")
+    got = passes(tokens.with_direction(forms), catalogue, search, lines, pages, stages)
     fields = got["fields"]
     prompts = B.prompts(fields)
     if client is None:
@@ -70,7 +71,7 @@ def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, sea
     else:
         needing = B.document_needs_model(fields).filter("needs_model").select("doc_id")
         asked = prompts.join(needing, "doc_id", "left_semi")
-        calls = ledger.ask(asked, client) if ledger else materialise(B.call(asked, client), "calls")
+        calls = stages.write(ledger.ask(asked, client) if ledger else B.call(asked, client), "calls")
         said = F.from_json("reply", "array<struct<id:string,label:string,type:string,value:string,review:boolean>>")
         replies = calls.filter("error is null").select("doc_id", F.posexplode(said).alias("at", "r"))
         replies = replies.select("doc_id", F.col("r.id").alias("field_id"), "at", "r.label", "r.type", "r.value", "r.review", F.lit(None).cast("array<string>").alias("options"))
@@ -85,4 +86,4 @@ def run(toks: DataFrame, docs: DataFrame, catalogue: DataFrame, client=None, sea
         "doc_id", size(F.col("prompt")).alias("sent"), size(F.col("all")).alias("unpruned"), size(F.col("text")).alias("raw_text"), F.coalesce("image", F.lit(0)).alias("image"),
         F.lit(0).alias("system"), F.coalesce("fields", F.lit(0)).alias("fields"), F.lit(False).alias("scanned"), F.lit(client is not None).alias("ai_called"),
     ))
-    return {"gate": decided, "candidates": got["candidates"], "fields": final, "prompts": prompts, "calls": calls, "tokens": account}
+    return {"gate": decided, "candidates": got["candidates"], "fields": final, "prompts": prompts, "calls": calls, "tokens": account, "stages": stages.table(toks.sparkSession)}

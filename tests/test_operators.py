@@ -266,7 +266,6 @@ def test_whole_run(spark, both):
     t, _ = both if isinstance(both, tuple) else (both, None)
     toks = tokens.with_gaps(t.drop("gap_after"))
     docs = toks.select("doc_id").distinct().unionByName(spark.createDataFrame([(99,)], "doc_id long"))
-    asked = []
 
     def client(prompt):
         return {"reply": '[{"id": "f_001", "label": "Full name", "type": "text", "value": "ann", "review": true}]', "input_tokens": 7, "output_tokens": 3}
@@ -277,11 +276,18 @@ def test_whole_run(spark, both):
     fields = out["fields"].collect()
     assert {r.doc_id for r in fields} == {1} and len({r.field_id for r in fields}) == len(fields)
     calls = out["calls"].collect()
-    if calls:
-        assert [r for r in fields if r.field_id == "f_001"][0].value == "ann"
+    assert [(r.doc_id, r.input_tokens, r.error) for r in calls] == [(1, 7, None)]
+    first = next(r for r in fields if r.field_id == "f_001")
+    assert (first.value, first.label, first.confidence, first.needs_review) == ("ann", "Full Name", 0.9, True)
+    plain = {r.field_id: r for r in extract.run(toks, docs, templates.catalogue(spark))["fields"].collect()}
+    assert set(plain) == {r.field_id for r in fields} and plain["f_001"].value != "ann"
+    stages = out["stages"].collect()
+    assert [r.stage for r in stages] == ["gate", "forms", "candidates", "evidence", "fields", "calls"]
+    rows = {r.stage: (r.rows, r.docs) for r in stages}
+    assert rows["gate"] == (3, 3) and rows["forms"] == (toks.filter("doc_id = 1").count(), 1) and rows["fields"] == (len(fields), 1) and rows["calls"] == (1, 1)
+    assert rows["candidates"] == rows["evidence"] and all(r.ms > 0 for r in stages)
     account = out["tokens"].collect()
     assert [r.doc_id for r in account] == [1] and account[0].saved_vs_unpruned >= 0 and account[0].prompt_raw_text > 0
-    assert not asked
 
 
 def test_reports(spark):
