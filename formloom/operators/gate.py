@@ -29,7 +29,8 @@ def signals(tokens: DataFrame, pages: DataFrame | None = None, lines: DataFrame
         t = t.join(pages.select("doc_id", "page", F.col("width").cast("double")), ["doc_id", "page"])
     else:
         t = t.withColumn("width", F.lit(page_width))
-    t = t.repartition("doc_id").withColumn("mh", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
+    # a given number of partitions isn't merged by bytes: a token is few, but each is looked at
+    t = t.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "doc_id").withColumn("mh", G.median_height(F.col("h"), W.partitionBy("doc_id", "page")))
     one = lambda c: F.count_if(c)
     rows = t.groupBy("doc_id", "page", "row").agg(
         F.count("*").alias("n"), one(F.col("sep")).alias("sep"), one(F.col("blank")).alias("blank"), one(F.col("box")).alias("box"),
