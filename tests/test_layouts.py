@@ -61,3 +61,42 @@ def test_marks_say_what_the_words_say(spark):
     told = grouping.Page(None, [0.0] * n, [0.0] * n, [1.0] * n, [1.0] * n, [False] * n, 600.0, [], got)
     for kind in ("colon", "blank", "box", "boxed", "alnum", "like"):
         assert getattr(own, kind) == getattr(told, kind), kind
+
+
+def test_pairs_of_a_page_are_those_of_the_table(spark):
+    from formloom.operators import pruning
+
+    rng = random.Random(4)
+    rows = [(d, 1, f"c{k:02d}", rng.choice(["Name", "name ", "City", None]), 40.0 * rng.randrange(4), 30.0 * rng.randrange(9), rng.choice([80.0, 200.0]), rng.choice([20.0, 150.0])) for d in range(12) for k in range(14)]
+    c = spark.createDataFrame(rows, "doc_id long, page int, candidate_id string, label string, x double, y double, w double, h double")
+    want = sorted(map(tuple, pruning.overlaps(c).collect()))
+    got = []
+    for d in range(12):
+        mine = [r for r in rows if r[0] == d]
+        got += [(d, 1, mine[a][2], mine[b][2]) for a, b in pruning.pairs_near([r[2] for r in mine], [r[4:8] for r in mine], [None if r[3] is None else r[3].strip().lower() for r in mine], 24.0)]
+    assert got == want and want
+    c = c.withColumns({"junk": F.lit(0.4) + F.rand(3) / 5, "genuine": F.lit(0.5), "page_height": F.lit(850.0)}).localCheckpoint()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(pruning.prune_search(c)) == key(pruning.prune_search(c, pruning.overlaps(c)))
+
+
+def test_no_exploded_side_is_broadcast(spark):
+    """A small file of documents with many blocks or candidates each isn't a small table."""
+    from formloom.operators import pruning, tokens
+
+    b = spark.range(50).selectExpr("id doc_id", "explode(sequence(1, 3)) block", "40D x", "90D + block y", "500D w", "100D + block h")
+    c = b.selectExpr("doc_id", "1 page", "string(block) candidate_id", "'a' label", "x", "y", "w", "h", "0.4D junk", "0.5D genuine", "850D page_height")
+    for df in (tokens.drop_contained(b), pruning.overlaps(c), pruning.prune_search(c, pruning.overlaps(c))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gate_on_rows_and_layouts_as_on_tokens(spark):
+    from formloom.operators import gate, tokens
+
+    texts = ["Name: ____\nplain words only here\n\n☐ yes [x] no\tend:", None, "", "one " * 90 + "\n---\nAge： 12", "( ) a\n...... b:"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+    assert key(gate.signals_of_rows(tokens.reflow_rows(docs), docs=docs)) == key(gate.signals(tokens.reflow(docs), docs=docs))
+    t = tokens.with_gaps(spark.createDataFrame(forms(8), TOKEN))
+    pages = layouts.gathered(t).join(t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gap_after"))), lambda r: r["gap_after"]).alias("gap_after")), "doc_id")
+    assert key(gate.signals_of_layouts(pages)) == key(gate.signals(t))
