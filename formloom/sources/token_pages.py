@@ -2,7 +2,7 @@
 
 Files hold one payload a line: {"doc_id", "pages": [{"number", "width", "height", "tokens": [{"text", "bbox", "confidence",
 "script"}], "lines": [[x, y, w, h]]}]}. The option `content` says what rows are wanted: tokens (default), pages or lines.
-Files are read in groups of about `groupBytes`, one task each; a file over it is a task of its own. Conditions on doc_id and
+Files may be compressed (.gz). They are read in groups of about `groupBytes`, one task each; a file over it is a task of its own. Conditions on doc_id and
 page go into the reader, where they spare the unfolding of whole documents and pages; `maxPages` pages of a document are
 read at most (the reference's limit of 20 unless set, 0: all). A line that is no payload gives a row that has only its path
 and an error, so one bad file doesn't stop a run. The folder is an address that Arrow's file systems know, as the executors
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 MAX_PAGES, GROUP_BYTES, BATCH = 20, 32_000_000, 20_000
+#: A compressed file counts as so many times its size: about what payloads of forms shrink by.
+PACKED = 30
 SCHEMAS = {
     "tokens": "path string, doc_id bigint, page int, pos int, text string, x double, y double, w double, h double, confidence double, script string, error string",
     "pages": "path string, doc_id bigint, page int, width double, height double, error string",
@@ -58,11 +60,12 @@ class TokenPagesReader(DataSourceReader):
         files = [x for x in system.get_file_info(afs.FileSelector(root, recursive=True)) if x.is_file and not x.base_name.startswith(("_", "."))]
         groups, size = [[]], 0
         for x in sorted(files, key=lambda x: x.path):
-            if groups[-1] and size + x.size > self.group:
+            own = x.size * (PACKED if x.extension in ("gz", "zst", "bz2", "lz4") else 1)
+            if groups[-1] and size + own > self.group:
                 groups.append([])
                 size = 0
             groups[-1].append(x.path)
-            size += x.size
+            size += own
         return [Group(g) for g in groups if g]
 
     def wanted(self, column: str, value) -> bool:
@@ -165,3 +168,12 @@ def payload_rows(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame
     page = F.struct(F.col("page").alias("number"), *[F.col(c) for c in ("width", "height") if c in listed.columns], "tokens")
     docs = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     return docs.select(F.to_json(F.struct("doc_id", "pages")).alias("value"))
+
+
+def payload_of_pages(rows: DataFrame) -> DataFrame:
+    """payload_rows() of documents that are one page row each (see operators.layouts): nothing is shuffled."""
+    from pyspark.sql import functions as F
+
+    one = lambda t: F.struct(t["text"].alias("text"), F.array(t["x"], t["y"], t["w"], t["h"]).alias("bbox"), t["confidence"].alias("confidence"))
+    page = F.struct(F.col("page").alias("number"), F.transform(F.arrays_zip("text", "x", "y", "w", "h", "confidence"), one).alias("tokens"))
+    return rows.select(F.to_json(F.struct("doc_id", F.array(page).alias("pages"))).alias("value"))

@@ -100,3 +100,37 @@ def test_gate_on_rows_and_layouts_as_on_tokens(spark):
     t = tokens.with_gaps(spark.createDataFrame(forms(8), TOKEN))
     pages = layouts.gathered(t).join(t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gap_after"))), lambda r: r["gap_after"]).alias("gap_after")), "doc_id")
     assert key(gate.signals_of_layouts(pages)) == key(gate.signals(t))
+
+
+def test_labels_that_differ_in_digits_are_matched_once(spark):
+    from formloom.operators import templates
+
+    labels = spark.createDataFrame([(x,) for x in ("Customer#000000017", "Customer#000000099", "Total 12", "Total 999", "Item 3 of 4", "Total", "Dat3", "Invoice no 77", "12/03/1999")], "label string")
+    index = templates.alias_index(templates.catalogue(spark))
+    made = labels.withColumn("norm", templates.match_label(F.col("label")))
+    got = {r.label: (r.key, r.strength) for r in templates.match(labels, templates.catalogue(spark)).collect()}
+    each = {r.norm: (r.key, r.strength) for r in templates.match_norms(made.select("norm").distinct(), index).collect()}
+    assert got == {r.label: each[r.norm] for r in made.collect()}
+    same = made.select(templates._alike(F.col("norm"), False).alias("n"), templates._alike(F.col("norm"), True).alias("m"))
+    assert (same.select("n").distinct().count(), same.select("m").distinct().count()) == (8, 9)
+
+
+def test_kept_numbers_are_those_of_the_kept_alone(spark):
+    from formloom.operators import pruning
+
+    c = spark.range(40).selectExpr("id % 3 doc_id", "1 page", "double(id % 7) y", "double(id % 5) x", "string(id) candidate_id", "if(id % 4 = 0, 0.9D, 0.1D) junk")
+    both = {r.candidate_id: (r.field_id, r.kept_id) for r in pruning.numbered_both(c).collect()}
+    every, kept = ({r.candidate_id: r.field_id for r in pruning.numbered(x).collect()} for x in (c, pruning.keep_plain(c)))
+    assert both == {k: (v, kept.get(k)) for k, v in every.items()}
+
+
+def test_compressed_payloads_of_pages(spark, tmp_path):
+    from formloom.sources.token_pages import TokenPagesReader, payload_of_pages, payload_rows, read_pages
+
+    t = spark.createDataFrame(forms(20), TOKEN)
+    made = payload_of_pages(layouts.gathered(t))
+    assert sorted(r[0] for r in made.collect()) == sorted(r[0] for r in payload_rows(t).collect())
+    made.repartition(4).write.text(f"file://{tmp_path}/p", compression="gzip")
+    got = read_pages(spark, f"file://{tmp_path}/p").select("doc_id", "page", "pos", "text", "x", "y", "w", "h", "confidence").collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(r[k] for k in (0, 1, 3, 4, 5, 6, 7, 8, 9)) for r in forms(20))
+    assert len(TokenPagesReader({"path": f"{tmp_path}/p", "groupbytes": "3000"}).partitions()) == 4
