@@ -12,6 +12,16 @@ def labels_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
+def matches_any(norm: Column, known: Column) -> Column:
+    """norm matches one of an array of normalised labels."""
+    return F.exists(known, lambda t: labels_match(t, norm))
+
+
+def is_junk(norm: Column, truth: Column, junk: Column) -> Column:
+    """norm matches a known junk label of the array, or lies inside one, and matches no truth."""
+    return F.exists(junk, lambda t: labels_match(t, norm) | F.contains(t, norm)) & ~matches_any(norm, truth)
+
+
 def recall_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Per document recall (truths with a match) and precision (found with a match), from (doc_id, norm) tables.
 
