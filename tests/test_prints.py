@@ -25,7 +25,7 @@ def test_composed_each(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
-@pytest.mark.parametrize("name", ["q30_junk_genuine", "q33_pruning_baseline", "q36_prompt", "q49_recall_precision"])
+@pytest.mark.parametrize("name", ["q30_junk_genuine", "q33_pruning_baseline", "q36_prompt", "q49_recall_precision", "q70_pruning_figures"])
 def test_once_per_print(spark, monkeypatch, name):
     """The grouping, and all that follows on it, sees prints and not the 1,650 forms."""
     seen, plain = [], grouping.baseline_pages
