@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from formloom.functions import normalise as N
-from formloom.operators import gate, grouping, layouts
+from formloom.operators import gate, grouping, layouts, templates
+from formloom.plans import extract, forms
 
 DIR = "/root/testdata/sf0.001"
 
@@ -49,3 +50,19 @@ def test_drawn_gate_once_per_print(spark, monkeypatch):
 
     monkeypatch.setattr(gate, "signals", counted)
     assert entry.queries()["q75c_eval_gate"](spark, DIR).count() == 150 and seen[0] < 120
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
+def test_run_reads_its_tokens_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    t = forms.form_tokens(spark, DIR).filter("doc_id < 3").withColumn("pos", F.col("row") * 10 + F.col("pos"))
+    n = t.count()
+    toks = t.mapInArrow(counted, t.schema)
+    assert extract.run(toks, t.select("doc_id").distinct(), templates.catalogue(spark))["fields"].count() > 0
+    assert read.value == n
