@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 # A page of A4 in points and where things stand on it.
 WIDTH, HEIGHT, MARGIN, TOP, PITCH, ROWS = 595.0, 842.0, 60.0, 125.0, 34.0, 18
 SIZE, RULE = 10.0, 0.5
+#: Baselines move by the document's id, the same for all ids that are equal modulo this.
+JITTER = 5
+#: So many positions (see position()) a cell's value has before the next cell's begin.
+VALUE_SPAN = 160
 WIDE = r"[^\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{FF00}-\x{FFEF}]"
 
 
@@ -29,6 +33,11 @@ def units(text: Column) -> Column:
     return F.length(text) + F.length(F.regexp_replace(text, WIDE, ""))
 
 
+def position(row, cell, piece):
+    """pos of a piece's first word; row counts from the page's top, two rows of furniture above the cells. A value is piece 1."""
+    return row * 1000 + cell * 200 + piece * 40
+
+
 def _placed(cells: DataFrame) -> DataFrame:
     """cells with the column's width cw, the cell's x0, page, band (of the page's rows), baseline y, shown and its width tw."""
     cw = F.lit(WIDTH - 2 * MARGIN) / F.col("cells")
@@ -36,7 +45,7 @@ def _placed(cells: DataFrame) -> DataFrame:
         "cw": cw, "x0": MARGIN + F.col("cell") * cw, "page": (F.floor(F.col("row") / ROWS) + 1).cast("int"), "band": (F.col("row") % ROWS).cast("int"),
         "shown": F.when(F.col("kind") == "blank", F.col("label")).otherwise(F.concat("label", F.lit(":"))),
     })
-    jitter = F.pmod(F.col("doc_id") * 7 + F.col("row") * 13, F.lit(5)) - 2
+    jitter = F.pmod(F.col("doc_id") * 7 + F.col("row") * 13, F.lit(JITTER)) - 2
     return c.withColumns({"y": TOP + PITCH * F.col("band") + jitter, "tw": SIZE / 2 * units(F.col("shown"))})
 
 
@@ -95,6 +104,6 @@ def tokens(cells: DataFrame, free: DataFrame | None = None) -> DataFrame:
     x, w = F.col("x") + F.col("size") / 2 * F.col("t.before"), F.col("size") / 2 * units(F.col("t.text"))
     row = F.col("band") + 2
     return p.select(
-        "doc_id", "page", row.alias("row"), (row * 1000 + F.col("cell") * 200 + F.col("piece") * 40 + F.col("k")).alias("pos"), F.col("t.text").alias("text"),
+        "doc_id", "page", row.alias("row"), (position(row, F.col("cell"), F.col("piece")) + F.col("k")).alias("pos"), F.col("t.text").alias("text"),
         F.when(F.col("rtl"), WIDTH - x - w).otherwise(x).alias("x"), (F.col("y") - F.col("size")).alias("y"), w.alias("w"), (F.col("size") * 1.2).alias("h"), F.lit(1.0).alias("confidence"), "rtl",
     )

@@ -36,15 +36,25 @@ def recall_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
     return j.select("doc_id", (zero("ht") / F.greatest(zero("nt"), F.lit(1))).alias("recall"), (zero("hf") / F.greatest(zero("nf"), F.lit(1))).alias("precision"))
 
 
-def answer_accuracy(truth: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per document the share of truths (doc_id, norm, value) whose field holds the value, commas aside. An equal label
-    is taken before one that only matches, then the first field."""
-    j = truth.join(fields.select("doc_id", "field_id", F.col("norm").alias("f_norm"), F.col("value").alias("f_value")), "doc_id", "left")
+def holds(a: Column, b: Column) -> Column:
+    """One of two values holds the other, commas aside."""
+    bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
+    return F.contains(bare(a), bare(b)) | F.contains(bare(b), bare(a))
+
+
+def answering(truth: DataFrame, fields: DataFrame, by: tuple[str, ...] = ("norm", "value")) -> DataFrame:
+    """Each document's truths (doc_id, norm, value), one per `by`, with the field that answers them: its norm and value as f_norm
+    and f_value, its other columns, and fits. An equal label is taken before one that only matches, then the first field."""
+    j = truth.join(fields.withColumnsRenamed({"norm": "f_norm", "value": "f_value"}), "doc_id", "left")
     j = j.withColumn("fits", F.coalesce(labels_match(F.col("norm"), F.col("f_norm")), F.lit(False)))
-    first = F.row_number().over(W.partitionBy("doc_id", "norm", "value").orderBy(F.desc("fits"), F.desc(F.coalesce(F.col("norm") == F.col("f_norm"), F.lit(False))), "field_id"))
-    bare = lambda c: F.replace(F.col(c), F.lit(","), F.lit(""))
-    ok = F.col("fits") & (F.contains(bare("f_value"), bare("value")) | F.contains(bare("value"), bare("f_value")))
-    return j.withColumn("k", first).filter("k = 1").groupBy("doc_id").agg(F.avg(F.coalesce(ok, F.lit(False)).cast("int")).alias("accuracy"))
+    first = F.row_number().over(W.partitionBy("doc_id", *by).orderBy(F.desc("fits"), F.desc(F.coalesce(F.col("norm") == F.col("f_norm"), F.lit(False))), "field_id"))
+    return j.withColumn("k", first).filter("k = 1").drop("k")
+
+
+def answer_accuracy(truth: DataFrame, fields: DataFrame) -> DataFrame:
+    """Per document the share of truths (doc_id, norm, value) whose field (see answering()) holds the value, commas aside."""
+    ok = F.col("fits") & holds(F.col("f_value"), F.col("value"))
+    return answering(truth, fields.select("doc_id", "field_id", "norm", "value")).groupBy("doc_id").agg(F.avg(F.coalesce(ok, F.lit(False)).cast("int")).alias("accuracy"))
 
 
 def gate_accuracy(decided: DataFrame) -> DataFrame:
