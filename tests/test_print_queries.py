@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from formloom.operators import grouping, layouts, templates
+from formloom.operators import grouping, layouts, pruning, templates
 from formloom.operators import report as R
 from formloom.plans import extract, queries
 
 DIR = "/root/testdata/sf0.001"
-NAMED = {"q50_quality_report": "group_pages"}
+NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
@@ -61,6 +61,15 @@ def _same(got, want):
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
 
+def _alone(pages, candidates, spark):
+    """Candidates of every odd page, no two taken for one."""
+    return queries._candidates_of(spark, pages, candidates)
+
+
+def test_odd_pages_are_pruned_alike(spark, over_odd, odd):
+    _same(queries.q33b_pruning_search(spark, ""), pruning.prune_search(pruning.evidence(_alone(odd, None, spark))))
+
+
 def test_odd_pages_are_reported_alike(spark, over_odd, odd):
     catalogue = templates.catalogue(spark)
     sizes = extract.page_sizes(odd.select("doc_id", "page", F.inline(F.arrays_zip("h", "y"))))
