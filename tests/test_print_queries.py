@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from formloom.operators import boundary as B
 from formloom.operators import grouping, layouts, pruning, templates
 from formloom.operators import report as R
-from formloom.plans import extract, queries
+from formloom.plans import extract, queries, service_queries
 
 DIR = "/root/testdata/sf0.001"
-NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages"}
+NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q66_token_report": "baseline_pages"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
@@ -79,6 +80,14 @@ def test_odd_pages_are_reported_alike(spark, over_odd, odd):
     _same(got.select(want.columns), want)
 
 
+def test_odd_pages_cost_alike(spark, over_odd, odd):
+    size = lambda c: B.estimate_tokens(F.coalesce(c, F.lit("")))
+    c = queries.with_options(pruning.numbered_both(pruning.evidence(_alone(odd, None, spark))))
+    want = c.groupBy("doc_id").agg(size(B.prompt(F.col("kept_id"))).alias("sent"), size(B.prompt(F.col("field_id"))).alias("unpruned"))
+    got = service_queries.q66_token_report(spark, "")
+    _same(got.select("doc_id", (F.col("prompt_sent") - 50).alias("sent"), (F.col("prompt_unpruned") - 50).alias("unpruned")), want)
+
+
 def test_doubtful_prints_are_done_by_their_words(spark):
     """Two labels that differ from page to page in whether they are the same."""
     rows = [(k, 1, at, 0, w, 40.0 + 90 * at, 60.0, 36.0, 12.0) for k, ws in enumerate([("Item 3", "Item 3"), ("Item 3", "Item 4"), ("Item 5", "Item 5")]) for at, w in enumerate(ws)]
