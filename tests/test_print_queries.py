@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from formloom.functions import normalise as N
 from formloom.operators import boundary as B
 from formloom.operators import grouping, layouts, pruning, templates
 from formloom.operators import report as R
 from formloom.plans import extract, queries, service_queries
 
 DIR = "/root/testdata/sf0.001"
-NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q66_token_report": "baseline_pages"}
+NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q52_normalised_fields": "baseline_pages", "q66_token_report": "baseline_pages"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
@@ -88,6 +89,18 @@ def test_odd_pages_cost_alike(spark, over_odd, odd):
     _same(got.select("doc_id", (F.col("prompt_sent") - 50).alias("sent"), (F.col("prompt_unpruned") - 50).alias("unpruned")), want)
 
 
+def test_odd_pages_are_asked_and_normalised_alike(spark, over_odd, odd):
+    c = _alone(odd, None, spark).select("doc_id", "candidate_id", "label", "value", "has_box")
+    asked = templates.questions(c, templates.catalogue(spark))
+    _same(queries.q52_normalised_fields(spark, ""), N.normalise_fields(asked.withColumns({"original_label": F.col("label"), "needs_review": F.lit(False)})))
+
+
+def test_labels_without_letters_keep_their_case(spark):
+    given = ["12/03/2024", "-12.50", "", "a 7", "12 of 3", "7\n", "e-mail 7", "№ 7"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(given)), "k int, t string").orderBy("k").select(N.title_case(F.col("t"))).collect()]
+    assert got == ["12/03/2024", "-12.50", "", "A 7", "12 of 3", "7", "E-Mail 7", "№ 7"]
+
+
 def test_doubtful_prints_are_done_by_their_words(spark):
     """Two labels that differ from page to page in whether they are the same."""
     rows = [(k, 1, at, 0, w, 40.0 + 90 * at, 60.0, 36.0, 12.0) for k, ws in enumerate([("Item 3", "Item 3"), ("Item 3", "Item 4"), ("Item 5", "Item 5")]) for at, w in enumerate(ws)]
