@@ -14,7 +14,7 @@ from formloom.operators import report as R
 from formloom.plans import extract, queries, service_queries
 
 DIR = "/root/testdata/sf0.001"
-NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q52_normalised_fields": "baseline_pages", "q66_token_report": "baseline_pages"}
+NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q51_questions": "baseline_pages", "q52_normalised_fields": "baseline_pages", "q66_token_report": "baseline_pages"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
@@ -92,6 +92,7 @@ def test_odd_pages_cost_alike(spark, over_odd, odd):
 def test_odd_pages_are_asked_and_normalised_alike(spark, over_odd, odd):
     c = _alone(odd, None, spark).select("doc_id", "candidate_id", "label", "value", "has_box")
     asked = templates.questions(c, templates.catalogue(spark))
+    _same(queries.q51_questions(spark, ""), pruning.add_options(asked))
     _same(queries.q52_normalised_fields(spark, ""), N.normalise_fields(asked.withColumns({"original_label": F.col("label"), "needs_review": F.lit(False)})))
 
 
