@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from formloom.functions import normalise as N
 from formloom.operators import boundary as B
-from formloom.operators import grouping, layouts, pruning, templates
+from formloom.operators import grouping, layouts, pruning, templates, tokens
 from formloom.operators import report as R
-from formloom.plans import extract, queries, service_queries
+from formloom.plans import extract, forms, queries, service_queries
 
 DIR = "/root/testdata/sf0.001"
-NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q51_questions": "baseline_pages", "q52_normalised_fields": "baseline_pages", "q66_token_report": "baseline_pages"}
+NAMED = {"q33b_pruning_search": "baseline_pages", "q50_quality_report": "group_pages", "q51_questions": "baseline_pages", "q52_normalised_fields": "baseline_pages", "q66_token_report": "baseline_pages", "q74_form_run": "group_pages"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
@@ -96,6 +96,32 @@ def test_odd_pages_are_asked_and_normalised_alike(spark, over_odd, odd):
     _same(queries.q52_normalised_fields(spark, ""), N.normalise_fields(asked.withColumns({"original_label": F.col("label"), "needs_review": F.lit(False)})))
 
 
+def test_odd_pages_go_through_the_run_alike(spark, odd):
+    catalogue = templates.catalogue(spark)
+    sizes = extract.page_sizes(odd.select("doc_id", "page", F.inline(F.arrays_zip("h", "y"))))
+    want = N.normalise_fields(B.pass_through(extract.passes(odd, catalogue, sizes=sizes)["fields"]).withColumn("original_label", F.col("label")))
+    got = extract.fields_by_print(odd, catalogue)
+    _same(got, want.select(got.columns))
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
+def test_documents_like_forms_go_through_the_run(spark, monkeypatch, tmp_path):
+    """Only documents that pass the gate become tokens, and their fields are those of the run over all tokens."""
+    for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey")):
+        spark.read.parquet(f"{DIR}/{t}.parquet").orderBy(k).limit(3).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    texts = ["Name: ____\nDate: 12/03/2024\nCity:\n\nTotal: 7", "Name: ____\nDate: 13/03/2024\nCity:\n\nTotal: 8", "الاسم: ٣\nCity: 4", "words of plain prose that go on " * 40, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 20_000_000_000)
+    own = forms.all_tokens(spark, str(tmp_path))
+    t = tokens.reflow(docs).unionByName(own).withColumn("pos", F.row_number().over(extract.reading_order()) - 1)
+    want = extract.run(t, docs.select("doc_id").unionByName(own.select("doc_id").distinct()), templates.catalogue(spark))["fields"]
+    seen, plain = [], tokens.reflow
+    monkeypatch.setattr(tokens, "reflow", lambda d: (seen.append(d.count()), plain(d))[1])
+    got = service_queries.q74_form_run(spark, str(tmp_path))
+    _same(got, want.select(got.columns))
+    assert seen == [got.filter("doc_id >= 20000000000").select("doc_id").distinct().count()] and seen[0] > 1
+
+
 def test_labels_without_letters_keep_their_case(spark):
     given = ["12/03/2024", "-12.50", "", "a 7", "12 of 3", "7\n", "e-mail 7", "№ 7"]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(given)), "k int, t string").orderBy("k").select(N.title_case(F.col("t"))).collect()]
